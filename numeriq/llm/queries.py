@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
+from .bpe import op3_bpe
 from .chat import op8_chat_formatting
+from .exact_dedup import op7_exact_dedup
+from .packing import op10_best_fit_packing
+from .voronoi_knn import op6_exact_topk
 from .warc import op9_warc_revisits
 
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.e, d.e) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5"""
+
+DEDUP_SQL = """
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS n FROM documents),
+w AS (SELECT doc_id, n, max(doc_id) OVER (PARTITION BY n) AS keep_id, count(*) OVER (PARTITION BY n) AS group_size FROM t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM w"""
+
 CHAT_SQL = r"""
 WITH t AS (
   SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -36,11 +53,17 @@ SELECT record_id, url_key, CASE WHEN of_tag = tag THEN of_id * 4 END AS response
 FROM j WHERE n = 1"""
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
+    "op6_exact_topk": op6_exact_topk,
+    "op7_exact_dedup": op7_exact_dedup,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_warc_revisits": op9_warc_revisits,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLES = {
+    "op6_exact_topk": TOPK_SQL,
+    "op7_exact_dedup": DEDUP_SQL,
     "op8_chat_formatting": CHAT_SQL,
     "op9_warc_revisits": WARC_SQL,
 }
