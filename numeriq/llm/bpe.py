@@ -17,9 +17,8 @@ import hashlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import table
+from .common import id_and_text, id_back, table
 
 #: The pre-tokenizer's pattern and white space as it counts it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -213,8 +212,6 @@ def encode_decode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", keep_i
         import pandas as pd
         import public_tokenizers as P
 
-        from numeriq.llm.bpe import WordBPE
-
         bpe = WordBPE(P.path(vocabulary))
 
         def rows(docs, texts):
@@ -223,14 +220,12 @@ def encode_decode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", keep_i
                 decoded = bpe.decode(ids.tolist())
                 more = (ids.tolist(), decoded) if keep_ids else ()
                 out.append((doc, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *more))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            return frame
+            return pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])])
 
         for pdf in batches:
             held, texts, chars = [], [], 0
             for doc, text in zip(pdf["doc_id"].array, pdf["text"].array):
-                held.append(None if pd.isna(doc) else int(doc))
+                held.append(doc)
                 texts.append(text or "")
                 chars += len(texts[-1])
                 if chars > batch_chars:
@@ -239,9 +234,8 @@ def encode_decode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", keep_i
             if held:
                 yield rows(held, texts)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(mapped, schema)
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
+    return id_back(id_and_text(docs).mapInPandas(mapped, schema))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

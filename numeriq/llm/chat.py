@@ -6,7 +6,7 @@ a fold over it rebuilds the final messages, which are then rendered with a templ
 Kinds: start opens a message and replaces whatever it held (so a second start is a regeneration), delta appends to it,
 edit replaces its text, delete removes it. A delta or edit of a message that was never opened opens it.
 
-Nulls: role and text count as empty; an event without conversation or message forms the null conversation or message, which is kept
+Nulls: role and text count as empty, a sequence number as 0, a kind as delta; an event without conversation or message forms the null conversation or message, which is kept
 as such. Events of one sequence number are ordered by message, kind, role and text, so that ties and repeated rows give one result.
 An empty log gives no rows. Columns besides those named are ignored.
 
@@ -22,12 +22,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import id_back, runs, table
 
 OPEN, MID, CLOSE = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 
-MESSAGES = "conv_id long, position long, role string, segment string, loss_start long, loss_end long"
-
 
 def escape(text: str) -> str:
     """Breaks every control string of bracket style, reversibly: a backslash follows each backslash, < and [."""
@@ -45,17 +43,19 @@ def final_messages(events: DataFrame) -> DataFrame:
     replacing event are joined in order.
     """
     e = events.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").cast("long").alias("seq"), F.col("msg_id").cast("long").alias("msg_id"),
+        F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), F.col("msg_id").cast("long").alias("msg_id"),
         F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
 
     def folded(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        from numeriq.llm.common import runs
+        def frame(rows):
+            names = ["conv_id", "first_seq", "msg_id", "role", "text"]
+            return pd.DataFrame({n: pd.array([r[i] for r in rows], "Int64") if i < 3 else [r[i] for r in rows] for i, n in enumerate(names)})
 
         out = []
-        for (conv, msg), pdf in runs(({"x": b} and b for b in batches), ["conv_key", "msg_key"]):
+        for (conv, msg), pdf in runs(batches, ["conv_key", "msg_key"]):
             text: list[str] = []
             role, alive = "", False
             for kind, r, t in zip(pdf["kind"], pdf["role"], pdf["text"]):
@@ -67,16 +67,15 @@ def final_messages(events: DataFrame) -> DataFrame:
                 text.append(t)
                 role, alive = r or role, True
             if alive:
-                first = pdf.iloc[0]
-                out.append((first["conv_id"], first["seq"], first["msg_id"], role, "".join(text)))
+                out.append((int(conv) if conv else None, int(pdf["seq"].iloc[0]), int(msg) if msg else None, role, "".join(text)))
             if len(out) >= 2000:
-                yield pd.DataFrame(out, columns=["conv_id", "first_seq", "msg_id", "role", "text"])
+                yield frame(out)
                 out = []
-        yield pd.DataFrame(out, columns=["conv_id", "first_seq", "msg_id", "role", "text"])
+        yield frame(out)
 
     keyed = e.withColumn("conv_key", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).withColumn("msg_key", F.coalesce(F.col("msg_id").cast("string"), F.lit("")))
     # A message is dealt out whole; a conversation may be dealt to many tasks, since no message reads another one.
-    dealt = keyed.repartition("conv_key", "msg_key").sortWithinPartitions("conv_key", "msg_key", "seq", "kind", "role", "text")
+    dealt = keyed.drop("conv_id", "msg_id").repartition("conv_key", "msg_key").sortWithinPartitions("conv_key", "msg_key", "seq", "kind", "role", "text")
     return dealt.mapInPandas(folded, "conv_id long, first_seq long, msg_id long, role string, text string")
 
 
@@ -117,7 +116,6 @@ def read_back(segments: DataFrame) -> DataFrame:
 
         for pdf in batches:
             for conv, seg, a, b in zip(pdf["conv_id"], pdf["segment"], pdf["loss_start"], pdf["loss_end"]):
-                conv = None if pd.isna(conv) else int(conv)
                 if state is None or state[0] != conv:
                     if state is not None:
                         out.append(close(state))
@@ -137,8 +135,8 @@ def read_back(segments: DataFrame) -> DataFrame:
             yield pd.DataFrame([close(state)], columns=columns)
 
     columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    dealt = segments.repartition("conv_id").sortWithinPartitions("conv_id", "position", "msg_id")
-    return dealt.mapInPandas(parsed, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    dealt = segments.withColumn("conv_id", F.col("conv_id").cast("string")).repartition("conv_id").sortWithinPartitions("conv_id", "position", "msg_id")
+    return id_back(dealt.select("conv_id", "segment", "loss_start", "loss_end").mapInPandas(parsed, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"), "conv_id")
 
 
 def turn_events(conversations: DataFrame, delta_chars: int = 512) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +35,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z only; every other character stays."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def id_and_text(docs: DataFrame) -> DataFrame:
+    """doc_id as text, since pandas would make floating-point numbers of a column of integers and nulls; and text."""
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def id_back(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    return df.withColumn(name, F.col(name).cast("long"))
+
+
+def raw_digest() -> Column:
+    """Tells rows of one doc_id apart by their text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def without(docs: DataFrame, gone: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Rows of docs that aren't in gone (doc_id, raw); the columns of docs. gone is broadcast up to that many rows (16 bytes each)."""
+    ids = materialize(gone.select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw")).distinct(), "gone")
+    ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (raw_digest() == F.col("__raw"))
+    return docs.join(ids, same, "left_anti")
 
 
 def fold(doc_id: Column, folds: int = 5) -> Column:
@@ -67,3 +85,12 @@ def runs(batches: Iterator, keys: list[str]) -> Iterator:
             held.append(part)
     if held:
         yield last, held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+
+
+def shared_model(spark: SparkSession, model):
+    """A broadcast of a fitted model, whose size its own parameters bound; opened() reads it, in tasks and here."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def opened(held):
+    return cloudpickle.loads(held.value)

@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, raw_digest, table, without
 
 #: Keys beyond this number are joined by a shuffle; up to it they are broadcast, at 8 bytes each.
 BROADCAST_KEYS = 1_000_000
@@ -41,10 +41,10 @@ def normalised(docs: DataFrame, key: Callable[[bytes], int], with_bytes: bool) -
                 low = [(x or "").encode("utf-8", "surrogatepass").lower() for x in part.column(1).to_pylist()]
                 keys = pa.array([key(x) for x in low], pa.int64())
                 last = pa.array(low if with_bytes else [hashlib.sha256(x).digest() for x in low], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), keys, last], names=["doc_id", "key", "norm" if with_bytes else "sha"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), keys, last], names=["doc_id", "raw", "key", "norm" if with_bytes else "sha"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(mapped, f"doc_id long, key long, {'norm' if with_bytes else 'sha'} binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), raw_digest().alias("raw"))
+    return rows.mapInArrow(mapped, f"doc_id long, raw long, key long, {'norm' if with_bytes else 'sha'} binary")
 
 
 def directory(counts: dict[int, int], capacity: int, max_depth: int) -> list[int]:
@@ -67,7 +67,7 @@ def directory(counts: dict[int, int], capacity: int, max_depth: int) -> list[int
 
 
 def build_index(docs: DataFrame, capacity: int = 100_000, max_depth: int = 14, key: Callable[[bytes], int] = sha_key) -> tuple[DataFrame, DataFrame]:
-    """(fingerprints, index). fingerprints: doc_id, key, sha. index: bucket, key, chain, sha, keep_id, group_size.
+    """(fingerprints, index). fingerprints: doc_id, raw, key, sha. index: bucket, key, chain, sha, keep_id, group_size.
 
     The directory has at most 2^max_depth entries; so many counts and no more come to the driver.
     """
@@ -95,17 +95,20 @@ def build_index(docs: DataFrame, capacity: int = 100_000, max_depth: int = 14, k
     return prints, index
 
 
-def exact_groups(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
+def placed(docs: DataFrame, **options) -> DataFrame:
     prints, index = build_index(docs, **options)
     found = prints.join(index.select("key", "sha", "keep_id", "group_size"), ["key", "sha"])
-    return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+
+
+def exact_groups(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
+    return placed(docs, **options).select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """Rows of docs that stay, with the columns of docs."""
-    gone = exact_groups(docs, **options).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    return without(docs, placed(docs, **options).filter("NOT kept"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,9 +22,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import id_and_text, id_back, materialize, table
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
 def byte_bpe(json_path: str, ranks_path: str, pattern: str):
@@ -64,26 +64,20 @@ def cut_pieces(docs: DataFrame, size: int = 1024, end_id: int = 2, vocabulary: s
         import pandas as pd
         import public_tokenizers as P
 
-        from numeriq.llm.packing import byte_bpe
-
         encode = byte_bpe(P.path(f"{vocabulary}.json"), P.path(f"{vocabulary}.tiktoken"), P.PATTERN)
         columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
         for pdf in batches:
             out = []
             for doc, text in zip(pdf["doc_id"].array, pdf["text"].array):
                 ids = np.array([*encode(text or ""), end_id], "<u4")
-                doc = None if pd.isna(doc) else int(doc)
                 a, z = 0, (len(ids) - 1) % size + 1
                 piece = 0
                 while a < len(ids):
                     out.append((doc, piece, a, z - a, zlib.crc32(ids[a:z].tobytes())))
                     a, z, piece = z, z + size, piece + 1
-            frame = pd.DataFrame(out, columns=columns)
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            yield pd.DataFrame(out, columns=columns)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(mapped, PIECES)
+    return id_back(id_and_text(docs).mapInPandas(mapped, PIECES))
 
 
 def plan_packing(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -5,7 +5,11 @@ from __future__ import annotations
 from .bpe import op3_bpe
 from .chat import op8_chat_formatting
 from .exact_dedup import op7_exact_dedup
+from .gru_lm import op4_language_model
+from .html_wrapper import op1_html_extraction
+from .ngram_join import op2_ngram_jaccard_join
 from .packing import op10_best_fit_packing
+from .toxicity import op5_toxicity
 from .voronoi_knn import op6_exact_topk
 from .warc import op9_warc_revisits
 
@@ -36,7 +40,7 @@ FROM e GROUP BY conv_id"""
 
 WARC_SQL = r"""
 WITH p AS (SELECT page_id AS id, url, sha256(coalesce(html, '')) AS digest,
-    regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') AS rest FROM pages),
+    regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^([a-zA-Z][a-zA-Z0-9+.-]*:)?//', '') AS rest FROM pages),
 k AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*', 0)), '^[^@]*@|:(80|443)$', '', 'g'), '^www\.', '') AS host,
     regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
     array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&') AS query FROM p),
@@ -53,7 +57,11 @@ SELECT record_id, url_key, CASE WHEN of_tag = tag THEN of_id * 4 END AS response
 FROM j WHERE n = 1"""
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_bpe": op3_bpe,
+    "op4_language_model": op4_language_model,
+    "op5_toxicity": op5_toxicity,
     "op6_exact_topk": op6_exact_topk,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_chat_formatting": op8_chat_formatting,

@@ -74,8 +74,6 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col:
     between = np.sqrt(np.maximum(0, ((centre[:, None] - centre[None]) ** 2).sum(2) + (lifted[:, None] - lifted[None]) ** 2))
 
     def assigned(batches: Iterator, lift: bool) -> Iterator:
-        from numeriq.llm.voronoi_knn import matrix
-
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -142,8 +140,6 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col:
     def solved(left, right):
         import pandas as pd
 
-        from numeriq.llm.voronoi_knn import matrix, products
-
         out = []
         if len(left) and len(right):
             left = left.sort_values("vec_id", kind="stable")

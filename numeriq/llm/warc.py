@@ -30,7 +30,7 @@ PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expire
 
 def canonical_url(url: Column) -> Column:
     """Host in lower case without user, www. and a default port; path without trailing slashes; sorted query without utm_ fields; no scheme, no fragment."""
-    rest = F.regexp_replace(F.regexp_replace(F.trim(url), r"#.*$", ""), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
+    rest = F.regexp_replace(F.regexp_replace(F.trim(url), r"#.*$", ""), r"^([a-zA-Z][a-zA-Z0-9+.-]*:)?//", "")
     host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(rest, r"^[^/?]*", 0)), r"^[^@]*@|:(80|443)$", ""), r"^www\.", "")
     path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), r"/+$", "")
     fields = F.filter(F.split(F.regexp_extract(rest, r"^[^?]*\?(.*)$", 1), "&"), lambda x: (x != "") & ~x.startswith("utm_"))
