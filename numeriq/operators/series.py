@@ -76,15 +76,10 @@ def trapezoid(y0, h: float, steps: int, fixed_points: int = 5) -> Column:
 
     def step(y):
         k = chain_derivative(y)
-        new = _plus(y, k, h)
-        for _ in range(fixed_points):
-            new = _plus(y, F.zip_with(k, chain_derivative(new), lambda a, b: a + b), h / 2)
-        return new
-
-    out = y0
-    for _ in range(steps):
-        out = step(out)
-    return out
+        closer = lambda new, _: _plus(y, F.zip_with(k, chain_derivative(new), lambda a, b: a + b), h / 2)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(fixed_points)), _plus(y, k, h), closer)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), y0, lambda y, _: step(y))
 
 
 def heat_step(grid: DataFrame, power: str, v: str = "v", rate: float = 0.1, ambient: float = 80.0, pull: float = 0.01) -> DataFrame:

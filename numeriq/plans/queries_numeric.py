@@ -255,7 +255,7 @@ def runge_kutta(spark, sf_dir):
 
 @query()
 def implicit_trapezoid(spark, sf_dir):
-    return three(chains(spark, sf_dir).withColumn("y", series.trapezoid(F.col("y"), 0.1, 1, 2)))
+    return three(chains(spark, sf_dir).withColumn("y", series.trapezoid(F.col("y"), 0.1, 3)))
 
 
 @query("""WITH b AS (SELECT c_custkey, c_nationkey AS g, CAST(c_custkey % 101 AS DOUBLE) AS x, CAST(c_custkey % 67 AS DOUBLE) AS y, abs(c_acctbal) / 1000 + 1 AS m FROM customer), c AS (SELECT g, sum(m) AS m, sum(m * x) / sum(m) AS x, sum(m * y) / sum(m) AS y FROM b GROUP BY g),
