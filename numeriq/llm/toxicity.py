@@ -151,10 +151,16 @@ class Model:
         return (*self.memory[key], counts)
 
 
+#: Labels beyond this number are joined by a shuffle; up to it they are broadcast, at 12 bytes each.
+BROADCAST_LABELS = 1_000_000
+
+
 def labelled(docs: DataFrame, labels: DataFrame, learn) -> DataFrame:
     y = labels.filter("toxic is not null AND doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
-    return rows.filter(learn(F.col("doc_id"))).join(y.filter(learn(F.col("doc_id"))), "doc_id")
+    y = y.filter(learn(F.col("doc_id")))
+    y = F.broadcast(y) if y.count() <= BROADCAST_LABELS else y
+    return rows.filter(learn(F.col("doc_id"))).join(y, "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, vocabulary: int = 200, references: int = 6000, k: int = 15, shrink: float = 0.5, least_rows: int = 4, least_chi2: float = 12.0) -> Model:
