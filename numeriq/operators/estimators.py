@@ -314,3 +314,108 @@ def tall_skinny_r(points: DataFrame, vector_col: str):
     rows = now.collect()  # at most 8 factors
     r = np.linalg.qr(np.vstack([np.array(x["v"]).reshape(-1, dim) for x in rows]), mode="r")
     return r * np.where(np.diag(r) < 0, -1, 1)[:, None]
+
+
+def nystrom_features(points: DataFrame, vector_col: str, id_col: str, landmarks: int, ridge: float = 1e-6) -> DataFrame:
+    """points with features whose inner products approximate those of the vectors: K(x, L) W^(-1/2), with landmarks chosen by hash and W
+    regularised by its mean diagonal. The landmarks (a parameter's number of rows) are all that the driver holds."""
+    import numpy as np
+
+    rows = points.orderBy(F.xxhash64(id_col), id_col).limit(landmarks).select(vector_col).collect()
+    x = np.array([[float(v) for v in r[0]] for r in rows])
+    w = x @ x.T
+    w += np.eye(len(w)) * (np.trace(w) / len(w) * ridge)
+    values, vectors = np.linalg.eigh(w)
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-12))) @ vectors.T
+    maps = (x.T @ root).T
+    return points.withColumn("features", F.array(*[dot(F.col(vector_col), F.array(*map(F.lit, m.tolist()))) for m in maps]))
+
+
+def singular_values(a: DataFrame, k: int, oversample: int = 5, power: int = 1, seed: int = 3) -> list[float]:
+    """The k largest singular values of a sparse matrix (i, j, v), by a random sketch and power iterations.
+
+    The sketch's random numbers are hashes of column and place, so they are made where they are used; rows of tall factors are arrays,
+    and only (k + oversample)^2 numbers reach the driver.
+    """
+    import numpy as np
+
+    size = k + oversample
+
+    def sums(df, by):
+        return df.groupBy(by).agg(F.array(*[F.sum(F.col("v") * F.col("y")[c]) for c in range(size)]).alias("y"))
+
+    def orthonormal(y):
+        _, g = gram(y, "y", center=False)
+        g = g * y.count()
+        values, vectors = np.linalg.eigh(g)
+        basis = vectors / np.sqrt(np.maximum(values, 1e-12 * max(values.max(), 1e-300)))
+        return y.withColumn("y", F.array(*[dot(F.col("y"), F.array(*map(F.lit, basis[:, c].tolist()))) for c in range(size)]))
+
+    unit = lambda c: F.pmod(F.xxhash64("j", F.lit(seed), F.lit(c)), F.lit(2001)) / 1000.0 - 1.0
+    y = cut(orthonormal(cut(sums(a.withColumn("y", F.array(*[unit(c) for c in range(size)])), "i"))))
+    for _ in range(power):
+        z = cut(orthonormal(cut(sums(a.join(y, "i"), "j"))))
+        y = cut(orthonormal(cut(sums(a.join(z, "j"), "i"))))
+    z = cut(sums(a.join(y, "i"), "j"))
+    _, g = gram(z, "y", center=False)
+    return [float(x) for x in np.sqrt(np.maximum(0, np.linalg.eigvalsh(g * z.count())[::-1][:k]))]
+
+
+def fit_network(df: DataFrame, vector_col: str, target: str, hidden: int = 8, outputs: int = 1, epochs: int = 20, rate: float = 0.5, momentum: float = 0.9, seed: int = 1) -> dict:
+    """A network of one hidden layer of sigmoids: linear output for outputs = 1 (squared error), else a softmax over labels 0, 1, ...
+
+    Gradients are over all rows: each task adds up those of its rows, and their sums make one step, with momentum.
+    """
+    import numpy as np
+
+    dim = df.agg(F.max(F.size(vector_col))).first()[0]
+    rng = np.random.default_rng(seed)
+    shapes = {"w1": (dim, hidden), "b1": (hidden,), "w2": (hidden, outputs), "b2": (outputs,)}
+    p = {k: rng.standard_normal(s) / math.sqrt(s[0]) if k[0] == "w" else np.zeros(s) for k, s in shapes.items()}
+    speed = {k: np.zeros(s) for k, s in shapes.items()}
+    rows = df.select(F.col(vector_col).alias("v"), F.col(target).cast("double").alias("t"))
+    for _ in range(epochs):
+
+        def partial(batches, p=p):
+            import pandas as pd
+
+            total, n = None, 0
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x, t = np.stack(pdf["v"].to_numpy()).astype(np.float64), pdf["t"].to_numpy()
+                h = 1 / (1 + np.exp(-(x @ p["w1"] + p["b1"])))
+                o = h @ p["w2"] + p["b2"]
+                if outputs == 1:
+                    d = o - t[:, None]
+                else:
+                    d = np.exp(o - o.max(1, keepdims=True))
+                    d /= d.sum(1, keepdims=True)
+                    d[np.arange(len(t)), t.astype(int)] -= 1
+                e = d @ p["w2"].T * h * (1 - h)
+                g = np.concatenate([(x.T @ e).ravel(), e.sum(0), (h.T @ d).ravel(), d.sum(0)])
+                total, n = g if total is None else total + g, n + len(x)
+            if n:
+                yield pd.DataFrame({"n": [n], "g": [total.tolist()]})
+
+        cells = rows.mapInPandas(partial, "n long, g array<double>").select("n", F.posexplode("g").alias("at", "g")).groupBy("at").agg(F.sum("g").alias("g"), F.sum("n").alias("n")).orderBy("at").collect()
+        flat, at = np.array([c["g"] / c["n"] for c in cells]), 0
+        for k, s in shapes.items():
+            size = int(np.prod(s))
+            speed[k] = momentum * speed[k] - rate * flat[at : at + size].reshape(s)
+            p[k] = p[k] + speed[k]
+            at += size
+    return p
+
+
+def network_outputs(p: dict, vector_col: str) -> Column:
+    """The outputs as one array expression: a matrix-vector product and a sigmoid per layer."""
+    x = F.col(vector_col)
+    h = [1 / (1 + F.exp(-(dot(x, F.array(*map(F.lit, p["w1"][:, j].tolist()))) + float(p["b1"][j])))) for j in range(p["w1"].shape[1])]
+    outs = []
+    for o in range(p["w2"].shape[1]):
+        s = F.lit(float(p["b2"][o]))
+        for j, v in enumerate(h):
+            s = s + v * float(p["w2"][j, o])
+        outs.append(s)
+    return F.array(*outs)

@@ -129,3 +129,51 @@ def attraction(bodies: DataFrame, group: str, x: str, y: str, mass: str, softeni
         return F.aggregate(F.transform("__cells", one), F.lit(0.0), lambda s, v: s + v)
 
     return b.withColumns({"ax": pull("x"), "ay": pull("y")}).drop("__cells")
+
+
+def simpson(y0, h: float, steps: int, fixed_points: int = 5) -> Column:
+    """Simpson's two-step rule: each step advances by 2 h, from a first guess that fixed-point iterations improve."""
+
+    def step(y):
+        k = chain_derivative(y)
+        middle = chain_derivative(_plus(y, k, h))
+        known = F.zip_with(k, middle, lambda a, b: a + 4 * b)
+        closer = lambda new, _: _plus(y, F.zip_with(known, chain_derivative(new), lambda a, b: a + b), h / 3)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(fixed_points)), _plus(y, k, 2 * h), closer)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), y0, lambda y, _: step(y))
+
+
+def laplacian(grid: DataFrame) -> DataFrame:
+    """(r, c, v) of 4 v - its neighbours, cells outside counting as 0: each cell is sent to its neighbours and sums are taken."""
+    moves = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(k).alias("k")) for a, b, k in ((0, 0, 4.0), (1, 0, -1.0), (-1, 0, -1.0), (0, 1, -1.0), (0, -1, -1.0))])).alias("m")
+    sent = grid.select("r", "c", "v", moves).select((F.col("r") + F.col("m.a")).alias("r"), (F.col("c") + F.col("m.b")).alias("c"), (F.col("v") * F.col("m.k")).alias("v"))
+    return sent.join(grid.select("r", "c"), ["r", "c"], "left_semi").groupBy("r", "c").agg(F.sum("v").alias("v"))
+
+
+def smooth(u: DataFrame, f: DataFrame, sweeps: int = 2, damping: float = 0.8) -> DataFrame:
+    """Damped Jacobi sweeps for the five-point Laplacian."""
+    from ..plans.lineage import cut
+
+    for _ in range(sweeps):
+        r = residual(u, f)
+        u = cut(u.join(r.select("r", "c", F.col("v").alias("d")), ["r", "c"]).select("r", "c", (F.col("v") + damping / 4 * F.col("d")).alias("v")))
+    return u
+
+
+def residual(u: DataFrame, f: DataFrame) -> DataFrame:
+    return f.select("r", "c", F.col("v").alias("f")).join(laplacian(u), ["r", "c"]).select("r", "c", (F.col("f") - F.col("v")).alias("v"))
+
+
+def v_cycle(u: DataFrame, f: DataFrame, levels: int = 2) -> DataFrame:
+    """One multigrid cycle on full grids: smooth, solve for the residual on the grid of half the size, add its prolongation, smooth."""
+    from ..plans.lineage import cut
+    from .sequences import prolong, restrict
+
+    u = smooth(u, f)
+    if levels > 1:
+        coarse = cut(restrict(residual(u, f)).withColumn("v", F.col("v") * 4))
+        e = v_cycle(coarse.withColumn("v", F.lit(0.0)), coarse, levels - 1)
+        fine = prolong(e).select("r", "c", F.col("v").alias("e"))
+        u = cut(u.join(fine, ["r", "c"], "left").select("r", "c", (F.col("v") + F.coalesce("e", F.lit(0.0))).alias("v")))
+    return smooth(u, f)

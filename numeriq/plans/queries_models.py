@@ -225,3 +225,27 @@ def streamed_clusters(spark, sf_dir):
 def particle_filter(spark, sf_dir):
     """Filtered values of each user's events."""
     return streams.particle_filter(read(spark, sf_dir, "events"), "user_id", "event_id", "value", particles=32, noise=5.0)
+
+
+@query()
+def nystrom_features(spark, sf_dir):
+    """Eight features of each vector from eight landmarks."""
+    return estimators.nystrom_features(points(spark, sf_dir), "v", "id", 8).select("id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
+@query()
+def singular_values(spark, sf_dir):
+    """The three largest singular values of the suppliers' matrix."""
+    from .queries_numeric import matrix
+
+    found = estimators.singular_values(matrix(spark, sf_dir), 3, 5, 1)
+    return spark.createDataFrame([(i, round(x, 4)) for i, x in enumerate(found)], "place int, value double")
+
+
+@query()
+def neural_network(spark, sf_dir):
+    """Accuracy of a small network for large orders."""
+    l = prep.standard_scale(read(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_extendedprice"), ["l_quantity", "l_discount"])  # noqa: E741
+    rows = l.select(F.array("l_quantity", "l_discount").alias("v"), (F.col("l_extendedprice") > 40000).cast("int").alias("y"))
+    p = estimators.fit_network(rows, "v", "y", 4, 2, 5)
+    return rows.agg(F.round(F.avg((vec.argmax(estimators.network_outputs(p, "v")) == F.col("y")).cast("double")), 6).alias("accuracy"))

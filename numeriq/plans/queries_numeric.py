@@ -291,3 +291,32 @@ def comma_and(spark, sf_dir):
     nations = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey")), "n_nationkey", "left_semi")
     lists = nations.join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.array_sort(F.collect_list("n_name")).alias("l"))
     return lists.select(F.col("r_name").alias("region"), scalars.comma_and(F.col("l")).alias("names"))
+
+
+@query()
+def simpson_two_step(spark, sf_dir):
+    return three(chains(spark, sf_dir).withColumn("y", series.simpson(F.col("y"), 0.05, 2)))
+
+
+@query()
+def multigrid_cycle(spark, sf_dir):
+    """One V-cycle for the Laplacian with the grid of prices as the right side."""
+    f = grid(spark, sf_dir)
+    return series.v_cycle(f.withColumn("v", F.lit(0.0)), f).select("r", "c", F.round("v", 6).alias("v"))
+
+
+@query("SELECT l_shipmode, round(sum(w * x) / sum(w), 8) AS mean, round(sum(pow(x - 10, 2) - pow(x - 22.8, 2)) / 50 / 1e3, 6) AS likelihood, round(avg(x * x) - pow(avg(x), 2), 6) AS variance FROM (SELECT l_returnflag || l_linestatus AS l_shipmode, l_quantity AS x, l_tax + 1 AS w FROM lineitem) GROUP BY 1")
+def weighted_statistics(spark, sf_dir):
+    x, w = F.col("l_quantity"), F.col("l_tax") + 1
+    return read(spark, sf_dir, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("l_shipmode")).agg(
+        F.round(F.sum(w * x) / F.sum(w), 8).alias("mean"), F.round(F.sum(F.pow(x - 10, 2.0) - F.pow(x - 22.8, 2.0)) / 50 / 1e3, 6).alias("likelihood"),
+        F.round(F.avg(x * x) - F.pow(F.avg(x), 2.0), 6).alias("variance"),
+    )
+
+
+@query("""WITH s AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM s) SELECT user_id, count(*) AS events, round(sum(value), 4) AS total FROM g GROUP BY user_id, n""")
+def session_windows(spark, sf_dir):
+    """Runs of a user's events less than two hours apart."""
+    e = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total")).select("user_id", "events", "total")

@@ -234,3 +234,39 @@ def test_sequences(spark):
         total += i % 7
         assert got[i] == total
     assert sequences.running_total(df.limit(0), ["id"], "x").count() == 0
+
+
+def test_network_learns(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 2))
+    df = spark.createDataFrame([([float(a), float(b)], int(a * b > 0), float(np.tanh(a))) for a, b in x], "v array<double>, y int, t double")
+    p = estimators.fit_network(df, "v", "y", 8, 2, 60, 1.5)
+    assert df.select(F.avg((vectors.argmax(estimators.network_outputs(p, "v")) == F.col("y")).cast("double"))).first()[0] > 0.85
+    p = estimators.fit_network(df, "v", "t", 4, 1, 30, 0.3)
+    assert df.select(F.avg(F.pow(estimators.network_outputs(p, "v")[0] - F.col("t"), 2.0)) / F.var_pop("t")).first()[0] < 0.2
+
+
+def test_singular_values_and_nystrom(spark, system):
+    m, _, a, _ = system
+    got = estimators.singular_values(a, 2, 8, 2)
+    assert np.allclose(got, np.linalg.svd(m, compute_uv=False)[:2], rtol=1e-3)
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((50, 3)) @ rng.standard_normal((3, 6))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    f = np.array([r["features"] for r in estimators.nystrom_features(df, "v", "id", 10, 1e-9).orderBy("id").collect()])
+    assert np.allclose(f @ f.T, x @ x.T, atol=1e-2)
+
+
+def test_multigrid_beats_smoothing(spark):
+    f = spark.createDataFrame([(r, c, 1.0) for r in range(8) for c in range(8)], "r long, c long, v double")
+    zero = f.withColumn("v", F.lit(0.0))
+    size = lambda u: series.residual(u, f).agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0]
+    assert size(series.v_cycle(zero, f, 3)) < 0.75 * size(series.smooth(zero, f, 4))
+
+
+def test_simpson(spark):
+    y = spark.range(1).select(series.simpson(F.array(F.lit(1.0), F.lit(2.0)), 0.02, 5, 8).alias("y")).first()["y"]
+    t = np.array([[-2.0, 1.0], [1.0, -2.0]])
+    values, vectors_ = np.linalg.eigh(t)
+    want = vectors_ @ np.diag(np.exp(values * 0.2)) @ vectors_.T @ [1.0, 2.0]
+    assert np.allclose(y, want, atol=2e-3)
