@@ -9,14 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.lineage import cut, shared_dir
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    import tempfile
 
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{named or tempfile.mkdtemp(prefix='spark-stream-')}/{name}-{uuid.uuid4().hex}"
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stream_of(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
@@ -78,8 +75,6 @@ def local_centres(points: DataFrame, k: int, chunk: int, rounds: int = 5) -> Dat
 
 def reduce_to(centres: DataFrame, k: int, chunk: int) -> DataFrame:
     """Centres of centres, until k at most are left."""
-    from ..plans.lineage import cut
-
     now = cut(local_centres(centres, k, chunk))
     while now.count() > k:
         now = cut(local_centres(now, k, chunk))
