@@ -68,3 +68,12 @@ def three_way_mean(a, b, c) -> Column:
 def display_name(letter) -> Column:
     names = F.create_map(*[F.lit(x) for k, v in FORMATS.items() for x in (k, v[2])])
     return F.try_element_at(names, F.col(letter) if isinstance(letter, str) else letter)
+
+
+def in_format(function, exponent_bits: int, mantissa_bits: int):
+    """A function of columns that rounds its arguments and its result to a format, as an arithmetic in that format would."""
+
+    def rounded(*args):
+        return quantize(function(*[quantize(a, exponent_bits, mantissa_bits) for a in args]), exponent_bits, mantissa_bits)
+
+    return rounded

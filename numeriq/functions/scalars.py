@@ -88,3 +88,24 @@ def comma_and(items) -> Column:
     """a, b and c."""
     n = F.size(items)
     return F.when(n <= 1, F.coalesce(F.try_element_at(items, F.lit(1)), F.lit(""))).otherwise(F.concat(F.array_join(F.slice(items, 1, F.greatest(n - 1, F.lit(1))), ", "), F.lit(" and "), F.element_at(items, -1)))
+
+
+def hex_float(text) -> Column:
+    """A C-style hexadecimal number such as -0x1.8p+3 as a double; null where the text is none."""
+    pattern = r"^([+-]?)0[xX]([0-9a-fA-F]+)\.?([0-9a-fA-F]*)[pP]([+-]?[0-9]+)$"
+    part = lambda i: F.regexp_extract(text, pattern, i)
+    digits = F.conv(F.concat(part(2), part(3)), 16, 10).cast("double")
+    value = digits * F.pow(F.lit(2.0), part(4).cast("double") - 4 * F.length(part(3)))
+    return F.when(text.rlike(pattern), F.when(part(1) == "-", -value).otherwise(value))
+
+
+def dump_line(text) -> Column:
+    """(name, place, value) of a line `[...] name[place] = hexadecimal number`; place is null without brackets."""
+    pattern = r"^\[[^\]]*\]\s*([A-Za-z_][A-Za-z0-9_]*)(?:\[([0-9]+)\])?\s*=\s*(\S+)\s*$"
+    place = F.regexp_extract(text, pattern, 2)
+    return F.struct(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).alias("name"), F.nullif(place, F.lit("")).cast("long").alias("place"), hex_float(F.regexp_extract(text, pattern, 3)).alias("value"))
+
+
+def options_map(text) -> Column:
+    """k=v tokens as a map."""
+    return F.str_to_map(text, F.lit(" "), F.lit("="))

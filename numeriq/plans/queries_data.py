@@ -312,3 +312,15 @@ def format_counts_by_brand(spark, sf_dir):
 @query("SELECT l_linenumber AS digits, round(avg(l_quantity), 6) AS seconds FROM lineitem GROUP BY ROLLUP (l_linenumber)")
 def runtime_averages(spark, sf_dir):
     return rounded(runtime_summary(lineitem(spark, sf_dir).select(F.col("l_linenumber").alias("digits"), F.col("l_quantity").alias("seconds"))), ["seconds"])
+
+
+@query(
+    "WITH q AS (SELECT l_orderkey, l_linenumber, " + ", ".join(f"{quantize_sql(x, 5, 10)} AS {n}" for n, x in (("a", "l_quantity"), ("b", "(l_tax + 0.3)"))) + " FROM lineitem), f AS (SELECT l_orderkey, l_linenumber, sqrt(a) AS s, exp(b) AS e, ln(a + 1) AS l, a * b AS p FROM q) SELECT l_orderkey, l_linenumber, "
+    + ", ".join(f"{quantize_sql(x, 5, 10)} AS {n}" for n, x in (("root", "s"), ("power", "e"), ("logarithm", "l"), ("product", "p"))) + " FROM f"
+)
+def half_precision_math(spark, sf_dir):
+    half = lambda f: fmt.in_format(f, 5, 10)
+    a, b = F.col("l_quantity"), F.col("l_tax") + 0.3
+    return lineitem(spark, sf_dir).select(
+        *KEY, half(F.sqrt)(a).alias("root"), half(F.exp)(b).alias("power"), half(lambda x: F.log(x + 1))(a).alias("logarithm"), half(lambda x, y: x * y)(a, b).alias("product")
+    )

@@ -270,3 +270,11 @@ def test_simpson(spark):
     values, vectors_ = np.linalg.eigh(t)
     want = vectors_ @ np.diag(np.exp(values * 0.2)) @ vectors_.T @ [1.0, 2.0]
     assert np.allclose(y, want, atol=2e-3)
+
+
+def test_hexadecimal_dump_lines(spark):
+    values = [1.0, -0.1, 3.5e-300, 123456789.123, 0.0]
+    lines = [f"[DUMP] x[{i}] = {v.hex()}" for i, v in enumerate(values)] + ["[DUMP] y = 0x1p-3", "nothing here"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "t string").select(scalars.dump_line(F.col("t"))).collect()]
+    assert [(r["name"], r["place"], r["value"]) for r in got] == [("x", i, v) for i, v in enumerate(values)] + [("y", None, 0.125), (None, None, None)]
+    assert spark.range(1).select(scalars.options_map(F.lit("a=1 b=x"))).first()[0] == {"a": "1", "b": "x"}
