@@ -3,7 +3,8 @@
 The set of a document holds the hashes of its runs of five words (lower case, cut at white space; a text of fewer words is one run).
 Documents with equal sets are one entry. For each of several runs, an entry walks down a tree: at each node it follows the shared tokens
 whose hash, seeded by the node, falls below 1 / (threshold * set size), so that two sets of at least that similarity are expected to
-share at least one branch at every level. A bucket splits down to `depth` while it holds more than `small` entries.
+share at least one branch at every level. A bucket splits down to `depth` while it holds more than `small` entries, unless nine in ten of
+them are alike, since a group of near copies would stay together and only be repeated.
 
 1. Buckets give candidates: every entry with the first of its bucket, if their sketches allow the threshold (4.5 deviations).
    Where that leaves a bucket in more than one connected part, all pairs across the parts are compared by sketch, in blocks.
@@ -221,29 +222,52 @@ def nodes(rows: DataFrame, level: int) -> DataFrame:
     return rows.filter("sid is not null").select("sid", F.col(f"level{level}").alias("packed")).mapInPandas(mapped, "sid binary, key long, parent long")
 
 
-def buckets(rows: DataFrame, depth: int, small: int) -> DataFrame:
-    """(key, sid): the buckets of at least two entries, at the level where they are small or at the last."""
+def side(sets: DataFrame, c: str) -> DataFrame:
+    return sets.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A table with a hint to broadcast it if it has at most BROADCAST_IDS rows (of a key and a count)."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def alike(members: DataFrame, sets: DataFrame, threshold: float, share: float) -> DataFrame:
+    """(key) of buckets in which this share of the entries may reach the threshold with the first entry. members: key, sid, size."""
+    shown = members.join(sets.select("sid", F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "sid")
+    heads = shown.groupBy("key").agg(F.min(F.struct("sid", "n_b", "sketch_b")).alias("h"), F.max("size").alias("size"))
+    heads = materialize(heads.select("key", "size", F.col("h.sid").alias("a"), F.col("h.n_b").alias("n_a"), F.col("h.sketch_b").alias("sketch_a")), "heads")
+    few = F.broadcast(heads) if heads.count() <= BROADCAST_IDS // 16 else heads
+    near = passing(shown.drop("size").join(few, "key").filter("sid <> a"), threshold, "key long").groupBy("key").agg(F.count("*").alias("near"))
+    return near.join(heads.select("key", "size"), "key").filter(F.col("near") >= share * (F.col("size") - 1)).select("key")
+
+
+def buckets(rows: DataFrame, sets: DataFrame, depth: int, small: int, threshold: float, share: float = 0.9) -> DataFrame:
+    """(key, sid): the buckets of at least two entries, at the level where they are small or alike, or at the last."""
     found, wide = None, None
     for level in range(1, depth + 1):
         here = nodes(rows, level)
         if wide is not None:
-            here = here.join(wide.select(F.col("key").alias("parent")), "parent", "left_semi")
+            here = here.join(bounded(wide.select(F.col("key").alias("parent"))), "parent", "left_semi")
         here = materialize(here.select("key", "sid").distinct(), f"nodes{level}")
         sizes = materialize(here.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("sid").cast("decimal(20,0)")).alias("digest")).filter("size > 1"), f"sizes{level}")
-        ends = sizes if level == depth else sizes.filter(F.col("size") <= small)
+        wide = sizes.filter(F.col("size") > small)
+        if level < depth:
+            same = materialize(alike(here.join(bounded(wide.select("key", "size")), "key"), sets, threshold, share), f"alike{level}")
+            wide = materialize(wide.join(same, "key", "left_anti"), f"wide{level}")
+        ends = sizes if level == depth else sizes.join(wide.select("key"), "key", "left_anti")
         # Buckets with the same entries are one.
-        ends = ends.groupBy("size", "digest").agg(F.min("key").alias("key")).select("key", "size")
-        part = here.join(ends, "key")
+        ends = materialize(ends.groupBy("size", "digest").agg(F.min("key").alias("key")).select("key", "size"), f"ends{level}")
+        part = here.join(bounded(ends), "key")
         found = part if found is None else found.unionByName(part)
-        wide = sizes.filter(F.col("size") > small)
         if level < depth and not wide.limit(1).count():
             break
     ends = found.groupBy("size", "key").agg(F.sum(F.xxhash64("sid").cast("decimal(20,0)")).alias("digest")).groupBy("size", "digest").agg(F.min("key").alias("key")).select("key")
     return materialize(found.join(ends, "key", "left_semi").select("key", "sid", "size"), "buckets")
 
 
-def passing(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs with sketches and sizes, the (a, b) that may reach the threshold."""
+def passing(pairs: DataFrame, threshold: float, schema: str = "a binary, b binary") -> DataFrame:
+    """Of pairs with sketches and sizes, those that may reach the threshold."""
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def mapped(batches: Iterator) -> Iterator:
         import numpy as np
@@ -251,9 +275,9 @@ def passing(pairs: DataFrame, threshold: float) -> DataFrame:
         for pdf in batches:
             if len(pdf):
                 a, b = (np.frombuffer(b"".join(pdf[c]), np.uint16).reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
-                yield pdf.loc[allowed(a, b, pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy(), threshold), ["a", "b"]]
+                yield pdf.loc[allowed(a, b, pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy(), threshold), columns]
 
-    return pairs.mapInPandas(mapped, "a binary, b binary")
+    return pairs.mapInPandas(mapped, schema)
 
 
 def block_pairs(members: DataFrame, group: str, size_col: str, block: int) -> DataFrame:
@@ -265,29 +289,31 @@ def block_pairs(members: DataFrame, group: str, size_col: str, block: int) -> Da
 
 
 def across(rest: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Pairs that pass, of different parts of a bucket. rest: key, size, sid, part, sketch, n."""
+    """Edges (a, b) between different parts of a bucket that connect all parts with a pair that passes; a tree of them, not all pairs.
+
+    rest: key, size, sid, part, sketch, n.
+    """
 
     def mapped(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
 
-
         for (_, lo, hi), pdf in runs(batches, ["key", "lo", "hi"]):
-            left = pdf if lo == hi else pdf[pdf["side"]]
-            right = pdf if lo == hi else pdf[~pdf["side"]]
+            left = np.arange(len(pdf)) if lo == hi else np.flatnonzero(pdf["side"])
+            right = left if lo == hi else np.flatnonzero(~pdf["side"])
             if not len(left) or not len(right):
                 continue
-            b, nb = np.frombuffer(b"".join(right["sketch"]), np.uint16).reshape(-1, BINS), right["n"].to_numpy()
-            sid_b, part_b = right["sid"].to_numpy(object), right["part"].to_numpy(object)
-            step = max(1, 2_000_000 // (len(right) * BINS))
-            for at in range(0, len(left), step):
-                some = left.iloc[at : at + step]
-                a = np.frombuffer(b"".join(some["sketch"]), np.uint16).reshape(-1, BINS)
-                ok = allowed(a[:, None], b[None], some["n"].to_numpy()[:, None], nb[None], threshold)
-                i, j = np.nonzero(ok)
-                sid_a, part_a = some["sid"].to_numpy(object)[i], some["part"].to_numpy(object)[i]
-                keep = np.array([x < y if lo == hi else True for x, y in zip(sid_a, sid_b[j])], bool) & np.array([x != y for x, y in zip(part_a, part_b[j])], bool)
-                yield pd.DataFrame({"a": sid_a[keep], "b": sid_b[j][keep]})
+            sketch, n, sid = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, BINS), pdf["n"].to_numpy(), pdf["sid"].to_numpy(object)
+            label = pd.factorize(pdf["part"])[0]
+            out = []
+            for i in left:
+                # Entries of i's part are connected with it already.
+                j = right[label[right] != label[i]]
+                j = j[allowed(sketch[i][None], sketch[j], n[i], n[j], threshold)]
+                for part in np.unique(label[j]):
+                    out.append((sid[i], sid[j[label[j] == part][0]]))
+                    label[label == part] = label[i]
+            yield pd.DataFrame(out, columns=["a", "b"])
 
     dealt = block_pairs(rest, "key", "size", block).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return dealt.mapInPandas(mapped, "a binary, b binary").distinct()
@@ -414,14 +440,11 @@ def classified(docs: DataFrame, words: int = 5, threshold: str = "0.8", recall:
     shape = rows.filter("sid is not null").select("sid", "n", "sketch").groupBy("sid").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     sets = materialize(texts.groupBy("sid").agg(F.sum("docs").alias("docs"), F.count("*").alias("texts"), F.min("doc").alias("doc")).join(shape, "sid"), "ngram-sets")
 
-    held = buckets(rows, depth, small)
+    held = buckets(rows, sets, depth, small, level)
     heads = held.groupBy("key").agg(F.min("sid").alias("a"))
     pairs = held.join(heads, "key").filter("sid <> a").select("a", F.col("sid").alias("b")).distinct()
 
-    def side(c):
-        return sets.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-
-    pairs = materialize(passing(pairs.join(side("a"), "a").join(side("b"), "b"), level), "ngram-pairs")
+    pairs = materialize(passing(pairs.join(side(sets, "a"), "a").join(side(sets, "b"), "b"), level), "ngram-pairs")
     parts = components(pairs)
 
     def part_of(frame, by):
