@@ -3,7 +3,7 @@
 Pages of a host are aligned by simple tree matching. A page's tree keeps sectioning elements only; runs of text blocks in one of them
 are one repeating node, so a tree has some tens of nodes however long the page is.
 
-1. Each page is parsed once into its tree (a skeleton without text) and its text blocks, each with the node that holds it.
+1. Each page is parsed into its tree (a skeleton without text) and its text blocks, each with the node that holds it.
 2. Distinct skeletons of a host are folded into one template tree, a block of them at a time and then the blocks' templates, until
    one is left; each skeleton is then aligned with it. What is folded is bounded per task, however many pages a host has.
 3. Text that stands at one template node in all distinct pages that have the node (three at least) is template, and so is text that stands
@@ -283,7 +283,15 @@ def mapping(template: str, tree: str) -> list[int]:
     return [found.get(i, -1) for i in range(max(found) + 1)]
 
 
-def parsed_pages(pages: DataFrame) -> DataFrame:
+def text_key(text: str) -> int:
+    import hashlib
+
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def parsed_pages(pages: DataFrame, with_text: bool) -> DataFrame:
+    """page_id, url, host, tree, digest, and blocks with their text or, without it, only its key."""
+
     def mapped(batches: Iterator) -> Iterator:
         import hashlib
 
@@ -296,13 +304,13 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
                 for html in part["html"]:
                     tree, found = parse(html or "")
                     trees.append(tree)
-                    blocks.append([{"node": n, "content": c, "inside": i, "text": t} for n, c, i, t in found])
+                    blocks.append([{"node": n, "content": c, "inside": i, "h": text_key(t), "text": t if with_text else None} for n, c, i, t in found])
                     digests.append(hashlib.blake2b("\n".join(b[3] for b in found).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
                 yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "host": part["host"], "tree": trees, "digest": digests, "blocks": blocks})
 
     host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    return id_back(rows.mapInPandas(mapped, "page_id string, url string, host string, tree string, digest string, blocks array<struct<node int, content boolean, inside boolean, text string>>"), "page_id")
+    return id_back(rows.mapInPandas(mapped, "page_id string, url string, host string, tree string, digest string, blocks array<struct<node int, content boolean, inside boolean, h long, text string>>"), "page_id")
 
 
 def templates(trees: DataFrame, at_once: int = 64) -> DataFrame:
@@ -325,7 +333,7 @@ def templates(trees: DataFrame, at_once: int = 64) -> DataFrame:
 
 def constant_text(parsed: DataFrame, least_pages: int) -> DataFrame:
     """(host, tree, drop): for each skeleton, the (node, text digest) that are template."""
-    known = parsed.filter("host is not null AND host <> ''").select("host", "tree", "digest", F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), F.xxhash64(b["text"]).alias("h"))).alias("at"))
+    known = materialize(parsed.filter("host is not null AND host <> ''").select("host", "tree", "digest", F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["h"].alias("h"))).alias("at")), "html-known")
     # Copies of a page count once.
     distinct = known.groupBy("host", "digest").agg(F.min(F.struct("tree", "at")).alias("x")).select("host", "x.tree", F.array_distinct("x.at").alias("at"))
     trees = materialize(known.select("host", "tree").distinct(), "html-trees")
@@ -346,13 +354,19 @@ def constant_text(parsed: DataFrame, least_pages: int) -> DataFrame:
     return drop
 
 
+#: Template texts beyond this number are joined by a shuffle; up to it they are broadcast, at 12 bytes each and their trees.
+BROADCAST_TEXTS = 500_000
+
+
 def extract_main_text(pages: DataFrame, least_pages: int = 3) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
-    parsed = materialize(parsed_pages(pages), "html-pages")
-    rows = parsed.join(constant_text(parsed, least_pages), ["host", "tree"], "left")
+    """page_id, url, text, n_chars of every page. Pages are parsed twice, so that their texts are neither stored nor shuffled."""
+    drop = materialize(constant_text(parsed_pages(pages, False), least_pages), "html-drop")
+    size = drop.agg(F.sum(F.size("drop")), F.count("*")).first()
+    drop = F.broadcast(drop) if (size[0] or 0) <= BROADCAST_TEXTS and size[1] <= BROADCAST_TEXTS // 50 else drop
+    rows = parsed_pages(pages, True).join(drop, ["host", "tree"], "left")
     inside = F.exists("blocks", lambda b: b["inside"] & b["content"])
     content = F.filter("blocks", lambda b: b["content"] & (b["inside"] | ~F.col("has_inside")))
-    fixed = lambda b: F.coalesce(F.array_contains(F.col("drop"), F.struct(b["node"].alias("node"), F.xxhash64(b["text"]).alias("h"))), F.lit(False))
+    fixed = lambda b: F.coalesce(F.array_contains(F.col("drop"), F.struct(b["node"].alias("node"), b["h"].alias("h"))), F.lit(False))
     varying = F.filter("content", lambda b: ~fixed(b))
     rows = rows.withColumn("has_inside", inside).withColumn("content", content).withColumn("varying", varying)
     text = F.array_join(F.transform(F.when(F.size("varying") > 0, F.col("varying")).otherwise(F.col("content")), lambda b: b["text"]), " ")
