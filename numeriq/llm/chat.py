@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_back, runs, table
+from .common import id_back, lean, runs, table
 
 OPEN, MID, CLOSE = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 
@@ -42,7 +42,7 @@ def final_messages(events: DataFrame) -> DataFrame:
     The fold is per message: state of a message depends only on its own events, in order of sequence. Deltas after the last
     replacing event are joined in order.
     """
-    e = events.select(
+    e = lean(events).select(
         F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), F.col("msg_id").cast("long").alias("msg_id"),
         F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )

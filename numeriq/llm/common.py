@@ -35,9 +35,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of text that travel to a Python worker at once.
+BATCH_ROWS = 2000
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """df, after bounding what a Python worker holds at once: whole texts are long, and Spark's default is 10,000 rows a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """doc_id as text, since pandas would make floating-point numbers of a column of integers and nulls; and text."""
-    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return lean(docs).select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def id_back(df: DataFrame, name: str = "doc_id") -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, raw_digest, table, without
+from .common import lean, materialize, raw_digest, table, without
 
 #: Keys beyond this number are joined by a shuffle; up to it they are broadcast, at 8 bytes each.
 BROADCAST_KEYS = 1_000_000
@@ -43,7 +43,7 @@ def normalised(docs: DataFrame, key: Callable[[bytes], int], with_bytes: bool) -
                 last = pa.array(low if with_bytes else [hashlib.sha256(x).digest() for x in low], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), keys, last], names=["doc_id", "raw", "key", "norm" if with_bytes else "sha"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), raw_digest().alias("raw"))
+    rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), raw_digest().alias("raw"))
     return rows.mapInArrow(mapped, f"doc_id long, raw long, key long, {'norm' if with_bytes else 'sha'} binary")
 
 

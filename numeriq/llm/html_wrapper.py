@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_back, materialize, table
+from .common import id_back, lean, materialize, table
 
 #: Elements by their role.
 RAW = frozenset("script style textarea title noscript template svg math iframe object xmp noembed noframes canvas audio video".split())
@@ -309,7 +309,7 @@ def parsed_pages(pages: DataFrame, with_text: bool) -> DataFrame:
                 yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "host": part["host"], "tree": trees, "digest": digests, "blocks": blocks})
 
     host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
+    rows = lean(pages).select(F.col("page_id").cast("long").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
     return id_back(rows.mapInPandas(mapped, "page_id string, url string, host string, tree string, digest string, blocks array<struct<node int, content boolean, inside boolean, h long, text string>>"), "page_id")
 
 

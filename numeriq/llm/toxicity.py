@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, id_and_text, id_back, materialize, opened, shared_model, table
+from .common import fold, id_and_text, id_back, lean, materialize, opened, shared_model, table
 
 WORD = r"[^\W_]+"
 BLOCK = 64
@@ -157,7 +157,7 @@ BROADCAST_LABELS = 1_000_000
 
 def labelled(docs: DataFrame, labels: DataFrame, learn) -> DataFrame:
     y = labels.filter("toxic is not null AND doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
+    rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
     y = y.filter(learn(F.col("doc_id")))
     y = F.broadcast(y) if y.count() <= BROADCAST_LABELS else y
     return rows.filter(learn(F.col("doc_id"))).join(y, "doc_id")
@@ -264,7 +264,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([m.score(t or "")[0] < 0.5 for t in b.column(place).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(mapped, docs.schema)
+    return lean(docs).mapInArrow(mapped, docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
