@@ -205,7 +205,7 @@ def adaboost(df: DataFrame, features: list[str], target: str, rounds: int = 5) -
             break
         prediction = F.when(F.col(best["feature"]) < best["t"], best["a"]).otherwise(best["b"])
         residual = F.abs(F.col(target) - prediction)
-        error = rows.agg((F.sum(F.col("w") * residual / F.lit(1.0)) / F.sum("w") / F.nullif(F.max(residual), F.lit(0.0))).alias("e")).first()["e"] or 1e-10
+        error = rows.agg((F.sum(F.col("w") * residual) / F.sum("w") / F.nullif(F.max(residual), F.lit(0.0))).alias("e")).first()["e"] or 1e-10
         if error >= 0.5:
             break
         alpha = 0.5 * math.log((1 - error) / max(error, 1e-10))
