@@ -4,8 +4,9 @@ Tokens: A-Z in lower case; runs of characters other than ASCII white space; then
 
 Counts of all training tokens (N tokens, V distinct ones, c of each) are exact:
 
-1. A dictionary of the commonest tokens of a sample of documents. It decides nothing but the route of a token: dictionary tokens are counted
-   and looked up in the tasks, so that no common token is ever a shuffle key.
+1. A dictionary of the commonest tokens of all training documents, counted in the tasks before they are added up. Its first words are symbols
+   of the model; otherwise it decides nothing but the route of a token: dictionary tokens are counted and looked up in the tasks, so that no
+   common token is ever a shuffle key.
 2. All other tokens are shuffled once, with the document that has them; a window per token gives its count, and each document gets its sums.
 
 Model: a GRU reads a symbol per token, the commonest words by themselves, all others by a class of their ending. It predicts the class of the
@@ -13,9 +14,9 @@ next token (softmax over classes), then the word: within a class of common words
 endings by the smoothed counts (c + 0.5) / (their sum + 0.5), where 0.5 is left for words that aren't known. So the probabilities of all
 continuations add up to one.
 
-Training: each task trains a copy by truncated backpropagation (numpy, Adam) on a stretch of every training document it holds, with the state
-carried from window to window; copies are averaged, weighted by their tokens, and this is repeated. The data that is learnt from, and
-the work, grow with the input; what comes to the driver are the model's parameters.
+Training: each task trains a copy by truncated backpropagation (numpy, Adam) on every token of the training documents it holds, end tokens
+included: documents follow each other in a fixed number of lanes, with the state carried from window to window to the end of a document;
+copies are averaged, weighted by their tokens, and this is repeated. What comes to the driver are the model's parameters.
 Scoring: documents of about the same length go through together, window by window, with the state carried to the end of each.
 
 Nulls: a null text counts as empty (only the end token); a row with a null doc_id is held out. Rows that repeat doc_id and text get the same
@@ -24,9 +25,10 @@ scores. Without training rows N and V are 0 and the model is its start. Empty ta
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -62,16 +64,6 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def stretch_of(text: str, key: int, stretch: int) -> list[bytes]:
-    """At most so many tokens in a row, from the text's start or, for odd keys, from a place that the key chooses. Only that part is cut."""
-    size = stretch * 24
-    a = key % (len(text) - size + 1) if key % 2 and len(text) > size else 0
-    toks = tokens_of(text[a : a + size])
-    if a + size < len(text):
-        toks = toks[:-2] or toks[:1]  # neither the end nor a word that is cut
-    return (toks[1:] or toks)[:stretch] if a else toks[:stretch]
-
-
 def ending(token: bytes, endings: int) -> int:
     return zlib.crc32(token.rstrip(b".,;:!?")[-2:]) % endings
 
@@ -186,13 +178,14 @@ def token_scores(p, shape: Shape, states, targets, cls, place):
 
 
 def gradients(p, shape: Shape, inputs, targets, mask, h, cls, place):
-    """Loss, gradients and the last state of one window. inputs, targets, mask: (steps, documents)."""
+    """Loss, gradients and the last state of one window. inputs, targets, mask: (steps, documents). The state is zero where END is read: a document starts."""
     import numpy as np
 
     n, steps = shape.hidden, len(inputs)
+    goes_on = (inputs != 0)[:, :, None]
     kept, states = [], []
     for t in range(steps):
-        h, back = gru_step(p, inputs[t], h)
+        h, back = gru_step(p, inputs[t], h * goes_on[t])
         kept.append(back)
         states.append(h)
     flat = np.concatenate(states)
@@ -238,7 +231,7 @@ def gradients(p, shape: Shape, inputs, targets, mask, h, cls, place):
         g["u"][:, 2 * n :] += rh.T @ dc
         g["u"][:, : 2 * n] += before.T @ da[:, : 2 * n]
         into[t] = da
-        dh = dh * (1 - z) + drh * r + da[:, : 2 * n] @ u[:, : 2 * n].T
+        dh = (dh * (1 - z) + drh * r + da[:, : 2 * n] @ u[:, : 2 * n].T) * goes_on[t]
     into, read = into.reshape(-1, 3 * n), inputs.reshape(-1)
     g["b"] = into.sum(0)
     order = np.argsort(read, kind="stable")
@@ -258,30 +251,53 @@ class Trainer:
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
         self.cls, self.place = class_table(shape)
 
-    def learn(self, documents: list, window: int) -> float:
+    def learn(self, documents: Iterable, window: int, lanes: int) -> float:
+        """One pass over all symbols of documents, which end with END. Each lane reads one document after the other; only those in lanes are held."""
         import numpy as np
 
-        longest = max(map(len, documents))
-        symbols = np.zeros((longest + 1, len(documents)), np.int32)
-        mask = np.zeros((longest, len(documents)), bool)
-        for i, d in enumerate(documents):
-            symbols[1 : len(d) + 1, i] = d
-            mask[: len(d), i] = True
-        h = np.zeros((len(documents), self.shape.hidden), np.float32)
+        waiting, nothing = iter(documents), np.zeros(0, np.int32)
+        held, at = [nothing] * lanes, [0] * lanes
+        h, last = np.zeros((lanes, self.shape.hidden), np.float32), np.zeros(lanes, np.int32)
         loss = 0.0
-        for a in range(0, longest, window):
-            z = min(longest, a + window)
-            one, g, h = gradients(self.p, self.shape, symbols[a:z], symbols[a + 1 : z + 1], mask[a:z], h, self.cls, self.place)
-            loss += one
-            self.steps += 1
-            norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
-            scale = min(1.0, 1.0 / max(norm, 1e-12))
-            for k, x in g.items():
-                x *= scale
-                self.m[k] += 0.1 * (x - self.m[k])
-                self.v[k] += 0.01 * (x * x - self.v[k])
-                self.p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.v[k] / (1 - 0.99**self.steps)) + 1e-6)
-        self.tokens += int(mask.sum())
+        while True:
+            symbols, sizes = np.zeros((len(held), window + 1), np.int32), np.zeros(len(held), np.int64)
+            symbols[:, 0] = last
+            for i in range(len(held)):
+                n = 0
+                while n < window:
+                    if at[i] == len(held[i]):
+                        held[i], at[i] = next(waiting, nothing), 0
+                        if not len(held[i]):
+                            break
+                    part = held[i][at[i] : at[i] + window - n]
+                    symbols[i, n + 1 : n + 1 + len(part)] = part
+                    at[i] += len(part)
+                    n += len(part)
+                sizes[i] = n
+            on = np.flatnonzero(sizes)
+            if not len(on):
+                return loss
+            if len(on) < len(held):  # no more documents
+                held, at, symbols, sizes, h = [held[i] for i in on], [at[i] for i in on], symbols[on], sizes[on], h[on]
+            loss += self.step(symbols, sizes, h)
+            h, last = self.h, symbols[:, -1]
+
+    def step(self, symbols, sizes, h) -> float:
+        """Learns from one window; symbols: (lanes, window + 1). The state at its end is kept in h."""
+        import numpy as np
+
+        mask = np.arange(symbols.shape[1] - 1)[:, None] < sizes
+        s = np.ascontiguousarray(symbols.T)
+        loss, g, self.h = gradients(self.p, self.shape, s[:-1], s[1:], mask, h, self.cls, self.place)
+        self.steps += 1
+        norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
+        scale = min(1.0, 1.0 / max(norm, 1e-12))
+        for k, x in g.items():
+            x *= scale
+            self.m[k] += 0.1 * (x - self.m[k])
+            self.v[k] += 0.01 * (x * x - self.v[k])
+            self.p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.v[k] / (1 - 0.99**self.steps)) + 1e-6)
+        self.tokens += int(sizes.sum())
         return loss
 
 
@@ -325,9 +341,8 @@ def key_of(docs: DataFrame) -> tuple[DataFrame, bool]:
     return rows.select(rid.alias("rid"), "doc_id", "text", F.coalesce(fold(F.col("doc_id")) != 1, F.lit(False)).alias("train")), told
 
 
-def common_words(rows: DataFrame, shape: Shape, sample: int) -> list[bytes]:
-    """END, then the commonest other tokens of about `sample` training documents; a bounded list."""
-    n = rows.count()
+def common_words(rows: DataFrame, shape: Shape, sample: int | None = None) -> list[bytes]:
+    """END, then the commonest other tokens of all training documents, or of about `sample` of them; a bounded list."""
 
     def counted(batches: Iterator) -> Iterator:
         from collections import Counter
@@ -344,9 +359,11 @@ def common_words(rows: DataFrame, shape: Shape, sample: int) -> list[bytes]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["token", "n"])
 
     some = rows.filter("train").select("text")
-    some = some.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, sample / max(1, n)))))
-    top = some.mapInArrow(counted, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(shape.dictionary)
-    return [END, *(bytes(r["token"]) for r in top.collect())]
+    if sample is not None:
+        some = some.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, sample / max(1, rows.count())))))
+    top = some.mapInArrow(counted, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token")
+    # A limit would send so many rows of each task to the driver; sorted partitions come one by one until there are enough.
+    return [END, *(bytes(r["token"]) for r in itertools.islice(top.toLocalIterator(), shape.dictionary))]
 
 
 def other_tokens(rows: DataFrame, held, shape: Shape) -> DataFrame:
@@ -421,8 +438,8 @@ def unpack_parameters(flat, like: dict) -> dict:
     return out
 
 
-def train_round(rows: DataFrame, held, shape: Shape, stretch: int, window: int, batch: int, rate: float, piece: int = 2048):
-    """The average of all tasks' copies after one pass over a stretch of each training document."""
+def train_round(rows: DataFrame, held, shape: Shape, window: int, batch: int, rate: float, piece: int = 2048):
+    """The average of all tasks' copies after one pass over all tokens of the training documents."""
     import numpy as np
 
     def trained(batches: Iterator) -> Iterator:
@@ -430,15 +447,8 @@ def train_round(rows: DataFrame, held, shape: Shape, stretch: int, window: int,
 
         words, start = opened(held)
         coder, table_ = Coder(words, shape.endings), symbol_table(shape, words)
-        model, waiting = Trainer(start, shape, rate), []
-        for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                waiting.append(table_[list(map(coder.__getitem__, stretch_of(text, key, stretch)))])
-                if len(waiting) == batch:
-                    model.learn(waiting, window)
-                    waiting = []
-        if waiting:
-            model.learn(waiting, window)
+        model = Trainer(start, shape, rate)
+        model.learn((table_[list(map(coder.__getitem__, tokens_of(t)))] for b in batches for t in b.column(0).to_pylist()), window, batch)
         flat = pack_parameters(model.p).astype(np.float64) * model.tokens
         parts = [flat[i : i + piece] for i in range(0, len(flat), piece)] if model.tokens else []
         yield pa.RecordBatch.from_arrays(
@@ -451,7 +461,7 @@ def train_round(rows: DataFrame, held, shape: Shape, stretch: int, window: int,
         return pd.DataFrame({"part": [key[0]], "tokens": [pdf["tokens"].sum()], "values": [np.sum(np.stack(pdf["values"].to_list()), axis=0)]})
 
     schema = "part int, tokens long, values array<double>"
-    copies = rows.filter("train").select(F.xxhash64("rid").bitwiseAND(F.lit((1 << 40) - 1)).alias("key"), "text").mapInArrow(trained, schema)
+    copies = rows.filter("train").select("text").mapInArrow(trained, schema)
     salted = copies.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
     sums = salted.groupBy("part", "salt").applyInPandas(added, schema).groupBy("part").applyInPandas(added, schema)
     found = sums.orderBy("part").collect()  # the model's parameters
@@ -461,7 +471,7 @@ def train_round(rows: DataFrame, held, shape: Shape, stretch: int, window: int,
     return unpack_parameters(np.concatenate([np.array(r["values"]) / r["tokens"] for r in found]), start)
 
 
-def document_scores(docs: DataFrame, shape: Shape | None = None, rounds: int = 2, sample: int = 20_000, stretch: int = 48, window: int = 24, batch: int = 128, rate: float = 0.01) -> DataFrame:
+def document_scores(docs: DataFrame, shape: Shape | None = None, rounds: int = 2, sample: int | None = None, window: int = 24, batch: int = 128, rate: float = 0.01) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     import numpy as np
 
@@ -492,7 +502,7 @@ def document_scores(docs: DataFrame, shape: Shape | None = None, rounds: int = 2
     p = start_parameters(shape, symbol_counts)
     if train_tokens:
         for _ in range(rounds):
-            p = train_round(rows, shared_model(spark, (words, p)), shape, stretch, window, batch, rate)
+            p = train_round(rows, shared_model(spark, (words, p)), shape, window, batch, rate)
     ready = shared_model(spark, (words, p))
     logs = np.concatenate((np.where(counts[:n_words] > 0, np.log10(counts[:n_words] + 0.5), math.log10(0.5)), np.zeros(shape.endings)))
     seen = np.concatenate((counts[:n_words] > 0, np.zeros(shape.endings, bool)))

@@ -5,8 +5,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from numeriq.llm.common import fold
-from numeriq.llm.gru_lm import END, Coder, Shape, class_table, document_scores, gradients, log_softmax, score_symbols, start_parameters, tokens_of
+from numeriq.llm.common import fold, shared_model
+from numeriq.llm.gru_lm import END, Coder, Shape, Trainer, class_table, document_scores, gradients, log_softmax, score_symbols, start_parameters, tokens_of, train_round
 from numeriq.llm.toxicity import BlockMaxIndex, monotone, reject_toxic, toxicity_scores
 from pyspark.sql import functions as F
 
@@ -144,3 +144,17 @@ def test_language_model_ties_nulls_and_empty(spark):
     assert document_scores(docs.limit(0)).count() == 0
     coder = Coder([END, b"x"], 3, bound=2)
     assert [coder[t] >= 2 for t in (b"q", b"r", b"s", b"t")] == [True] * 4 and coder[b"x"] == 1 and len(coder) <= 6
+
+
+def test_training_reads_every_token_to_the_end(spark):
+    rng = np.random.default_rng(6)
+    p = start_parameters(SMALL, np.arange(SMALL.symbols) + 1.0)
+    docs = [np.append(rng.integers(1, SMALL.symbols, n), 0).astype(np.int32) for n in (0, 500, 3, 49, 24, 1, 0, 130)]
+    for lanes in (1, 3, 20):
+        model = Trainer(p, SMALL, 0.0)  # at rate 0 the loss of the pass is that of the start, whatever the lanes
+        loss = model.learn(iter(docs), 24, lanes)
+        assert model.tokens == sum(map(len, docs)) and abs(loss + sum(score_symbols(p, SMALL, docs))) < 1e-3 * loss
+    words = [END, b"aa", b"bb", b"cc"]
+    rows = spark.createDataFrame([("aa " * 100 + "bb " * 100 + "cc", True), ("dd", False)], "text string, train boolean")
+    after = train_round(rows, shared_model(spark, (words, p)), SMALL, 24, 128, 0.01)
+    assert all((after["x"][i] != p["x"][i]).any() for i in range(4)), "a word far from the start is read"
