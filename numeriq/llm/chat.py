@@ -11,6 +11,8 @@ as such. Events of one sequence number are ordered by message, kind, role and te
 An empty log gives no rows. Columns besides those named are ignored.
 
 Only one message of a conversation is held at a time, so a conversation may be of any length.
+
+Columns msg_turn and msg_digest, where a log has them, are part of a message's key; messages are then in order of turn, role and text.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ from .common import id_back, lean, runs, table
 
 OPEN, MID, CLOSE = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 
+#: What a log may add to conv_id and msg_id as a message's key.
+MORE_KEYS = ("msg_turn", "msg_digest")
+
 
 def escape(text: str) -> str:
     """Breaks every control string of bracket style, reversibly: a backslash follows each backslash, < and [."""
@@ -42,8 +47,9 @@ def final_messages(events: DataFrame) -> DataFrame:
     The fold is per message: state of a message depends only on its own events, in order of sequence. Deltas after the last
     replacing event are joined in order.
     """
+    more = [k for k in MORE_KEYS if k in events.columns]
     e = lean(events).select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), F.col("msg_id").cast("long").alias("msg_id"),
+        *more, F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), F.col("msg_id").cast("long").alias("msg_id"),
         F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
 
@@ -51,11 +57,11 @@ def final_messages(events: DataFrame) -> DataFrame:
         import pandas as pd
 
         def frame(rows):
-            names = ["conv_id", "first_seq", "msg_id", "role", "text"]
+            names = ["conv_id", "first_seq", "msg_id", "role", "text", *more]
             return pd.DataFrame({n: pd.array([r[i] for r in rows], "Int64") if i < 3 else [r[i] for r in rows] for i, n in enumerate(names)})
 
         out = []
-        for (conv, msg), pdf in runs(batches, ["conv_key", "msg_key"]):
+        for (conv, msg, *rest), pdf in runs(batches, keys):
             text: list[str] = []
             role, alive = "", False
             for kind, r, t in zip(pdf["kind"], pdf["role"], pdf["text"]):
@@ -67,16 +73,19 @@ def final_messages(events: DataFrame) -> DataFrame:
                 text.append(t)
                 role, alive = r or role, True
             if alive:
-                out.append((int(conv) if conv else None, int(pdf["seq"].iloc[0]), int(msg) if msg else None, role, "".join(text)))
+                out.append((int(conv) if conv else None, int(pdf["seq"].iloc[0]), int(msg) if msg else None, role, "".join(text), *rest))
             if len(out) >= 2000:
                 yield frame(out)
                 out = []
         yield frame(out)
 
     keyed = e.withColumn("conv_key", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).withColumn("msg_key", F.coalesce(F.col("msg_id").cast("string"), F.lit("")))
+    keyed = keyed.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in more})
+    keys = ["conv_key", "msg_key", *more]
     # A message is dealt out whole; a conversation may be dealt to many tasks, since no message reads another one.
-    dealt = keyed.drop("conv_id", "msg_id").repartition("conv_key", "msg_key").sortWithinPartitions("conv_key", "msg_key", "seq", "kind", "role", "text")
-    return dealt.mapInPandas(folded, "conv_id long, first_seq long, msg_id long, role string, text string")
+    dealt = keyed.drop("conv_id", "msg_id").repartition(*keys).sortWithinPartitions(*keys, "seq", "kind", "role", "text")
+    found = dealt.mapInPandas(folded, "conv_id long, first_seq long, msg_id long, role string, text string" + "".join(f", {k} string" for k in more))
+    return found.withColumns({k: F.col(k).cast(dict(events.dtypes)[k]) for k in more})
 
 
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -96,6 +105,7 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
         F.concat(head, body, F.lit(CLOSE)).alias("segment"),
         start.cast("long").alias("loss_start"),
         F.when(F.col("role") == loss_role, start + F.length(body)).otherwise(start).cast("long").alias("loss_end"),
+        *(k for k in MORE_KEYS if k in messages.columns),
     )
 
 
@@ -135,29 +145,28 @@ def read_back(segments: DataFrame) -> DataFrame:
             yield pd.DataFrame([close(state)], columns=columns)
 
     columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    dealt = segments.withColumn("conv_id", F.col("conv_id").cast("string")).repartition("conv_id").sortWithinPartitions("conv_id", "position", "msg_id")
+    # A control string follows the text in a segment; without it, escaped texts are in the order of the texts.
+    body = F.expr(f"substring(segment, int(loss_start) + 1, length(segment) - int(loss_start) - {len(CLOSE)})")
+    order = ["msg_turn", "role", body] if "msg_turn" in segments.columns else []
+    dealt = segments.withColumn("conv_id", F.col("conv_id").cast("string")).repartition("conv_id").sortWithinPartitions("conv_id", *order, "position", "msg_id")
     return id_back(dealt.select("conv_id", "segment", "loss_start", "loss_end").mapInPandas(parsed, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"), "conv_id")
 
 
 def turn_events(conversations: DataFrame, delta_chars: int = 512) -> DataFrame:
     """A table of turns as the log that would have made it: a start with the first characters of a turn, then deltas.
 
-    A row of the table is a message of its own; rows that share a turn are told apart by a number in order of role and text.
+    A row of the table is a message of its own; rows that share a turn are told apart by a digest of role and text, equal ones by a number.
+    So no task holds a turn, and a turn may have any number of rows.
     A null turn counts as -1.
     """
-    from pyspark.sql import Window
-
     c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    # Rows of one conversation and turn are few; the salt by text digest keeps even a repeated row's window small.
-    numbered = c.withColumn("digest", F.xxhash64("role", "text")).groupBy("conv_id", "turn", "role", "text", "digest").agg(F.count("*").alias("copies"))
-    w = Window.partitionBy("conv_id", "turn").orderBy("role", "text").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = numbered.withColumn("before", F.coalesce(F.sum("copies").over(w), F.lit(0)))
-    rows = numbered.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"), "before")
-    rows = rows.withColumn("msg_id", F.col("turn") * F.lit(1 << 20) + F.col("before") + F.col("copy") - 1)
+    told = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256).alias("msg_digest")
+    counted = c.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
+    rows = counted.select("conv_id", "turn", told, "role", "text", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("msg_id"))
     parts = F.greatest(F.lit(1), F.ceil(F.length("text") / delta_chars)).cast("int")
     chunk = F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
-    return rows.select("conv_id", "turn", "msg_id", "role", "text", chunk).select(
-        "conv_id", (F.col("turn") * F.lit(1 << 31) + F.col("part")).alias("seq"), "msg_id",
+    return rows.select("conv_id", "turn", "msg_digest", "msg_id", "role", "text", chunk).select(
+        "conv_id", F.col("part").cast("long").alias("seq"), F.col("turn").alias("msg_turn"), "msg_digest", "msg_id",
         F.when(F.col("part") == 0, "start").otherwise("delta").alias("kind"), "role",
         F.substring(F.col("text"), F.col("part") * delta_chars + 1, F.lit(delta_chars)).alias("text"),
     )

@@ -65,3 +65,14 @@ def test_revisits(spark):
     row = resolve_revisits(df).filter("record_id = 3").first()
     assert row["headers"] == {"etag": '"1"', "content-type": "text/html", "date": "d1"} and row["digest"] == "D1"
     assert resolve_revisits(df.limit(0)).count() == 0
+
+
+def test_a_turn_of_any_number_of_rows(spark):
+    n = (1 << 20) + 1
+    many = spark.range(n).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    more = spark.createDataFrame([(1, 1, "user", "next")], "conv_id long, turn long, role string, text string")
+    log = turn_events(many.unionByName(more))
+    assert log.select("conv_id", *(c for c in log.columns if c.startswith("msg_"))).distinct().count() == n + 1
+    far = spark.createDataFrame([(1, 2**50, "user", "c"), (1, 2**50, "user", "a["), (1, 2**50, "user", "a"), (1, 3, "user", "b")], more.schema)
+    r = read_back(format_conversations(turn_events(far))).first()
+    assert r["n_turns"] == 4 and r["turns_sha256"] == hashlib.sha256(b"user\nb\nuser\na\nuser\na[\nuser\nc\n").hexdigest()
