@@ -47,7 +47,7 @@ def stream_windowed_counts(spark: SparkSession, path: str, schema: T.StructType,
 def local_centres(points: DataFrame, k: int, chunk: int, rounds: int = 5) -> DataFrame:
     """(v, weight): at most k weighted centres of each chunk of points (v, weight), by seeded farthest-first opening and weighted means.
 
-    A chunk is a bounded group of about `chunk` points that share a hash, so tasks never hold a whole batch.
+    A chunk is a bounded group of about `chunk` different points that share a hash (weights of equal ones are added up first), so tasks never hold a whole batch.
     """
 
     def solve(pdf):
@@ -68,9 +68,10 @@ def local_centres(points: DataFrame, k: int, chunk: int, rounds: int = 5) -> Dat
         keep = n > 0
         return pd.DataFrame({"v": list(c[keep]), "weight": n[keep]})
 
+    points = points.groupBy("v").agg(F.sum("weight").alias("weight"))
     n = points.count()
     parts = max(1, -(-n // chunk))
-    return points.withColumn("part", F.pmod(F.xxhash64("v", "weight"), F.lit(parts))).groupBy("part").applyInPandas(lambda pdf: solve(pdf), "v array<double>, weight double")
+    return points.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts))).groupBy("part").applyInPandas(lambda pdf: solve(pdf), "v array<double>, weight double")
 
 
 def reduce_to(centres: DataFrame, k: int, chunk: int) -> DataFrame:

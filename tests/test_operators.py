@@ -278,3 +278,14 @@ def test_hexadecimal_dump_lines(spark):
     got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "t string").select(scalars.dump_line(F.col("t"))).collect()]
     assert [(r["name"], r["place"], r["value"]) for r in got] == [("x", i, v) for i, v in enumerate(values)] + [("y", None, 0.125), (None, None, None)]
     assert spark.range(1).select(scalars.options_map(F.lit("a=1 b=x"))).first()[0] == {"a": "1", "b": "x"}
+
+
+def test_groups_are_bounded_on_large_and_repeated_rows(spark):
+    copies = spark.createDataFrame([([0.0, 0.0], 1.0)] * 5000 + [([9.0, 9.0], 1.0), ([9.0, 8.0], 1.0), ([8.0, 9.0], 1.0)], "v array<double>, weight double")
+    got = streams.local_centres(copies, 2, 60).collect()
+    assert len(got) == 2 and sorted(r["weight"] for r in got) == [3.0, 5000.0]  # four different points are one chunk
+    rows = [(i, [float(i * i % 97), float(i % 13)]) for i in range(700)]
+    data = spark.createDataFrame(rows, "id long, v array<double>")
+    near = joins.knn(data, F.col("id") % 50 == 0, 3, part_rows=5).collect()
+    want = {(q, i) for q, x in rows if q % 50 == 0 for i in [j for _, j in sorted((sum((a - b) ** 2 for a, b in zip(x, y)), j) for j, y in rows)[:3]]}
+    assert {(r["query_id"], r["id"]) for r in near} == want
