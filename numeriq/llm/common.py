@@ -37,17 +37,43 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 #: Rows of text that travel to a Python worker at once.
 BATCH_ROWS = 2000
+#: And bytes.
+BATCH_BYTES = 32 << 20
 
 
 def lean(df: DataFrame) -> DataFrame:
-    """df, after bounding what a Python worker holds at once: whole texts are long, and Spark's default is 10,000 rows a batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(name, "10000"))
-    if not 0 < now <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    """df, after bounding what a Python worker holds at once: whole texts are long, and Spark's defaults are 10,000 rows a batch and no bound of bytes.
+
+    Results are lazy, so these settings stay with the session; smaller ones of the caller are kept.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = "spark.sql.execution.arrow." + name
+        now = int(df.sparkSession.conf.get(name).removesuffix("b"))
+        if not 0 < now <= most:
+            df.sparkSession.conf.set(name, str(most))
     return df
 
 
+def lean_numpy() -> None:
+    """Called in tasks of many small array operations: a task has one core, so BLAS gets one thread, and freed arrays stay with the process
+    instead of going back to the system and being faulted in again. Does nothing where the libraries aren't the usual ones."""
+    import ctypes
+    import glob
+    import os
+
+    import numpy as np
+
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__) + ".libs", "*openblas*")):
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if f := getattr(ctypes.CDLL(path), name, None):
+                f(1)
+                break
+    if mallopt := getattr(ctypes.CDLL(None), "mallopt", None):
+        mmap_threshold, trim_threshold = -3, -1
+        mallopt(mmap_threshold, 32 << 20)
+        mallopt(trim_threshold, 256 << 20)
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """doc_id as text, since pandas would make floating-point numbers of a column of integers and nulls; and text."""
     return lean(docs).select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -2,30 +2,28 @@
 
 Tokens: A-Z in lower case; runs of characters other than ASCII white space; then one end token.
 
-Counts of all training tokens (N tokens, V distinct ones, c of each) are exact:
-
-1. A dictionary of the commonest tokens of all training documents, counted in the tasks before they are added up. Its first words are symbols
-   of the model; otherwise it decides nothing but the route of a token: dictionary tokens are counted and looked up in the tasks, so that no
-   common token is ever a shuffle key.
-2. All other tokens are shuffled once, with the document that has them; a window per token gives its count, and each document gets its sums.
-
-Model: a GRU reads a symbol per token, the commonest words by themselves, all others by a class of their ending. It predicts the class of the
-next token (softmax over classes), then the word: within a class of common words by a second softmax from the same state, within a class of
-endings by the smoothed counts (c + 0.5) / (their sum + 0.5), where 0.5 is left for words that aren't known. So the probabilities of all
-continuations add up to one.
-
-Training: each task trains a copy by truncated backpropagation (numpy, Adam) on every token of the training documents it holds, end tokens
-included: documents follow each other in a fixed number of lanes, with the state carried from window to window to the end of a document;
-copies are averaged, weighted by their tokens, and this is repeated. What comes to the driver are the model's parameters.
-Scoring: documents of about the same length go through together, window by window, with the state carried to the end of each.
+1. Chunks. Each task turns whole documents into chunks of about `chunk_tokens` tokens (a longer document is a chunk of its own): the chunk's
+   distinct tokens with their counts in training documents, and for each token its place among them. Chunks are a table in the shared folder;
+   later passes read numbers and no text.
+2. Counts. The chunks' distinct tokens are shuffled once, so that a token is a key with one row per chunk at most, however common it is. A
+   window per token adds the chunks' counts up to c, and each chunk gets its tokens' c back. N, V, the commonest words of all training
+   documents and the endings' sums are aggregates of this. All counts are exact.
+3. Model: a GRU reads a symbol per token, the commonest words by themselves, all others by a class of their ending. It predicts the class of
+   the next token (softmax over classes), then the word: within a class of common words by a second softmax from the same state, within a
+   class of endings by the smoothed counts (c + 0.5) / (their sum + 0.5), where 0.5 is left for words that aren't known. So the probabilities
+   of all continuations add up to one.
+4. Training: each task trains a copy by truncated backpropagation (numpy, Adam at a falling rate) on every token of the training documents it
+   holds, end tokens included: documents follow each other in a fixed number of lanes, with the state carried from window to window to the
+   end of a document. Copies are averaged, weighted by their tokens, after each round; documents are dealt to rounds by hash, so that each is
+   trained on once. What comes to the driver are the model's parameters.
+5. Scoring: documents go through in lanes too, with the state carried to the end of each.
 
 Nulls: a null text counts as empty (only the end token); a row with a null doc_id is held out. Rows that repeat doc_id and text get the same
-scores. Without training rows N and V are 0 and the model is its start. Empty tables give no rows; other columns are ignored.
+scores, up to rounding. Without training rows N and V are 0 and the model is its start. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 import zlib
 from collections.abc import Iterable, Iterator
@@ -34,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold, lean, materialize, opened, shared_model, table
+from .common import fold, lean, lean_numpy, materialize, opened, shared_model, table
 
 END = b""
 
@@ -45,7 +43,6 @@ class Shape:
     frequent: int = 1024  # words that are symbols of their own
     per_class: int = 64
     endings: int = 31  # classes of the other words
-    dictionary: int = 50_000
 
     @property
     def groups(self) -> int:
@@ -68,40 +65,14 @@ def ending(token: bytes, endings: int) -> int:
     return zlib.crc32(token.rstrip(b".,;:!?")[-2:]) % endings
 
 
-class Coder(dict):
-    """token -> its place in the dictionary; len(words) + ending for all others, which are remembered up to a bound."""
-
-    def __init__(self, words: list[bytes], endings: int, bound: int = 400_000):
-        super().__init__()
-        self.words, self.n, self.endings, self.bound = words, len(words), endings, bound
-        self.reset()
-
-    def reset(self):
-        self.clear()
-        self.update({w: i for i, w in enumerate(self.words)})
-
-    def __missing__(self, token):
-        if len(self) > self.n + self.bound:
-            self.reset()
-        self[token] = found = self.n + ending(token, self.endings)
-        return found
-
-
-def symbol_table(shape: Shape, words: list[bytes]):
-    """The model's symbol for each place that a Coder gives. words: END first, then by count."""
-    import numpy as np
-
-    own = [0 if i == 0 else i if i <= shape.frequent else 1 + shape.frequent + ending(w, shape.endings) for i, w in enumerate(words)]
-    return np.array([*own, *(1 + shape.frequent + r for r in range(shape.endings))], np.int32)
-
-
 def class_table(shape: Shape):
-    """(class, place within it) of each symbol."""
+    """(class, place within it) of each symbol: 0 is END, then the common words, then the endings."""
     import numpy as np
 
     s = np.arange(shape.symbols)
     common = (s - 1) // shape.per_class + 1
-    return np.where(s == 0, 0, np.where(s <= shape.frequent, common, s - shape.frequent + shape.groups)), np.where((s > 0) & (s <= shape.frequent), (s - 1) % shape.per_class, 0)
+    own = (s > 0) & (s <= shape.frequent)
+    return np.where(s == 0, 0, np.where(own, common, s - shape.frequent + shape.groups)).astype(np.int16), np.where(own, (s - 1) % shape.per_class, 0).astype(np.int16)
 
 
 def start_parameters(shape: Shape, symbol_counts, seed: int = 5) -> dict:
@@ -123,305 +94,381 @@ def start_parameters(shape: Shape, symbol_counts, seed: int = 5) -> dict:
     }
 
 
-def sigmoid(x):
+def forward(p: dict, inputs, h):
+    """(states, what the way back needs) of a window. inputs: (steps, lanes); h and states: (hidden, ...), so that lanes are next to each
+    other in memory. Where END is read a document starts, from a state of zero."""
     import numpy as np
 
-    return 1 / (1 + np.exp(-x))
-
-
-def gru_step(p, symbols, h):
-    """(new state, what the way back needs)."""
-    import numpy as np
-
-    n = h.shape[1]
-    a = p["x"][symbols] + p["b"]
-    hu = h @ p["u"][:, : 2 * n]
-    zr = sigmoid(a[:, : 2 * n] + hu)
-    z, r = zr[:, :n], zr[:, n:]
-    rh = r * h
-    c = np.tanh(a[:, 2 * n :] + rh @ p["u"][:, 2 * n :])
-    return h + z * (c - h), (h, z, r, rh, c)
-
-
-def log_softmax(x):
-    import numpy as np
-
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
-
-
-def log_share(x, at):
-    """log_softmax(x) at one place of each row, without the others; rows are shifted only where exp could overflow."""
+    n, (steps, lanes) = len(h), inputs.shape
+    a = np.ascontiguousarray((p["x"] + p["b"])[inputs.reshape(-1)].T).reshape(3 * n, steps, lanes)
+    gates, cand = a[: 2 * n], a[2 * n :]
+    to_gates, to_cand = np.ascontiguousarray(p["u"][:, : 2 * n].T), np.ascontiguousarray(p["u"][:, 2 * n :].T)
+    goes_on = (inputs != 0).astype(h.dtype)
+    before, reset, states = (np.empty((n, steps, lanes), h.dtype) for _ in range(3))
+    for t in range(steps):
+        b, g, r, c, s = before[:, t], gates[:, t], reset[:, t], cand[:, t], states[:, t]
+        np.multiply(h, goes_on[t], out=b)
+        g += to_gates @ b  # sigmoid(x) = tanh(x / 2) / 2 + 1/2
+        g *= 0.5
+        np.tanh(g, out=g)
+        g *= 0.5
+        g += 0.5
+        np.multiply(g[n:], b, out=r)
+        c += to_cand @ r
+        np.tanh(c, out=c)
+        np.subtract(c, b, out=s)
+        s *= g[:n]
+        s += b
+        h = s
+    return states, (before, gates, reset, cand, goes_on)
+
+
+def softmax_over(logits, at):
+    """(log of the share of one row of each column, exp(logits) and their sums by column). Columns are shifted only where exp could overflow or vanish."""
     import numpy as np
 
-    found = x[np.arange(len(at)), at]
-    if len(x) and x.max() > 60:
-        top = x.max(-1)
-        return found - top - np.log(np.exp(x - top[:, None]).sum(-1))
-    np.exp(x, out=x)
-    return found - np.log(x @ np.ones(x.shape[1], x.dtype))
+    if logits.size and (logits.max() > 60 or logits.max(0).min() < -60):
+        logits -= logits.max(0)
+    found = logits[at, np.arange(logits.shape[1])]
+    np.exp(logits, out=logits)
+    total = np.ones(len(logits), logits.dtype) @ logits
+    return found - np.log(total), logits, total
 
 
-def token_scores(p, shape: Shape, states, targets, cls, place):
-    """Natural log of P(class) and, for common words, of P(word | class)."""
+def by_class(shape: Shape, targets, mask, cls):
+    """(rows, classes, bounds): the places of the window's targets in order of class, and where each class of common words begins."""
     import numpy as np
 
-    c = cls[targets]
-    out = log_share(states @ p["wc"] + p["bc"], c)
-    order = np.argsort(c, kind="stable")
-    bounds = np.searchsorted(c[order], np.arange(1, shape.groups + 2))
-    for g in range(shape.groups):
-        rows = order[bounds[g] : bounds[g + 1]]
-        if len(rows):
-            out[rows] += log_share(states[rows] @ p["wi"][g] + p["bi"][g], place[targets[rows]])
-    return out
+    y = targets.reshape(-1)
+    c = cls[y]
+    rows = np.argsort(c, kind="stable")
+    if not mask.all():
+        rows = rows[mask.reshape(-1)[rows]]
+    c = c[rows]
+    return rows, y[rows], c, np.searchsorted(c, np.arange(1, shape.groups + 2))
 
 
-def gradients(p, shape: Shape, inputs, targets, mask, h, cls, place):
-    """Loss, gradients and the last state of one window. inputs, targets, mask: (steps, documents). The state is zero where END is read: a document starts."""
+def gradients(p: dict, shape: Shape, inputs, targets, mask, h, cls, place):
+    """(loss, gradients, last state) of one window. inputs, targets, mask: (steps, lanes); h: (hidden, lanes)."""
     import numpy as np
 
-    n, steps = shape.hidden, len(inputs)
-    goes_on = (inputs != 0)[:, :, None]
-    kept, states = [], []
-    for t in range(steps):
-        h, back = gru_step(p, inputs[t], h * goes_on[t])
-        kept.append(back)
-        states.append(h)
-    flat = np.concatenate(states)
-    y, on = targets.reshape(-1), mask.reshape(-1)
-    rows = np.flatnonzero(on)
-    s, y = flat[rows], y[rows]
-    c = cls[y]
+    n, (steps, lanes) = shape.hidden, inputs.shape
+    states, (before, gates, reset, cand, goes_on) = forward(p, inputs, h)
+    rows, y, c, bounds = by_class(shape, targets, mask, cls)
+    s = states.reshape(n, -1)[:, rows]
     count = max(1, len(rows))
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    logp = log_softmax(s @ p["wc"] + p["bc"])
-    loss = -float(logp[np.arange(len(c)), c].sum())
-    d = np.exp(logp)
-    d[np.arange(len(c)), c] -= 1
-    d /= count
-    g["wc"], g["bc"] = s.T @ d, d.sum(0)
-    ds = d @ p["wc"].T
+    g: dict = {"wi": np.zeros_like(p["wi"]), "bi": np.zeros_like(p["bi"])}
+
+    def back(logits, at):
+        """The loss of a softmax, with the logits made their gradients."""
+        logs, e, total = softmax_over(logits, at)
+        e /= total
+        e[at, np.arange(len(at))] -= 1
+        e /= count
+        return -float(logs.sum()), e
+
+    loss, e = back(np.ascontiguousarray(p["wc"].T) @ s + p["bc"][:, None], c)
+    g["wc"], g["bc"], ds = s @ e.T, e.sum(1), p["wc"] @ e
     for k in range(shape.groups):
-        own = np.flatnonzero(c == k + 1)
-        if len(own):
-            logq = log_softmax(s[own] @ p["wi"][k] + p["bi"][k])
-            at = place[y[own]]
-            loss -= float(logq[np.arange(len(own)), at].sum())
-            e = np.exp(logq)
-            e[np.arange(len(own)), at] -= 1
-            e /= count
-            g["wi"][k], g["bi"][k] = s[own].T @ e, e.sum(0)
-            ds[own] += e @ p["wi"][k].T
-    dstates = np.zeros_like(flat)
-    dstates[rows] = ds
-    dstates = dstates.reshape(steps, -1, n)
-    dh = np.zeros_like(h)
-    into = np.zeros((steps, len(h), 3 * n), h.dtype)
-    u = p["u"]
+        a, z = bounds[k], bounds[k + 1]
+        if a < z:
+            more, e = back(np.ascontiguousarray(p["wi"][k].T) @ s[:, a:z] + p["bi"][k][:, None], place[y[a:z]])
+            loss += more
+            g["wi"][k], g["bi"][k] = s[:, a:z] @ e.T, e.sum(1)
+            ds[:, a:z] += p["wi"][k] @ e
+    dstates = np.zeros((n, steps * lanes), s.dtype)
+    dstates[:, rows] = ds
+    dstates = dstates.reshape(n, steps, lanes)
+    z, r = gates[:n], gates[n:]
+    slope = gates * (1 - gates)
+    slope[:n] *= cand - before
+    slope[n:] *= before
+    into_cand, kept = z * (1 - cand * cand), 1 - z
+    from_gates, from_cand = p["u"][:, : 2 * n], p["u"][:, 2 * n :]
+    into = np.empty((3 * n, steps, lanes), s.dtype)
+    dh = np.zeros((n, lanes), s.dtype)
     for t in range(steps - 1, -1, -1):
-        before, z, r, rh, cand = kept[t]
-        dh = dh + dstates[t]
-        da = np.empty((len(dh), 3 * n), dh.dtype)
-        dc = dh * z * (1 - cand * cand)
-        da[:, 2 * n :] = dc
-        drh = dc @ u[:, 2 * n :].T
-        da[:, :n] = dh * (cand - before) * z * (1 - z)
-        da[:, n : 2 * n] = drh * before * r * (1 - r)
-        g["u"][:, 2 * n :] += rh.T @ dc
-        g["u"][:, : 2 * n] += before.T @ da[:, : 2 * n]
-        into[t] = da
-        dh = (dh * (1 - z) + drh * r + da[:, : 2 * n] @ u[:, : 2 * n].T) * goes_on[t]
-    into, read = into.reshape(-1, 3 * n), inputs.reshape(-1)
-    g["b"] = into.sum(0)
-    order = np.argsort(read, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], np.diff(read[order]) != 0)))
-    g["x"][read[order][first]] = np.add.reduceat(into[order], first)
-    return loss, g, h
+        dh += dstates[:, t]
+        d = into[:, t]
+        np.multiply(dh, into_cand[:, t], out=d[2 * n :])
+        np.multiply(dh, slope[:n, t], out=d[:n])
+        dreset = from_cand @ d[2 * n :]
+        np.multiply(dreset, slope[n:, t], out=d[n : 2 * n])
+        dh *= kept[:, t]
+        dreset *= r[:, t]
+        dh += dreset
+        dh += from_gates @ d[: 2 * n]
+        dh *= goes_on[t]
+    flat = into.reshape(3 * n, -1)
+    g["u"] = np.concatenate((before.reshape(n, -1) @ flat[: 2 * n].T, reset.reshape(n, -1) @ flat[2 * n :].T), 1)
+    g["b"] = flat.sum(1)
+    read = inputs.reshape(-1)
+    g["x"] = np.stack([np.bincount(read, weights=row, minlength=shape.symbols) for row in flat], 1).astype(s.dtype)
+    return loss, g, states[:, -1].copy()
+
+
+def longest_first(documents: Iterable, ahead: int = 2_000_000) -> Iterator:
+    """(name, symbols) in another order: always the longest of those that are held, about `ahead` symbols, so that lanes end at about the same time."""
+    import heapq
+
+    heap: list = []
+    held = 0
+    for number, (name, doc) in enumerate(documents):
+        heapq.heappush(heap, (-len(doc), number, name, doc))
+        held += len(doc)
+        while held > ahead:
+            _, _, name, doc = heapq.heappop(heap)
+            held -= len(doc)
+            yield name, doc
+    while heap:
+        yield heapq.heappop(heap)[2:]
+
+
+def in_lanes(documents: Iterable, window: int, lanes: int):
+    """Windows of documents that follow each other in lanes; only those in lanes are held. documents: (name, symbols that end with END).
+
+    Yields (symbols, with the last one of the window before in front; sizes; lanes that go on, or None for all; for each lane the pieces
+    (name, size, whether the document ends there)). Lanes without documents leave.
+    """
+    import numpy as np
+
+    waiting = iter(documents)
+    held: list = [(None, ())] * lanes
+    at, last = [0] * lanes, np.zeros(lanes, np.int32)
+    while True:
+        symbols, sizes, pieces = np.zeros((len(held), window + 1), np.int32), np.zeros(len(held), np.int64), []
+        symbols[:, 0] = last
+        for i in range(len(held)):
+            n, own, row = 0, [], symbols[i]
+            while n < window:
+                name, doc = held[i]
+                a = at[i]
+                if a == len(doc):
+                    held[i], at[i] = next(waiting, (None, ())), 0
+                    name, doc = held[i]
+                    a = 0
+                    if not len(doc):
+                        break
+                m = min(window - n, len(doc) - a)
+                row[n + 1 : n + 1 + m] = doc[a : a + m]
+                n, at[i] = n + m, a + m
+                own.append((name, m, a + m == len(doc)))
+            sizes[i] = n
+            pieces.append(own)
+        on = np.flatnonzero(sizes)
+        if not len(on):
+            return
+        if len(on) < len(held):
+            held, at, symbols, sizes, pieces = [held[i] for i in on], [at[i] for i in on], symbols[on], sizes[on], [pieces[i] for i in on]
+        else:
+            on = None
+        last = symbols[:, -1]
+        yield symbols, sizes, on, pieces
 
 
 class Trainer:
-    """Adam on windows of documents; gradients don't cross windows, states do."""
+    """Adam on windows of documents; gradients don't cross windows, states do. The rate falls with the root of the steps."""
 
-    def __init__(self, p: dict, shape: Shape, rate: float):
+    def __init__(self, p: dict, shape: Shape, rate: float, settle: int = 50):
         import numpy as np
 
-        self.p, self.shape, self.rate, self.steps, self.tokens = {k: v.copy() for k, v in p.items()}, shape, rate, 0, 0
+        self.p, self.shape, self.rate, self.settle, self.steps, self.tokens = {k: v.copy() for k, v in p.items()}, shape, rate, settle, 0, 0
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
         self.cls, self.place = class_table(shape)
 
     def learn(self, documents: Iterable, window: int, lanes: int) -> float:
-        """One pass over all symbols of documents, which end with END. Each lane reads one document after the other; only those in lanes are held."""
+        """One pass over all symbols of documents, which end with END."""
         import numpy as np
 
-        waiting, nothing = iter(documents), np.zeros(0, np.int32)
-        held, at = [nothing] * lanes, [0] * lanes
-        h, last = np.zeros((lanes, self.shape.hidden), np.float32), np.zeros(lanes, np.int32)
-        loss = 0.0
-        while True:
-            symbols, sizes = np.zeros((len(held), window + 1), np.int32), np.zeros(len(held), np.int64)
-            symbols[:, 0] = last
-            for i in range(len(held)):
-                n = 0
-                while n < window:
-                    if at[i] == len(held[i]):
-                        held[i], at[i] = next(waiting, nothing), 0
-                        if not len(held[i]):
-                            break
-                    part = held[i][at[i] : at[i] + window - n]
-                    symbols[i, n + 1 : n + 1 + len(part)] = part
-                    at[i] += len(part)
-                    n += len(part)
-                sizes[i] = n
-            on = np.flatnonzero(sizes)
-            if not len(on):
-                return loss
-            if len(on) < len(held):  # no more documents
-                held, at, symbols, sizes, h = [held[i] for i in on], [at[i] for i in on], symbols[on], sizes[on], h[on]
-            loss += self.step(symbols, sizes, h)
-            h, last = self.h, symbols[:, -1]
-
-    def step(self, symbols, sizes, h) -> float:
-        """Learns from one window; symbols: (lanes, window + 1). The state at its end is kept in h."""
+        loss, h = 0.0, np.zeros((self.shape.hidden, lanes), np.float32)
+        for symbols, sizes, on, _ in in_lanes(longest_first((None, d) for d in documents), window, lanes):
+            h = h if on is None else h[:, on]
+            s = np.ascontiguousarray(symbols.T)
+            more, g, h = gradients(self.p, self.shape, s[:-1], s[1:], np.arange(window)[:, None] < sizes, h, self.cls, self.place)
+            loss += more
+            n = int(sizes.sum())
+            self.tokens += n
+            self.step(g, n / (window * lanes))
+        return loss
+
+    def step(self, g: dict, share: float) -> None:
+        """share: how full the window was; few tokens move the model less."""
         import numpy as np
 
-        mask = np.arange(symbols.shape[1] - 1)[:, None] < sizes
-        s = np.ascontiguousarray(symbols.T)
-        loss, g, self.h = gradients(self.p, self.shape, s[:-1], s[1:], mask, h, self.cls, self.place)
         self.steps += 1
-        norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        scale = min(1.0, 1.0 / max(norm, 1e-12))
+        rate = share * self.rate / math.sqrt(1 + self.steps / self.settle)
+        scale = min(1.0, 1.0 / max(math.sqrt(sum(float(np.vdot(x, x)) for x in g.values())), 1e-12))
         for k, x in g.items():
+            m, v = self.m[k], self.v[k]
             x *= scale
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.01 * (x * x - self.v[k])
-            self.p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.v[k] / (1 - 0.99**self.steps)) + 1e-6)
-        self.tokens += int(sizes.sum())
-        return loss
+            m += 0.1 * (x - m)
+            x *= x
+            x -= v
+            x *= 0.001
+            v += x
+            self.p[k] -= rate / (1 - 0.9**self.steps) * m / (np.sqrt(v / (1 - 0.999**self.steps)) + 1e-7)
 
 
-def score_symbols(p, shape: Shape, documents: list, window: int = 64, together: int = 512) -> list[float]:
-    """Natural log-likelihood of each array of symbols: class, and word of common words."""
+def window_scores(p: dict, shape: Shape, states, targets, mask, cls, place):
+    """(places, natural log-probabilities: of the class and, for common words, of the word in its class) of a window's targets."""
+    import numpy as np
+
+    rows, y, c, bounds = by_class(shape, targets, mask, cls)
+    s = states.reshape(shape.hidden, -1)[:, rows]
+    out = softmax_over(np.ascontiguousarray(p["wc"].T) @ s + p["bc"][:, None], c)[0]
+    for k in range(shape.groups):
+        a, z = bounds[k], bounds[k + 1]
+        if a < z:
+            out[a:z] += softmax_over(np.ascontiguousarray(p["wi"][k].T) @ s[:, a:z] + p["bi"][k][:, None], place[y[a:z]])[0]
+    return rows, out
+
+
+def scored_in_lanes(p: dict, shape: Shape, documents: Iterable, window: int = 32, lanes: int = 256) -> Iterator:
+    """(name, natural log-likelihood) of each (name, symbols), as documents end."""
     import numpy as np
 
     cls, place = class_table(shape)
-    order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
-    out = np.zeros(len(documents))
-    for first in range(0, len(order), together):
-        some = order[first : first + together]
-        sizes = np.array([len(documents[i]) for i in some])
-        flat = np.concatenate([documents[i] for i in some])
-        begin = np.cumsum(sizes) - sizes
-        h = np.zeros((len(some), shape.hidden), np.float32)
-        total = np.zeros(len(some))
-        last = np.zeros(len(some), np.int32)
-        for a in range(0, int(sizes[0]), window):
-            states, targets, who = [], [], []
-            for t in range(a, min(int(sizes[0]), a + window)):
-                n = int(np.searchsorted(-sizes, -t, side="left"))  # longest first, so these are those that go on
-                h = h[:n]
-                h, _ = gru_step(p, last[:n], h)
-                last = flat[begin[:n] + t]
-                states.append(h)
-                targets.append(last)
-                who.append(np.arange(n))
-            who = np.concatenate(who)
-            total += np.bincount(who, weights=token_scores(p, shape, np.concatenate(states), np.concatenate(targets), cls, place), minlength=len(total))
-        out[some] = total
-    return out.tolist()
-
-
-def key_of(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """(rid, doc_id, text, train), and whether rid is doc_id; it is where that tells rows apart, else a digest of doc_id and text."""
-    rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = rows.select("doc_id")
-    told = ids.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL OR doc_id < 0").limit(1).count() == 0
-    rid = F.col("doc_id") if told else F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 63) - 1))
-    return rows.select(rid.alias("rid"), "doc_id", "text", F.coalesce(fold(F.col("doc_id")) != 1, F.lit(False)).alias("train")), told
-
-
-def common_words(rows: DataFrame, shape: Shape, sample: int | None = None) -> list[bytes]:
-    """END, then the commonest other tokens of all training documents, or of about `sample` of them; a bounded list."""
-
-    def counted(batches: Iterator) -> Iterator:
-        from collections import Counter
+    h = np.zeros((shape.hidden, lanes), np.float32)
+    so_far: list[float] = [0.0] * lanes
+    for symbols, sizes, on, pieces in in_lanes(longest_first(documents), window, lanes):
+        if on is not None:
+            h, so_far = h[:, on], [so_far[i] for i in on]
+        s = np.ascontiguousarray(symbols.T)
+        states, _ = forward(p, s[:-1], h)
+        h = states[:, -1].copy()
+        rows, logs = window_scores(p, shape, states, s[1:], np.arange(window)[:, None] < sizes, cls, place)
+        each = np.zeros(window * len(sizes))
+        each[rows] = logs
+        sums = np.zeros((len(sizes), window + 1))
+        np.cumsum(each.reshape(window, -1).T, axis=1, out=sums[:, 1:])
+        for i, own in enumerate(pieces):
+            a = 0
+            for name, n, ends in own:
+                so_far[i] += float(sums[i, a + n] - sums[i, a])
+                a += n
+                if ends:
+                    yield name, so_far[i]
+                    so_far[i] = 0.0
+
+
+def score_symbols(p: dict, shape: Shape, documents: list, window: int = 32, lanes: int = 256) -> list[float]:
+    """Natural log-likelihood of each array of symbols: class, and word of common words."""
+    found = dict(scored_in_lanes(p, shape, enumerate(documents), window, lanes))
+    return [found[i] for i in range(len(documents))]
 
-        import pyarrow as pa
 
-        c: Counter = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                c.update(tokens_of(t)[:-1])
-            if len(c) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["token", "n"])
-                c = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["token", "n"])
-
-    some = rows.filter("train").select("text")
-    if sample is not None:
-        some = some.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, sample / max(1, rows.count())))))
-    top = some.mapInArrow(counted, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token")
-    # A limit would send so many rows of each task to the driver; sorted partitions come one by one until there are enough.
-    return [END, *(bytes(r["token"]) for r in itertools.islice(top.toLocalIterator(), shape.dictionary))]
-
-
-def other_tokens(rows: DataFrame, held, shape: Shape) -> DataFrame:
-    """rid >= 0: sums over a document's tokens outside the dictionary. Else at = -1 - rid: up to the number of endings, known is the number
-    of distinct training tokens of that ending outside the dictionary; beyond, it is the count in training documents of a Coder's place.
-    """
+CHUNK = "chunk long, tokens array<binary>, known array<long>, endings array<short>, doc_ids array<long>, train array<boolean>, sizes array<int>, codes binary"
 
-    def spread(batches: Iterator) -> Iterator:
+
+def chunks(docs: DataFrame, shape: Shape, chunk_tokens: int) -> DataFrame:
+    """Whole documents, encoded by the chunk's own list of tokens, of which END is the first; known: counts in training documents."""
+
+    def encoded(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-
-        words = opened(held)
-        coder = Coder(words, shape.endings)
-        n = len(words)
-        names = ["token", "rid", "tf", "ending", "train"]
-        total, seen = np.zeros(n + shape.endings, np.int64), []
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        names = [c.split()[0] for c in CHUNK.split(", ")]
+
+        class Places(dict):
+            def __missing__(self, token):
+                self[token] = n = len(self)
+                return n
+
+        def row(places, ids, train, codes):
+            nonlocal number
+            sizes, flat = np.array([len(c) for c in codes], np.int32), np.concatenate(codes)
+            known = np.bincount(flat[np.repeat(np.array(train), sizes)], minlength=len(places))
+            parts = [number], [list(places)], [known], [[ending(t, shape.endings) for t in places]], [ids], [train], [sizes], [flat.tobytes()]
+            types = pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int16()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(parts, types)], names=names)
+
+        places, ids, train, codes, size = Places({END: 0}), [], [], [], 0
         for b in batches:
-            out: tuple = ([], [], [], [], [])
-            for rid, text, train in zip(*(b.column(i).to_pylist() for i in range(3))):
-                mine: dict = {}
-                toks = tokens_of(text)
-                places = list(map(coder.__getitem__, toks))
-                if train:
-                    seen += places
-                    if len(seen) > 500_000:
-                        total += np.bincount(seen, minlength=len(total))
-                        seen = []
-                for t, p in zip(toks, places):
-                    if p >= n:
-                        mine[t] = mine.get(t, 0) + 1
-                out[0].extend(mine)
-                out[1].extend([rid] * len(mine))
-                out[2].extend(mine.values())
-                out[3].extend(coder[t] - n for t in mine)
-                out[4].extend([train] * len(mine))
-                if len(out[0]) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds())], names=names)
-                    out = ([], [], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds())], names=names)
-        # A task's counts of dictionary tokens and of endings; their keys hold a space, as no token does.
-        total += np.bincount(np.array(seen, np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        out = ([b" %d" % i for i in at], -1 - shape.endings - at, total[at], [0] * len(at), [True] * len(at))
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds())], names=names)
-
-    def kinds():
-        import pyarrow as pa
+            for doc, text, learns in zip(*(b.column(i).to_pylist() for i in range(3))):
+                codes.append(np.array(list(map(places.__getitem__, tokens_of(text))), np.int32))
+                ids.append(doc)
+                train.append(learns)
+                size += len(codes[-1])
+                if size >= chunk_tokens:
+                    yield row(places, ids, train, codes)
+                    places, ids, train, codes, size = Places({END: 0}), [], [], [], 0
+        if ids:
+            yield row(places, ids, train, codes)
 
-        return pa.binary(), pa.int64(), pa.int64(), pa.int16(), pa.bool_()
+    rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(fold(F.col("doc_id")) != 1, F.lit(False)).alias("train"))
+    return materialize(rows.mapInArrow(encoded, CHUNK), "lm-chunks")
 
-    pairs = rows.select("rid", "text", "train").mapInArrow(spread, "token binary, rid long, tf long, ending smallint, train boolean")
+
+def token_counts(held: DataFrame) -> DataFrame:
+    """(chunk, place, c, ending, token): for each of a chunk's tokens its count in all training documents; token is null but in one row of each token."""
+    each = held.select("chunk", F.posexplode(F.arrays_zip("tokens", "known", "endings")).alias("place", "x")).select("chunk", "place", F.col("x.tokens").alias("token"), F.col("x.known").alias("n"), F.col("x.endings").alias("ending"))
     w = Window.partitionBy("token")
-    counted = pairs.withColumn("c", F.sum(F.when(F.col("train"), F.col("tf")).otherwise(0)).over(w))
-    counted = counted.withColumn("first", F.row_number().over(w.orderBy("token")) == 1)
-    own = F.struct(F.col("rid"), (F.col("tf") * F.log10(F.col("c") + 0.5)).alias("logs"), F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("known"))
-    one = F.struct((-1 - F.col("ending").cast("long")).alias("rid"), F.lit(0.0).alias("logs"), F.lit(1).cast("long").alias("known"))
-    rows2 = counted.select(F.inline(F.when(F.col("first") & (F.col("c") > 0) & (F.col("rid") >= 0), F.array(own, one)).otherwise(F.array(own))))
-    return rows2.groupBy("rid").agg(F.sum("logs").alias("logs"), F.sum("known").alias("known"))
+    first = F.row_number().over(w.orderBy("chunk")) == 1
+    return materialize(each.select("chunk", "place", F.sum("n").over(w).alias("c"), "ending", F.when(first, F.col("token")).alias("token")), "lm-counts")
+
+
+def common_words(counts: DataFrame, shape: Shape) -> list[tuple[bytes, int]]:
+    """The commonest tokens of all training documents and their counts, END first; `frequent` + 1 at most."""
+    once = counts.filter("token is not null AND c > 0")
+    # Few words reach the driver: those from a count on that enough of them have, found by a histogram of a few hundred bins.
+    fine = F.floor(F.log2("c") * 8)
+    bins = sorted(((r["b"], r["n"]) for r in once.groupBy(fine.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, total = 0, 0
+    for b, n in bins:
+        least, total = b, total + n
+        if total > shape.frequent:
+            break
+    top = once.filter(fine >= least).orderBy(F.desc("c"), "token").limit(shape.frequent + 1).select("token", "c").collect()
+    found = {bytes(r["token"]): r["c"] for r in top}
+    return [(END, found.pop(END, 0)), *list(found.items())[: shape.frequent]]
+
+
+@dataclass
+class Vocabulary:
+    """Symbols of tokens, and the sums that smoothed counts need."""
+
+    symbols: dict
+    counts: list
+    mass: list
+    train_tokens: int
+    distinct: int
+
+
+def vocabulary_of(counts: DataFrame, shape: Shape) -> Vocabulary:
+    top = common_words(counts, shape)
+    known = counts.filter("token is not null AND c > 0")
+    by_ending = {r["ending"]: (r["n"], r["v"]) for r in known.groupBy("ending").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    tokens, distinct = sum(n for n, _ in by_ending.values()), sum(v for _, v in by_ending.values())
+    for t, c in top:
+        e = ending(t, shape.endings)
+        if e in by_ending and c:
+            n, v = by_ending[e]
+            by_ending[e] = n - c, v - 1
+    sums = [by_ending.get(e, (0, 0)) for e in range(shape.endings)]
+    own = [c for _, c in top] + [0] * (shape.frequent + 1 - len(top))
+    return Vocabulary({t: i for i, (t, _) in enumerate(top)}, own + [n for n, _ in sums], [0.5 + n + 0.5 * v for n, v in sums], tokens, distinct)
+
+
+def chunk_symbols(vocabulary: Vocabulary, shape: Shape, tokens: list, endings):
+    """The model's symbol of each of a chunk's tokens."""
+    import numpy as np
+
+    get, start = vocabulary.symbols.get, 1 + shape.frequent
+    return np.fromiter((get(t, start + e) for t, e in zip(tokens, endings)), np.int32, len(tokens))
+
+
+def chunk_documents(b, i: int):
+    """(codes by document, ids, train, tokens, endings) of a chunk, row i of an Arrow batch with the columns of CHUNK."""
+    import numpy as np
+
+    get = lambda name: b.column(b.schema.get_field_index(name))[i]
+    sizes = get("sizes").values.to_numpy(zero_copy_only=False)
+    codes = np.split(np.frombuffer(get("codes").as_py(), np.int32), np.cumsum(sizes)[:-1])
+    return codes, get("doc_ids").as_py(), get("train").as_py(), get("tokens").as_py(), get("endings").values.to_numpy(zero_copy_only=False)
 
 
 def pack_parameters(p: dict):
@@ -438,21 +485,31 @@ def unpack_parameters(flat, like: dict) -> dict:
     return out
 
 
-def train_round(rows: DataFrame, held, shape: Shape, window: int, batch: int, rate: float, piece: int = 2048):
-    """The average of all tasks' copies after one pass over all tokens of the training documents."""
+def train_round(held: DataFrame, model, shape: Shape, window: int, lanes: int, rate: float, part: int = 0, parts: int = 1, piece: int = 2048):
+    """The average of all tasks' copies after one pass over all tokens of the training documents of one part. model: a broadcast (vocabulary, parameters)."""
     import numpy as np
 
     def trained(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        words, start = opened(held)
-        coder, table_ = Coder(words, shape.endings), symbol_table(shape, words)
-        model = Trainer(start, shape, rate)
-        model.learn((table_[list(map(coder.__getitem__, tokens_of(t)))] for b in batches for t in b.column(0).to_pylist()), window, batch)
-        flat = pack_parameters(model.p).astype(np.float64) * model.tokens
-        parts = [flat[i : i + piece] for i in range(0, len(flat), piece)] if model.tokens else []
+        lean_numpy()
+        vocabulary, start = opened(model)
+        copy = Trainer(start, shape, rate)
+
+        def documents():
+            for b in batches:
+                for i in range(b.num_rows):
+                    codes, ids, train, tokens, endings = chunk_documents(b, i)
+                    symbols = chunk_symbols(vocabulary, shape, tokens, endings)
+                    for c, d, learns in zip(codes, ids, train):
+                        if learns and zlib.crc32(b"%d" % d) // 5 % parts == part:
+                            yield symbols[c]
+
+        copy.learn(documents(), window, lanes)
+        flat = pack_parameters(copy.p).astype(np.float64) * copy.tokens
+        pieces = [flat[i : i + piece] for i in range(0, len(flat), piece)] if copy.tokens else []
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(len(parts)), pa.int32()), pa.array([model.tokens] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float64()))], names=["part", "tokens", "values"]
+            [pa.array(range(len(pieces)), pa.int32()), pa.array([copy.tokens] * len(pieces), pa.int64()), pa.array(pieces, pa.list_(pa.float64()))], names=["part", "tokens", "values"]
         )
 
     def added(key, pdf):
@@ -461,96 +518,80 @@ def train_round(rows: DataFrame, held, shape: Shape, window: int, batch: int, ra
         return pd.DataFrame({"part": [key[0]], "tokens": [pdf["tokens"].sum()], "values": [np.sum(np.stack(pdf["values"].to_list()), axis=0)]})
 
     schema = "part int, tokens long, values array<double>"
-    copies = rows.filter("train").select("text").mapInArrow(trained, schema)
-    salted = copies.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
+    salted = held.mapInArrow(trained, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
     sums = salted.groupBy("part", "salt").applyInPandas(added, schema).groupBy("part").applyInPandas(added, schema)
     found = sums.orderBy("part").collect()  # the model's parameters
-    start = opened(held)[1]
+    start = opened(model)[1]
     if not found:
         return start
     return unpack_parameters(np.concatenate([np.array(r["values"]) / r["tokens"] for r in found]), start)
 
 
-def document_scores(docs: DataFrame, shape: Shape | None = None, rounds: int = 2, sample: int | None = None, window: int = 24, batch: int = 128, rate: float = 0.01) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+def fit(held: DataFrame, vocabulary: Vocabulary, shape: Shape, rounds: int, window: int, lanes: int, rate: float) -> dict:
     import numpy as np
 
-    shape = shape or Shape()
-    spark = docs.sparkSession
-    rows, told = key_of(docs)
-    words = common_words(rows, shape, sample)
-    held = shared_model(spark, words)
-    others = materialize(other_tokens(rows, held, shape), "lm-other-tokens")
-    n_words = len(words)
-    table_ = symbol_table(shape, words)
-    # Tokens: those of the dictionary by count, all others by ending. One row for each ending and place comes to the driver.
-    counts, distinct = np.zeros(n_words + shape.endings, np.int64), np.zeros(shape.endings, np.int64)
-    for r in others.filter("rid < 0").select("rid", "known").collect():
-        at = -1 - r["rid"]
-        if at < shape.endings:
-            distinct[at] = r["known"]
-        else:
-            counts[at - shape.endings] = r["known"]
-    train_tokens = int(counts.sum())
-    vocabulary = int((counts[:n_words] > 0).sum() + distinct.sum())
-    mass = np.full(shape.endings, 0.5) + counts[n_words:] + 0.5 * distinct
-    rest = np.arange(n_words)[table_[:n_words] > shape.frequent]
-    known = rest[counts[rest] > 0]
-    np.add.at(mass, table_[known] - 1 - shape.frequent, counts[known] + 0.5)
-    symbol_counts = np.bincount(table_, weights=counts, minlength=shape.symbols)
-
-    p = start_parameters(shape, symbol_counts)
-    if train_tokens:
-        for _ in range(rounds):
-            p = train_round(rows, shared_model(spark, (words, p)), shape, window, batch, rate)
-    ready = shared_model(spark, (words, p))
-    logs = np.concatenate((np.where(counts[:n_words] > 0, np.log10(counts[:n_words] + 0.5), math.log10(0.5)), np.zeros(shape.endings)))
-    seen = np.concatenate((counts[:n_words] > 0, np.zeros(shape.endings, bool)))
-    # What a token of a class of endings adds to the score besides P(class): its own count's share, of which the tokens outside the dictionary get the count from the join.
-    inner = np.where(table_ > shape.frequent, logs - np.log10(mass)[np.maximum(table_ - 1 - shape.frequent, 0)], 0.0)
+    p = start_parameters(shape, np.array(vocabulary.counts, np.float64))
+    if vocabulary.train_tokens:
+        for r in range(rounds):
+            p = train_round(held, shared_model(held.sparkSession, (vocabulary, p)), shape, window, lanes, rate / (1 + r), r, rounds)
+    return p
 
-    def scored(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        words_, p_ = opened(ready)
-        coder = Coder(words_, shape.endings)
+def score_chunks(held: DataFrame, counts: DataFrame, vocabulary: Vocabulary, p: dict, shape: Shape) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, logs, score of every document of the chunks."""
+    ready = shared_model(held.sparkSession, (vocabulary, p))
+    columns = ["doc_id", "train", "n_tokens", "n_known", "logs", "score"]
 
-        def flush(rids, ids, trains, places):
-            model = score_symbols(p_, shape, [table_[x] for x in places])
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rids, pa.int64()), pa.array(ids, pa.int64()), pa.array(trains, pa.bool_()), pa.array([len(x) for x in places], pa.int64()),
-                    pa.array([int(seen[x].sum()) for x in places], pa.int64()), pa.array([float(logs[x].sum()) for x in places], pa.float64()),
-                    pa.array([m / math.log(10) + float(inner[x].sum()) for m, x in zip(model, places)], pa.float64()),
-                ],
-                names=["rid", "doc_id", "train", "n_tokens", "known_here", "logs_here", "model"],
-            )
+    def scored(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-        for b in batches:
-            rids, ids, trains, places, size = [], [], [], [], 0
-            for rid, doc, text, train in zip(*(b.column(i).to_pylist() for i in range(4))):
-                places.append(np.array(list(map(coder.__getitem__, tokens_of(text)))))
-                rids.append(rid)
-                ids.append(doc)
-                trains.append(train)
-                size += len(places[-1])
-                if size > 1_000_000:
-                    yield flush(rids, ids, trains, places)
-                    rids, ids, trains, places, size = [], [], [], [], 0
-            if rids:
-                yield flush(rids, ids, trains, places)
-
-    here = rows.select("rid", "doc_id", "text", "train").mapInArrow(scored, "rid long, doc_id long, train boolean, n_tokens long, known_here long, logs_here double, model double")
-    per_document = others.filter("rid >= 0")
-    if not told:  # the sums are over all copies of a row
-        copies = rows.groupBy("rid").agg(F.count("*").alias("copies"))
-        per_document = per_document.join(copies, "rid").select("rid", (F.col("logs") / F.col("copies")).alias("logs"), (F.col("known") / F.col("copies")).cast("long").alias("known"))
-    both = here.join(per_document, "rid", "left")
-    more = F.coalesce("logs", F.lit(0.0))
-    bottom = math.log10(train_tokens + 0.5 * (vocabulary + 1))
-    return both.select(
-        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("known_here") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("logs_here") + more - F.col("n_tokens") * bottom).alias("base_score"), (F.col("model") + more).alias("score"),
+        lean_numpy()
+        words, model = opened(ready)
+        mass, log_mass = np.log10(0.5), np.log10(np.array(words.mass))
+
+        def documents():
+            for b in batches:
+                for i in range(b.num_rows):
+                    codes, ids, train, tokens, endings = chunk_documents(b, i)
+                    back = b.column(b.schema.get_field_index("back"))[i].values
+                    c = np.zeros(len(tokens), np.int64)
+                    c[back.field("place").to_numpy()] = back.field("c").to_numpy()
+                    symbols = chunk_symbols(words, shape, tokens, endings)
+                    logs = np.where(c > 0, np.log10(c + 0.5), mass)
+                    # What a token of a class of endings adds to the score besides P(class).
+                    inner = np.where(symbols > shape.frequent, logs - log_mass[endings], 0.0)
+                    for doc, learns, x in zip(ids, train, codes):
+                        yield (doc, learns, len(x), int((c[x] > 0).sum()), float(logs[x].sum()), float(inner[x].sum())), symbols[x]
+
+        def frame(rows):
+            kinds = pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=columns)
+
+        out = []
+        for (*row, inner), logs in scored_in_lanes(model, shape, documents()):
+            out.append((*row, logs / math.log(10) + inner))
+            if len(out) >= 2000:
+                yield frame(out)
+                out = []
+        if out:
+            yield frame(out)
+
+    back = counts.groupBy("chunk").agg(F.collect_list(F.struct("place", "c")).alias("back"))  # as many as a chunk has tokens
+    return held.join(back, "chunk").mapInArrow(scored, "doc_id long, train boolean, n_tokens long, n_known long, logs double, score double")
+
+
+def document_scores(docs: DataFrame, shape: Shape | None = None, rounds: int = 2, window: int = 32, lanes: int = 128, rate: float = 0.01, chunk_tokens: int = 500_000) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    shape = shape or Shape()
+    held = chunks(docs, shape, chunk_tokens)
+    counts = token_counts(held)
+    vocabulary = vocabulary_of(counts, shape)
+    p = fit(held, vocabulary, shape, rounds, window, lanes, rate)
+    bottom = math.log10(vocabulary.train_tokens + 0.5 * (vocabulary.distinct + 1))
+    return score_chunks(held, counts, vocabulary, p, shape).select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(vocabulary.train_tokens).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * bottom).alias("base_score"), "score",
     )
 
 

@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 
 from numeriq.llm.common import fold, shared_model
-from numeriq.llm.gru_lm import END, Coder, Shape, Trainer, class_table, document_scores, gradients, log_softmax, score_symbols, start_parameters, tokens_of, train_round
+from numeriq.llm.gru_lm import (
+    END, Shape, Trainer, chunks, class_table, document_scores, ending, fit, gradients, longest_first, score_chunks, score_symbols, start_parameters, token_counts, tokens_of, train_round, vocabulary_of,
+)
 from numeriq.llm.toxicity import BlockMaxIndex, monotone, reject_toxic, toxicity_scores
 from pyspark.sql import functions as F
 
@@ -75,7 +77,7 @@ def test_toxicity_ignores_held_out_labels(spark, toxic):
     assert {r["score"] for r in toxicity_scores(docs, labels.limit(0)).collect()} == {0.0} and toxicity_scores(docs.limit(0), labels).count() == 0
 
 
-SMALL = Shape(hidden=3, frequent=4, per_class=2, endings=2, dictionary=6)
+SMALL = Shape(hidden=3, frequent=4, per_class=2, endings=2)
 
 
 def test_gradients_are_those_of_the_loss():
@@ -97,16 +99,46 @@ def test_gradients_are_those_of_the_loss():
             assert abs((both[0] - both[1]) / 2e-5 - g[k].reshape(-1)[i]) < 1e-6, k
 
 
+def plain_score(p, shape, symbols):
+    """A document's natural log-likelihood, a token and a state at a time."""
+    cls, place = class_table(shape)
+    h, last, total, n = np.zeros(shape.hidden), 0, 0.0, shape.hidden
+    for y in symbols:
+        a = p["x"][last].astype(float) + p["b"]
+        z, r = np.split(1 / (1 + np.exp(-(a[: 2 * n] + h @ p["u"][:, : 2 * n]))), 2)
+        h = h + z * (np.tanh(a[2 * n :] + (r * h) @ p["u"][:, 2 * n :]) - h)
+        c = h @ p["wc"] + p["bc"]
+        total += c[cls[y]] - np.log(np.exp(c).sum())
+        if 0 < y <= shape.frequent:
+            w = h @ p["wi"][cls[y] - 1] + p["bi"][cls[y] - 1]
+            total += w[place[y]] - np.log(np.exp(w).sum())
+        last = y
+    return total
+
+
 def test_continuations_add_up_to_one_and_windows_carry_state():
     p = start_parameters(SMALL, np.arange(SMALL.symbols) + 1.0, seed=1)
     rng = np.random.default_rng(1)
-    head = rng.integers(0, SMALL.symbols, 5)
+    head = rng.integers(1, SMALL.symbols, 5)
     scores = [np.exp(score_symbols(p, SMALL, [np.append(head, s)])[0] - score_symbols(p, SMALL, [head])[0]) for s in range(SMALL.symbols)]
     assert abs(sum(scores) - 1) < 1e-4
-    docs = [rng.integers(0, SMALL.symbols, n) for n in (1, 200, 7, 64, 65)]
-    a, b = score_symbols(p, SMALL, docs, window=8, together=2), [score_symbols(p, SMALL, [d], window=500)[0] for d in docs]
-    assert np.allclose(a, b, rtol=1e-4)
-    assert np.allclose(np.exp(log_softmax(np.array([[1.0, 2, 3]]))).sum(), 1)
+    docs = [np.append(rng.integers(1, SMALL.symbols, n), 0) for n in (1, 200, 7, 64, 65, 0)]
+    want = [plain_score(p, SMALL, d) for d in docs]
+    for window, lanes in ((8, 2), (500, 1), (3, 50)):
+        assert np.allclose(score_symbols(p, SMALL, docs, window, lanes), want, rtol=1e-4)
+    p["bc"] += np.array([0, 90, -90] + [0] * (SMALL.classes - 3), np.float32)  # where exp would overflow
+    assert np.allclose(score_symbols(p, SMALL, docs, 8, 2), [plain_score(p, SMALL, d) for d in docs], rtol=1e-4)
+
+
+def test_longest_first_keeps_every_document():
+    docs = [(i, [0] * n) for i, n in enumerate((3, 9, 1, 7, 2, 8, 0, 5))]
+    got = list(longest_first(docs, 12))
+    assert sorted(got) == docs and got[0][0] == 1 and [len(d) for _, d in longest_first(docs, 10**9)] == [9, 8, 7, 5, 3, 2, 1, 0]
+
+
+def counted(texts):
+    counts = Counter(t for i, x in texts if crc(i) != 1 for t in tokens_of(x))
+    return counts, sum(counts.values())
 
 
 def test_language_model(spark):
@@ -114,39 +146,51 @@ def test_language_model(spark):
     langs = [[f"{a}{i}{e}" for i in range(60)] for a, e in (("the", "ing"), ("un", "eux"))]
     texts = {i: " ".join(rng.choice(langs[i % 2], 80)) for i in range(600)}
     texts |= {1000: None, 1001: "", 1002: " \t\n\x0b ", 1003: "É É new\x85word NEW\x85WORD", 1004: "theing " * 30_000}
-    docs = spark.createDataFrame([(i, t, 1.0) for i, t in texts.items()], "doc_id long, text string, score double")
-    shape = Shape(frequent=64, per_class=16, endings=7, dictionary=50)
-    got = {r["doc_id"]: r for r in document_scores(docs, shape, sample=200, rounds=8).collect()}
-    counts = Counter(t for i, x in texts.items() if crc(i) != 1 for t in tokens_of(x))
-    n, v = sum(counts.values()), len(counts)
+    docs = spark.createDataFrame([(i, t, 1.0) for i, t in texts.items()], "doc_id long, text string, score double").repartition(3)
+    shape = Shape(frequent=64, per_class=16, endings=7)
+    options = {"rounds": 2, "window": 16, "lanes": 8, "rate": 0.02}
+    held = chunks(docs, shape, 2000)
+    counts_ = token_counts(held)
+    vocabulary = vocabulary_of(counts_, shape)
+    p = fit(held, vocabulary, shape, **options)
+    got = {r["doc_id"]: r for r in document_scores(docs, shape, **options).collect()}
+    scored = {r["doc_id"]: r["score"] for r in score_chunks(held, counts_, vocabulary, p, shape).collect()}
+    counts, n = counted(texts.items())
+    v = len(counts)
+    top = sorted((x for x in counts if x != END), key=lambda t: (-counts[t], t))[: shape.frequent]
+    symbols = {END: 0} | {t: i + 1 for i, t in enumerate(top)}
+    mass = [0.5 + sum(c + 0.5 for t, c in counts.items() if t not in symbols and ending(t, 7) == e) for e in range(7)]
     for i, x in texts.items():
         toks = tokens_of(x)
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(toks), sum(t in counts for t in toks), n, crc(i) == 1)
         base = sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in toks)
         assert abs(r["base_score"] - base) < 1e-6 * len(toks) + 1e-9
-    held = [i for i in range(600) if crc(i) == 1]
-    assert sum(got[i]["score"] for i in held) > sum(got[i]["base_score"] for i in held) + 10 * len(held)
+        if i % 20 == 0 or i > 999:  # the whole score, by a plain loop
+            own = [symbols.get(t, 1 + shape.frequent + ending(t, 7)) for t in toks]
+            rest = sum(math.log10((counts[t] + 0.5) / mass[ending(t, 7)]) for t in toks if t not in symbols)
+            assert abs(scored[i] - (plain_score(p, shape, own) / math.log(10) + rest)) < 1e-3 * len(toks)
+    held_out = [i for i in range(600) if crc(i) == 1]
+    assert sum(got[i]["score"] for i in held_out) > sum(got[i]["base_score"] for i in held_out) + 10 * len(held_out)
 
 
 def test_language_model_ties_nulls_and_empty(spark):
-    docs = spark.createDataFrame([(1, "a b", 1), (1, "a b", 1), (None, "a c", 1), (2, "zz yy", 1)], "doc_id long, text string, rid int")
-    got = document_scores(docs, Shape(frequent=64, per_class=16, dictionary=1), rounds=1).collect()
-    train = [t for i, x in ((1, "a b"), (1, "a b"), (2, "zz yy")) if crc(i) != 1 for t in tokens_of(x)]
-    assert len(got) == 4 and {r["train_tokens"] for r in got} == {len(train)}
+    docs = spark.createDataFrame([(1, "a b", 1), (1, "a b", 1), (None, "a c", 1), (2, "zz yy", 1)], "doc_id long, text string, tokens int")
+    got = document_scores(docs, Shape(frequent=64, per_class=16), rounds=1).collect()
+    counts, n = counted(((1, "a b"), (1, "a b"), (2, "zz yy")))
+    assert len(got) == 4 and {r["train_tokens"] for r in got} == {n}
     same = [r for r in got if r["doc_id"] == 1]
-    assert same[0] == same[1] and [r["held_out"] for r in got if r["doc_id"] is None] == [True]
-    counts = Counter(train)
+    assert abs(same[0]["score"] - same[1]["score"]) < 1e-5 and [r["held_out"] for r in got if r["doc_id"] is None] == [True]
     for r in got:
         toks = tokens_of({1: "a b", None: "a c", 2: "zz yy"}[r["doc_id"]])
         assert r["n_known"] == sum(t in counts for t in toks)
-        assert abs(r["base_score"] - sum(math.log10((counts[t] + 0.5) / (len(train) + 0.5 * (len(counts) + 1))) for t in toks)) < 1e-9
+        assert abs(r["base_score"] - sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (len(counts) + 1))) for t in toks)) < 1e-9
     assert document_scores(docs.limit(0)).count() == 0
-    coder = Coder([END, b"x"], 3, bound=2)
-    assert [coder[t] >= 2 for t in (b"q", b"r", b"s", b"t")] == [True] * 4 and coder[b"x"] == 1 and len(coder) <= 6
+    untaught = document_scores(docs.filter("doc_id is null"), SMALL).collect()
+    assert [(r["train_tokens"], r["n_known"], r["base_score"]) for r in untaught] == [(0, 0, 0.0)] and untaught[0]["score"] < 0
 
 
-def test_training_reads_every_token_to_the_end(spark):
+def test_training_reads_every_token_to_the_end():
     rng = np.random.default_rng(6)
     p = start_parameters(SMALL, np.arange(SMALL.symbols) + 1.0)
     docs = [np.append(rng.integers(1, SMALL.symbols, n), 0).astype(np.int32) for n in (0, 500, 3, 49, 24, 1, 0, 130)]
@@ -154,7 +198,14 @@ def test_training_reads_every_token_to_the_end(spark):
         model = Trainer(p, SMALL, 0.0)  # at rate 0 the loss of the pass is that of the start, whatever the lanes
         loss = model.learn(iter(docs), 24, lanes)
         assert model.tokens == sum(map(len, docs)) and abs(loss + sum(score_symbols(p, SMALL, docs))) < 1e-3 * loss
-    words = [END, b"aa", b"bb", b"cc"]
-    rows = spark.createDataFrame([("aa " * 100 + "bb " * 100 + "cc", True), ("dd", False)], "text string, train boolean")
-    after = train_round(rows, shared_model(spark, (words, p)), SMALL, 24, 128, 0.01)
-    assert all((after["x"][i] != p["x"][i]).any() for i in range(4)), "a word far from the start is read"
+
+
+def test_every_training_document_is_in_one_round(spark):
+    texts = [(i, f"w{i} x") for i in range(200)]
+    held = chunks(spark.createDataFrame(texts, "doc_id long, text string").repartition(2), SMALL, 100)
+    vocabulary = vocabulary_of(token_counts(held), SMALL)
+    p = start_parameters(SMALL, np.array(vocabulary.counts, float))
+    counts, _ = counted(texts)
+    assert list(vocabulary.symbols)[:2] == [END, b"x"] and vocabulary.counts[:2] == [counts[END], counts[b"x"]] and len(vocabulary.symbols) == 5
+    each = [train_round(held, shared_model(spark, (vocabulary, p)), SMALL, 8, 4, 0.01, r, 2) for r in (0, 1)]
+    assert all((q["bc"] != p["bc"]).any() for q in each) and (each[0]["bc"] != each[1]["bc"]).any()
