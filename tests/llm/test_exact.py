@@ -6,7 +6,7 @@ import pytest
 
 from numeriq.llm import queries
 from numeriq.llm.exact_dedup import build_index, deduplicate, directory, exact_groups
-from numeriq.llm.voronoi_knn import top_inner_products
+from numeriq.llm.voronoi_knn import routed_blocks, top_inner_products
 from pyspark.sql import functions as F
 
 
@@ -76,15 +76,23 @@ def test_topk_against_brute_force(spark):
     for options in ({}, {"pivots": 5, "block_rows": 32, "query_rows": 4}):
         got = top_inner_products(df, F.col("vec_id") % 50 == 0, **options)
         assert sorted(map(tuple, got.collect())) == brute(rows, 5)
+    zero = df.unionByName(spark.createDataFrame([(3000, [0.0] * 6, "z", 1), (3001, [0.0] * 6, "z", 1)], df.schema))
+    assert sorted(map(tuple, top_inner_products(zero, F.col("vec_id") % 50 == 0, pivots=5, block_rows=32).collect())) == brute([*rows, (3000, [0.0] * 6), (3001, [0.0] * 6)], 5)
     again = df.unionByName(df.filter("vec_id in (50, 51)"))
-    assert sorted(map(tuple, top_inner_products(again, F.col("vec_id") % 50 == 0, pivots=5).collect())) == brute(rows + [r for r in rows if r[0] in (50, 51)], 5)
+    for pivots in (5, 64):
+        assert sorted(map(tuple, top_inner_products(again, F.col("vec_id") % 50 == 0, pivots=pivots).collect())) == brute(rows + [r for r in rows if r[0] in (50, 51)], 5)
     assert top_inner_products(df.filter("vec_id in (1, 50)"), F.col("vec_id") % 50 == 0).count() == 1
     assert top_inner_products(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_topk_groups_that_bounds_can_part(spark):
+def test_topk_ships_what_the_bounds_leave(spark):
     rng = random.Random(1)
-    far = [[60.0 * (c == j) for j in range(4)] for c in range(4)]
-    rows = [(i, [x + rng.gauss(0, 0.01) for x in far[i % 4]]) for i in range(800)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert sorted(map(tuple, top_inner_products(df, F.col("vec_id") % 50 == 0, pivots=8, block_rows=32).collect())) == brute(rows, 5)
+    far = [[60.0 * (c == j) for j in range(20)] for c in range(20)]
+    rows = [(i, [x + rng.gauss(0, 0.01) for x in far[i % 20]]) for i in range(4000)]
+    rows += [(10_000 + i, [9 * x + rng.gauss(0, 0.01) for x in far[i % 20]]) for i in range(200)]  # of larger norm
+    df = spark.createDataFrame(rows + [rows[50], rows[100]], "vec_id long, embedding array<double>")  # two query ids occur twice
+    asked = F.col("vec_id") % 50 == 0
+    assert sorted(map(tuple, top_inner_products(df, asked, pivots=40, block_rows=32).collect())) == brute(rows + [rows[50], rows[100]], 5)
+    blocks, queries, routes, _ = routed_blocks(df, asked, pivots=40, block_rows=32)
+    pairs = routes.join(queries, ["cell", "part_of"]).join(blocks.groupBy("block").count(), "block").agg(F.sum("count")).first()[0]
+    assert pairs < 0.1 * queries.count() * blocks.count()
