@@ -4,7 +4,7 @@ import random
 import duckdb
 import pytest
 
-from numeriq.llm import queries
+from numeriq.llm import exact_dedup, queries
 from numeriq.llm.exact_dedup import build_index, deduplicate, directory, exact_groups
 from numeriq.llm.voronoi_knn import routed_blocks, top_inner_products
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ DOCS = [(1, "Aa"), (2, "aA"), (9, "É"), (8, "é"), (3, None), (4, ""), (None, "
 @pytest.mark.parametrize("key", [None, lambda b: len(b) % 3, lambda b: 0])
 def test_groups_hold_under_weak_keys(spark, key):
     docs = spark.createDataFrame([(*d, "z", 1, 2) for d in DOCS], "doc_id long, text string, key string, sha int, keep_id int")
-    got = exact_groups(docs, capacity=1, max_depth=6, **({"key": key} if key else {}))
+    got = exact_groups(docs, capacity=1, **({"key": key} if key else {}))
     want = []
     norm = lambda t: (t or "").encode().lower()
     for i, t in DOCS:
@@ -44,16 +44,36 @@ def test_groups_hold_under_weak_keys(spark, key):
 
 
 def test_directory_splits_only_overfull_buckets(spark):
-    assert directory({0: 1, 1: 1, 7: 9}, 4, 3) == [0, 4, 6, 7]
-    assert directory({}, 4, 3) == [0]
-    assert directory({5: 100}, 4, 3) == [0, 4, 5, 6]
+    def of(keys, bits=8, step=2):
+        def below(depth, prefixes):
+            assert all(p < 1 << depth for p in prefixes) or not depth
+            out = {}
+            for k in keys:
+                if k >> (bits - depth) in prefixes:
+                    out[k >> (bits - depth - step)] = out.get(k >> (bits - depth - step), 0) + 1
+            return out
+
+        return directory(below, 4, step, bits)
+
+    assert of([]) == [0] and of([1, 2, 3, 4]) == [0]
+    assert of([0, 64, 128, 224, *range(240, 245)]) == [0, 128, 192, 224, 240, 244, 248] and of([200] * 9)[-3:] == [200, 201, 202]
     docs = spark.createDataFrame([(i, f"t{i % 400}") for i in range(1000)], "doc_id long, text string")
-    _, index = build_index(docs, capacity=20, max_depth=10)
+    _, index, firsts = build_index(docs, capacity=20)
     sizes = [r["count"] for r in index.groupBy("bucket").count().collect()]
-    assert len(sizes) > 10 and max(sizes) <= 20 and index.count() == 400 and index.agg(F.max("chain")).first()[0] == 1
+    assert 10 < len(sizes) <= len(firsts) and max(sizes) <= 20 and index.count() == 400 and index.agg(F.max("chain")).first()[0] == 1
+    first = index.groupBy("bucket").agg(F.min(F.col("key").bitwiseXOR(F.lit(-(1 << 63)))).alias("low")).collect()
+    assert all(r["low"] + (1 << 63) >= firsts[r["bucket"]] for r in first)
     assert exact_groups(docs.limit(0)).count() == 0
 
 
+def test_groups_come_from_the_index(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"t{i % 4}") for i in range(10)], "doc_id long, text string")
+    prints, index, firsts = build_index(docs, key=lambda b: 7)
+    assert sorted(r["chain"] for r in index.collect()) == [1, 2, 3, 4]
+    monkeypatch.setattr(exact_dedup, "build_index", lambda d: (prints, index.filter("chain > 1"), firsts))
+    assert exact_groups(docs).count() == 10 - index.filter("chain = 1").first()["group_size"]
+
+
 def brute(rows, k):
     v = {}
     ok = [(i, [math.floor(256 * x) for x in e]) for i, e in rows if i is not None and e and all(x is not None and math.isfinite(x) for x in e)]
