@@ -56,7 +56,7 @@ def test_directory_splits_only_overfull_buckets(spark):
         return directory(below, 4, step, bits)
 
     assert of([]) == [0] and of([1, 2, 3, 4]) == [0]
-    assert of([0, 64, 128, 224, *range(240, 245)]) == [0, 128, 192, 224, 240, 244, 248] and of([200] * 9)[-3:] == [200, 201, 202]
+    assert of([0, 64, 128, 224, *range(240, 245)]) == [0, 128, 192, 224, 240, 244, 248] and {200, 201, 202, 204, 208, 224} < set(of([200] * 9))
     docs = spark.createDataFrame([(i, f"t{i % 400}") for i in range(1000)], "doc_id long, text string")
     _, index, firsts = build_index(docs, capacity=20)
     sizes = [r["count"] for r in index.groupBy("bucket").count().collect()]
