@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lean, materialize, raw_digest, table, without
@@ -60,27 +60,22 @@ def directory(counts_below: Callable[[int, list[int]], dict[int, int]], capacity
                 at = prefix >> (depth + step - d)
                 if at in held:
                     held[at] += n
-            full = [p for p, n in held.items() if n > capacity and d < bits]
-            done += [p << (bits - d) for p in held if p not in set(full)]
-            over = full if d == depth + step else [q for p in full for q in (2 * p, 2 * p + 1)]
+            full = {p for p, n in held.items() if n > capacity and d < bits}
+            done += [p << (bits - d) for p in held if p not in full]
+            over = sorted(full) if d == depth + step else [q for p in sorted(full) for q in (2 * p, 2 * p + 1)]
         depth += step
     return sorted(done)
 
 
-def unsigned(key: Column) -> Column:
-    """Keys in their unsigned order, as signed numbers: the sign bit is flipped."""
-    return key.bitwiseXOR(F.lit(-(1 << 63)))
-
-
 def key_counts(keys: DataFrame) -> Callable[[int, list[int]], dict[int, int]]:
     """counts_below of a table of distinct keys."""
 
     def below(depth: int, prefixes: list[int]) -> dict[int, int]:
-        some = keys.select(unsigned(F.col("key")).alias("u"))
+        some = keys.select("key")
         if depth:
-            some = some.withColumn("p", F.shiftrightunsigned("u", 64 - depth))
+            some = some.withColumn("p", F.shiftrightunsigned("key", 64 - depth))
             some = some.join(F.broadcast(keys.sparkSession.createDataFrame([(p,) for p in prefixes], "p long")), "p", "left_semi")
-        return {r["p"]: r["n"] for r in some.groupBy(F.shiftrightunsigned("u", 56 - depth).alias("p")).agg(F.count("*").alias("n")).collect()}
+        return {r["p"]: r["n"] for r in some.groupBy(F.shiftrightunsigned("key", 56 - depth).alias("p")).agg(F.count("*").alias("n")).collect()}
 
     return below
 
