@@ -1,16 +1,18 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine, found with block-max inverted indexes.
 
-1. Terms (lower-case words) are counted by label over all labelled rows outside the held-out fold; those whose presence goes with the
-   label (chi-square) make up the vocabulary. Document frequencies are those of all labelled rows.
-2. References are a sample of at most `references` labelled rows (half of them positive where there are so many), by hash of doc_id:
-   the bound on what the classifier is fitted to. Their TF-IDF vectors go into an inverted index, whose postings are cut into blocks
-   with the largest weight of each, and which is broadcast (its size is bounded by references * vocabulary).
-3. For each document the k nearest references by cosine are found exactly: terms are taken by their largest possible contribution, and
-   a reference that no remaining blocks can lift to the k-th best is left out.
+1. Terms (lower-case words) are counted by label over all labelled rows outside the held-out fold; rows of equal text count once. A term weighs
+   its inverse document frequency times the root of its chi-square with the label, whichever label it goes with: no term is left out, but
+   those that say nothing about the label count for little.
+2. References are a sample of at most `references` labelled texts (half of them positive where there are so many), by hash: the bound on what
+   the classifier is fitted to. Their vectors of all their terms go into an inverted index, whose postings are cut into blocks of references
+   with the largest weight of each. References of the same leading term are in neighbouring blocks. The index is broadcast; the references'
+   texts bound its size.
+3. For each document the k nearest references by cosine are found exactly: blocks are taken by their largest possible similarity, and
+   once k references beat the next block's, no posting of it or of a later one is read.
 4. Neighbours vote with their similarity, shrunk to the base rate; a monotone table, fitted by pooled neighbours' votes of the references
    on each other (each without itself), makes the votes probabilities.
 
-Evidence: the nearest references and the terms shared with them.
+Evidence: the nearest references, and the terms shared with them by how much they contribute.
 
 Nulls: a null text counts as empty; a text without vocabulary terms is nearest to none, and its score is the calibrated base rate of such
 references. A label that is null or belongs to no document is not learnt from; labels that disagree on a document count as the larger.
@@ -24,68 +26,86 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, id_and_text, id_back, lean, materialize, opened, shared_model, table
+from .common import fold, id_and_text, id_back, lean, lean_numpy, materialize, opened, shared_model, table
 
 WORD = r"[^\W_]+"
 BLOCK = 64
 
 
-def term_counts(text: str, wanted: dict[str, int]) -> dict[int, int]:
+def term_counts(text: str) -> dict[str, int]:
     import re
+    from collections import Counter
 
-    out: dict[int, int] = {}
-    for w in re.findall(WORD, text.lower()):
-        t = wanted.get(w)
-        if t is not None:
-            out[t] = out.get(t, 0) + 1
-    return out
+    return Counter(re.findall(WORD, text.lower()))
+
+
+def spans(starts, counts):
+    """Positions s, s+1, ..., s+n-1 for each start and count, one after the other."""
+    import numpy as np
+
+    total = np.cumsum(counts)
+    return np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - counts - starts, counts)
 
 
 class BlockMaxIndex:
-    """Postings of unit TF-IDF vectors by term, in blocks of BLOCK references with the largest weight of each block."""
+    """Postings of unit vectors by term, in slices of BLOCK references with the largest weight of each slice.
+
+    vectors: a dict of term number to weight for each reference; terms are numbered from 0.
+    """
 
     def __init__(self, vectors: list[dict[int, float]], labels: list[int], names: list[int | None]):
         import numpy as np
 
-        self.labels, self.names, self.n = np.array(labels, np.float64), names, len(vectors)
-        by_term: dict[int, list[tuple[int, float]]] = {}
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                by_term.setdefault(t, []).append((i, w))
+        leading = [max(v.items(), key=lambda x: (x[1], -x[0]), default=(-1, 0))[0] for v in vectors]
+        order = sorted(range(len(vectors)), key=lambda i: (-labels[i], leading[i], i))
+        self.place = np.argsort(np.array(order, int)) if order else np.zeros(0, int)
+        self.labels, self.names, self.n = np.array([labels[i] for i in order], np.float64), [names[i] for i in order], len(order)
+        term = np.array([t for i in order for t in vectors[i]], np.int64)
+        ref = np.repeat(np.arange(self.n), [len(vectors[i]) for i in order]) if order else np.zeros(0, np.int64)
+        weight = np.array([w for i in order for w in vectors[i].values()], np.float64)
+        by = np.lexsort((ref, term))
+        term, self.ref, self.weight = term[by], ref[by].astype(np.int32), weight[by]
         self.blocks = -(-self.n // BLOCK)
-        self.postings = {}
-        for t, p in by_term.items():
-            ids, weights = np.array([i for i, _ in p]), np.array([w for _, w in p])
-            tops = np.zeros(self.blocks)
-            np.maximum.at(tops, ids // BLOCK, weights)
-            self.postings[t] = ids, weights, tops
-
-    def nearest(self, vector: dict[int, float], k: int, without: int | None = None):
-        """(references, similarities) of the k most similar, ties to the smaller place; only similarities above 0."""
+        key = term * max(1, self.blocks) + self.ref // BLOCK
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        # Slices: a term's postings in one block. Of each: where it starts, how long it is, its block and its largest weight.
+        self.at, self.size = new, np.diff(np.append(new, len(key)))
+        self.block, self.top = self.ref[new] // BLOCK, np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
+        terms = int(term[-1]) + 1 if len(term) else 0
+        self.first = np.searchsorted(term[new], np.arange(terms + 1))
+        self.read = 0  # postings looked at so far
+
+    def nearest(self, terms, weights, k: int, without: int | None = None):
+        """(references, similarities) of the k most similar to a vector, ties to the smaller place; only similarities above 0."""
         import numpy as np
 
-        have = [(t, w, *self.postings[t]) for t, w in vector.items() if t in self.postings]
-        if not have:
-            return np.zeros(0, int), np.zeros(0)
-        upper = np.zeros(self.blocks)
-        for _, w, _, _, tops in have:
-            upper += w * tops
-        # Blocks by their bound; once k references beat the next bound, no later block can matter.
+        inside = terms < len(self.first) - 1
+        terms, weights = terms[inside], weights[inside]
+        counts = self.first[terms + 1] - self.first[terms]
+        s = spans(self.first[terms], counts)
+        own = np.repeat(weights, counts)
+        block = self.block[s]
+        upper = np.bincount(block, own * self.top[s], self.blocks)
         order = np.argsort(-upper, kind="stable")
         score = np.zeros(self.n)
         best, taken, least, step = np.zeros(0, int), 0, 0.0, 4
         while taken < len(order) and upper[order[taken]] > 0 and (len(best) < k or upper[order[taken]] >= least - 1e-12):
-            some = order[taken : taken + step]
-            taken, step = taken + step, step * 4
-            inside = np.zeros(self.blocks, bool)
-            inside[some] = True
-            for _, w, ids, weights, _ in have:
-                on = inside[ids // BLOCK]
-                score[ids[on]] += w * weights[on]
+            now = np.zeros(self.blocks, bool)
+            now[order[taken : taken + step]] = True
+            taken, step = taken + step, step * 2
+            on = now[block]
+            size = self.size[s[on]]
+            p = spans(self.at[s[on]], size)
+            self.read += len(p)
+            score += np.bincount(self.ref[p], np.repeat(own[on], size) * self.weight[p], self.n)
             found = np.flatnonzero(score > 0)
             if without is not None:
                 found = found[found != without]
-            best = found[np.lexsort((found, -np.round(score[found], 12)))][:k]
+            rough = np.round(score[found], 12)
+            if len(found) > 4 * k:
+                keep = rough >= np.partition(rough, len(rough) - k)[len(rough) - k]
+                found, rough = found[keep], rough[keep]
+            best = found[np.lexsort((found, -rough))][:k]
             least = score[best[-1]] if len(best) == k else 0.0
         return best, score[best]
 
@@ -111,70 +131,90 @@ def monotone(x: list[float], y: list[int], weight: list[float]) -> tuple[list[fl
 
 
 class Model:
-    def __init__(self, terms: list[str], idf: list[float], examples: list[tuple[int, int, dict[int, int]]], totals: dict[int, int], k: int, shrink: float):
-        self.wanted, self.idf, self.k, self.shrink = {t: i for i, t in enumerate(terms)}, idf, k, shrink
-        self.terms = terms
+    """terms, weights: of all terms of the references; examples: (doc_id, label, counts of terms) of each reference; totals: labelled texts by label."""
+
+    def __init__(self, terms: list[str], weights: list[float], examples: list[tuple[int, int, dict[str, int]]], totals: dict[int, int], k: int, shrink: float):
+        import numpy as np
+
+        self.terms, self.number, self.weights, self.k, self.shrink = terms, {t: i for i, t in enumerate(terms)}, np.array(weights), k, shrink
         self.base = sum(y for _, y, _ in examples) / max(1, len(examples))
-        self.index = BlockMaxIndex([self.unit(c) for _, _, c in examples], [y for _, y, _ in examples], [d for d, _, _ in examples])
-        votes = [self.vote(c, i)[0] for i, (_, _, c) in enumerate(examples)]
+        vectors = [self.unit(c) for _, _, c in examples]
+        self.index = BlockMaxIndex([dict(zip(t.tolist(), w.tolist())) for t, w in vectors], [y for _, y, _ in examples], [d for d, _, _ in examples])
+        votes = [self.vote(*v, int(self.index.place[i]))[0] for i, v in enumerate(vectors)]
         drawn = {y: sum(e[1] == y for e in examples) for y in (0, 1)}
         self.xs, self.ys = monotone(votes, [y for _, y, _ in examples], [totals[y] / drawn[y] for _, y, _ in examples])
-        self.memory: dict = {}
 
-    def unit(self, counts: dict[int, int]) -> dict[int, float]:
-        import math
+    def unit(self, counts: dict[str, int]):
+        """(terms, weights) of a text's vector; terms that no reference has can't add to a similarity, and the length is that of the others."""
+        import numpy as np
 
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in v.values())) or 1.0
-        return {t: w / norm for t, w in v.items()}
+        known = [(n, c) for t, c in counts.items() if (n := self.number.get(t)) is not None]
+        terms = np.array([n for n, _ in known], np.int64)
+        w = (1 + np.log(np.array([c for _, c in known], np.float64))) * self.weights[terms] if known else np.zeros(0)
+        on = w > 0
+        return terms[on], w[on] / (float(np.sqrt(w @ w)) or 1.0)
 
-    def vote(self, counts: dict[int, int], without: int | None = None):
+    def vote(self, terms, weights, without: int | None = None):
         """(share of positive votes, neighbours, similarities)."""
-        if not counts:
+        near, sims = self.index.nearest(terms, weights, self.k, without) if self.index.n else ((), ())
+        if not len(near):
             return 0.0, [], []
-        near, sims = self.index.nearest(self.unit(counts), self.k, without)
-        total = float(sims.sum())
-        return (float((sims * self.index.labels[near]).sum()) + self.shrink * self.base) / (total + self.shrink), near, sims
+        return (float((sims * self.index.labels[near]).sum()) + self.shrink * self.base) / (float(sims.sum()) + self.shrink), near, sims
 
-    def score(self, text: str):
-        """(probability, neighbours, similarities, counts)."""
+    def score(self, text: str, evidence: bool = False):
+        """(probability, names of the neighbours, shared terms)."""
         import numpy as np
 
-        counts = term_counts(text, self.wanted)
-        key = tuple(sorted(counts.items()))
-        if key not in self.memory:
-            if len(self.memory) > 50_000:
-                self.memory.clear()
-            v, near, sims = self.vote(counts)
-            p = float(np.interp(v, self.xs, self.ys)) if self.xs else 0.0
-            self.memory[key] = (min(1.0, max(0.0, p)), near, sims)
-        return (*self.memory[key], counts)
+        counts = term_counts(text)
+        terms, weights = self.unit(counts)
+        v, near, _ = self.vote(terms, weights)
+        p = float(np.interp(v, self.xs, self.ys)) if self.xs else 0.0
+        p = min(1.0, max(0.0, p))
+        return (p, [self.index.names[i] for i in near], self.shared(terms, weights, near)) if evidence else (p, [], [])
+
+    def shared(self, terms, weights, near) -> list[str]:
+        import numpy as np
+
+        out = []
+        for t, w in zip(terms, weights):
+            a, z = self.index.first[t], self.index.first[t + 1]
+            p = spans(self.index.at[a:z], self.index.size[a:z])
+            gain = w * float(self.index.weight[p][np.isin(self.index.ref[p], near)].sum())
+            if gain > 0:
+                out.append((-gain, self.terms[t]))
+        return [t for _, t in sorted(out)]
 
 
 #: Labels beyond this number are joined by a shuffle; up to it they are broadcast, at 12 bytes each.
 BROADCAST_LABELS = 1_000_000
 
 
-def labelled(docs: DataFrame, labels: DataFrame, learn) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, learn) -> tuple[DataFrame, DataFrame]:
+    """(rows, texts): doc_id, text, digest, row, y of one row for each labelled text, with the largest label of its copies; and digest, row, y alone."""
     y = labels.filter("toxic is not null AND doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
     rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
     y = y.filter(learn(F.col("doc_id")))
     y = F.broadcast(y) if y.count() <= BROADCAST_LABELS else y
-    return rows.filter(learn(F.col("doc_id"))).join(y, "doc_id")
+    rows = rows.filter(learn(F.col("doc_id"))).join(y, "doc_id").withColumn("digest", F.sha2("text", 256)).withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows, "toxicity-labelled")
+    one = materialize(rows.groupBy("digest").agg(F.min("row").alias("row"), F.max("y").alias("y")), "toxicity-texts")
+    return rows.drop("y").join(F.broadcast(one) if one.count() <= BROADCAST_LABELS else one, ["digest", "row"]), one
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn, vocabulary: int = 200, references: int = 6000, k: int = 15, shrink: float = 0.5, least_rows: int = 4, least_chi2: float = 12.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn, references: int = 2000, k: int = 15, shrink: float = 0.5) -> Model:
     """learn: condition on doc_id for rows that may be learnt from."""
-    import json
     import math
 
-    rows = materialize(labelled(docs, labels, learn), "toxicity-labelled")
+    rows, texts = labelled(docs, labels, learn)
 
     def distinct_terms(batches: Iterator) -> Iterator:
         import re
 
         import pandas as pd
 
+        def frame(held):
+            return pd.DataFrame([(t, a, b) for t, (a, b) in held.items()], columns=["term", "n0", "n1"])
+
         for pdf in batches:
             held: dict = {}
             for text, y in zip(pdf["text"], pdf["y"]):
@@ -182,40 +222,36 @@ def fit(docs: DataFrame, labels: DataFrame, learn, vocabulary: int = 200, refere
                     c = held.setdefault(t, [0, 0])
                     c[y] += 1
                 if len(held) > 300_000:
-                    yield pd.DataFrame([(t, a, b) for t, (a, b) in held.items()], columns=["term", "n0", "n1"])
+                    yield frame(held)
                     held = {}
-            yield pd.DataFrame([(t, a, b) for t, (a, b) in held.items()], columns=["term", "n0", "n1"])
+            yield frame(held)
 
-    size = rows.groupBy("y").count().collect()
-    n = {0: 0, 1: 0} | {r["y"]: r["count"] for r in size}
+    n = {0: 0, 1: 0} | {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
     if not n[0] + n[1]:
         return Model([], [], [], n, k, shrink)
-    terms = rows.select("text", "y").mapInPandas(distinct_terms, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
-    c, d = F.lit(float(n[1])) - a, F.lit(float(n[0])) - b
-    chi2 = F.pow(a * d - b * c, F.lit(2.0)) * float(n[0] + n[1]) / F.greatest(F.lit(1.0), (a + b) * (c + d) * float(n[1]) * float(max(1, n[0])))
-    chosen = terms.filter((F.col("n0") + F.col("n1") >= least_rows) & (F.col("n1") * float(max(1, n[0])) > F.col("n0") * float(n[1]))).withColumn("chi2", chi2)
-    chosen = chosen.filter(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(vocabulary).collect()
-
-    names = [r["term"] for r in chosen]
-    idf = [math.log((1 + n[0] + n[1]) / (1 + r["n0"] + r["n1"])) + 1 for r in chosen]
-    wanted = {t: i for i, t in enumerate(names)}
+    some = [texts.filter(F.col("y") == y).select("digest", "row").orderBy(F.xxhash64("digest", F.lit(11)), "digest").limit(references // 2) for y in (1, 0)]
+    drawn = some[0].unionByName(some[1])  # at most `references` rows
 
     def counted(batches: Iterator) -> Iterator:
-        import json
-
         for pdf in batches:
-            yield pdf[["doc_id", "y"]].assign(counts=[json.dumps(term_counts(t, wanted)) for t in pdf["text"]])
-
-    half = references // 2
-    order = [F.xxhash64("doc_id", F.lit(11)), F.col("doc_id")]
-    some: list = []
-    for y in (1, 0):
-        some += rows.filter(F.col("y") == y).select("doc_id").orderBy(*order).limit(half).select("doc_id", F.lit(y).alias("y")).collect()
-    ids = rows.sparkSession.createDataFrame([(r["doc_id"],) for r in some], "doc_id long")  # at most `references`
-    examples = rows.join(F.broadcast(ids), "doc_id", "left_semi").mapInPandas(counted, "doc_id long, y int, counts string").distinct().orderBy("doc_id", "counts").collect()
+            counts = [term_counts(t) for t in pdf["text"]]
+            yield pdf[["digest", "doc_id", "y"]].assign(terms=[list(c) for c in counts], times=[list(c.values()) for c in counts])
+
+    drawn = rows.join(F.broadcast(drawn), ["digest", "row"], "left_semi").mapInPandas(counted, "digest string, doc_id long, y int, terms array<string>, times array<int>")
+    drawn = materialize(drawn, "toxicity-references")
+    mine = drawn.select(F.explode("terms").alias("term")).distinct()
+    terms = rows.select("text", "y").mapInPandas(distinct_terms, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    # The references' terms and no others come to the driver.
+    names, weights, total = [], [], n[0] + n[1]
+    for r in terms.join(F.broadcast(mine), "term", "left_semi").orderBy("term").toLocalIterator():
+        b, a = r["n0"], r["n1"]
+        c, d = n[1] - a, n[0] - b
+        chi2 = (a * d - b * c) ** 2 * total / max(1, (a + b) * (c + d) * n[1] * n[0])
+        names.append(r["term"])
+        weights.append((math.log((1 + total) / (1 + a + b)) + 1) * math.sqrt(chi2))
+    examples = drawn.orderBy("digest").collect()
     # The sample holds more positives than the labels do, and the calibration weights each class by how much of it was drawn.
-    return Model(names, idf, [(r["doc_id"], r["y"], {int(t): c for t, c in json.loads(r["counts"]).items()}) for r in examples], n, k, shrink)
+    return Model(names, weights, [(r["doc_id"], r["y"], dict(zip(r["terms"], r["times"]))) for r in examples], n, k, shrink)
 
 
 def score_documents(docs: DataFrame, model: Model, evidence: bool = False) -> DataFrame:
@@ -225,15 +261,15 @@ def score_documents(docs: DataFrame, model: Model, evidence: bool = False) -> Da
     def mapped(batches: Iterator) -> Iterator:
         import pandas as pd
 
+        lean_numpy()
         m = opened(held)
         for pdf in batches:
             scores, near, shared = [], [], []
             for text in pdf["text"]:
-                p, ids, _, counts = m.score(text or "")
+                p, ids, terms = m.score(text or "", evidence)
                 scores.append(p)
-                if evidence:
-                    near.append([m.index.names[i] for i in ids])
-                    shared.append(sorted(m.terms[t] for t in counts))
+                near.append(ids)
+                shared.append(terms)
             out = pd.DataFrame({"doc_id": pdf["doc_id"], "score": scores})
             if evidence:
                 out["neighbours"], out["terms"] = near, shared
@@ -260,6 +296,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     def mapped(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        lean_numpy()
         m = opened(held)
         for b in batches:
             yield b.filter(pa.array([m.score(t or "")[0] < 0.5 for t in b.column(place).to_pylist()], pa.bool_()))

@@ -10,6 +10,7 @@ from numeriq.llm.gru_lm import (
     END, Shape, Trainer, chunks, class_table, document_scores, ending, fit, gradients, longest_first, score_chunks, score_symbols, start_parameters, token_counts, tokens_of, train_round, vocabulary_of,
 )
 from numeriq.llm.toxicity import BlockMaxIndex, monotone, reject_toxic, toxicity_scores
+from numeriq.llm.toxicity import fit as fit_toxicity
 from pyspark.sql import functions as F
 
 
@@ -20,13 +21,24 @@ def test_block_max_index_equals_brute_force():
         v = {int(t): float(rng.random() + 0.01) for t in rng.integers(0, 40, rng.integers(0, 5))}
         n = math.sqrt(sum(x * x for x in v.values())) or 1
         vectors.append({t: x / n for t, x in v.items()})
-    index = BlockMaxIndex(vectors, [0] * 700, list(range(700)))
+    index = BlockMaxIndex(vectors, [i % 3 == 0 for i in range(700)], list(range(700)))
     for i in range(0, 700, 7):
         for without in (None, i):
-            near, sims = index.nearest(vectors[i], 9, without)
-            want = sorted((-round(sum(w * v.get(t, 0) for t, w in vectors[i].items()), 12), j) for j, v in enumerate(vectors) if j != without)
+            terms, weights = np.array(list(vectors[i]) + [999], int), np.array([*vectors[i].values(), 1.0])
+            near, sims = index.nearest(terms, weights, 9, None if without is None else int(index.place[i]))
+            want = sorted((-round(sum(w * v.get(t, 0) for t, w in vectors[i].items()), 12), int(index.place[j])) for j, v in enumerate(vectors) if j != without)
             want = [(s, j) for s, j in want if s < 0][:9]
             assert [j for _, j in want] == near.tolist() and np.allclose([-s for s, _ in want], sims)
+            assert [index.names[j] for j in index.place.tolist()] == list(range(700))
+
+
+def test_blocks_beyond_reach_are_not_read():
+    rng = np.random.default_rng(3)
+    vectors = [{i // 100: 0.9, 100 + int(rng.integers(0, 3)): math.sqrt(1 - 0.81)} for i in range(3000)]
+    index = BlockMaxIndex(vectors, [0] * 3000, list(range(3000)))
+    for i in range(0, 3000, 100):
+        index.nearest(np.array(list(vectors[i])), np.array(list(vectors[i].values())), 15)
+    assert index.read < 0.4 * sum(len(vectors[i].keys() & v.keys()) for i in range(0, 3000, 100) for v in vectors)
 
 
 def test_monotone_is_monotone():
@@ -64,11 +76,54 @@ def test_toxicity_on_the_held_out_fold(spark, toxic):
     rest = {r["doc_id"]: r for r in got if r["doc_id"] is None or r["doc_id"] >= 5000}
     assert [rest[i]["predicted"] for i in (5000, 5001, None, 5002)] == [0, 0, 1, 1] and all(0 <= r["score"] <= 1 for r in got)
     hit = rest[5002]
-    assert hit["terms"] == ["vile"] and hit["neighbours"] and all(crc(i) != 0 for i in hit["neighbours"])
+    assert hit["terms"][0] == "vile" and hit["neighbours"] and all(crc(i) != 0 for i in hit["neighbours"])
     kept = reject_toxic(docs, labels)
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in got)
 
 
+def test_toxicity_equals_brute_force(spark, toxic):
+    docs, labels, _ = toxic
+    options = {"references": 200, "k": 7}
+    got = {(r["doc_id"], r["score"]) for r in toxicity_scores(docs, labels, **options).collect()}
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    y = {r["doc_id"]: int(r["toxic"]) for r in labels.collect() if r["toxic"] is not None and r["doc_id"] is not None}
+    texts: dict = {}
+    for i, t in rows:
+        if i in y and crc(i) != 0:
+            texts[t] = max(texts.get(t, 0), y[i])
+    n = Counter(texts.values())
+    df = {v: Counter(w for t, u in texts.items() if u == v for w in set(t.lower().split())) for v in (0, 1)}
+    total = n[0] + n[1]
+
+    def weight(w):
+        a, b = df[1][w], df[0][w]
+        return (math.log((1 + total) / (1 + a + b)) + 1) * math.sqrt((a * (n[0] - b) - b * (n[1] - a)) ** 2 * total / max(1, (a + b) * (total - a - b) * n[1] * n[0]))
+
+    model = fit_toxicity(docs, labels, lambda d: fold(d) != 0, **options)
+    names = [model.index.names[p] for p in model.index.place.tolist()]
+    of = {i: t for i, t in rows if i is not None and t in texts}
+    references = [(of[i], texts[of[i]]) for i in names]
+    assert len(references) == 200 and sum(v for _, v in references) == 100
+    vocabulary = {w for t, _ in references for w in t.lower().split()}
+
+    def unit(t):
+        v = {w: (1 + math.log(c)) * weight(w) for w, c in Counter(t.lower().split()).items() if w in vocabulary}
+        s = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {w: x / s for w, x in v.items()}
+
+    vectors = [(unit(t), v) for t, v in references]
+
+    def vote(u, without=None):
+        sims = sorted(((-round(sum(x * v.get(w, 0) for w, x in u.items()), 12), int(model.index.place[j]), l) for j, (v, l) in enumerate(vectors) if j != without))[:7]
+        sims = [(-s, l) for s, _, l in sims if s < 0]
+        return (sum(s * l for s, l in sims) + 0.5 * 0.5) / (sum(s for s, _ in sims) + 0.5) if sims else 0.0
+
+    xs, ys = monotone([vote(u, j) for j, (u, _) in enumerate(vectors)], [v for _, v in vectors], [n[v] / 100 for _, v in vectors])
+    found = dict(got)
+    for i, t in rows[::25] + rows[-5:]:
+        assert abs(found[i] - np.interp(vote(unit(t)), xs, ys)) < 1e-6
+
+
 def test_toxicity_ignores_held_out_labels(spark, toxic):
     docs, labels, _ = toxic
     flipped = labels.withColumn("toxic", F.when(fold(F.col("doc_id")) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
