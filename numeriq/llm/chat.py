@@ -1,18 +1,22 @@
 """Chat formatting by event-sourced reconstruction.
 
-A log of events (conversation, sequence number, message, kind, role, text) is dealt out by conversation and sorted by sequence;
-a fold over it rebuilds the final messages, which are then rendered with a template, with a mask of the spans that carry loss.
+A log of events (conversation, sequence number, message, kind, role, text) is partitioned by conversation and sorted by sequence; a fold over
+it rebuilds the final messages, which are then rendered with a template, with a mask of the spans that carry loss.
 
-Kinds: start opens a message and replaces whatever it held (so a second start is a regeneration), delta appends to it,
-edit replaces its text, delete removes it. A delta or edit of a message that was never opened opens it.
+Kinds:
 
-Nulls: role and text count as empty, a sequence number as 0, a kind as delta; an event without conversation or message forms the null conversation or message, which is kept
-as such. Events of one sequence number are ordered by message, kind, role and text, so that ties and repeated rows give one result.
-An empty log gives no rows. Columns besides those named are ignored.
+    start    opens a message and replaces whatever it held, so a second start is a regeneration
+    delta    appends to it (and opens one that wasn't opened)
+    edit     replaces its text
+    delete   removes it
+    rewind   undoes the message's first event and all events of the conversation since then, of whatever message: an abandoned branch
 
-Only one message of a conversation is held at a time, so a conversation may be of any length.
+The fold is windows over the conversation in sequence, native and spilling, so a conversation may be of any length; what an aggregate holds
+is one message's pieces. A message's place is that of its first event that wasn't undone, its role the last one given.
 
-Columns msg_turn and msg_digest, where a log has them, are part of a message's key; messages are then in order of turn, role and text.
+Nulls: role and text count as empty, a sequence number as 0, a kind as delta; an event without conversation or message forms the null
+conversation or message, which is kept as such. Events of one sequence number are ordered by message, kind, role and text, so that ties and
+repeated rows give one result. An empty log gives no rows. Columns besides those named are ignored.
 """
 
 from __future__ import annotations
@@ -21,16 +25,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_back, lean, runs, table
+from .common import id_back, lean, table
 
 OPEN, MID, CLOSE = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 
-#: What a log may add to conv_id and msg_id as a message's key.
-MORE_KEYS = ("msg_turn", "msg_digest")
-
 
 def escape(text: str) -> str:
     """Breaks every control string of bracket style, reversibly: a backslash follows each backslash, < and [."""
@@ -42,50 +43,22 @@ def unescape(text: str) -> str:
 
 
 def final_messages(events: DataFrame) -> DataFrame:
-    """(conv_id, first_seq, msg_id, role, text) of messages that survive the fold; first_seq is the place of its first opening.
-
-    The fold is per message: state of a message depends only on its own events, in order of sequence. Deltas after the last
-    replacing event are joined in order.
-    """
-    more = [k for k in MORE_KEYS if k in events.columns]
+    """(conv_id, position, msg_id, role, text) of messages that survive the fold."""
     e = lean(events).select(
-        *more, F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), F.col("msg_id").cast("long").alias("msg_id"),
+        F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), F.col("msg_id").cast("long").alias("msg_id"),
         F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
-
-    def folded(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        def frame(rows):
-            names = ["conv_id", "first_seq", "msg_id", "role", "text", *more]
-            return pd.DataFrame({n: pd.array([r[i] for r in rows], "Int64") if i < 3 else [r[i] for r in rows] for i, n in enumerate(names)})
-
-        out = []
-        for (conv, msg, *rest), pdf in runs(batches, keys):
-            text: list[str] = []
-            role, alive = "", False
-            for kind, r, t in zip(pdf["kind"], pdf["role"], pdf["text"]):
-                if kind == "delete":
-                    alive, text = False, []
-                    continue
-                if kind in ("start", "edit"):
-                    text = []
-                text.append(t)
-                role, alive = r or role, True
-            if alive:
-                out.append((int(conv) if conv else None, int(pdf["seq"].iloc[0]), int(msg) if msg else None, role, "".join(text), *rest))
-            if len(out) >= 2000:
-                yield frame(out)
-                out = []
-        yield frame(out)
-
-    keyed = e.withColumn("conv_key", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).withColumn("msg_key", F.coalesce(F.col("msg_id").cast("string"), F.lit("")))
-    keyed = keyed.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in more})
-    keys = ["conv_key", "msg_key", *more]
-    # A message is dealt out whole; a conversation may be dealt to many tasks, since no message reads another one.
-    dealt = keyed.drop("conv_id", "msg_id").repartition(*keys).sortWithinPartitions(*keys, "seq", "kind", "role", "text")
-    found = dealt.mapInPandas(folded, "conv_id long, first_seq long, msg_id long, role string, text string" + "".join(f", {k} string" for k in more))
-    return found.withColumns({k: F.col(k).cast(dict(events.dtypes)[k]) for k in more})
+    conversation, message = Window.partitionBy("conv_id"), Window.partitionBy("conv_id", "msg_id")
+    e = e.withColumn("place", F.row_number().over(conversation.orderBy("seq", "msg_id", "kind", "role", "text"))).drop("seq")
+    opened = F.min(F.when(F.col("kind") != "rewind", F.col("place"))).over(message)
+    later = conversation.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
+    undone_from = F.min(F.when(F.col("kind") == "rewind", F.col("opened"))).over(later)
+    e = e.withColumn("opened", opened).withColumn("undone", F.coalesce(undone_from <= F.col("place"), F.lit(False))).filter("NOT undone AND kind <> 'rewind'")
+    replaced = F.max(F.when(F.col("kind").isin("start", "edit", "delete"), F.col("place"))).over(message)
+    e = e.withColumns({"position": F.min("place").over(message), "role": F.coalesce(F.max_by("role", F.when(F.col("role") != "", F.col("place"))).over(message), F.lit("")), "replaced": replaced})
+    kept = e.filter("kind <> 'delete' AND place >= coalesce(replaced, 0)")
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
+    return kept.groupBy("conv_id", "msg_id", "position", "role").agg(F.array_join(pieces, "").alias("text")).select("conv_id", "position", "msg_id", "role", "text")
 
 
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -101,11 +74,10 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     head = F.concat(F.lit(OPEN), esc(F.col("role")), F.lit(MID))
     start = F.length(head)
     return messages.select(
-        "conv_id", F.col("first_seq").alias("position"), "msg_id", "role",
+        "conv_id", "position", "msg_id", "role",
         F.concat(head, body, F.lit(CLOSE)).alias("segment"),
         start.cast("long").alias("loss_start"),
         F.when(F.col("role") == loss_role, start + F.length(body)).otherwise(start).cast("long").alias("loss_end"),
-        *(k for k in MORE_KEYS if k in messages.columns),
     )
 
 
@@ -145,31 +117,41 @@ def read_back(segments: DataFrame) -> DataFrame:
             yield pd.DataFrame([close(state)], columns=columns)
 
     columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    # A control string follows the text in a segment; without it, escaped texts are in the order of the texts.
-    body = F.expr(f"substring(segment, int(loss_start) + 1, length(segment) - int(loss_start) - {len(CLOSE)})")
-    order = ["msg_turn", "role", body] if "msg_turn" in segments.columns else []
-    dealt = segments.withColumn("conv_id", F.col("conv_id").cast("string")).repartition("conv_id").sortWithinPartitions("conv_id", *order, "position", "msg_id")
+    dealt = segments.withColumn("conv_id", F.col("conv_id").cast("string")).repartition("conv_id").sortWithinPartitions("conv_id", "position", "msg_id")
     return id_back(dealt.select("conv_id", "segment", "loss_start", "loss_end").mapInPandas(parsed, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"), "conv_id")
 
 
 def turn_events(conversations: DataFrame, delta_chars: int = 512) -> DataFrame:
-    """A table of turns as the log that would have made it: a start with the first characters of a turn, then deltas.
-
-    A row of the table is a message of its own; rows that share a turn are told apart by a digest of role and text, equal ones by a number.
-    So no task holds a turn, and a turn may have any number of rows.
-    A null turn counts as -1.
+    """A table of turns as the log that would have made it. Each row is a message, in order of turn (null: -1), role and text; it is opened and
+    streamed by deltas. By hash, some are regenerated after a first draft, some streamed in a wrong form and then edited, and some are
+    followed by another message that is deleted, or by a branch of two that is rewound.
     """
     c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    told = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256).alias("msg_digest")
-    counted = c.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
-    rows = counted.select("conv_id", "turn", told, "role", "text", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("msg_id"))
-    parts = F.greatest(F.lit(1), F.ceil(F.length("text") / delta_chars)).cast("int")
-    chunk = F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
-    return rows.select("conv_id", "turn", "msg_digest", "msg_id", "role", "text", chunk).select(
-        "conv_id", F.col("part").cast("long").alias("seq"), F.col("turn").alias("msg_turn"), "msg_digest", "msg_id",
-        F.when(F.col("part") == 0, "start").otherwise("delta").alias("kind"), "role",
-        F.substring(F.col("text"), F.col("part") * delta_chars + 1, F.lit(delta_chars)).alias("text"),
-    )
+    in_order = Window.partitionBy("conv_id")
+    c = c.withColumn("msg_id", F.row_number().over(in_order.orderBy("turn", "role", "text")).cast("long") * 4)
+    c = c.withColumn("lot", F.pmod(F.xxhash64("turn", "role", "text"), F.lit(8)))
+    edited, text, role = F.col("lot") == 3, F.col("text"), F.col("role")
+    streamed = F.when(edited, F.reverse(F.substring("text", 1, 100))).otherwise(text)
+
+    def event(phase: int, part, extra: int, kind, who, what):
+        return F.struct(F.lit(phase).alias("phase"), part.alias("part"), (F.col("msg_id") + extra).alias("msg_id"), kind.alias("kind"), who.alias("role"), what.alias("text"))
+
+    def only(lots, *events):
+        return F.when(F.col("lot").isin(*lots), F.array(*events)).otherwise(F.array().cast("array<struct<phase:int,part:int,msg_id:bigint,kind:string,role:string,text:string>>"))
+
+    one, two, none, lit = F.lit(0), F.lit(1), F.lit(""), F.lit
+    parts = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length(streamed) / delta_chars)).cast("int") - 1)
+    stream = F.transform(parts, lambda i: event(1, i, 0, F.when(i == 0, "start").otherwise("delta"), role, F.substring(streamed, i * delta_chars + 1, F.lit(delta_chars))))
+    events = F.concat(
+        only((0, 1, 2), event(0, one, 0, lit("start"), role, F.substring("text", 3, 40)), event(0, two, 0, lit("delta"), role, lit("..."))),
+        stream,
+        only((3,), event(2, one, 0, lit("edit"), none, text)),
+        only((4,), event(3, one, 1, lit("start"), lit("user"), lit("never mind")), event(3, two, 1, lit("delete"), none, none)),
+        only((5,), event(4, one, 2, lit("start"), lit("user"), F.substring("text", 1, 30)), event(4, two, 3, lit("start"), lit("assistant"), lit("no")), event(5, one, 2, lit("rewind"), none, none)),
+    )
+    log = c.select("conv_id", F.explode(events).alias("e")).select("conv_id", "e.*")
+    seq = F.row_number().over(in_order.orderBy(F.floor(F.col("msg_id") / 4), "phase", "part")).cast("long")
+    return log.select("conv_id", seq.alias("seq"), "msg_id", "kind", "role", "text")
 
 
 def format_conversations(events: DataFrame, loss_role: str = "assistant") -> DataFrame:

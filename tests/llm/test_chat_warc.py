@@ -19,10 +19,49 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
     ]
     df = spark.createDataFrame([(*r, "z") for r in log], "conv_id long, seq long, msg_id long, kind string, role string, text string, segment string")
     got = sorted((tuple(r) for r in final_messages(df).collect()), key=str)
-    assert got == sorted([(1, 0, 10, "user", "Hi"), (1, 2, 11, "assistant", "good one"), (1, 8, 13, "system", "late"), (1, 9, 14, "", ""), (None, 0, None, "user", "x")], key=str)
+    assert got == sorted([(1, 1, 10, "user", "Hi"), (1, 3, 11, "assistant", "good one"), (1, 9, 13, "system", "late"), (1, 10, 14, "", ""), (None, 1, None, "user", "x")], key=str)
     assert final_messages(df.limit(0)).count() == 0
 
 
+def fold(log):
+    """The definition, event by event: (msg, role, text) in order of place."""
+    done: list = []
+    for place, (_, msg, kind, role, text) in enumerate(sorted(log), 1):
+        if kind == "rewind":
+            first = min((p for p, m, k, _, _ in done if m == msg), default=place)
+            done = [(p, m, "gone" if p >= first else k, r, t) for p, m, k, r, t in done]
+        else:
+            done.append((place, msg, kind, role, text))
+    out: dict = {}
+    for place, msg, kind, role, text in done:
+        if kind == "gone":
+            continue
+        at = out.setdefault(msg, [place, "", None])
+        at[1] = role or at[1]
+        at[2] = None if kind == "delete" else text if kind in ("start", "edit") else (at[2] or "") + text
+    return sorted((p, m, r, t) for m, (p, r, t) in out.items() if t is not None)
+
+
+def test_fold_equals_its_definition(spark):
+    import random
+
+    rng = random.Random(3)
+    kinds = ["start", "delta", "delta", "delta", "edit", "delete", "rewind"]
+    rows = [(c, s, rng.randrange(6), rng.choice(kinds), rng.choice(["user", "assistant", ""]), rng.choice("abcdef") * rng.randrange(3)) for c in range(40) for s in range(25)]
+    got: dict = {}
+    for r in final_messages(spark.createDataFrame(rows, "conv_id long, seq long, msg_id long, kind string, role string, text string").repartition(5)).collect():
+        got.setdefault(r["conv_id"], []).append((r["position"], r["msg_id"], r["role"], r["text"]))
+    for c in range(40):
+        assert sorted(got.get(c, [])) == fold([r[1:] for r in rows if r[0] == c])
+
+
+def test_log_of_a_table_holds_every_kind(spark, sf_dir):
+    log = turn_events(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    kinds = {r["kind"]: r["n"] for r in log.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert set(kinds) == {"start", "delta", "edit", "delete", "rewind"}
+    assert log.groupBy("conv_id", "seq").count().filter("count > 1").count() == 0
+
+
 def test_read_back_of_odd_conversations(spark):
     rows = [(i % 3 if i % 7 else None, i // 3, ["user", "assistant", None, "a<|im_sep|>\n"][i % 4], ["<|im_end|>", "long " * 5000, None, "", "é😀[\\<"][i % 5]) for i in range(60)]
     rows += [(1, None, "assistant", "tie"), (1, None, "assistant", "tie"), (2**60 + 1, 0, "assistant", "big id")]
@@ -38,7 +77,7 @@ def test_read_back_of_odd_conversations(spark):
         assert (r["n_turns"], r["loss_chars"]) == (len(mine), len(loss))
         assert r["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest() and r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
         assert r["formatted_chars"] == sum(len(OPEN + escape(a) + MID + escape(b) + CLOSE) for _, a, b in mine)
-    seg = render(spark.createDataFrame([(1, 0, 1, "assistant", "a<b")], "conv_id long, first_seq long, msg_id long, role string, text string")).first()
+    seg = render(spark.createDataFrame([(1, 0, 1, "assistant", "a<b")], "conv_id long, position long, msg_id long, role string, text string")).first()
     assert seg["segment"][seg["loss_start"] : seg["loss_end"]] == "a<\\b"
 
 
@@ -72,7 +111,8 @@ def test_a_turn_of_any_number_of_rows(spark):
     many = spark.range(n).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
     more = spark.createDataFrame([(1, 1, "user", "next")], "conv_id long, turn long, role string, text string")
     log = turn_events(many.unionByName(more))
-    assert log.select("conv_id", *(c for c in log.columns if c.startswith("msg_"))).distinct().count() == n + 1
+    rows = log.filter("msg_id % 4 = 0")  # the others are messages that don't stay
+    assert rows.select("conv_id", "msg_id").distinct().count() == n + 1 and log.select("seq").distinct().count() == log.count()
     far = spark.createDataFrame([(1, 2**50, "user", "c"), (1, 2**50, "user", "a["), (1, 2**50, "user", "a"), (1, 3, "user", "b")], more.schema)
     r = read_back(format_conversations(turn_events(far))).first()
     assert r["n_turns"] == 4 and r["turns_sha256"] == hashlib.sha256(b"user\nb\nuser\na\nuser\na[\nuser\nc\n").hexdigest()
