@@ -62,9 +62,10 @@ def resolve_revisits(records: DataFrame, blocks: int = 64) -> DataFrame:
     full = (F.col("type") == "response") & (F.col("status") == 200) & F.col("digest").isNotNull() & F.col("url_key").isNotNull() & F.col("ts").isNotNull() & F.col("record_id").isNotNull()
     stored = F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers")
     r = r.withColumn("block", F.coalesce(block, F.lit(0))).withColumn("stored", F.when(full, stored))
-    # Revisits without a usable place in a timeline get a key of their own, so that they meet nothing and no task holds them all.
+    # Revisits without a usable place in a timeline get a key that no response has, of their id or else a hash of their fields: a retried task
+    # deals them alike, and no task holds them all.
     lost = F.col("url_key").isNull() | F.col("ts").isNull() | F.col("record_id").isNull()
-    r = r.withColumn("key", F.when(lost, F.concat(F.lit("\u0000"), F.coalesce(F.col("record_id").cast("string"), F.uuid().cast("string")))).otherwise(F.col("url_key")))
+    r = r.withColumn("key", F.when(lost, F.concat(F.lit("\u0000"), F.coalesce(F.col("record_id"), F.xxhash64("ts", "type", "status", "etag", "last_modified", "digest", "url_key")).cast("string"))).otherwise(F.col("url_key")))
     within = Window.partitionBy("key", "block").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     near = r.withColumn("near", F.last("stored", ignorenulls=True).over(within)).filter(F.col("type") == "revisit")
     handed = r.filter("stored is not null").groupBy("key", "block").agg(F.max(F.struct("ts", "record_id")).alias("at"), F.max_by("stored", F.struct("ts", "record_id")).alias("handed"))
