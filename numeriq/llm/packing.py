@@ -150,7 +150,7 @@ def plan_packing(counts: dict[int, int], size: int) -> list[tuple[int, int, int,
     return plan
 
 
-def pack(pieces: DataFrame, size: int = 1024, rows_per_salt: int = 100_000) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 1024, rows_per_salt: int = 2000) -> DataFrame:
     """pieces with sequence_id and offset. pieces is read several times and should be a table."""
     spark = pieces.sparkSession
     hist = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
