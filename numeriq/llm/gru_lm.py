@@ -5,9 +5,9 @@ Tokens: A-Z in lower case; runs of characters other than ASCII white space; then
 1. Chunks. Each task turns whole documents into chunks of about `chunk_tokens` tokens (a longer document is a chunk of its own): the chunk's
    distinct tokens with their counts in training documents, and for each token its place among them. Chunks are a table in the shared folder;
    later passes read numbers and no text.
-2. Counts. The chunks' distinct tokens are shuffled once, so that a token is a key with one row per chunk at most, however common it is. A
-   window per token adds the chunks' counts up to c, and each chunk gets its tokens' c back. N, V, the commonest words of all training
-   documents and the endings' sums are aggregates of this. All counts are exact.
+2. Counts. The chunks' distinct tokens are added up by token, combined per task first. The commonest tokens, `dictionary` of them at most, are
+   broadcast with their counts. Only a chunk's other tokens are joined with their counts by a shuffle, where a token is a key with one row
+   per chunk at most. N, V, the commonest words and the endings' sums are aggregates of the counts. All counts are exact.
 3. Model: a GRU reads a symbol per token, the commonest words by themselves, all others by a class of their ending. It predicts the class of
    the next token (softmax over classes), then the word: within a class of common words by a second softmax from the same state, within a
    class of endings by the smoothed counts (c + 0.5) / (their sum + 0.5), where 0.5 is left for words that aren't known. So the probabilities
@@ -40,9 +40,10 @@ END = b""
 @dataclass
 class Shape:
     hidden: int = 16
-    frequent: int = 1024  # words that are symbols of their own
-    per_class: int = 64
-    endings: int = 31  # classes of the other words
+    frequent: int = 512  # words that are symbols of their own
+    per_class: int = 32
+    endings: int = 15  # classes of the other words
+    dictionary: int = 200_000
 
     @property
     def groups(self) -> int:
@@ -404,34 +405,40 @@ def chunks(docs: DataFrame, shape: Shape, chunk_tokens: int) -> DataFrame:
 
 
 def token_counts(held: DataFrame) -> DataFrame:
-    """(chunk, place, c, ending, token): for each of a chunk's tokens its count in all training documents; token is null but in one row of each token."""
-    each = held.select("chunk", F.posexplode(F.arrays_zip("tokens", "known", "endings")).alias("place", "x")).select("chunk", "place", F.col("x.tokens").alias("token"), F.col("x.known").alias("n"), F.col("x.endings").alias("ending"))
-    w = Window.partitionBy("token")
-    first = F.row_number().over(w.orderBy("chunk")) == 1
-    return materialize(each.select("chunk", "place", F.sum("n").over(w).alias("c"), "ending", F.when(first, F.col("token")).alias("token")), "lm-counts")
+    """(token, c, ending) of every token of training documents."""
+    each = held.select(F.explode(F.arrays_zip("tokens", "known", "endings")).alias("x")).select(F.col("x.tokens").alias("token"), F.col("x.known").alias("n"), F.col("x.endings").alias("ending"))
+    return materialize(each.filter("n > 0").groupBy("token").agg(F.sum("n").alias("c"), F.max("ending").alias("ending")), "lm-counts")
 
 
-def common_words(counts: DataFrame, shape: Shape) -> list[tuple[bytes, int]]:
-    """The commonest tokens of all training documents and their counts, END first; `frequent` + 1 at most."""
-    once = counts.filter("token is not null AND c > 0")
-    # Few words reach the driver: those from a count on that enough of them have, found by a histogram of a few hundred bins.
-    fine = F.floor(F.log2("c") * 8)
-    bins = sorted(((r["b"], r["n"]) for r in once.groupBy(fine.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least, total = 0, 0
+def commonest(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """Tokens by count, largest first, down to a count that at most so many have."""
+    fine = F.floor(F.log2("c") * 64)
+    bins = sorted(((r["b"], r["n"]) for r in counts.groupBy(fine.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)  # some thousand at most
+    least, total = None, 0
     for b, n in bins:
-        least, total = b, total + n
-        if total > shape.frequent:
+        total += n
+        if total > most:
             break
-    top = once.filter(fine >= least).orderBy(F.desc("c"), "token").limit(shape.frequent + 1).select("token", "c").collect()
-    found = {bytes(r["token"]): r["c"] for r in top}
-    return [(END, found.pop(END, 0)), *list(found.items())[: shape.frequent]]
+        least = b
+    if least is None:
+        return []
+    return sorted(((bytes(r["token"]), r["c"]) for r in counts.filter(fine >= least).select("token", "c").collect()), key=lambda x: (-x[1], x[0]))
+
+
+def common_words(counts: DataFrame, dictionary: list[tuple[bytes, int]], shape: Shape) -> list[tuple[bytes, int]]:
+    """The commonest tokens of all training documents and their counts, END first; `frequent` + 1 at most."""
+    top = dictionary
+    if len(top) <= shape.frequent:
+        top = [(bytes(r["token"]), r["c"]) for r in counts.orderBy(F.desc("c"), "token").limit(shape.frequent + 1).select("token", "c").collect()]
+    return [(END, dict(top).get(END, 0)), *[x for x in top if x[0] != END][: shape.frequent]]
 
 
 @dataclass
 class Vocabulary:
-    """Symbols of tokens, and the sums that smoothed counts need."""
+    """Symbols of common words, counts of the dictionary, and the sums that smoothed counts need."""
 
     symbols: dict
+    dictionary: dict
     counts: list
     mass: list
     train_tokens: int
@@ -439,9 +446,9 @@ class Vocabulary:
 
 
 def vocabulary_of(counts: DataFrame, shape: Shape) -> Vocabulary:
-    top = common_words(counts, shape)
-    known = counts.filter("token is not null AND c > 0")
-    by_ending = {r["ending"]: (r["n"], r["v"]) for r in known.groupBy("ending").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    dictionary = commonest(counts, shape.dictionary)
+    top = common_words(counts, dictionary, shape)
+    by_ending = {r["ending"]: (r["n"], r["v"]) for r in counts.groupBy("ending").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     tokens, distinct = sum(n for n, _ in by_ending.values()), sum(v for _, v in by_ending.values())
     for t, c in top:
         e = ending(t, shape.endings)
@@ -450,7 +457,26 @@ def vocabulary_of(counts: DataFrame, shape: Shape) -> Vocabulary:
             by_ending[e] = n - c, v - 1
     sums = [by_ending.get(e, (0, 0)) for e in range(shape.endings)]
     own = [c for _, c in top] + [0] * (shape.frequent + 1 - len(top))
-    return Vocabulary({t: i for i, (t, _) in enumerate(top)}, own + [n for n, _ in sums], [0.5 + n + 0.5 * v for n, v in sums], tokens, distinct)
+    return Vocabulary({t: i for i, (t, _) in enumerate(top)}, dict(dictionary), own + [n for n, _ in sums], [0.5 + n + 0.5 * v for n, v in sums], tokens, distinct)
+
+
+def other_counts(held: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(chunk, back): (place, c) of the chunk's tokens that training documents have and the dictionary hasn't; as many as it has tokens at most."""
+    ready = shared_model(held.sparkSession, vocabulary.dictionary)
+
+    def others(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        known = opened(ready)
+        for b in batches:
+            for chunk, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                places = [i for i, t in enumerate(tokens) if t not in known]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(places), pa.int64()), pa.array(places, pa.int32()), pa.array([tokens[i] for i in places], pa.binary())], names=["chunk", "place", "token"])
+
+    least = min(vocabulary.dictionary.values(), default=None)
+    rare = counts.select("token", "c") if least is None else counts.filter(F.col("c") <= least).select("token", "c")
+    asked = held.select("chunk", "tokens").mapInArrow(others, "chunk long, place int, token binary")
+    return asked.join(rare, "token").groupBy("chunk").agg(F.collect_list(F.struct("place", "c")).alias("back"))
 
 
 def chunk_symbols(vocabulary: Vocabulary, shape: Shape, tokens: list, endings):
@@ -554,9 +580,11 @@ def score_chunks(held: DataFrame, counts: DataFrame, vocabulary: Vocabulary, p:
             for b in batches:
                 for i in range(b.num_rows):
                     codes, ids, train, tokens, endings = chunk_documents(b, i)
+                    get = words.dictionary.get
+                    c = np.fromiter((get(t, 0) for t in tokens), np.int64, len(tokens))
                     back = b.column(b.schema.get_field_index("back"))[i].values
-                    c = np.zeros(len(tokens), np.int64)
-                    c[back.field("place").to_numpy()] = back.field("c").to_numpy()
+                    if back is not None:
+                        c[back.field("place").to_numpy()] = back.field("c").to_numpy()
                     symbols = chunk_symbols(words, shape, tokens, endings)
                     logs = np.where(c > 0, np.log10(c + 0.5), mass)
                     # What a token of a class of endings adds to the score besides P(class).
@@ -577,8 +605,7 @@ def score_chunks(held: DataFrame, counts: DataFrame, vocabulary: Vocabulary, p:
         if out:
             yield frame(out)
 
-    back = counts.groupBy("chunk").agg(F.collect_list(F.struct("place", "c")).alias("back"))  # as many as a chunk has tokens
-    return held.join(back, "chunk").mapInArrow(scored, "doc_id long, train boolean, n_tokens long, n_known long, logs double, score double")
+    return held.join(other_counts(held, counts, vocabulary), "chunk", "left").mapInArrow(scored, "doc_id long, train boolean, n_tokens long, n_known long, logs double, score double")
 
 
 def document_scores(docs: DataFrame, shape: Shape | None = None, rounds: int = 2, window: int = 32, lanes: int = 128, rate: float = 0.01, chunk_tokens: int = 500_000) -> DataFrame:

@@ -202,7 +202,7 @@ def test_language_model(spark):
     texts = {i: " ".join(rng.choice(langs[i % 2], 80)) for i in range(600)}
     texts |= {1000: None, 1001: "", 1002: " \t\n\x0b ", 1003: "É É new\x85word NEW\x85WORD", 1004: "theing " * 30_000}
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in texts.items()], "doc_id long, text string, score double").repartition(3)
-    shape = Shape(frequent=64, per_class=16, endings=7)
+    shape = Shape(frequent=64, per_class=16, endings=7, dictionary=90)
     options = {"rounds": 2, "window": 16, "lanes": 8, "rate": 0.02}
     held = chunks(docs, shape, 2000)
     counts_ = token_counts(held)
@@ -231,7 +231,7 @@ def test_language_model(spark):
 
 def test_language_model_ties_nulls_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b", 1), (1, "a b", 1), (None, "a c", 1), (2, "zz yy", 1)], "doc_id long, text string, tokens int")
-    got = document_scores(docs, Shape(frequent=64, per_class=16), rounds=1).collect()
+    got = document_scores(docs, Shape(frequent=64, per_class=16, dictionary=1), rounds=1).collect()
     counts, n = counted(((1, "a b"), (1, "a b"), (2, "zz yy")))
     assert len(got) == 4 and {r["train_tokens"] for r in got} == {n}
     same = [r for r in got if r["doc_id"] == 1]
