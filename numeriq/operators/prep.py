@@ -69,7 +69,7 @@ def ordered_split(df: DataFrame, key: str, share: float = 0.8) -> DataFrame:
 
 def hash_split(df: DataFrame, key: str, share: float = 0.8) -> DataFrame:
     """train by a linear congruential hash of the key: random to look at, the same in every run."""
-    return df.withColumn("train", (F.pmod(F.col(key) * 1103515245 + 12345, F.lit(1 << 31)) / float(1 << 31)) < share)
+    return df.withColumn("train", (F.pmod(F.pmod(F.col(key).cast("long"), F.lit(1 << 31)) * 1103515245 + 12345, F.lit(1 << 31)) / float(1 << 31)) < share)
 
 
 def hash_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:

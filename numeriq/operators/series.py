@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
@@ -105,9 +105,9 @@ def diffusion_step(grid: DataFrame, v: str = "v", rate: float = 0.5) -> DataFram
     qs = (0.5 * g2 - lap * lap / 16) / F.pow(1 + 0.25 * lap, 2.0)
     c = 1 / (1 + (qs - F.col("q0")) / (F.col("q0") * (1 + F.col("q0"))))
     g = g.select("r", "c", v, "n", "s", "w", "e", F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)).alias("k"))
-    rows, columns = Window.partitionBy("r").orderBy("c"), Window.partitionBy("c").orderBy("r")
-    south, east = F.coalesce(F.lead("k").over(columns), F.col("k")), F.coalesce(F.lead("k").over(rows), F.col("k"))
-    flow = south * (F.col("s") - own) + F.col("k") * (F.col("n") - own) + east * (F.col("e") - own) + F.col("k") * (F.col("w") - own)
+    near = stencil(g.select("r", "c", "k"), v="k").select("r", "c", F.col("s").alias("ks"), F.col("e").alias("ke"))
+    g = g.join(near, ["r", "c"])
+    flow = F.col("ks") * (F.col("s") - own) + F.col("k") * (F.col("n") - own) + F.col("ke") * (F.col("e") - own) + F.col("k") * (F.col("w") - own)
     return g.select("r", "c", (own + rate / 4 * flow).alias(v))
 
 

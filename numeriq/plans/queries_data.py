@@ -304,9 +304,7 @@ def precision_sweep(spark, sf_dir):
 @query("""WITH s AS (SELECT p_brand, CASE WHEN p_size <= 15 THEN 's' WHEN p_size <= 30 THEN 'p' ELSE 'd' END AS format, p_partkey FROM part) SELECT p_brand, format, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY 1, 2""")
 def format_counts_by_brand(spark, sf_dir):
     kind = F.when(F.col("p_size") <= 15, "s").when(F.col("p_size") <= 30, "p").otherwise("d")
-    lists = read(spark, sf_dir, "part").groupBy("p_brand", kind.alias("f")).agg(F.collect_list(F.col("p_partkey").cast("string")).alias("c"))
-    settings = lists.groupBy("p_brand").agg(F.map_from_entries(F.collect_list(F.struct("f", "c"))).alias("settings"))
-    return format_counts(settings)
+    return format_counts(read(spark, sf_dir, "part").select("p_brand", F.create_map(kind, F.array(F.col("p_partkey").cast("string"))).alias("settings")))
 
 
 @query("SELECT l_linenumber AS digits, round(avg(l_quantity), 6) AS seconds FROM lineitem GROUP BY ROLLUP (l_linenumber)")

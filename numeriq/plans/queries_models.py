@@ -80,13 +80,13 @@ def group_mean_vectors(spark, sf_dir):
     return m.select(F.col("g").alias("label"), F.posexplode("centre").alias("j", "m")).select("label", F.col("j").cast("long").alias("j"), F.round("m", 8).alias("m"))
 
 
-LATTICE = """WITH g AS (SELECT CAST(l_quantity AS BIGINT) AS x, CAST(round(l_tax * 100) * 7 + l_linenumber AS BIGINT) AS y, count(*) AS w FROM lineitem WHERE l_discount < 0.03 GROUP BY 1, 2),
+LATTICE = """WITH g AS (SELECT CAST(l_quantity AS BIGINT) AS x, CAST(round(l_tax * 100) * 7 + l_linenumber AS BIGINT) AS y, count(*) AS w FROM lineitem GROUP BY 1, 2),
 n AS (SELECT a.x, a.y, a.w AS weight, CAST(sum(b.w) - 1 AS BIGINT) AS near FROM g a JOIN g b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4 GROUP BY 1, 2, 3)"""
 
 
 def lattice(spark, sf_dir):
     x = F.col("l_quantity").cast("long").alias("x")
-    return read(spark, sf_dir, "lineitem").filter("l_discount < 0.03").select(x, (F.round(F.col("l_tax") * 100) * 7 + F.col("l_linenumber")).cast("long").alias("y"))
+    return read(spark, sf_dir, "lineitem").select(x, (F.round(F.col("l_tax") * 100) * 7 + F.col("l_linenumber")).cast("long").alias("y"))
 
 
 @query(LATTICE + " SELECT x, y, weight, near FROM n")
@@ -143,7 +143,7 @@ def regression_tree(spark, sf_dir):
 
 @query()
 def random_forest(spark, sf_dir):
-    """Votes of eight trees on bootstrap samples, counted."""
+    """Votes of four trees on bootstrap samples, counted."""
     l = read(spark, sf_dir, "lineitem").withColumn("y", F.ascii("l_returnflag")).withColumn("k", F.col("l_orderkey") * 8 + F.col("l_linenumber"))  # noqa: E741
     forest = estimators.fit_forest(l, ["l_quantity", "l_discount", "l_tax", "l_linenumber"], "y", "k", trees=4, depth=2)
     return l.select(estimators.forest_column(forest).alias("prediction"), "y").groupBy("prediction", "y").agg(F.count("*").alias("n"))

@@ -37,10 +37,10 @@ def sparse_matvec(spark, sf_dir):
     return vector(joins.matvec(a, right_side(a)), 6)
 
 
-@query(OFF + " SELECT a.i, b2.j, round(sum(a.v * b2.v), 4) AS v FROM a JOIN a b2 ON b2.i = a.j WHERE a.i % 10 = 0 GROUP BY 1, 2")
+@query(OFF + " SELECT a.i, b2.j, round(sum(a.v * b2.v), 4) AS v FROM a JOIN a b2 ON b2.i = a.j GROUP BY 1, 2")
 def sparse_matmul(spark, sf_dir):
     a = matrix(spark, sf_dir)
-    return joins.matmul(a.filter("i % 10 = 0"), a).withColumn("v", F.round("v", 4))
+    return joins.matmul(a, a).withColumn("v", F.round("v", 4))
 
 
 @query(OFF + " SELECT j AS i, i AS j, v FROM p")
@@ -167,7 +167,8 @@ def neighbour_gather(spark, sf_dir):
 # --- grids: quantity by order class, from lineitem ----------------------------------------------------------------------
 
 GRID = "WITH g AS (SELECT CAST(l_suppkey AS BIGINT) AS r, CAST(l_quantity AS BIGINT) AS c, sum(l_extendedprice) / 7919.0::DOUBLE AS v FROM lineitem GROUP BY 1, 2)"
-NEAR = """, s AS (SELECT r, c, v, coalesce(lag(v) OVER x, v) AS w, coalesce(lead(v) OVER x, v) AS e, coalesce(lag(v) OVER y, v) AS n, coalesce(lead(v) OVER y, v) AS s FROM {g} WINDOW x AS (PARTITION BY r ORDER BY c), y AS (PARTITION BY c ORDER BY r))"""
+NEAR = """, s AS (SELECT g.r, g.c, g.v, coalesce(w.v, g.v) AS w, coalesce(e.v, g.v) AS e, coalesce(n.v, g.v) AS n, coalesce(o.v, g.v) AS s FROM {g} LEFT JOIN {g} w ON w.r = g.r AND w.c = g.c - 1 LEFT JOIN {g} e ON e.r = g.r AND e.c = g.c + 1
+LEFT JOIN {g} n ON n.r = g.r - 1 AND n.c = g.c LEFT JOIN {g} o ON o.r = g.r + 1 AND o.c = g.c)"""
 
 
 def grid(spark, sf_dir):
@@ -182,7 +183,7 @@ def heat_stencil(spark, sf_dir):
 
 @query(GRID + NEAR.format(g="g") + """, q AS (SELECT var_pop(v) / pow(avg(v), 2) AS q0 FROM g), d AS (SELECT *, n - v AS dn, s - v AS ds, w - v AS dw, e - v AS de FROM s),
 f AS (SELECT *, (dn * dn + ds * ds + dw * dw + de * de) / (v * v) AS g2, (dn + ds + dw + de) / v AS l FROM d), k AS (SELECT f.*, greatest(0, least(1, 1 / (1 + ((0.5 * g2 - l * l / 16) / pow(1 + 0.25 * l, 2) - q0) / (q0 * (1 + q0))))) AS k FROM f, q),
-z AS (SELECT *, coalesce(lead(k) OVER (PARTITION BY c ORDER BY r), k) AS ks, coalesce(lead(k) OVER (PARTITION BY r ORDER BY c), k) AS ke FROM k)
+z AS (SELECT k.*, coalesce(o.k, k.k) AS ks, coalesce(e.k, k.k) AS ke FROM k LEFT JOIN k e ON e.r = k.r AND e.c = k.c + 1 LEFT JOIN k o ON o.r = k.r + 1 AND o.c = k.c)
 SELECT r, c, round(v + 0.125 * (ks * ds + k * dn + ke * de + k * dw), 6) AS v FROM z""")
 def diffusion_stencil(spark, sf_dir):
     return series.diffusion_step(grid(spark, sf_dir)).select("r", "c", F.round("v", 6).alias("v"))
@@ -200,12 +201,13 @@ def grid_prolongation(spark, sf_dir):
 
 # --- series -----------------------------------------------------------------------------------------------------------
 
-NODES = "WITH p AS (SELECT p_brand, CAST(p_size AS DOUBLE) AS x, avg(p_retailprice) / 100 AS y FROM part WHERE p_size IN (5, 15, 25, 35, 45) GROUP BY 1, 2)"
+NODES = "WITH p AS (SELECT p_brand, CAST((p_size - 1) // 10 * 10 + 5 AS DOUBLE) AS x, avg(p_retailprice) / 100 AS y FROM part GROUP BY 1, 2)"
 
 
 @query(NODES + " SELECT a.p_brand, round(sum(a.y * coalesce((SELECT product((22.123457 - b.x) / (a.x - b.x)) FROM p b WHERE b.p_brand = a.p_brand AND b.x <> a.x), 1)), 6) AS value FROM p a GROUP BY 1")
 def lagrange_interpolation(spark, sf_dir):
-    n = read(spark, sf_dir, "part").filter(F.col("p_size").isin(5, 15, 25, 35, 45)).groupBy("p_brand", F.col("p_size").cast("double").alias("x")).agg((F.avg("p_retailprice") / 100).alias("y"))
+    """Through each brand's mean prices of five ranges of size."""
+    n = read(spark, sf_dir, "part").groupBy("p_brand", (F.floor((F.col("p_size") - 1) / 10) * 10 + 5).cast("double").alias("x")).agg((F.avg("p_retailprice") / 100).alias("y"))
     return series.lagrange(n, ["p_brand"], "x", "y", 22.123457).withColumn("value", F.round("value", 6))
 
 

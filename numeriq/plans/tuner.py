@@ -5,21 +5,23 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formats import FORMATS, by_precision, quantize_columns, within_digits
+from .lineage import cut
 
 
 def split_parts(items: Sequence, n: int) -> list[list]:
-    """n contiguous parts, the k-th of the lengths floor-first."""
-    out, at = [], 0
-    for k in range(n):
-        size = (len(items) - at) // (n - k)
-        out.append(list(items[at : at + size]))
-        at += size
-    return out
+    """n contiguous parts: the last len % n of them hold one item more than the others."""
+    least, longer = divmod(len(items), n)
+    first = n - longer
+    short = [list(items[least * i : least * (i + 1)]) for i in range(first)]
+    rest, each = items[least * first :], least + 1
+    return short + [list(rest[each * i : each * (i + 1)]) for i in range(longer)]
 
 
 def largest_passing(items: Sequence, passes: Callable[[frozenset], bool]) -> list:
@@ -57,29 +59,36 @@ class Tuning:
         return out
 
 
-def tune(source: DataFrame, query: Callable[[DataFrame], DataFrame], columns: Sequence[str], keys: Sequence[str], check: Sequence[str], digits: int, letters: str = "bsd", formats: dict = FORMATS, custom: Callable[[str, str], Column] | None = None) -> Tuning:
+def reference_result(source: DataFrame, query: Callable[[DataFrame], DataFrame], keys: Sequence[str], check: Sequence[str]) -> DataFrame:
+    """The result in double, computed once."""
+    return cut(query(source).select(*keys, *[F.col(c).alias(f"__ref_{c}") for c in check]))
+
+
+def tune(source: DataFrame, query: Callable[[DataFrame], DataFrame], columns: Sequence[str], keys: Sequence[str], check: Sequence[str], digits: int, letters: str = "bsd", formats: dict = FORMATS, custom: Callable[[str, str], Column] | None = None, reference: DataFrame | None = None, results: dict | None = None) -> Tuning:
     """Formats by column. query maps a table to a result with key columns and columns to check.
 
     All columns start in the highest format. A pass over two neighbouring formats, the highest first, lowers all of its columns if that
-    keeps the digits, else a maximal subset. Each candidate is one Spark job that returns one boolean; outcomes are remembered.
+    keeps the digits, else a maximal subset. Each candidate is one Spark job that returns one row: whether it keeps 1, 2, ... 16 digits.
+    Outcomes are remembered; calls for other digits may share results, and the reference result.
     """
     order = by_precision(letters, formats)
     found = Tuning({c: order[-1] for c in columns})
-    exact = query(source).select(*keys, *[F.col(c).alias(f"__ref_{c}") for c in check])
+    exact = reference if reference is not None else reference_result(source, query, keys, check)
     began = time.perf_counter()
+    results = {} if results is None else results
 
     def passes(assigned: dict[str, str]) -> bool:
         mark = frozenset(assigned.items())
         if mark not in found.tried:
-            held = source.withColumns({c: custom(c, f) for c, f in assigned.items()}) if custom else quantize_columns(source, assigned, formats)
-            both = query(held).join(exact, list(keys), "full_outer")
-            good = F.lit(True)
-            for c in check:
-                good = good & within_digits(f"__ref_{c}", c, digits)
-            bad = both.filter(~good).limit(1).count()
-            found.tried[mark] = not bad
+            if mark not in results:
+                held = source.withColumns({c: custom(c, f) for c, f in assigned.items()}) if custom else quantize_columns(source, assigned, formats)
+                # A candidate is run once: whether it keeps each number of digits is one row.
+                both = query(held).join(exact, list(keys), "full_outer")
+                good = [reduce(and_, [within_digits(f"__ref_{c}", c, d) for c in check]) for d in range(1, 17)]
+                results[mark] = list(both.agg(*[F.coalesce(F.bool_and(g), F.lit(True)) for g in good]).first())
+            found.tried[mark] = results[mark][digits - 1]
             found.runs += 1
-            found.rejected += bool(bad)
+            found.rejected += not found.tried[mark]
         return found.tried[mark]
 
     for high, low in zip(order[::-1], order[-2::-1]):
@@ -94,9 +103,9 @@ def tune(source: DataFrame, query: Callable[[DataFrame], DataFrame], columns: Se
 
 def sweep(source: DataFrame, query, columns, keys, check, digits: Sequence[int], letters: str = "bsd") -> DataFrame:
     """(digits, column, format, runs) for each number of digits."""
-    rows = []
+    rows, results, reference = [], {}, reference_result(source, query, keys, check)
     for d in digits:
-        t = tune(source, query, columns, keys, check, d, letters)
+        t = tune(source, query, columns, keys, check, d, letters, reference=reference, results=results)
         rows += [(d, c, f, t.runs) for c, f in t.formats.items()]
     return source.sparkSession.createDataFrame(rows, "digits int, column string, format string, runs int")
 

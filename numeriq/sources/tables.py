@@ -33,22 +33,35 @@ def read_points(spark: SparkSession, path: str, index: bool = True, label: bool
     return df.select(*out, *([F.coalesce(number, F.lit(-1.0)).alias("label") if strict else number.alias("label")] if label else []))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(n, value) of a text file: lines by number from 0, without gaps. They are numbered by counts of partitions, not in one task."""
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    part = F.shiftright("at", 33)
+    counts = {r["p"]: r["n"] for r in lines.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    starts, total = {}, 0
+    for p in sorted(counts):
+        starts[p], total = total, total + counts[p]
+    offset = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]) if starts else F.lit(None)
+    n = offset[part] + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) if starts else F.lit(0)
+    return lines.select(n.cast("long").alias("n"), "value")
+
+
 def read_matrix(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
-    """(i, j, v) of a dense CSV matrix; i is the order of the lines within the file's partitions."""
-    lines = spark.read.text(path) if not header else spark.read.text(path).filter(F.col("value") != ",".join(_header(spark, path)))
-    rows = lines.select(F.monotonically_increasing_id().alias("i"), F.split("value", ",").alias("x"))
+    """(i, j, v) of a dense CSV matrix; i is the number of the line, from 0."""
+    lines = numbered_lines(spark, path)
+    rows = lines.filter(F.col("n") >= int(header)).select((F.col("n") - int(header)).alias("i"), F.split("value", ",").alias("x"))
     return rows.select("i", F.posexplode("x").alias("j", "v")).withColumn("v", F.expr("try_cast(trim(v) AS double)"))
 
 
 def read_matrix_market(spark: SparkSession, path: str, symmetric: bool | None = None) -> DataFrame:
     """(i, j, v), from 0. The entries of a file whose header says symmetric (or with symmetric=True) are mirrored."""
-    lines = spark.read.text(path)
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
     if symmetric is None:
         symmetric = " symmetric" in ((lines.filter("value LIKE '%MatrixMarket%'").limit(1).collect() or [[""]])[0][0])
-    body = lines.filter("NOT startswith(value, '%') AND trim(value) <> ''").select(F.split(F.trim("value"), r"\s+").alias("p"))
-    numbered = body.withColumn("size", F.size("p"))
-    sizes = body.select("p").limit(1).collect()
-    entries = numbered.filter(F.col("p") != F.array(*map(F.lit, sizes[0][0]))) if sizes else numbered
+    body = lines.filter("NOT startswith(value, '%') AND trim(value) <> ''").select("at", F.split(F.trim("value"), r"\s+").alias("p"))
+    # The first line that is no comment holds the sizes; an entry may look like it.
+    first = body.agg(F.min("at")).first()[0]
+    entries = body.filter(F.col("at") != first) if first is not None else body
     a = entries.select((F.col("p")[0].cast("long") - 1).alias("i"), (F.col("p")[1].cast("long") - 1).alias("j"), F.coalesce(F.get("p", F.lit(2)).cast("double"), F.lit(1.0)).alias("v"))
     from ..operators.joins import mirror
 
@@ -56,15 +69,8 @@ def read_matrix_market(spark: SparkSession, path: str, symmetric: bool | None =
 
 
 def read_grid(spark: SparkSession, path: str, columns: int) -> DataFrame:
-    """(r, c, v) of a text file with one value per line, row by row. Lines are numbered by counts of partitions, not in one task."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    part = F.shiftright("at", 33)
-    counts = {r["p"]: r["n"] for r in lines.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    starts, total = {}, 0
-    for p in sorted(counts):
-        starts[p], total = total, total + counts[p]
-    offset = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]) if starts else F.lit(None)
-    n = offset[part] + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) if starts else F.lit(0)
+    """(r, c, v) of a text file with one value per line, row by row."""
+    lines, n = numbered_lines(spark, path), F.col("n")
     return lines.select(F.floor(n / columns).alias("r"), (n % columns).alias("c"), F.trim("value").cast("double").alias("v"))
 
 
@@ -121,10 +127,15 @@ def write_points(df: DataFrame, path: str, vector: str = "v") -> None:
     df.select(*[F.col(vector)[j].alias(f"feature_{j}") for j in range(dim)], *[c for c in df.columns if c != vector]).write.mode("overwrite").csv(path, header=True)
 
 
-def write_matrix(coordinates: DataFrame, path: str) -> None:
-    """CSV without a header, a line per row, in order of rows."""
-    rows = coordinates.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("r")).orderBy("i")
-    rows.select(F.array_join(F.transform("r", lambda x: x["v"].cast("string")), ",")).write.mode("overwrite").text(path)
+def write_matrix(coordinates: DataFrame, path: str, shape: tuple[int, int] | None = None) -> None:
+    """CSV without a header, a line per row, in order of rows; elements that aren't stored are 0. shape: None for that of the largest indexes."""
+    if shape is None:
+        most = coordinates.agg(F.max("i"), F.max("j")).first()
+        shape = (-1 if most[0] is None else most[0]) + 1, (-1 if most[1] is None else most[1]) + 1
+    stored = coordinates.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct(F.col("j").cast("long"), F.col("v").cast("double")))).alias("r"))
+    rows = coordinates.sparkSession.range(shape[0]).withColumnRenamed("id", "i").join(stored, "i", "left").orderBy("i")
+    values = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(shape[1] - 1).cast("long")), lambda j: F.coalesce(F.try_element_at("r", j), F.lit(0.0)).cast("string"))
+    rows.select(F.array_join(values, ",")).write.mode("overwrite").text(path)
 
 
 def write_solution(x: DataFrame, history: list[float], path: str) -> None:
@@ -133,8 +144,9 @@ def write_solution(x: DataFrame, history: list[float], path: str) -> None:
 
 
 def write_settings(settings: DataFrame, path: str) -> None:
-    """One JSON object per line: digits and the map of formats."""
-    settings.write.mode("overwrite").json(path)
+    """A JSON list with the map of formats of each number of digits, in order: what read_settings reads. There are as many as digits."""
+    one = settings.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("digits", F.map_entries("settings").alias("s")))), lambda x: F.map_from_entries(x["s"]))).alias("value"))
+    one.coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_runtimes(runtimes: DataFrame, path: str) -> None:

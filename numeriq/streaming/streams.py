@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,7 +76,8 @@ def local_centres(points: DataFrame, k: int, chunk: int, rounds: int = 5) -> Dat
 
 
 def reduce_to(centres: DataFrame, k: int, chunk: int) -> DataFrame:
-    """Centres of centres, until k at most are left."""
+    """Centres of centres, until k at most are left. A chunk holds 2 k at least, so that each round leaves fewer."""
+    chunk = max(chunk, 2 * k)
     now = cut(local_centres(centres, k, chunk))
     while now.count() > k:
         now = cut(local_centres(now, k, chunk))
@@ -110,7 +112,7 @@ def particle_filter(observations: DataFrame, by: str, order: str, value: str, pa
             out = []
             for k, o, v in zip(pdf[by], pdf[order], pdf[value]):
                 if x is None or k != key:
-                    key, rng = k, np.random.default_rng([seed, abs(int(k))])
+                    key, rng = k, np.random.default_rng([seed, zlib.crc32(str(k).encode())])
                     x = np.full(particles, float(v))
                 x = x + noise * rng.standard_normal(particles)
                 w = np.exp(-0.5 * ((x - v) / noise) ** 2) + 1e-300
