@@ -101,16 +101,17 @@ def forward(p: dict, inputs, h):
     import numpy as np
 
     n, (steps, lanes) = len(h), inputs.shape
-    a = np.ascontiguousarray((p["x"] + p["b"])[inputs.reshape(-1)].T).reshape(3 * n, steps, lanes)
+    rows = p["x"] + p["b"]
+    rows[:, : 2 * n] *= 0.5  # sigmoid(x) = tanh(x / 2) / 2 + 1/2
+    a = np.ascontiguousarray(rows[inputs.reshape(-1)].T).reshape(3 * n, steps, lanes)
     gates, cand = a[: 2 * n], a[2 * n :]
-    to_gates, to_cand = np.ascontiguousarray(p["u"][:, : 2 * n].T), np.ascontiguousarray(p["u"][:, 2 * n :].T)
+    to_gates, to_cand = 0.5 * np.ascontiguousarray(p["u"][:, : 2 * n].T), np.ascontiguousarray(p["u"][:, 2 * n :].T)
     goes_on = (inputs != 0).astype(h.dtype)
     before, reset, states = (np.empty((n, steps, lanes), h.dtype) for _ in range(3))
     for t in range(steps):
         b, g, r, c, s = before[:, t], gates[:, t], reset[:, t], cand[:, t], states[:, t]
         np.multiply(h, goes_on[t], out=b)
-        g += to_gates @ b  # sigmoid(x) = tanh(x / 2) / 2 + 1/2
-        g *= 0.5
+        g += to_gates @ b
         np.tanh(g, out=g)
         g *= 0.5
         g += 0.5
