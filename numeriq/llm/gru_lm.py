@@ -326,7 +326,7 @@ def window_scores(p: dict, shape: Shape, states, targets, mask, cls, place):
     return rows, out
 
 
-def scored_in_lanes(p: dict, shape: Shape, documents: Iterable, window: int = 16, lanes: int = 256) -> Iterator:
+def scored_in_lanes(p: dict, shape: Shape, documents: Iterable, window: int = 32, lanes: int = 256) -> Iterator:
     """(name, natural log-likelihood) of each (name, symbols), as documents end."""
     import numpy as np
 
@@ -354,7 +354,7 @@ def scored_in_lanes(p: dict, shape: Shape, documents: Iterable, window: int = 16
                     so_far[i] = 0.0
 
 
-def score_symbols(p: dict, shape: Shape, documents: list, window: int = 16, lanes: int = 256) -> list[float]:
+def score_symbols(p: dict, shape: Shape, documents: list, window: int = 32, lanes: int = 256) -> list[float]:
     """Natural log-likelihood of each array of symbols: class, and word of common words."""
     found = dict(scored_in_lanes(p, shape, enumerate(documents), window, lanes))
     return [found[i] for i in range(len(documents))]
@@ -609,7 +609,7 @@ def score_chunks(held: DataFrame, counts: DataFrame, vocabulary: Vocabulary, p:
     return held.join(other_counts(held, counts, vocabulary), "chunk", "left").mapInArrow(scored, "doc_id long, train boolean, n_tokens long, n_known long, logs double, score double")
 
 
-def document_scores(docs: DataFrame, shape: Shape | None = None, rounds: int = 2, window: int = 16, lanes: int = 256, rate: float = 0.01, chunk_tokens: int = 1_000_000) -> DataFrame:
+def document_scores(docs: DataFrame, shape: Shape | None = None, rounds: int = 2, window: int = 32, lanes: int = 128, rate: float = 0.01, chunk_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     shape = shape or Shape()
     held = chunks(docs, shape, chunk_tokens)
