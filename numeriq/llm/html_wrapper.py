@@ -7,9 +7,15 @@ are one repeating node, so a tree has some tens of nodes however long the page i
 2. Distinct skeletons of a host are folded into one template tree, a block of them at a time and then the blocks' templates, until
    one is left; each skeleton is then aligned with it. What is folded is bounded per task, however many pages a host has.
 3. Text that stands at one template node in all distinct pages that have the node (three at least) is template, and so is text that stands
-   at one place in all distinct pages of one skeleton. Counts are plain aggregates, combined before the shuffle.
+   at one place in all distinct pages of one skeleton. Outside of articles a node may also be a pool: where three quarters of its
+   different texts or more are each on three distinct pages, those texts are template. Counts are plain aggregates, combined before the shuffle.
 4. What is left in varying slots is content: that of article or main elements where the page has some, else of the body, without
-   navigation, headers, footers, sidebars, forms, notices, adverts and comments.
+   navigation, headers, footers, sidebars, forms, notices, adverts and comments. Words of classes and ids are a prior only: a section whose
+   words name a page part goes, unless it holds more than half of the characters that vary on the page, or the page has nothing else; sections
+   named as comments, notices or adverts go in any case.
+
+A tree has bounds (DEPTH, NODES, WIDE), and so has a template. A section beyond them is a slot all the same: the path of labels that
+leads to it, whose texts are counted in the same way.
 
 Nulls: a null or empty html gives an empty text; a null url is a host of its own without template. A page whose every block is
 template keeps them, for then nothing tells them from content (copies of one page count once). Pages are whole: nothing is cut or
@@ -21,7 +27,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_back, lean, materialize, table
@@ -35,13 +41,20 @@ BOILERPLATE = frozenset("nav footer aside form dialog menu head button select op
 ENDS_P = SECTIONS | frozenset("p ul ol dl pre table blockquote h1 h2 h3 h4 h5 h6 hr figure address".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-#: Words of class, id and role that mark a section as no part of the article.
+#: Words of class, id and role that name a section as a part of the page other than its article,
 MARKS = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent dialog disclaimer disqus footer gdpr "
-    "header masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pagination pager popup promo promoted promotion "
-    "related remark remarks replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription taboola toolbar widget".split()
+    "banner breadcrumb breadcrumbs dialog footer header masthead menu nav navbar navigation pager pagination promo promotion related search share sharing "
+    "sidebar social toolbar widget".split()
+)
+#: as comments, notices or adverts, which may well be longer than the article,
+NEVER = frozenset(
+    "ad ads advert adverts advertisement comment comments consent cookie cookies disclaimer disqus gdpr modal newsletter notice notices notification "
+    "outbrain popup promoted remark remarks replies reply signup sponsor sponsored subscribe subscription taboola".split()
 )
+#: and first words of names that only tell what a page has or lacks.
+STATES = frozenset("has have hide is no non not show with without".split())
 ARTICLE = frozenset(("article", "main"))
+ARTICLES = re.compile(r"<(?:article|main)[\s/>]", re.I)
 
 TAG = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
@@ -49,44 +62,60 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.S)
 SPLIT = re.compile(r"[^a-z]+")
 IN_HEAD = frozenset("head html meta link base script style title noscript template".split())
-#: A tree holds sections down to DEPTH and at most NODES; from WIDE siblings on, a section shares the node of an earlier one of its label.
-DEPTH, NODES, WIDE = 64, 1000, 32
+#: A tree holds sections down to DEPTH, NODES of them and WIDE of one parent. Those beyond are slots by their path of labels.
+DEPTH, NODES, WIDE = 64, 1000, 64
 
 
 class Node:
-    __slots__ = ("label", "children", "number")
+    __slots__ = ("label", "children", "number", "path")
+
+    def __init__(self, label: str, number: int = 0, path: int = 0):
+        self.label, self.children, self.number, self.path = label, [], number, path
+
+
+class Open:
+    """An open element: its section's node (None beyond the tree's bounds) and path, and what holds for the text in it."""
+
+    __slots__ = ("tag", "node", "path", "hard", "mark", "inside")
+
+    def __init__(self, tag, node, path, hard, mark, inside):
+        self.tag, self.node, self.path, self.hard, self.mark, self.inside = tag, node, path, hard, mark, inside
 
-    def __init__(self, label: str, number: int = 0):
-        self.label, self.children, self.number = label, [], number
+
+def path_key(parent: int, label: str) -> int:
+    """A negative number for a path of labels; a hash, so that trees of a host agree on it."""
+    return -1 - (text_key(f"{parent} {label}") & (1 << 62) - 1)
 
 
 def parse(html: str):
-    """(skeleton, blocks): the tree as nested text, and (node number, is content, in article, text) in page order.
+    """(skeleton, blocks): the tree as nested text, and (slot, hard, mark, in article, text) in page order.
 
-    Node 0 is the root. Text between a section's child sections is its text node ":". Sections beyond the bounds of a tree share a
-    node or have none, and then their text belongs to the section around them.
+    A slot is a node's number, or a negative path key beyond the tree's bounds. Node 0 is the root. Text between a section's child sections
+    is its text node ":". hard: in an element that is never content. mark: the number of the innermost section whose words name a page
+    part, negative in comments, notices and adverts, 0 in no such section. Time is linear in the page's length.
     """
     from html import unescape
 
     root = Node("#", 0)
-    count = 1
-    # stack entries: (tag, node or None, boilerplate, in article)
-    stack = [("#", root, False, False)]
-    blocks: list[tuple[int, bool, bool, str]] = []
+    count = marked = 0
+    stack = [Open("#", root, 0, False, 0, False)]
+    opened: dict[str, int] = {}
+    blocks: list[tuple[int, bool, int, bool, str]] = []
     words: list[str] = []
 
-    def child(parent: Node, label: str) -> Node | None:
+    def child(parent: Node | None, path: int, label: str) -> tuple[Node | None, int]:
         nonlocal count
+        if parent is None:
+            return None, path_key(path, label)
         have = parent.children
         if label == ":" and have and have[-1].label == label:
-            return have[-1]
-        if len(have) >= WIDE and (same := next((c for c in reversed(have) if c.label == label), None)):
-            return same
-        if count >= NODES and label != ":" or len(have) >= 2 * WIDE and label != ":":
-            return None
-        have.append(Node(label, count))
+            return have[-1], have[-1].path
+        path = path_key(path, label)
+        if count >= NODES or len(have) >= WIDE:
+            return None, path
         count += 1
-        return have[-1]
+        have.append(Node(label, count, path))
+        return have[-1], path
 
     def flush():
         if not words:
@@ -98,12 +127,13 @@ def parse(html: str):
         text = " ".join(text.split())
         if not text:
             return
-        node = next(n for _, n, _, _ in reversed(stack) if n is not None)
-        _, _, plate, inside = stack[-1]
-        blocks.append((child(node, ":").number, not plate, inside, text))
+        top = stack[-1]
+        node, path = child(top.node, top.path, ":")
+        blocks.append((path if node is None else node.number, top.hard, top.mark, top.inside, text))
 
     def close(to: int):
-        flush()
+        for x in stack[to:]:
+            opened[x.tag] -= 1
         del stack[to:]
 
     at, n = 0, len(html)
@@ -120,13 +150,12 @@ def parse(html: str):
             end = end.lower()
             if end in INLINE:
                 continue
-            if end == "br" or end == "p" and not any(s[0] == "p" for s in stack):
+            if end == "br" or end == "p" and not opened.get("p"):
                 words.append(" ")
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == end:
-                    close(i)
-                    break
+            if opened.get(end):
+                flush()
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == end))
             continue
         if not tag:
             continue
@@ -148,39 +177,41 @@ def parse(html: str):
         if tag in INLINE:
             continue
         flush()
-        if tag not in IN_HEAD and stack[-1][0] == "head":
-            del stack[-1]
-        if tag in ENDS_P:
+        if tag not in IN_HEAD and stack[-1].tag == "head":
+            close(len(stack) - 1)
+        if tag in ENDS_P and opened.get("p"):
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
+                if stack[i].tag == "p":
+                    close(i)
+                    break
+                if stack[i].tag in SECTIONS or stack[i].tag in ("td", "th", "li"):
                     break
-                if stack[i][0] in SECTIONS or stack[i][0] in ("td", "th", "li"):
+        if tag in CLOSES and any(opened.get(x) for x in CLOSES[tag]):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in CLOSES[tag]:
+                    close(i)
                     break
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in CLOSES.get(tag, ()):
-                del stack[i:]
-                break
-            if stack[i][0] in LIMITS.get(tag, SECTIONS) or stack[i][0] in SECTIONS:
-                break
-        _, _, plate, inside = stack[-1]
+                if stack[i].tag in LIMITS[tag] or stack[i].tag in SECTIONS:
+                    break
+        top = stack[-1]
+        hard, mark, inside = top.hard, top.mark, top.inside
         attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
         names = " ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower()
-        marks = set(SPLIT.split(names)) & MARKS if names.strip() else ()
-        if tag in ("html", "body") or tag in ARTICLE:
-            marks = ()
-        elif inside:
-            marks = set(marks) - {"header"}
-        # The header of an article holds its headline; any other is the page's.
-        plate = plate or tag in BOILERPLATE or bool(marks) or tag == "header" and not inside
-        plate = plate or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|$)", m[3].strip()))
-        inside = inside or tag in ARTICLE and not plate
-        node = None
+        if names.strip() and tag not in ("html", "body") and tag not in ARTICLE:
+            found = {w for parts in map(SPLIT.split, names.split()) if parts[0] not in STATES for w in parts}
+            # The header of an article holds its headline; any other is the page's.
+            if found & NEVER or found & MARKS - ({"header"} if inside else set()):
+                marked += 1
+                mark = -marked if found & NEVER or mark < 0 else marked
+        hard = hard or tag in BOILERPLATE or tag == "header" and not inside
+        hard = hard or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|$)", m[3].strip()))
+        inside = inside or tag in ARTICLE and not hard
+        node, path = top.node, top.path
         if tag in SECTIONS:
-            parent = next(x for _, x, _, _ in reversed(stack) if x is not None)
             name = tag + "".join(sorted("." + w for w in SPLIT.split(names) if w)) if names.strip() else tag
-            node = child(parent, name) if len(stack) < DEPTH else None
-        stack.append((tag, node, plate, inside))
+            node, path = child(node if len(stack) < DEPTH else None, path, name)
+        stack.append(Open(tag, node, path, hard, mark, inside))
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     return write_tree(root), blocks
 
@@ -262,7 +293,7 @@ def aligned(a: Node, b: Node) -> list[tuple[Node | None, Node | None, Node]]:
 
 
 def fold(trees: list[str]) -> str:
-    """One template that holds the trees; numbers are its own. A section that has no room left is in no slot, so its text is content."""
+    """One template that holds the trees; numbers are its own. Sections that have no room left are slots by their path of labels."""
     template = read_tree(trees[0])
     for text in trees[1:]:
         new = [(y, place) for x, y, place in aligned(template, read_tree(text)) if x is None]
@@ -278,9 +309,15 @@ def fold(trees: list[str]) -> str:
 
 
 def mapping(template: str, tree: str) -> list[int]:
-    """The template's number for each node of the tree, which the template holds."""
-    found = {y.number: x.number for x, y, _ in aligned(read_tree(template), read_tree(tree)) if x is not None}
-    return [found.get(i, -1) for i in range(max(found) + 1)]
+    """The slot of each node of the tree: the template's number for it, or its path key where the template had no room."""
+    root = read_tree(tree)
+    found = {y.number: x.number for x, y, _ in aligned(read_tree(template), root) if x is not None}
+    slots, todo = {}, [(root, 0)]
+    while todo:
+        x, path = todo.pop()
+        slots[x.number] = found.get(x.number, path)
+        todo += [(c, path_key(path, c.label)) for c in x.children]
+    return [slots[i] for i in range(len(slots))]
 
 
 def text_key(text: str) -> int:
@@ -300,17 +337,18 @@ def parsed_pages(pages: DataFrame, with_text: bool) -> DataFrame:
         for pdf in batches:
             for at in range(0, len(pdf), 500):
                 part = pdf.iloc[at : at + 500]
-                trees, blocks, digests = [], [], []
+                trees, blocks, digests, articles = [], [], [], []
                 for html in part["html"]:
                     tree, found = parse(html or "")
                     trees.append(tree)
-                    blocks.append([{"node": n, "content": c, "inside": i, "h": text_key(t), "text": t if with_text else None} for n, c, i, t in found])
-                    digests.append(hashlib.blake2b("\n".join(b[3] for b in found).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
-                yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "host": part["host"], "tree": trees, "digest": digests, "blocks": blocks})
+                    articles.append(bool(ARTICLES.search(html or "")))
+                    blocks.append([{"node": n, "hard": x, "mark": k, "inside": i, "h": text_key(t), "text": t if with_text else None} for n, x, k, i, t in found])
+                    digests.append(hashlib.blake2b("\n".join(b[4] for b in found).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
+                yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "host": part["host"], "tree": trees, "digest": digests, "article": articles, "blocks": blocks})
 
     host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = lean(pages).select(F.col("page_id").cast("long").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    return id_back(rows.mapInPandas(mapped, "page_id string, url string, host string, tree string, digest string, blocks array<struct<node int, content boolean, inside boolean, h long, text string>>"), "page_id")
+    return id_back(rows.mapInPandas(mapped, "page_id string, url string, host string, tree string, digest string, article boolean, blocks array<struct<node long, hard boolean, mark int, inside boolean, h long, text string>>"), "page_id")
 
 
 def templates(trees: DataFrame, at_once: int = 64) -> DataFrame:
@@ -333,7 +371,7 @@ def templates(trees: DataFrame, at_once: int = 64) -> DataFrame:
 
 def constant_text(parsed: DataFrame, least_pages: int) -> DataFrame:
     """(host, tree, drop): for each skeleton, the (node, text digest) that are template."""
-    known = materialize(parsed.filter("host is not null AND host <> ''").select("host", "tree", "digest", F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["h"].alias("h"))).alias("at")), "html-known")
+    known = materialize(parsed.filter("host is not null AND host <> ''").select("host", "tree", "digest", F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["h"].alias("h"), b["inside"].alias("inside"))).alias("at")), "html-known")
     # Copies of a page count once.
     distinct = known.groupBy("host", "digest").agg(F.min(F.struct("tree", "at")).alias("x")).select("host", "x.tree", F.array_distinct("x.at").alias("at"))
     trees = materialize(known.select("host", "tree").distinct(), "html-trees")
@@ -343,12 +381,19 @@ def constant_text(parsed: DataFrame, least_pages: int) -> DataFrame:
         for pdf in batches:
             yield pdf[["host", "tree"]].assign(slots=[mapping(a, b) for a, b in zip(pdf["template"], pdf["tree"])])
 
-    slots = materialize(named.mapInPandas(numbered, "host string, tree string, slots array<int>"), "html-slots")
-    counted = distinct.select("host", "tree", F.explode("at").alias("b")).groupBy("host", "tree", F.col("b.node").alias("node"), F.col("b.h").alias("h")).agg(F.count("*").alias("n"))
-    counted = materialize(counted.join(slots, ["host", "tree"]).select("host", "tree", "node", "h", "n", F.try_element_at("slots", F.col("node") + 1).alias("slot")), "html-counts")
+    def slot_of(node):
+        return F.when(node < 0, node).otherwise(F.try_element_at("slots", node.cast("int") + 1)).alias("slot")
+
+    slots = materialize(named.mapInPandas(numbered, "host string, tree string, slots array<long>"), "html-slots")
+    counted = distinct.select("host", "tree", F.explode("at").alias("b")).groupBy("host", "tree", F.col("b.node").alias("node"), F.col("b.h").alias("h")).agg(F.count("*").alias("n"), F.bool_or("b.inside").alias("inside"))
+    counted = materialize(counted.join(slots, ["host", "tree"]).select("host", "tree", "node", "h", "n", "inside", slot_of(F.col("node"))), "html-counts")
     per_tree = materialize(distinct.select("host", "tree", F.explode(F.array_distinct(F.transform("at", lambda b: b["node"]))).alias("node")).groupBy("host", "tree", "node").agg(F.count("*").alias("pages")), "html-nodes")
-    having = per_tree.join(slots, ["host", "tree"]).groupBy("host", F.try_element_at("slots", F.col("node") + 1).alias("slot")).agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= least_pages)
-    constant = counted.groupBy("host", "slot", "h").agg(F.sum("n").alias("n")).join(having, ["host", "slot"]).filter("n >= pages AND slot >= 0").select("host", "slot", "h")
+    having = per_tree.join(slots, ["host", "tree"]).groupBy("host", slot_of(F.col("node"))).agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= least_pages)
+    texts = materialize(counted.groupBy("host", "slot", "h").agg(F.sum("n").alias("n"), F.bool_or("inside").alias("inside")), "html-texts")
+    constant = texts.join(having, ["host", "slot"]).filter("n >= pages").select("host", "slot", "h")
+    pools = texts.groupBy("host", "slot").agg(F.count("*").alias("texts"), F.count_if(F.col("n") >= least_pages).alias("often"), F.bool_or("inside").alias("article")).filter("NOT article AND often > 1 AND 4 * often >= 3 * texts")
+    pooled = texts.filter(F.col("n") >= least_pages).join(pools, ["host", "slot"], "left_semi").select("host", "slot", "h")
+    constant = constant.unionByName(pooled).distinct()
     alike = counted.join(per_tree.filter(F.col("pages") >= least_pages), ["host", "tree", "node"]).filter("n >= pages").select("host", "tree", "node", "h")
     drop = counted.join(constant, ["host", "slot", "h"]).select("host", "tree", "node", "h").unionByName(alike).groupBy("host", "tree").agg(F.collect_set(F.struct("node", "h")).alias("drop"))
     return drop
@@ -364,14 +409,37 @@ def extract_main_text(pages: DataFrame, least_pages: int = 3) -> DataFrame:
     size = drop.agg(F.sum(F.size("drop")), F.count("*")).first()
     drop = F.broadcast(drop) if (size[0] or 0) <= BROADCAST_TEXTS and size[1] <= BROADCAST_TEXTS // 50 else drop
     rows = parsed_pages(pages, True).join(drop, ["host", "tree"], "left")
-    inside = F.exists("blocks", lambda b: b["inside"] & b["content"])
-    content = F.filter("blocks", lambda b: b["content"] & (b["inside"] | ~F.col("has_inside")))
     fixed = lambda b: F.coalesce(F.array_contains(F.col("drop"), F.struct(b["node"].alias("node"), b["h"].alias("h"))), F.lit(False))
+    usable = F.filter("blocks", lambda b: ~b["hard"])
+    inside = F.exists("usable", lambda b: b["inside"] & (b["mark"] == 0))
+    rows = rows.withColumn("usable", usable).withColumn("has_inside", inside)
+    rows = rows.withColumn("content", F.filter("usable", lambda b: b["inside"] | ~F.col("has_inside")))
+    # Template text or not, what is named a page part is only what is left when the page has no other.
     varying = F.filter("content", lambda b: ~fixed(b))
-    rows = rows.withColumn("has_inside", inside).withColumn("content", content).withColumn("varying", varying)
-    text = F.array_join(F.transform(F.when(F.size("varying") > 0, F.col("varying")).otherwise(F.col("content")), lambda b: b["text"]), " ")
+    rows = rows.withColumn("varying", F.when(F.exists(varying, lambda b: b["mark"] >= 0), varying).otherwise(F.col("content")))
+    rows = rows.withColumn("main", main_mark(F.col("varying")))
+    kept = F.filter("varying", lambda b: (b["mark"] == 0) | (b["mark"] == F.col("main")))
+    text = F.array_join(F.transform(F.when(F.size(kept) > 0, kept).otherwise(F.filter("varying", lambda b: (b["mark"] >= 0) & ~F.col("article"))), lambda b: b["text"]), " ")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def main_mark(blocks: Column) -> Column:
+    """The marked section that holds more than half of the blocks' characters, or 0: a majority vote in one pass, verified by another.
+
+    On a page that has an article or main element, sections outside of it are never that section.
+    """
+    size = lambda b: F.length(b["text"]).cast("long")
+
+    def vote(now, b):
+        n, same = size(b), now["mark"] == b["mark"]
+        left = now["weight"] - n
+        return F.struct(F.when(same | (left >= 0), now["mark"]).otherwise(b["mark"]).alias("mark"), F.when(same, now["weight"] + n).otherwise(F.abs(left)).alias("weight"))
+
+    first = F.aggregate(blocks, F.struct(F.lit(0).alias("mark"), F.lit(0).cast("long").alias("weight")), vote)["mark"]
+    whole = F.aggregate(blocks, F.lit(0).cast("long"), lambda a, b: a + size(b))
+    own = F.aggregate(F.filter(blocks, lambda b: (b["mark"] == first) & (b["inside"] | ~F.col("article"))), F.lit(0).cast("long"), lambda a, b: a + size(b))
+    return F.when((first > 0) & (2 * own > whole), first).otherwise(0)
+
+
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))

@@ -5,8 +5,8 @@ from numeriq.llm.html_wrapper import aligned, extract_main_text, fold, mapping,
 
 def text_of(html):
     _, blocks = parse(html)
-    inside = any(b[1] and b[2] for b in blocks)
-    return " ".join(t for _, content, a, t in blocks if content and (a or not inside))
+    inside = any(not hard and not mark and a for _, hard, mark, a, _ in blocks)
+    return " ".join(t for _, hard, mark, a, t in blocks if not hard and not mark and (a or not inside))
 
 
 def test_parse_keeps_the_article_only():
@@ -27,7 +27,7 @@ def test_parse_survives_anything():
     assert text_of("<script>if (a</b) {}</script><textarea><p>no</textarea>yes<title>t</title>") == "yes"
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000 + "<section>" * 500
     tree, blocks = parse(deep)
-    assert [b[3] for b in blocks] == ["deep"] and fold([tree, tree]) and mapping(fold([tree]), tree)
+    assert [b[4] for b in blocks] == ["deep"] and fold([tree, tree]) and mapping(fold([tree]), tree)
     wide = "".join(f"<div class=c{i}><section>{i}</section></div>" for i in range(3000)) + "".join(f"<div class={'abcdefghij'[i % 10] * (i // 10 + 1)}>z</div>" for i in range(2000))
     tree, blocks = parse(wide)
     assert len(blocks) == 5000 and len(tree) < 40_000
@@ -71,3 +71,49 @@ def test_pages_of_the_tables(spark, sf_dir):
         inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
         assert got[r["page_id"]].split() == want.split()
+
+
+def test_names_are_a_prior_only(spark):
+    body = "<p>" + "Long words of the story. " * 9 + "</p>"
+    story = "Long words of the story. " * 9
+    pages = [
+        ('<body><div class="content no-sidebar"><p>Hello</p></div></body>', "Hello"),
+        ('<body><div class="search-results"><p>Hello</p></div></body>', "Hello"),
+        (f'<body><h1>T</h1><div class="widget-area">{body}</div><div class="related">More</div></body>', "T " + story.strip()),
+        ('<body><h1>T</h1><p>Short</p><div class="user-comments">' + body * 9 + "</div></body>", "T Short"),
+        ('<body><article></article><div class="sidebar">Side</div></body>', ""),
+        (f'<body><article><p>Short</p><div class="share">{body}</div></article><div class="sidebar">{body}</div></body>', "Short " + story.strip()),
+        ('<body><div class="ad">Buy</div><footer>f</footer></body>', ""),
+    ]
+    df = spark.createDataFrame([(i, f"http://h{i}.example/", h) for i, (h, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract_main_text(df).collect()}
+    assert [got[i] for i in range(len(pages))] == [t for _, t in pages]
+
+
+def test_neutral_names_without_articles(spark):
+    """Constant, optional and pooled slots are dropped by induction alone; no element or class says what they are."""
+    pool = ["Try our tea", "Try our soap", "Fly to Mars"]
+    rows = []
+    for i in range(30):
+        note = "<section class=b>We moved house</section>" if i % 3 == 0 else ""
+        rows.append((i, f"http://n.example/{i}", f"<body><div class=a>Our name</div>{note}<div class=c>{pool[i % 3]}</div><div class=d><h1>Head {i}</h1><p>Story {i} goes on</p><div class=e>{pool[(i + i // 3) % 3]}</div><p>and ends {i}</p></div><div class=f>Bye</div></body>"))
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Head {i} Story {i} goes on and ends {i}" for i in range(30)}
+
+
+def test_sections_beyond_the_bounds_are_counted(spark):
+    """Constant text under sections that a tree or a template has no room for is template too."""
+    rows = []
+    for i in range(5):
+        many = "".join(f"<div class={chr(97 + k // 26)}{chr(97 + k % 26)}><p>Fixed {k}</p></div>" for k in range(300))
+        rows.append((i, f"http://w.example/{i}", f"<body>{many}<div class=zzz><p>Own {i}</p></div></body>"))
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Own {i}" for i in range(5)}
+
+
+def test_nested_pages_parse_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    _, blocks = parse("<div>" * 20_000 + "<p>x</p></span>" * 2_000 + "</section>" * 2_000)
+    assert len(blocks) == 2_000 and time.perf_counter() - began < 1.5
