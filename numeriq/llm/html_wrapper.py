@@ -390,10 +390,11 @@ def constant_text(parsed: DataFrame, least_pages: int) -> DataFrame:
     per_tree = materialize(distinct.select("host", "tree", F.explode(F.array_distinct(F.transform("at", lambda b: b["node"]))).alias("node")).groupBy("host", "tree", "node").agg(F.count("*").alias("pages")), "html-nodes")
     having = per_tree.join(slots, ["host", "tree"]).groupBy("host", slot_of(F.col("node"))).agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= least_pages)
     texts = materialize(counted.groupBy("host", "slot", "h").agg(F.sum("n").alias("n"), F.bool_or("inside").alias("inside")), "html-texts")
-    constant = texts.join(having, ["host", "slot"]).filter("n >= pages").select("host", "slot", "h")
-    pools = texts.groupBy("host", "slot").agg(F.count("*").alias("texts"), F.count_if(F.col("n") >= least_pages).alias("often"), F.bool_or("inside").alias("article")).filter("NOT article AND often > 1 AND 4 * often >= 3 * texts")
-    pooled = texts.filter(F.col("n") >= least_pages).join(pools, ["host", "slot"], "left_semi").select("host", "slot", "h")
-    constant = constant.unionByName(pooled).distinct()
+    repeats = F.count_if(F.col("n") >= least_pages)
+    pools = texts.groupBy("host", "slot").agg(F.count("*").alias("texts"), repeats.alias("often"), F.bool_or("inside").alias("article"))
+    rules = having.join(pools, ["host", "slot"]).select("host", "slot", "pages", (~F.col("article") & (F.col("often") > 1) & (4 * F.col("often") >= 3 * F.col("texts"))).alias("pool"))
+    # Only texts that repeat are joined, so a slot of articles is no hot key.
+    constant = texts.filter(F.col("n") >= least_pages).join(rules, ["host", "slot"]).filter("n >= pages OR pool").select("host", "slot", "h")
     alike = counted.join(per_tree.filter(F.col("pages") >= least_pages), ["host", "tree", "node"]).filter("n >= pages").select("host", "tree", "node", "h")
     drop = counted.join(constant, ["host", "slot", "h"]).select("host", "tree", "node", "h").unionByName(alike).groupBy("host", "tree").agg(F.collect_set(F.struct("node", "h")).alias("drop"))
     return drop
@@ -414,31 +415,40 @@ def extract_main_text(pages: DataFrame, least_pages: int = 3) -> DataFrame:
     inside = F.exists("usable", lambda b: b["inside"] & (b["mark"] == 0))
     rows = rows.withColumn("usable", usable).withColumn("has_inside", inside)
     rows = rows.withColumn("content", F.filter("usable", lambda b: b["inside"] | ~F.col("has_inside")))
-    # Template text or not, what is named a page part is only what is left when the page has no other.
-    varying = F.filter("content", lambda b: ~fixed(b))
-    rows = rows.withColumn("varying", F.when(F.exists(varying, lambda b: b["mark"] >= 0), varying).otherwise(F.col("content")))
-    rows = rows.withColumn("main", main_mark(F.col("varying")))
-    kept = F.filter("varying", lambda b: (b["mark"] == 0) | (b["mark"] == F.col("main")))
-    text = F.array_join(F.transform(F.when(F.size(kept) > 0, kept).otherwise(F.filter("varying", lambda b: (b["mark"] >= 0) & ~F.col("article"))), lambda b: b["text"]), " ")
+    rows = rows.withColumn("fresh", F.filter("content", lambda b: ~fixed(b)))
+    # A page whose every block is template keeps them.
+    rows = rows.withColumn("varying", F.when(F.exists("fresh", lambda b: b["mark"] >= 0), F.col("fresh")).otherwise(F.col("content")))
+    rows = rows.withColumn("vote", vote("varying")).withColumn("main", holds_most("varying", "vote"))
+    rows = rows.withColumn("kept", F.filter("varying", lambda b: (b["mark"] == 0) | (b["mark"] == F.col("main"))))
+    left = F.when(~F.col("article"), F.filter("varying", lambda b: b["mark"] >= 0))
+    text = F.array_join(F.transform(F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.coalesce(left, F.array())), lambda b: b["text"]), " ")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-def main_mark(blocks: Column) -> Column:
-    """The marked section that holds more than half of the blocks' characters, or 0: a majority vote in one pass, verified by another.
+def characters(b: Column) -> Column:
+    return F.length(b["text"]).cast("long")
 
-    On a page that has an article or main element, sections outside of it are never that section.
-    """
-    size = lambda b: F.length(b["text"]).cast("long")
 
-    def vote(now, b):
-        n, same = size(b), now["mark"] == b["mark"]
+def vote(blocks: str) -> Column:
+    """The only mark that more than half of the blocks' characters can have: a majority vote in one pass."""
+
+    def counted(now, b):
+        n, same = characters(b), now["mark"] == b["mark"]
         left = now["weight"] - n
         return F.struct(F.when(same | (left >= 0), now["mark"]).otherwise(b["mark"]).alias("mark"), F.when(same, now["weight"] + n).otherwise(F.abs(left)).alias("weight"))
 
-    first = F.aggregate(blocks, F.struct(F.lit(0).alias("mark"), F.lit(0).cast("long").alias("weight")), vote)["mark"]
-    whole = F.aggregate(blocks, F.lit(0).cast("long"), lambda a, b: a + size(b))
-    own = F.aggregate(F.filter(blocks, lambda b: (b["mark"] == first) & (b["inside"] | ~F.col("article"))), F.lit(0).cast("long"), lambda a, b: a + size(b))
-    return F.when((first > 0) & (2 * own > whole), first).otherwise(0)
+    return F.aggregate(blocks, F.struct(F.lit(0).alias("mark"), F.lit(0).cast("long").alias("weight")), counted)["mark"]
+
+
+def holds_most(blocks: str, mark: str) -> Column:
+    """The voted mark if it is that of more than half of the characters and names no comments, notices or adverts, or 0. On a page that
+    has an article or main element, only sections in it count."""
+    sums = F.aggregate(
+        blocks, F.struct(F.lit(0).cast("long").alias("own"), F.lit(0).cast("long").alias("all")),
+        lambda a, b: F.struct((a["own"] + F.when((b["mark"] == F.col(mark)) & (b["inside"] | ~F.col("article")), characters(b)).otherwise(0)).alias("own"), (a["all"] + characters(b)).alias("all")),
+        lambda a: 2 * a["own"] > a["all"],
+    )
+    return F.when(F.col(mark) > 0, F.when(sums, F.col(mark))).otherwise(F.lit(0))
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
