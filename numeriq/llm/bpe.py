@@ -6,7 +6,8 @@ lower case before the split, and no decoder (decoding joins the token strings wi
 Texts are cut at white space; each distinct run of characters in a task is split and merged once. The symbols of all new words of a
 batch stand in one flat array. In each round every pair of neighbours is looked up by binary search over the sorted pair keys of the
 merge list, each word merges the pair of its lowest rank wherever it occurs (from the left, without overlap), and words without a pair
-leave.
+leave. A round costs the length of what is left, and a long run of letters takes many rounds, so words of more than `LONG` bytes are merged
+one pair at a time from a heap of (rank, place), which gives the same symbols.
 
 Nulls: a null text counts as empty (no tokens, the digests of the empty string). Repeated rows are encoded each; other columns are ignored.
 """
@@ -25,6 +26,10 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
+#: Words of more bytes than this are merged from a heap.
+LONG = 1000
+
+
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte: itself where it is one, else the next from 256 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -65,6 +70,7 @@ class WordBPE:
         self.words = regex.compile(WORDS)
         self.marks = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.remember = remember
+        self.pairs: dict[int, tuple[int, int]] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -78,6 +84,58 @@ class WordBPE:
         import numpy as np
 
         raw = [w.encode() for w in words]
+        long = [i for i, w in enumerate(raw) if len(w) > LONG]
+        if long:
+            return self.with_long(raw, long)
+        return self.in_rounds(raw)
+
+    def with_long(self, raw: list[bytes], long: list[int]):
+        """As in_rounds, with the words at the places `long` merged by heap."""
+        import numpy as np
+
+        apart = set(long)
+        short = [i for i in range(len(raw)) if i not in apart]
+        parts: list = [None] * len(raw)
+        if short:
+            ids, sizes = self.in_rounds([raw[i] for i in short])
+            for i, part in zip(short, np.split(ids, np.cumsum(sizes)[:-1])):
+                parts[i] = part
+        for i in long:
+            parts[i] = self.from_heap(raw[i])
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def from_heap(self, word: bytes):
+        """The word's symbols: always the pair of lowest rank is merged, the leftmost first, in a list whose places are linked."""
+        import heapq
+
+        import numpy as np
+
+        if not self.pairs:
+            self.pairs = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist())))
+        flat = np.frombuffer(word, np.uint8)
+        sym = self.inner[flat].tolist()
+        sym[-1] = int(self.final[flat[-1]])
+        n, base, find = len(sym), self.base, self.pairs.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(found[0], i, key) for i, key in enumerate(a * base + b for a, b in zip(sym, sym[1:])) if (found := find(key))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, key = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] < 0 or j >= n or sym[i] * base + sym[j] != key:
+                continue
+            sym[i], sym[j] = find(key)[1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b < n and (found := find(key := sym[a] * base + sym[b])):
+                    heapq.heappush(heap, (found[0], a, key))
+        return np.array([x for x in sym if x >= 0], np.int32)
+
+    def in_rounds(self, raw: list[bytes]):
+        import numpy as np
+
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         flat = np.frombuffer(b"".join(raw), np.uint8)
         ends = np.cumsum(lengths) - 1

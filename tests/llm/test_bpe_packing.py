@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -104,3 +106,20 @@ def test_empty_and_repeated(spark):
     assert check_packing(pack(cut_pieces(same).persist()).collect(), [1] * 3, 1024) == 1
     assert encode_decode(same).count() == 3
     assert op3_bpe is not None
+
+
+def test_long_runs_of_letters():
+    """Words merged by heap equal those merged in rounds and the library's, in time that is nearly in proportion to their length."""
+    path = P.path("word_bpe_49k.json")
+    bpe, library = WordBPE(path), Tokenizer.from_file(path)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(kind) for _ in range(n)) for kind in ("abcdefghijklmnop", "aab", "a", "thein", "éüßa") for n in (1001, 2500, 5000)]
+    texts += ["short " + texts[0] + " words, " + texts[4] + "'s end"]
+    for text, ids in zip(texts, bpe.encode(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+        word = text.encode()
+        if text.isalpha():
+            assert bpe.from_heap(word).tolist() == bpe.in_rounds([word])[0].tolist()
+    began = time.perf_counter()
+    bpe.encode(["".join(rng.choice("etaoinshrdlu") for _ in range(100_000))])
+    assert time.perf_counter() - began < 3
