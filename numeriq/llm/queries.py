@@ -7,6 +7,7 @@ from .chat import op8_chat_formatting
 from .exact_dedup import op7_exact_dedup
 from .gru_lm import op4_language_model
 from .html_wrapper import op1_html_extraction
+from .merkle import op11_merkle_manifest
 from .ngram_join import op2_ngram_jaccard_join
 from .packing import op10_best_fit_packing
 from .toxicity import op5_toxicity
@@ -56,6 +57,41 @@ SELECT record_id, url_key, CASE WHEN of_tag = tag THEN of_id * 4 END AS response
   CASE WHEN of_tag = tag THEN 'content-type=text/html;date=' || ts || ';etag=' || tag || ';server=a' END AS headers
 FROM j WHERE n = 1"""
 
+#: The table of the CRC-32 of zlib, made by its rule.
+CRC_TABLE = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+
+def field(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || {x} END"
+
+
+def leaf(n: str) -> str:
+    return "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", n, "text"))) + ")"
+
+
+MERKLE_SQL = f"""
+WITH RECURSIVE crc AS (SELECT {CRC_TABLE} AS t),
+d AS (SELECT doc_id, lang, {leaf("n_chars")} AS leaf, {leaf("(n_chars + 1)")} AS altered,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ord(x))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+  FROM documents, crc),
+l AS (SELECT doc_id, lang, leaf, CASE WHEN crc % 7 = 0 AND altered IS NOT NULL THEN altered ELSE leaf END AS altered,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM d),
+node AS (SELECT lang, 0 AS lvl, idx, n, leaf AS digest FROM l
+  UNION ALL SELECT lang, lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM node WHERE n > 1 GROUP BY lang, lvl, idx // 2, n),
+s AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM node WHERE n = 1),
+top AS (SELECT 0 AS lvl, idx, n, subroot AS digest FROM s
+  UNION ALL SELECT lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY lvl, idx // 2, n),
+low AS (SELECT doc_id, lang, leaf, 0 AS lvl, idx, n, altered AS folded, '' AS way FROM l
+  UNION ALL SELECT p.doc_id, p.lang, p.leaf, p.lvl + 1, p.idx // 2, (p.n + 1) // 2,
+    sha256(CASE WHEN p.idx % 2 = 1 THEN o.digest || p.folded ELSE p.folded || coalesce(o.digest, '') END), p.way || coalesce(o.digest, '')
+  FROM low p LEFT JOIN node o ON o.lang IS NOT DISTINCT FROM p.lang AND o.lvl = p.lvl AND o.idx = xor(p.idx, 1) WHERE p.n > 1),
+high AS (SELECT low.doc_id, low.leaf, s.subroot, 0 AS lvl, s.idx, s.n, low.folded, low.way FROM low JOIN s ON s.lang IS NOT DISTINCT FROM low.lang WHERE low.n = 1
+  UNION ALL SELECT p.doc_id, p.leaf, p.subroot, p.lvl + 1, p.idx // 2, (p.n + 1) // 2,
+    sha256(CASE WHEN p.idx % 2 = 1 THEN o.digest || p.folded ELSE p.folded || coalesce(o.digest, '') END), p.way || coalesce(o.digest, '')
+  FROM high p LEFT JOIN top o ON o.lvl = p.lvl AND o.idx = xor(p.idx, 1) WHERE p.n > 1)
+SELECT doc_id, leaf, subroot, digest AS root, sha256(way) AS proof_sha256, folded AS folded_root, folded = digest AS verified
+FROM high JOIN top ON top.n = 1 WHERE high.n = 1"""
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -67,6 +103,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES = {
@@ -74,4 +111,5 @@ ORACLES = {
     "op7_exact_dedup": DEDUP_SQL,
     "op8_chat_formatting": CHAT_SQL,
     "op9_warc_revisits": WARC_SQL,
+    "op11_merkle_manifest": MERKLE_SQL,
 }
