@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op3_bpe
 from .chat import op8_chat_formatting
 from .exact_dedup import op7_exact_dedup
+from .fingerprints import op13_document_fingerprints
 from .gru_lm import op4_language_model
 from .html_wrapper import op1_html_extraction
 from .merkle import op11_merkle_manifest
@@ -104,6 +105,7 @@ QUERIES = {
     "op9_warc_revisits": op9_warc_revisits,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_document_fingerprints": op13_document_fingerprints,
 }
 
 ORACLES = {
