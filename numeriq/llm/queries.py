@@ -11,6 +11,7 @@ from .html_wrapper import op1_html_extraction
 from .merkle import op11_merkle_manifest
 from .ngram_join import op2_ngram_jaccard_join
 from .packing import op10_best_fit_packing
+from .spelling import op12_spelling_variants
 from .toxicity import op5_toxicity
 from .voronoi_knn import op6_exact_topk
 from .warc import op9_warc_revisits
@@ -93,6 +94,24 @@ high AS (SELECT low.doc_id, low.leaf, s.subroot, 0 AS lvl, s.idx, s.n, low.folde
 SELECT doc_id, leaf, subroot, digest AS root, sha256(way) AS proof_sha256, folded AS folded_root, folded = digest AS verified
 FROM high JOIN top ON top.n = 1 WHERE high.n = 1"""
 
+SPELLING_SQL = f"""
+WITH RECURSIVE crc AS (SELECT {CRC_TABLE} AS t),
+run AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+per AS (SELECT doc_id, w, count(*) AS n FROM run GROUP BY doc_id, w),
+code AS (SELECT w, n, xor(list_reduce(list_concat([4294967295], list_transform(range(octet_length(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w))), lambda i: ('0x' || substr(hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)), 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM per, crc),
+word AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, CAST(sum(n) AS BIGINT) AS n FROM code GROUP BY 1
+  HAVING sum(n) >= 3 AND length(word) >= 5),
+cut AS (SELECT word, n, unnest(range(length(word))) AS i FROM word),
+less AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM cut),
+near AS (SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN word b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN word b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top, min(other) FILTER (n = m) AS other FROM (SELECT *, max(n) OVER (PARTITION BY word) AS m FROM near) GROUP BY word),
+form AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.top >= 2 * w.n THEN b.other END AS form, CASE WHEN b.top >= 2 * w.n THEN b.top END AS form_n
+  FROM word w LEFT JOIN best b ON b.word = w.word),
+walk AS (SELECT word, word AS root, form AS next FROM form UNION ALL SELECT w.word, f.word, f.form FROM walk w JOIN form f ON f.word = w.next)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM form f JOIN walk w ON w.word = f.word AND w.next IS NULL"""
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -105,6 +124,7 @@ QUERIES = {
     "op9_warc_revisits": op9_warc_revisits,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_document_fingerprints": op13_document_fingerprints,
 }
 
@@ -114,4 +134,5 @@ ORACLES = {
     "op8_chat_formatting": CHAT_SQL,
     "op9_warc_revisits": WARC_SQL,
     "op11_merkle_manifest": MERKLE_SQL,
+    "op12_spelling_variants": SPELLING_SQL,
 }
