@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import gaussian_pdf
 from ..functions.vectors import dot, linear_score
 from ..plans.lineage import cut
+from .graph import components
 from .joins import lattice_edges, lattice_neighbours, nearest_centre
 from .sequences import best_split, split_scan
 
@@ -50,15 +51,9 @@ def dbscan_lattice(df: DataFrame, x: str, y: str, radius: int, least: int) -> Da
     neighbours', and noise has none. The result doesn't depend on the order of rows."""
     grid = cut(lattice_neighbours(df.withColumn("__w", F.lit(1)), x, y, "__w", radius))
     core = grid.filter(F.col("near") >= least)
-    edges = cut(lattice_edges(core, x, y, radius))
-    labels = core.select(x, y, F.struct(x, y).alias("label"))
-    while True:
-        sent = edges.join(labels, [x, y]).select(F.col("x2").alias(x), F.col("y2").alias(y), "label")
-        new = cut(labels.unionByName(sent).groupBy(x, y).agg(F.min("label").alias("label")))
-        moved = new.join(labels.withColumnRenamed("label", "old"), [x, y]).filter("label <> old").limit(1).count()
-        labels = new
-        if not moved:
-            break
+    edges = lattice_edges(core, x, y, radius).select(F.struct(x, y).alias("a"), F.struct(F.col("x2").alias(x), F.col("y2").alias(y)).alias("b"))
+    roots = components(edges.filter("a < b")).select(F.col(f"node.{x}").alias(x), F.col(f"node.{y}").alias(y), "root")
+    labels = cut(core.select(x, y).join(roots, [x, y], "left").select(x, y, F.coalesce("root", F.struct(x, y)).alias("label")))
     offsets = lattice_edges(grid, x, y, radius).join(labels.select(F.col(x).alias("x2"), F.col(y).alias("y2"), "label"), ["x2", "y2"]).groupBy(x, y).agg(F.min("label").alias("border"))
     named = grid.join(labels, [x, y], "left").join(offsets, [x, y], "left").withColumn("l", F.coalesce("label", "border"))
     return named.select(x, y, "weight", "near", F.when(F.col("l").isNotNull(), F.concat_ws(",", F.col(f"l.{x}"), F.col(f"l.{y}"))).alias("cluster"))

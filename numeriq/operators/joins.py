@@ -2,49 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import squared_distance
 
 
-def knn(data: DataFrame, is_query: Column, k: int, id_col: str = "id", vector_col: str = "v", query_block: int = 1024, part_rows: int = 16_384) -> DataFrame:
-    """query_id, rank, id, distance: the k nearest rows of each query row (itself included), ties to the smaller id.
-
-    Queries travel in blocks, each joined to the data once per data partition: a block's matrix product gives its candidates there,
-    at most k per query and partition, and a window merges them. Squared distances are exact sums, not |x|^2 - 2xq + |q|^2.
-    """
-    import math
-
-    deal = max(64, -(-data.count() // part_rows))  # parts of about part_rows rows at most
-    blocks = max(1, math.ceil(data.filter(is_query).count() / query_block))
-    queries = data.filter(is_query).select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))
-    gathered = queries.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-    parts = data.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).withColumn("part", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(deal)))
-    rows = parts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def nearest(left, right):
-        import numpy as np
-        import pandas as pd
-
-        out = []
-        if len(left) and len(right):
-            order = np.argsort(left["id"].to_numpy(), kind="stable")
-            ids, d = left["id"].to_numpy()[order], np.stack(left["v"].to_numpy()[order]).astype(np.float64)
-            for r in right["queries"].iloc[0]:
-                s = ((d - np.asarray(r["q"], np.float64)) ** 2).sum(1)
-                top = np.argsort(s, kind="stable")[:k]
-                out += [(r["query_id"], ids[i], s[i]) for i in top]
-        return pd.DataFrame(out, columns=["query_id", "id", "d2"])
-
-    sent = gathered.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long"))))
-    near = rows.groupBy("block", "part").cogroup(sent.groupBy("block", "part")).applyInPandas(nearest, "query_id long, id long, d2 double")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "id"))
-    return near.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "id", F.sqrt("d2").alias("distance"))
-
-
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """(query_id, recall): the share of a query's k true neighbours that were found."""
     hits = found.join(truth.select("query_id", "id"), ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("hits"))

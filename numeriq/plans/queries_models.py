@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
-from ..operators import estimators, joins, prep
+from ..operators import estimators, joins, metric, prep
 from ..streaming import streams
 from .registry import query, read
 
@@ -25,7 +25,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, id) AS ran
 
 @query(KNN + " SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(sqrt(d2), 8) AS distance FROM r WHERE rank <= 3")
 def knn_topk(spark, sf_dir):
-    return joins.knn(points(spark, sf_dir), F.col("id") % 25 == 0, 3).withColumn("distance", F.round("distance", 8))
+    return metric.knn(points(spark, sf_dir), F.col("id") % 25 == 0, 3).withColumn("distance", F.round("distance", 8))
 
 
 @query(KNN + """, h AS (SELECT vec_id AS id, embedding[1:16] AS v FROM embeddings),
@@ -33,15 +33,15 @@ s AS (SELECT q.id AS query_id, h.id, row_number() OVER (PARTITION BY q.id ORDER
 SELECT r.query_id, count(s.id) / 5.0 AS recall FROM r LEFT JOIN s ON s.query_id = r.query_id AND s.id = r.id AND s.n <= 5 WHERE r.rank <= 5 GROUP BY 1""")
 def knn_recall(spark, sf_dir):
     """Recall of neighbours by the first 16 coordinates."""
-    exact = joins.knn(points(spark, sf_dir), F.col("id") % 25 == 0, 5)
-    found = joins.knn(short(spark, sf_dir, 16), F.col("id") % 25 == 0, 5)
+    exact = metric.knn(points(spark, sf_dir), F.col("id") % 25 == 0, 5)
+    found = metric.knn(short(spark, sf_dir, 16), F.col("id") % 25 == 0, 5)
     return joins.recall(found, exact, 5)
 
 
 @query(KNN + """, v AS (SELECT query_id, label, count(*) AS n FROM r WHERE rank <= 5 GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, label) AS o FROM v) SELECT query_id, label AS prediction FROM w WHERE o = 1""")
 def knn_classify(spark, sf_dir):
     p = points(spark, sf_dir)
-    near = joins.knn(p, F.col("id") % 25 == 0, 5).join(p.select("id", "label"), "id")
+    near = metric.knn(p, F.col("id") % 25 == 0, 5).join(p.select("id", "label"), "id")
     return joins.majority_vote(near, "label")
 
 
@@ -105,11 +105,33 @@ l AS (SELECT a AS id, min(b) AS label FROM r GROUP BY a),
 o AS (SELECT n.x, n.y, min(l.label) AS label FROM n JOIN c ON (n.x - c.x) * (n.x - c.x) + (n.y - c.y) * (n.y - c.y) <= 4 JOIN l ON l.id = c.id GROUP BY 1, 2),
 m AS (SELECT n.*, coalesce(l.label, o.label) AS label FROM n LEFT JOIN l ON l.id = n.x * 100000 + n.y LEFT JOIN o ON o.x = n.x AND o.y = n.y)
 SELECT x, y, weight, near, (label // 100000) || ',' || (label % 100000) AS cluster FROM m""")
-def density_clusters(spark, sf_dir):
+def lattice_clusters(spark, sf_dir):
     p = lattice(spark, sf_dir)
     return estimators.dbscan_lattice(p, "x", "y", 2, least_core(p.count()))
 
 
+PAIRS = """e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL),
+d AS (SELECT a.id AS a, b.id AS b, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2 FROM e a JOIN e b ON a.id <> b.id),
+w AS (SELECT a, b, sqrt(d2) AS distance FROM d WHERE d2 <= 1.15 * 1.15)"""
+
+
+@query(f"WITH {PAIRS} SELECT a AS id, b AS other, round(distance, 8) AS distance FROM w WHERE a < b")
+def vector_range_join(spark, sf_dir):
+    """Pairs of embeddings within a radius."""
+    return metric.range_join(points(spark, sf_dir), 1.15).withColumn("distance", F.round("distance", 8))
+
+
+@query(f"""WITH RECURSIVE {PAIRS}, n AS (SELECT e.id, count(w.b) AS near FROM e LEFT JOIN w ON w.a = e.id GROUP BY 1),
+c AS (SELECT id FROM n WHERE near >= 4), x AS (SELECT a, b FROM w SEMI JOIN c ON c.id = w.a), y AS (SELECT a, b FROM x SEMI JOIN c ON c.id = x.b),
+r(a, b) AS (SELECT id, id FROM c UNION SELECT r.a, y.b FROM r JOIN y ON r.b = y.a),
+l AS (SELECT a AS id, min(b) AS label FROM r GROUP BY a),
+o AS (SELECT w.a AS id, min(l.label) AS label FROM w JOIN l ON l.id = w.b GROUP BY 1)
+SELECT n.id, n.near, coalesce(l.label, o.label) AS cluster FROM n LEFT JOIN l USING (id) LEFT JOIN o USING (id)""")
+def density_clusters(spark, sf_dir):
+    """Density clusters of the embeddings; a core row has four others within the radius."""
+    return metric.dbscan(points(spark, sf_dir), 1.15, 4)
+
+
 NB = ["l_quantity", "l_extendedprice", "l_discount"]
 
 

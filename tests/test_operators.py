@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from numeriq.functions import formats, scalars, vectors
-from numeriq.operators import estimators, joins, prep, sequences, series, solvers
+from numeriq.operators import estimators, joins, metric, prep, sequences, series, solvers
 from numeriq.plans import tuner
 from numeriq.sources import tables
 from numeriq.streaming import streams
@@ -286,6 +286,6 @@ def test_groups_are_bounded_on_large_and_repeated_rows(spark):
     assert len(got) == 2 and sorted(r["weight"] for r in got) == [3.0, 5000.0]  # four different points are one chunk
     rows = [(i, [float(i * i % 97), float(i % 13)]) for i in range(700)]
     data = spark.createDataFrame(rows, "id long, v array<double>")
-    near = joins.knn(data, F.col("id") % 50 == 0, 3, part_rows=5).collect()
+    near = metric.knn(data, F.col("id") % 50 == 0, 3, bin_rows=5).collect()
     want = {(q, i) for q, x in rows if q % 50 == 0 for i in [j for _, j in sorted((sum((a - b) ** 2 for a, b in zip(x, y)), j) for j, y in rows)[:3]]}
     assert {(r["query_id"], r["id"]) for r in near} == want
