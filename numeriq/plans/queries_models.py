@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
-from ..operators import estimators, joins, metric, prep
+from ..operators import estimators, joins, medians, metric, prep
 from ..streaming import streams
 from .registry import query, read
 
@@ -227,20 +227,77 @@ def event_windows(spark, sf_dir):
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+#: Events arrive in files of four days; of ten, one is 3 hours and one is 9 days under way.
+ARRIVED = """a AS (SELECT *, CAST(floor((epoch(ts) + CASE event_id % 10 WHEN 3 THEN 10800 WHEN 7 THEN 777600 ELSE 0 END) / 345600) AS BIGINT) AS part FROM events),
+b AS (SELECT part, max(max(ts)) OVER (ORDER BY part) AS seen, row_number() OVER (ORDER BY part) AS i FROM a GROUP BY part),
+w AS (SELECT part, coalesce(lag(seen, 2) OVER (ORDER BY i), TIMESTAMP '1970-01-01') - INTERVAL 1 HOUR AS late, max(seen) OVER () - INTERVAL 1 HOUR AS last FROM b)"""
+
+
+def arrived(spark, sf_dir):
+    """The folder of the stream, and its schema."""
+    e = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    days = F.when(F.col("event_id") % 10 == 3, 10800).when(F.col("event_id") % 10 == 7, 777600).otherwise(0)
+    part = F.floor((F.unix_micros("ts") / 1e6 + days) / 345600)
+    return streams.arrivals(e, part), e.schema
+
+
+@query(f"""WITH {ARRIVED}, k AS (SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS start, event_type, value, last, late FROM a JOIN w USING (part) WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR > late)
+SELECT start, event_type, start + INTERVAL 1 HOUR <= last AS closed, count(*) AS n, round(sum(value), 4) AS total FROM k GROUP BY 1, 2, 3""")
 def streamed_event_windows(spark, sf_dir):
-    """The same by Structured Streaming, in micro-batches."""
-    schema = read(spark, sf_dir, "events").schema
-    w = streams.stream_windowed_counts(spark, f"{sf_dir}/events.parquet*", schema, "ts", ["event_type"], "value", "1 hour")
-    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    """The same by Structured Streaming from many files: state, a watermark, append mode; what comes too late is dropped."""
+    path, schema = arrived(spark, sf_dir)
+    w = streams.stream_windowed_counts(spark, path, schema, "ts", ["event_type"], "value", "1 hour")
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "closed", "n", F.round("total", 4).alias("total"))
+
+
+@query(f"""WITH {ARRIVED} SELECT count(*) AS arrived, count(*) FILTER (time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= late) AS dropped FROM a JOIN w USING (part)""")
+def streamed_late_rows(spark, sf_dir):
+    """How many rows of the stream came too late for their window."""
+    path, schema = arrived(spark, sf_dir)
+    w = streams.stream_windowed_counts(spark, path, schema, "ts", ["event_type"], "value", "1 hour")
+    came = spark.read.schema(schema).parquet(path).agg(F.count("*").alias("arrived"))
+    return came.withColumn("dropped", F.col("arrived") - w.agg(F.sum("n")).scalar())
+
+
+@query("""WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM s),
+t AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n, round(sum(value), 4) AS total FROM g GROUP BY user_id, n)
+SELECT user_id, start, n, total FROM t WHERE "end" <= (SELECT max(ts) - INTERVAL 10 DAY FROM events)""")
+def streamed_sessions(spark, sf_dir):
+    """Sessions of a stream that the watermark has closed; it waits for ten days, so nothing is late."""
+    path, schema = arrived(spark, sf_dir)
+    w = streams.stream_windowed_counts(spark, path, schema, "ts", ["user_id"], "value", "", late="10 days", gap="2 hours")
+    return w.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
 @query()
-def streamed_clusters(spark, sf_dir):
-    """Weighted centres of the stream of embeddings."""
-    schema = read(spark, sf_dir, "embeddings").schema
-    c = streams.stream_clusters(spark, f"{sf_dir}/embeddings.parquet*", schema, "embedding", 10)
-    return c.select("weight", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+def streamed_medians(spark, sf_dir):
+    """Weighted medians of the embeddings, which stream in four files."""
+    e = read(spark, sf_dir, "embeddings")
+    path = streams.arrivals(e, F.pmod(F.xxhash64("vec_id"), F.lit(4)))
+    c = streams.stream_clusters(spark, path, e.schema, "embedding", 8, 12)
+    return c.select("id", "weight", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+
+
+GAIN = """e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL),
+c AS (SELECT * FROM e WHERE id < 20), x AS (SELECT * FROM e WHERE id BETWEEN 20 AND 59),
+dc AS (SELECT e.id, c.id AS centre, list_sum(list_transform(list_zip(e.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM e, c),
+own AS (SELECT id, min(d) AS cost, arg_min(centre, (d, centre)) AS centre FROM dc GROUP BY id),
+ch AS (SELECT x.id AS candidate, own.centre, list_sum(list_transform(list_zip(e.v, x.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) - own.cost AS d FROM x, e JOIN own ON own.id = e.id),
+s AS (SELECT candidate, centre, -sum(least(d, 0)) AS saved, 3 - sum(greatest(d, 0)) AS closing FROM ch GROUP BY 1, 2)"""
+
+
+@query(f"WITH {GAIN} SELECT candidate, round(sum(saved) + sum(greatest(closing, 0)) - 3, 8) AS gain, count(*) FILTER (closing > 0) AS closes FROM s GROUP BY 1")
+def facility_gains(spark, sf_dir):
+    """What it would save to open each of forty rows as a centre beside twenty, if a centre costs 3, and how many would close for it."""
+    import numpy as np
+
+    p = points(spark, sf_dir)
+    some = {r["id"]: r["v"] for r in p.filter("id < 60").collect()}
+    held = medians.weighted_points(p.select("id", "v", F.lit(1.0).alias("weight")))
+    names = [sorted(i for i in some if low <= i < high) for low, high in ((0, 20), (20, 60))]
+    gain, closes = medians.opening_gains(held, *(np.array([some[i] for i in part]) for part in names), 3.0)
+    return spark.createDataFrame([(i, round(float(g), 8), int(c.sum())) for i, g, c in zip(names[1], gain, closes)], "candidate long, gain double, closes long")
 
 
 @query()
@@ -249,6 +306,14 @@ def particle_filter(spark, sf_dir):
     return streams.particle_filter(read(spark, sf_dir, "events"), "user_id", "event_id", "value", particles=32, noise=5.0)
 
 
+@query()
+def streamed_particle_filter(spark, sf_dir):
+    """The same from a stream of five files, with each user's particles in the state store."""
+    e = read(spark, sf_dir, "events")
+    path = streams.arrivals(e, F.floor(F.dayofmonth("ts") / 7))
+    return streams.stream_particle_filter(spark, path, e.schema, "user_id", "event_id", "value", particles=32, noise=5.0)
+
+
 @query()
 def nystrom_features(spark, sf_dir):
     """Eight features of each vector from eight landmarks."""

@@ -41,8 +41,6 @@ def test_stencil_knows_gaps(spark):
 
 
 def test_streams_end_and_take_text_keys(spark):
-    points = spark.createDataFrame([([float(i), 0.0], 1.0) for i in range(40)], "v array<double>, weight double")
-    assert streams.reduce_to(points, 5, 4).count() <= 5
     seen = spark.createDataFrame([("a", i, float(i)) for i in range(5)], "k string, t long, x double")
     assert streams.particle_filter(seen, "k", "t", "x", particles=8).count() == 5
 
