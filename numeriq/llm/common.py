@@ -88,11 +88,20 @@ def raw_digest() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, longer by underscores if df has a column of that name (in any case)."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Rows of docs that aren't in gone (doc_id, raw); the columns of docs. gone is broadcast up to that many rows (16 bytes each)."""
-    ids = materialize(gone.select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw")).distinct(), "gone")
+    id_, raw = (unused(docs, name) for name in ("__id", "__raw"))
+    ids = materialize(gone.select(F.col("doc_id").alias(id_), F.col("raw").alias(raw)).distinct(), "gone")
     ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (raw_digest() == F.col("__raw"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (raw_digest() == F.col(raw))
     return docs.join(ids, same, "left_anti")
 
 

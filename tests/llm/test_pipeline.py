@@ -35,7 +35,7 @@ def test_stages_against_brute_force(spark, sf_dir):
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
     names = list(entry.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
 
 
 def test_rows_that_share_an_id_are_told_apart(spark):
@@ -43,3 +43,18 @@ def test_rows_that_share_an_id_are_told_apart(spark):
     for f in (corpus_pipeline.exact_dedup, corpus_pipeline.ngram_jaccard_join):
         got = f(spark, df, "").collect()
         assert len(got) == 3 and len({r["text"].lower() for r in got}) == 3
+
+
+def test_clashing_names_nulls_and_empty_tables(spark, tmp_path):
+    from numeriq.llm.exact_dedup import deduplicate
+    from numeriq.llm.ngram_join import keep_one
+
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, None, "a"), (None, "", "b"), (1, words, "c"), (2, words, "d"), (3, words + " more", "e"), (4, "short", "f")]
+    docs = spark.createDataFrame([(*r, 7, "y", 1, "z") for r in rows], "doc_id long, text string, lang string, __id int, __RAW string, __id_ int, raw string")
+    once = deduplicate(docs)
+    assert once.columns == docs.columns and sorted(str(r["doc_id"]) for r in once.collect()) == ["2", "3", "4", "None", "None"]
+    assert sorted(str(r["doc_id"]) for r in keep_one(once).collect()) in (["2", "4", "None", "None"], ["3", "4", "None", "None"])
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
