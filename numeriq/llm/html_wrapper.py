@@ -8,11 +8,12 @@ are one repeating node, so a tree has some tens of nodes however long the page i
    one is left; each skeleton is then aligned with it. What is folded is bounded per task, however many pages a host has.
 3. Text that stands at one template node in all distinct pages that have the node (three at least) is template, and so is text that stands
    at one place in all distinct pages of one skeleton. Outside of articles a node may also be a pool: where three quarters of its
-   different texts or more are each on three distinct pages, those texts are template. Counts are plain aggregates, combined before the shuffle.
+   different texts or more are each on three distinct pages, those texts are template. In a main element a constant must be on ten pages,
+   and in an article element it stays: few pages may be copies of one article. Counts are plain aggregates, combined before the shuffle.
 4. What is left in varying slots is content: that of article or main elements where the page has some, else of the body, without
-   navigation, headers, footers, sidebars, forms, notices, adverts and comments. Words of classes and ids are a prior only: a section whose
-   words name a page part goes, unless it holds more than half of the characters that vary on the page, or the page has nothing else; sections
-   named as comments, notices or adverts go in any case.
+   navigation, headers, footers, sidebars, forms, notices, adverts and comments. Words of classes and ids, and forms, are a prior only: such
+   a section goes, unless it holds more than half of the characters that vary on the page (and LONG of them in notices and adverts), or the
+   page has nothing else. Comments go in any case but the last, and only if they are LONG. Template is never taken instead.
 
 A tree has bounds (DEPTH, NODES, WIDE), and so has a template. A section beyond them is a slot all the same: the path of labels that
 leads to it, whose texts are counted in the same way.
@@ -37,7 +38,7 @@ RAW = frozenset("script style textarea title noscript template svg math iframe o
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SECTIONS = frozenset("html body article main section div nav header footer aside form dialog menu center details fieldset".split())
-BOILERPLATE = frozenset("nav footer aside form dialog menu head button select option".split())
+BOILERPLATE = frozenset("nav footer aside dialog menu head button select option".split())
 ENDS_P = SECTIONS | frozenset("p ul ol dl pre table blockquote h1 h2 h3 h4 h5 h6 hr figure address".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
@@ -46,11 +47,13 @@ MARKS = frozenset(
     "banner breadcrumb breadcrumbs dialog footer header masthead menu nav navbar navigation pager pagination promo promotion related search share sharing "
     "sidebar social toolbar widget".split()
 )
-#: as comments, notices or adverts, which may well be longer than the article,
-NEVER = frozenset(
-    "ad ads advert adverts advertisement comment comments consent cookie cookies disclaimer disqus gdpr modal newsletter notice notices notification "
-    "outbrain popup promoted remark remarks replies reply signup sponsor sponsored subscribe subscription taboola".split()
+#: as notices or adverts,
+NOTICES = frozenset(
+    "ad ads advert adverts advertisement consent cookie cookies disclaimer gdpr modal newsletter notice notices notification outbrain popup promoted signup "
+    "sponsor sponsored subscribe subscription taboola".split()
 )
+#: as comments, which may well be longer than the article,
+COMMENTS = frozenset("comment comments disqus remark remarks replies reply".split())
 #: and first words of names that only tell what a page has or lacks.
 STATES = frozenset("has have hide is no non not show with without".split())
 ARTICLE = frozenset(("article", "main"))
@@ -91,16 +94,18 @@ def parse(html: str):
     """(skeleton, blocks): the tree as nested text, and (slot, hard, mark, in article, text) in page order.
 
     A slot is a node's number, or a negative path key beyond the tree's bounds. Node 0 is the root. Text between a section's child sections
-    is its text node ":". hard: in an element that is never content. mark: the number of the innermost section whose words name a page
-    part, negative in comments, notices and adverts, 0 in no such section. Time is linear in the page's length.
+    is its text node ":". hard: in an element that is never content. mark: the number of the innermost form or section whose words name a
+    page part, odd in notices and adverts, negative in comments, 0 in no such section. in article: 2 in an article element, 1 in main
+    alone, else 0. Time is linear in the page's length.
     """
     from html import unescape
 
     root = Node("#", 0)
     count = marked = 0
-    stack = [Open("#", root, 0, False, 0, False)]
+    stack = [Open("#", root, 0, False, 0, 0)]
     opened: dict[str, int] = {}
-    blocks: list[tuple[int, bool, int, bool, str]] = []
+    blocks: list[tuple[int, bool, int, int, str]] = []
+    forms: set[int] = set()
     words: list[str] = []
 
     def child(parent: Node | None, path: int, label: str) -> tuple[Node | None, int]:
@@ -197,15 +202,21 @@ def parse(html: str):
         hard, mark, inside = top.hard, top.mark, top.inside
         attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
         names = " ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower()
+        found = set()
         if names.strip() and tag not in ("html", "body") and tag not in ARTICLE:
             found = {w for parts in map(SPLIT.split, names.split()) if parts[0] not in STATES for w in parts}
-            # The header of an article holds its headline; any other is the page's.
-            if found & NEVER or found & MARKS - ({"header"} if inside else set()):
-                marked += 1
-                mark = -marked if found & NEVER or mark < 0 else marked
+        # The header of an article holds its headline; any other is the page's.
+        if tag == "form" or found & (COMMENTS | NOTICES) or found & MARKS - ({"header"} if inside else set()):
+            marked += 2
+            mark = -marked if found & COMMENTS or mark < 0 else marked + 1 if found & NOTICES or mark % 2 else marked
+            if tag == "form":
+                forms.add(mark)
+        elif tag in ARTICLE and mark in forms:
+            mark = 0  # a form round the page
         hard = hard or tag in BOILERPLATE or tag == "header" and not inside
         hard = hard or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|$)", m[3].strip()))
-        inside = inside or tag in ARTICLE and not hard
+        if tag in ARTICLE and not hard:
+            inside = max(inside, 2 if tag == "article" else 1)
         node, path = top.node, top.path
         if tag in SECTIONS:
             name = tag + "".join(sorted("." + w for w in SPLIT.split(names) if w)) if names.strip() else tag
@@ -348,7 +359,7 @@ def parsed_pages(pages: DataFrame, with_text: bool) -> DataFrame:
 
     host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = lean(pages).select(F.col("page_id").cast("long").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    return id_back(rows.mapInPandas(mapped, "page_id string, url string, host string, tree string, digest string, article boolean, blocks array<struct<node long, hard boolean, mark int, inside boolean, h long, text string>>"), "page_id")
+    return id_back(rows.mapInPandas(mapped, "page_id string, url string, host string, tree string, digest string, article boolean, blocks array<struct<node long, hard boolean, mark int, inside int, h long, text string>>"), "page_id")
 
 
 def templates(trees: DataFrame, at_once: int = 64) -> DataFrame:
@@ -385,21 +396,26 @@ def constant_text(parsed: DataFrame, least_pages: int) -> DataFrame:
         return F.when(node < 0, node).otherwise(F.try_element_at("slots", node.cast("int") + 1)).alias("slot")
 
     slots = materialize(named.mapInPandas(numbered, "host string, tree string, slots array<long>"), "html-slots")
-    counted = distinct.select("host", "tree", F.explode("at").alias("b")).groupBy("host", "tree", F.col("b.node").alias("node"), F.col("b.h").alias("h")).agg(F.count("*").alias("n"), F.bool_or("b.inside").alias("inside"))
+    counted = distinct.select("host", "tree", F.explode("at").alias("b")).groupBy("host", "tree", F.col("b.node").alias("node"), F.col("b.h").alias("h")).agg(F.count("*").alias("n"), F.max("b.inside").alias("inside"))
     counted = materialize(counted.join(slots, ["host", "tree"]).select("host", "tree", "node", "h", "n", "inside", slot_of(F.col("node"))), "html-counts")
     per_tree = materialize(distinct.select("host", "tree", F.explode(F.array_distinct(F.transform("at", lambda b: b["node"]))).alias("node")).groupBy("host", "tree", "node").agg(F.count("*").alias("pages")), "html-nodes")
     having = per_tree.join(slots, ["host", "tree"]).groupBy("host", slot_of(F.col("node"))).agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= least_pages)
-    texts = materialize(counted.groupBy("host", "slot", "h").agg(F.sum("n").alias("n"), F.bool_or("inside").alias("inside")), "html-texts")
+    texts = materialize(counted.groupBy("host", "slot", "h").agg(F.sum("n").alias("n"), F.max("inside").alias("inside")), "html-texts")
     repeats = F.count_if(F.col("n") >= least_pages)
-    pools = texts.groupBy("host", "slot").agg(F.count("*").alias("texts"), repeats.alias("often"), F.bool_or("inside").alias("article"))
+    pools = texts.groupBy("host", "slot").agg(F.count("*").alias("texts"), repeats.alias("often"), (F.max("inside") > 0).alias("article"))
     rules = having.join(pools, ["host", "slot"]).select("host", "slot", "pages", (~F.col("article") & (F.col("often") > 1) & (4 * F.col("often") >= 3 * F.col("texts"))).alias("pool"))
     # Only texts that repeat are joined, so a slot of articles is no hot key.
-    constant = texts.filter(F.col("n") >= least_pages).join(rules, ["host", "slot"]).filter("n >= pages OR pool").select("host", "slot", "h")
-    alike = counted.join(per_tree.filter(F.col("pages") >= least_pages), ["host", "tree", "node"]).filter("n >= pages").select("host", "tree", "node", "h")
+    many = F.when(F.col("inside") == 0, F.lit(least_pages)).when(F.col("inside") == 1, F.lit(IN_MAIN))
+    constant = texts.filter(F.col("n") >= many).join(rules, ["host", "slot"]).filter("n >= pages OR pool").select("host", "slot", "h")
+    alike = counted.filter(F.col("n") >= many).join(per_tree.filter(F.col("pages") >= least_pages), ["host", "tree", "node"]).filter("n >= pages").select("host", "tree", "node", "h")
     drop = counted.join(constant, ["host", "slot", "h"]).select("host", "tree", "node", "h").unionByName(alike).groupBy("host", "tree").agg(F.collect_set(F.struct("node", "h")).alias("drop"))
     return drop
 
 
+#: Pages that a constant text in a main element must be on.
+IN_MAIN = 10
+#: Characters from which a section named as notices, adverts or comments may be the page's article.
+LONG = 100
 #: Template texts beyond this number are joined by a shuffle; up to it they are broadcast, at 12 bytes each and their trees.
 BROADCAST_TEXTS = 500_000
 
@@ -412,16 +428,21 @@ def extract_main_text(pages: DataFrame, least_pages: int = 3) -> DataFrame:
     rows = parsed_pages(pages, True).join(drop, ["host", "tree"], "left")
     fixed = lambda b: F.coalesce(F.array_contains(F.col("drop"), F.struct(b["node"].alias("node"), b["h"].alias("h"))), F.lit(False))
     usable = F.filter("blocks", lambda b: ~b["hard"])
-    inside = F.exists("usable", lambda b: b["inside"] & (b["mark"] == 0))
+    inside = F.exists("usable", lambda b: (b["inside"] > 0) & (b["mark"] == 0))
     rows = rows.withColumn("usable", usable).withColumn("has_inside", inside)
-    rows = rows.withColumn("content", F.filter("usable", lambda b: b["inside"] | ~F.col("has_inside")))
+    rows = rows.withColumn("content", F.filter("usable", lambda b: (b["inside"] > 0) | ~F.col("has_inside")))
     rows = rows.withColumn("fresh", F.filter("content", lambda b: ~fixed(b)))
     # A page whose every block is template keeps them.
-    rows = rows.withColumn("varying", F.when(F.exists("fresh", lambda b: b["mark"] >= 0), F.col("fresh")).otherwise(F.col("content")))
+    rows = rows.withColumn("varying", F.when(F.size("fresh") > 0, F.col("fresh")).otherwise(F.col("content")))
     rows = rows.withColumn("vote", vote("varying")).withColumn("main", holds_most("varying", "vote"))
     rows = rows.withColumn("kept", F.filter("varying", lambda b: (b["mark"] == 0) | (b["mark"] == F.col("main"))))
-    left = F.when(~F.col("article"), F.filter("varying", lambda b: b["mark"] >= 0))
-    text = F.array_join(F.transform(F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.coalesce(left, F.array())), lambda b: b["text"]), " ")
+    left = F.when(~F.col("article"), F.filter("varying", lambda b: (b["mark"] >= 0) & (b["mark"] % 2 == 0)))
+    rows = rows.withColumn("left", F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.coalesce(left, F.array())))
+    # Nothing else varies: the page is what its names call comments, if that is long.
+    last = F.filter("varying", lambda b: (b["mark"] < 0) & ((b["inside"] > 0) | ~F.col("article")))
+    rows = rows.withColumn("last", F.when(F.size("left") == 0, last))
+    size = F.aggregate("last", F.lit(0).cast("long"), lambda n, b: n + characters(b))
+    text = F.array_join(F.transform(F.when(size >= LONG, F.col("last")).otherwise(F.col("left")), lambda b: b["text"]), " ")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -441,12 +462,12 @@ def vote(blocks: str) -> Column:
 
 
 def holds_most(blocks: str, mark: str) -> Column:
-    """The voted mark if it is that of more than half of the characters and names no comments, notices or adverts, or 0. On a page that
-    has an article or main element, only sections in it count."""
+    """The voted mark if it is that of more than half of the characters (and of LONG of them in notices and adverts) and names no comments, or
+    0. On a page that has an article or main element, only sections in it count."""
     sums = F.aggregate(
         blocks, F.struct(F.lit(0).cast("long").alias("own"), F.lit(0).cast("long").alias("all")),
-        lambda a, b: F.struct((a["own"] + F.when((b["mark"] == F.col(mark)) & (b["inside"] | ~F.col("article")), characters(b)).otherwise(0)).alias("own"), (a["all"] + characters(b)).alias("all")),
-        lambda a: 2 * a["own"] > a["all"],
+        lambda a, b: F.struct((a["own"] + F.when((b["mark"] == F.col(mark)) & ((b["inside"] > 0) | ~F.col("article")), characters(b)).otherwise(0)).alias("own"), (a["all"] + characters(b)).alias("all")),
+        lambda a: (2 * a["own"] > a["all"]) & ((F.col(mark) % 2 == 0) | (a["own"] >= LONG)),
     )
     return F.when(F.col(mark) > 0, F.when(sums, F.col(mark))).otherwise(F.lit(0))
 

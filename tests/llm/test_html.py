@@ -117,3 +117,30 @@ def test_nested_pages_parse_in_linear_time():
     began = time.perf_counter()
     _, blocks = parse("<div>" * 20_000 + "<p>x</p></span>" * 2_000 + "</section>" * 2_000)
     assert len(blocks) == 2_000 and time.perf_counter() - began < 1.5
+
+
+def test_no_name_takes_the_article(spark):
+    """Sections that hold what varies stay whatever they are called; template is never taken instead."""
+    def story(i):
+        return " ".join(f"Sentence {i} {k} of a long story." for k in range(12))
+
+    shapes = {
+        "board": '<div class="top">Site menu home</div><div class="notice-board">{}</div><div class="foot">Copyright</div>',
+        "adhoc": '<div class="top">Site menu home</div><div id="ad-hoc-networks">{}</div><div class="foot">Copyright</div>',
+        "policy": '<div class="nav">Home</div><main><div class="comment-policy">{}</div></main>',
+        "disclaimer": '<section class="disclaimer">{}</section><div class="nav">Home</div>',
+        "form": '<form id="aspnetForm"><div class="top">Site menu</div><div class="body">{}</div><div class="foot">Copyright</div></form>',
+        "formed": '<form id="aspnetForm"><div class="menu">Menu</div><article>{}</article><div class="x">Not this</div></form>',
+        "ended": '<div class="top">Site</div><article>{}<p>The end.</p></article>',
+    }
+    rows = [(k * 100 + i, f"http://{name}.example/{i}", "<body>" + shape.format(f"<p>{story(i)}</p>") + "</body>") for k, (name, shape) in enumerate(shapes.items()) for i in range(4)]
+    mirror = "<body><div>Our site</div><main><p>{}</p><p>Seen at {}</p></main></body>"
+    rows += [(9000 + i, f"http://mirror.example/{i}", mirror.format(story(7), i)) for i in range(3)]
+    many = "<body><main><div class=a>Our site</div><p>{}</p></main></body>"
+    rows += [(9100 + i, f"http://many.example/{i}", many.format(story(i))) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, name in enumerate(shapes):
+        for i in range(4):
+            assert got[k * 100 + i] == story(i) + (" The end." if name == "ended" else ""), name
+    assert [got[9000 + i] for i in range(3)] == [f"{story(7)} Seen at {i}" for i in range(3)]
+    assert [got[9100 + i] for i in range(12)] == [story(i) for i in range(12)]
