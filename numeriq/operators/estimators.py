@@ -248,8 +248,8 @@ def support_vector_classifier(df: DataFrame, vector_col: str, label: str, epochs
 # --- decompositions ---------------------------------------------------------------------------------------------------
 
 
-def gram(points: DataFrame, vector_col: str, center: bool = True):
-    """(mean, X'X / n) as numpy, from partial sums of each task: p x p numbers per task and no row leaves it."""
+def gram_sums(points: DataFrame, vector_col: str):
+    """(n, sums, X'X) as numpy, from partial sums of each task: p x p numbers per task and no row leaves it."""
     import numpy as np
 
     def partial(batches):
@@ -265,10 +265,17 @@ def gram(points: DataFrame, vector_col: str, center: bool = True):
 
     parts = points.select(F.col(vector_col).alias("v")).mapInPandas(partial, "n long, s array<double>, q array<double>")
     cells = parts.select("n", F.posexplode(F.concat("s", "q")).alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).orderBy("at").collect()
-    n = cells[0]["n"]
-    flat = np.array([c["x"] for c in cells]) / n
+    flat = np.array([c["x"] for c in cells])
     p = int((math.isqrt(1 + 4 * len(flat)) - 1) // 2)
-    mean, q = flat[:p], flat[p:].reshape(p, p)
+    return (cells[0]["n"] if cells else 0), flat[:p], flat[p:].reshape(p, p)
+
+
+def gram(points: DataFrame, vector_col: str, center: bool = True):
+    """(mean, X'X / n), less the means' products if they are to be centred."""
+    import numpy as np
+
+    n, sums, products = gram_sums(points, vector_col)
+    mean, q = sums / n, products / n
     return (mean, q - np.outer(mean, mean)) if center else (mean, q)
 
 

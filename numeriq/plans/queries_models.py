@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
-from ..operators import estimators, joins, medians, metric, prep
+from ..operators import estimators, factor, joins, medians, metric, prep
 from ..streaming import streams
+from .lineage import cut
 from .registry import query, read
 
 
@@ -329,6 +330,46 @@ def singular_values(spark, sf_dir):
     return spark.createDataFrame([(i, round(x, 4)) for i, x in enumerate(found)], "place int, value double")
 
 
+@query()
+def low_rank_error(spark, sf_dir):
+    """What three singular vectors leave of the suppliers' matrix."""
+    from .queries_numeric import matrix
+
+    a = matrix(spark, sf_dir)
+    u, values, v = factor.randomized_svd(a, 3)
+    e = factor.reconstruction_error(a, u, values, v)
+    return spark.createDataFrame([(round(e["frobenius"], 4), round(e["relative"], 8))], "frobenius double, relative double")
+
+
+@query()
+def projection_error(spark, sf_dir):
+    """What two principal components leave of the embeddings."""
+    p = points(spark, sf_dir)
+    mean, parts, _ = estimators.principal_components(p, "v", 2)
+    return factor.projection_error(p, "v", mean, parts).select(*[F.round(c, 8).alias(c) for c in ("mean_squared", "largest")])
+
+
+@query("""WITH a AS (SELECT p_partkey AS id, 1.0::DOUBLE AS x, CAST(p_size AS DOUBLE) AS y, p_retailprice AS z FROM part),
+q1 AS (SELECT id, x / sqrt(sum(x * x) OVER ()) AS q1, y, z FROM a), m1 AS (SELECT *, y - q1 * sum(q1 * y) OVER () AS y1, z - q1 * sum(q1 * z) OVER () AS z1 FROM q1),
+q2 AS (SELECT *, y1 / sqrt(sum(y1 * y1) OVER ()) AS q2 FROM m1), m2 AS (SELECT *, z1 - q2 * sum(q2 * z1) OVER () AS z2 FROM q2), q3 AS (SELECT *, z2 / sqrt(sum(z2 * z2) OVER ()) AS q3 FROM m2)
+SELECT id, round(q1, 8) AS q1, round(q2, 8) AS q2, round(q3, 8) AS q3 FROM q3""")
+def qr_factor(spark, sf_dir):
+    """The orthonormal factor of a constant, the size and the price of parts."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(F.lit(1.0), F.col("p_size").cast("double"), "p_retailprice").alias("v"))
+    q, _ = factor.tall_skinny_qr(p)
+    return q.select("id", *[F.round(F.col("q")[c], 8).alias(f"q{c + 1}") for c in range(3)])
+
+
+@query("SELECT count(*) AS rows, 0.0 AS from_unit, 0.0 AS residual FROM embeddings WHERE embedding IS NOT NULL")
+def qr_checks(spark, sf_dir):
+    """The largest elements of Q'Q - I and A - QR for the embeddings: nothing, to ten digits."""
+    p = points(spark, sf_dir)
+    q, r = factor.tall_skinny_qr(p)
+    q = cut(q)
+    values = (q.count(), round(factor.orthogonality_error(q)["largest"], 10), round(factor.factor_residual(p, q, r)["largest"], 10))
+    return spark.createDataFrame([values], "rows long, from_unit double, residual double")
+
+
 @query()
 def neural_network(spark, sf_dir):
     """Accuracy of a small network for large orders."""
