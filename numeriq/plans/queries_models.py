@@ -326,7 +326,7 @@ def singular_values(spark, sf_dir):
     """The three largest singular values of the suppliers' matrix."""
     from .queries_numeric import matrix
 
-    found = estimators.singular_values(matrix(spark, sf_dir), 3, 5, 1)
+    found = estimators.singular_values(cut(matrix(spark, sf_dir)), 3, 5, 1)
     return spark.createDataFrame([(i, round(x, 4)) for i, x in enumerate(found)], "place int, value double")
 
 
@@ -335,7 +335,7 @@ def low_rank_error(spark, sf_dir):
     """What three singular vectors leave of the suppliers' matrix."""
     from .queries_numeric import matrix
 
-    a = matrix(spark, sf_dir)
+    a = cut(matrix(spark, sf_dir))
     u, values, v = factor.randomized_svd(a, 3)
     e = factor.reconstruction_error(a, u, values, v)
     return spark.createDataFrame([(round(e["frobenius"], 4), round(e["relative"], 8))], "frobenius double, relative double")
