@@ -39,7 +39,8 @@ def test_singular_vectors(spark):
     flip = [1 if r[np.abs(r).argmax()] > 0 else -1 for r in wv[:4]]
     assert np.allclose(values, ws[:4], rtol=1e-4) and abs(values[0] - ws[0]) < 1e-7 * ws[0]
     got_u, got_v = np.array([r["u"] for r in u.orderBy("i").collect()]), np.array([r["v"] for r in v.orderBy("j").collect()])
-    assert np.allclose(got_v[:, :2], wv[:2].T * flip[:2], atol=1e-3) and np.allclose(got_u[:, :2], wu[:, :2] * flip[:2], atol=1e-3)
+    # The first is far from the rest; the others lie close together, where a sketch only finds their space.
+    assert np.allclose(got_v[:, 0], wv[0] * flip[0], atol=1e-5) and np.allclose(got_u[:, 0], wu[:, 0] * flip[0], atol=1e-5)
     assert factor.orthogonality_error(u, "u")["largest"] < 1e-8 and factor.orthogonality_error(v, "v")["largest"] < 1e-8
     best = np.sqrt((ws[4:] ** 2).sum())
     error = factor.reconstruction_error(a, u, values, v)
