@@ -54,7 +54,7 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
-def lean_numpy() -> None:
+def lean_numpy(kept_mb: int = 256) -> None:
     """Called in tasks of many small array operations: a task has one core, so BLAS gets one thread, and freed arrays stay with the process
     instead of going back to the system and being faulted in again. Does nothing where the libraries aren't the usual ones."""
     import ctypes
@@ -71,7 +71,17 @@ def lean_numpy() -> None:
     if mallopt := getattr(ctypes.CDLL(None), "mallopt", None):
         mmap_threshold, trim_threshold = -3, -1
         mallopt(mmap_threshold, 32 << 20)
-        mallopt(trim_threshold, 256 << 20)
+        mallopt(trim_threshold, kept_mb << 20)
+
+
+def give_back() -> None:
+    """Called at the end of a task that held much: workers live on, and freed memory goes back to the system for those that come after."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, id_and_text, id_back, lean, lean_numpy, materialize, opened, shared_model, table
+from .common import fold, give_back, id_and_text, id_back, lean, lean_numpy, materialize, opened, shared_model, table
 
 WORD = r"[^\W_]+"
 BLOCK = 64
@@ -261,7 +261,7 @@ def score_documents(docs: DataFrame, model: Model, evidence: bool = False) -> Da
     def mapped(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        lean_numpy()
+        lean_numpy(32)
         m = opened(held)
         for pdf in batches:
             scores, near, shared = [], [], []
@@ -274,6 +274,8 @@ def score_documents(docs: DataFrame, model: Model, evidence: bool = False) -> Da
             if evidence:
                 out["neighbours"], out["terms"] = near, shared
             yield out
+        del m
+        give_back()
 
     return id_back(id_and_text(docs).mapInPandas(mapped, "doc_id string, score double" + (", neighbours array<long>, terms array<string>" if evidence else "")))
 
@@ -296,10 +298,12 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     def mapped(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        lean_numpy()
+        lean_numpy(32)
         m = opened(held)
         for b in batches:
             yield b.filter(pa.array([m.score(t or "")[0] < 0.5 for t in b.column(place).to_pylist()], pa.bool_()))
+        del m
+        give_back()
 
     return lean(docs).mapInArrow(mapped, docs.schema)
 
