@@ -128,15 +128,22 @@ def bicgstab(a: DataFrame, b: DataFrame, iterations: int = 100, tolerance: float
     return t.select("i", "x"), history
 
 
-def gmres(a: DataFrame, b: DataFrame, restart: int = 20, cycles: int = 5, tolerance: float = 1e-8) -> tuple[DataFrame, list[float]]:
-    """Restarted, preconditioned by the diagonal. The basis is an array column, orthogonalised twice; the driver holds the (restart + 1) x restart Hessenberg matrix."""
+def gmres(a: DataFrame, b: DataFrame, restart: int = 20, cycles: int = 5, tolerance: float = 1e-8, precondition=None) -> tuple[DataFrame, list[float]]:
+    """Restarted, preconditioned by the diagonal or by precondition(r (i, x)) -> (i, x), such as precondition.lu_solver(a). The basis is an array column, orthogonalised twice; the driver holds the (restart + 1) x restart Hessenberg matrix."""
     import numpy as np
 
     d, w, q = F.col("d"), F.col("w"), F.col("q")
+
+    def prepared(t: DataFrame) -> DataFrame:
+        if precondition is None:
+            return t.withColumn("w", w / d)
+        z = precondition(t.select("i", w.alias("x")))
+        return cut(t.drop("w").join(z.select("i", F.col("x").alias("w")), "i"))
+
     t = cut(b.select("i", F.lit(0.0).alias("x"), F.col("x").alias("b")).join(diagonal(a), "i"))
     history: list[float] = []
     for _ in range(cycles):
-        t = with_product(a, t, F.col("x"), "w").withColumn("w", (F.col("b") - w) / d)
+        t = prepared(with_product(a, t, F.col("x"), "w").withColumn("w", F.col("b") - w))
         (beta,) = totals(t, ww=w * w)
         beta = math.sqrt(beta)
         if beta < tolerance:
@@ -144,7 +151,7 @@ def gmres(a: DataFrame, b: DataFrame, restart: int = 20, cycles: int = 5, tolera
         t = t.withColumn("q", F.array(w / beta)).drop("w")
         h, size, y = np.zeros((restart + 1, restart)), 0, np.zeros(0)
         for k in range(restart):
-            t = with_product(a, t, q[k], "w").withColumn("w", w / d)
+            t = prepared(with_product(a, t, q[k], "w"))
             for _ in range(2):
                 g = totals(t, **{f"g{i}": q[i] * w for i in range(k + 1)})
                 h[: k + 1, k] += g

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import joins, sequences, series, solvers
+from ..operators import joins, precondition, sequences, series, solvers
 from .lineage import cut
 from .registry import query, read
 
@@ -164,6 +164,27 @@ def iterative_refinement(spark, sf_dir):
     return vector(solvers.refine(a, b, solve, 30, lambda c: quantize(c, 5, 10), 1e-11)[0], 6)
 
 
+#: The plate of the grids below as a system: six times a cell less its neighbours.
+PLATE = """WITH RECURSIVE g AS (SELECT CAST(l_suppkey AS BIGINT) AS r, CAST(l_quantity AS BIGINT) AS c, sum(l_extendedprice) / 7919.0::DOUBLE AS v FROM lineitem GROUP BY 1, 2),
+b AS (SELECT r * 1000 + c AS i, r, c, v AS x FROM g), o1 AS (SELECT b.i, n.i AS j FROM b JOIN b n ON abs(n.r - b.r) + abs(n.c - b.c) = 1 AND n.r BETWEEN b.r - 1 AND b.r + 1),
+x(n, i, x) AS (SELECT 0, i, CAST(0 AS DOUBLE) FROM b UNION ALL SELECT n + 1, i, (b.x + s) / 6 FROM (SELECT x.n, e.i, sum(CASE WHEN e.own THEN 0 ELSE x.x END) AS s FROM x JOIN (SELECT i, j, false AS own FROM o1 UNION ALL SELECT i, i, true FROM b) e ON e.j = x.i WHERE x.n < 64 GROUP BY 1, 2) JOIN b USING (i))"""
+
+
+def plate(spark, sf_dir):
+    g = grid(spark, sf_dir).withColumn("i", F.col("r") * 1000 + F.col("c"))
+    moves = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in ((1, 0), (-1, 0), (0, 1), (0, -1))])).alias("m")
+    sent = g.select("i", "r", "c", moves).select("i", ((F.col("r") + F.col("m.p")) * 1000 + F.col("c") + F.col("m.q")).alias("j"))
+    off = sent.join(g.select(F.col("i").alias("j")), "j", "left_semi").select("i", "j", F.lit(-1.0).alias("v"))
+    return cut(off.unionByName(g.select("i", F.col("i").alias("j"), F.lit(6.0).alias("v")))), cut(g.select("i", F.col("v").alias("x")))
+
+
+@query(PLATE + " SELECT i, round(x, 6) AS x FROM x WHERE n = 64")
+def incomplete_lu_solution(spark, sf_dir):
+    """GMRES with an incomplete LU of the plate's system as preconditioner."""
+    a, b = plate(spark, sf_dir)
+    return vector(solvers.gmres(a, b, 20, 5, 1e-9, precondition.lu_solver(a))[0], 6)
+
+
 # --- lookups ----------------------------------------------------------------------------------------------------------
 
 
