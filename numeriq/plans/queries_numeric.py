@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import joins, precondition, sequences, series, solvers
+from ..operators import joins, mesh, precondition, sequences, series, solvers
 from .lineage import cut
 from .registry import query, read
 
@@ -248,6 +248,67 @@ def grid_prolongation(spark, sf_dir):
     return sequences.prolong(grid(spark, sf_dir)).withColumn("v", F.round("v", 6))
 
 
+def heat_3d_sql(steps):
+    sql = "WITH g0 AS (SELECT CAST(l_suppkey % 25 AS BIGINT) AS x, CAST(l_quantity AS BIGINT) AS y, CAST(l_linenumber AS BIGINT) AS z, avg(l_extendedprice) / 1000 AS v, CAST(count(*) AS DOUBLE) AS power FROM lineitem GROUP BY 1, 2, 3)"
+    for k in range(steps):
+        sql += f""", m{k} AS (SELECT x + a AS x, y + b AS y, z + c AS z, v, x AS ox, y AS oy, z AS oz FROM g{k}, (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) t(a, b, c)),
+g{k + 1} AS (SELECT g.x, g.y, g.z, any_value(g.v + 0.01 * g.power + 0.005 * (80 - g.v)) + coalesce(sum(CASE WHEN n.oz <> n.z THEN 0.05 ELSE 0.1 END * (n.v - g.v)), 0) AS v, any_value(g.power) AS power FROM g{k} g LEFT JOIN m{k} n ON n.x = g.x AND n.y = g.y AND n.z = g.z GROUP BY 1, 2, 3)"""
+    return sql + f" SELECT x, y, z, round(v, 6) AS v FROM g{steps}"
+
+
+@query(heat_3d_sql(4))
+def heat_stencil_3d(spark, sf_dir):
+    """Four steps of a block's temperature, with one exchange of borders."""
+    l = read(spark, sf_dir, "lineitem")  # noqa: E741
+    g = l.groupBy((F.col("l_suppkey") % 25).alias("x"), F.col("l_quantity").cast("long").alias("y"), F.col("l_linenumber").cast("long").alias("z")).agg((F.avg("l_extendedprice") / 1000).alias("v"), F.count("*").cast("double").alias("power"))
+    return mesh.heat_steps_3d(g, 4, side=16).withColumn("v", F.round("v", 6))
+
+
+FAR = {"density": 1.4, "mx": 1.68, "my": 0.0, "mz": 0.0, "energy": 3.508}
+
+
+def flow_sql():
+    sql = """WITH u0 AS (SELECT o_orderkey AS i, 1 + o_custkey % 10 / 10.0::DOUBLE AS density, (o_orderkey % 7 - 3) / 10.0::DOUBLE AS mx, (o_custkey % 5 - 2) / 10.0::DOUBLE AS my, 0.05::DOUBLE AS mz, 2.5 + o_orderkey % 11 / 10.0::DOUBLE AS energy, 1 + o_orderkey % 5 + 0.0::DOUBLE AS area FROM orders),
+f AS (SELECT o_orderkey AS i, unnest([o_orderkey - 1, o_orderkey + 1, o_custkey, -1 - o_orderkey % 2]) AS nb, unnest([-0.4, 0.5, 0.1, 0.0]::DOUBLE[]) AS nx, unnest([0.1, 0.0, -0.3, 0.2]::DOUBLE[]) AS ny, unnest([0.0, 0.1, 0.0, 0.1]::DOUBLE[]) AS nz FROM orders),
+t AS (SELECT i, 0.5 / (sqrt(area) * (sqrt(s) + sqrt(1.4 * 0.4 * (energy - 0.5 * density * s) / density))) AS factor FROM (SELECT *, (mx * mx + my * my + mz * mz) / (density * density) AS s FROM u0))"""
+    names = ("density", "mx", "my", "mz", "energy")
+    for k in range(3):
+        sql += f""", s{k} AS (SELECT *, (mx * mx + my * my + mz * mz) / (density * density) AS s2 FROM (SELECT i, {", ".join(names)} FROM u{k} UNION ALL SELECT -2, {", ".join(f"{FAR[n]}::DOUBLE" for n in names)})),
+p{k} AS (SELECT *, sqrt(s2) AS speed, 0.4 * (energy - 0.5 * density * s2) AS p, sqrt(1.4 * 0.4 * (energy - 0.5 * density * s2) / density) AS sound FROM s{k}),
+m{k} AS (SELECT f.i, f.nx, f.ny, f.nz, f.nb = -1 AS wall, n.i = -2 AS far, sqrt(f.nx * f.nx + f.ny * f.ny + f.nz * f.nz) AS len, {", ".join(f"a.{c} AS a_{c}, n.{c} AS n_{c}" for c in (*names, "p", "speed", "sound"))} FROM f JOIN p{k} a ON a.i = f.i
+  JOIN p{k} n ON n.i = CASE WHEN f.nb IN (SELECT i FROM u0) THEN f.nb ELSE -2 END)"""
+
+        def flux(c, axis, side):
+            m = f"{side}_m{axis}"
+            if c == "density":
+                return m
+            if c == "energy":
+                return f"{m} / {side}_density * ({side}_energy + {side}_p)"
+            return f"({m} / {side}_density * {side}_{c}" + (f" + {side}_p)" if c == "m" + axis else ")")
+
+        sums = []
+        for c in names:
+            through = " + ".join(f"0.5 * n{a} * ({flux(c, a, 'n')} + {flux(c, a, 'a')})" for a in "xyz")
+            at_wall = f"n{c[1]} * a_p" if c in ("mx", "my", "mz") else "0"
+            viscous = f"CASE WHEN far THEN 0 ELSE -len * 0.1 * (a_speed + n_speed + a_sound + n_sound) * (a_{c} - n_{c}) END"
+            sums.append(f"sum(CASE WHEN wall THEN {at_wall} ELSE {viscous} + {through} END) AS f_{c}")
+        sql += f", d{k} AS (SELECT i, {', '.join(sums)} FROM m{k} GROUP BY i), u{k + 1} AS (SELECT i, {', '.join(f'u0.{c} + factor / {3 - k} * f_{c} AS {c}' for c in names)} FROM u0 JOIN t USING (i) JOIN d{k} USING (i))"
+    return sql + " SELECT i, " + ", ".join(f"round({c}, 8) AS {c}" for c in names) + " FROM u3"
+
+
+@query(flow_sql())
+def mesh_flow_step(spark, sf_dir):
+    """One step of a gas on a mesh of orders: neighbours by key and customer, every other order at a wall."""
+    o = read(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    state = o.select(k.alias("i"), (1 + c % 10 / 10.0).alias("density"), ((k % 7 - 3) / 10.0).alias("mx"), ((c % 5 - 2) / 10.0).alias("my"), F.lit(0.05).alias("mz"), (2.5 + k % 11 / 10.0).alias("energy"), (1.0 + k % 5).alias("area"))
+    face = lambda nb, *n: F.struct(nb.alias("neighbour"), *[F.lit(x).alias(a) for x, a in zip(n, ("nx", "ny", "nz"))])
+    around = F.array(face(k - 1, -0.4, 0.1, 0.0), face(k + 1, 0.5, 0.0, 0.1), face(c, 0.1, -0.3, 0.0), face(-1 - k % 2, 0.0, 0.2, 0.1))
+    faces = o.select(k.alias("i"), F.explode(around).alias("f")).select("i", "f.*")
+    new = mesh.flow_step(state, faces, FAR)
+    return new.select("i", *[F.round(x, 8).alias(x) for x in mesh.STATE])
+
+
 # --- series -----------------------------------------------------------------------------------------------------------
 
 NODES = "WITH p AS (SELECT p_brand, CAST((p_size - 1) // 10 * 10 + 5 AS DOUBLE) AS x, avg(p_retailprice) / 100 AS y FROM part GROUP BY 1, 2)"
