@@ -59,8 +59,8 @@ def dbscan_lattice(df: DataFrame, x: str, y: str, radius: int, least: int) -> Da
     return named.select(x, y, "weight", "near", F.when(F.col("l").isNotNull(), F.concat_ws(",", F.col(f"l.{x}"), F.col(f"l.{y}"))).alias("cluster"))
 
 
-def gaussian_mixture(points: DataFrame, means: list[list[float]], iterations: int = 10, vector_col: str = "v", floor: float = 1e-6) -> list[tuple[float, list[float], list[float]]]:
-    """(weight, mean, variance) of each component with a diagonal covariance, by expectation maximisation from the given means."""
+def gaussian_mixture(points: DataFrame, means: list[list[float]], iterations: int = 10, vector_col: str = "v", floor: float = 1e-6, tolerance: float = 1e-9) -> list[tuple[float, list[float], list[float]]]:
+    """(weight, mean, variance) of each component with a diagonal covariance, by expectation maximisation from the given means, until none of them moves by the tolerance."""
     dim = len(means[0])
     parts = [(1.0 / len(means), m, [1.0] * dim) for m in means]
     for _ in range(iterations):
@@ -80,7 +80,10 @@ def gaussian_mixture(points: DataFrame, means: list[list[float]], iterations: in
             new[r["k"]][0] = r["n"] / total
             new[r["k"]][1][r["j"]] = r["s"] / n
             new[r["k"]][2][r["j"]] = max(floor, r["q"] / n - (r["s"] / n) ** 2)
+        moved = max(abs(a - b) for (_, old, _), (_, now, _) in zip(parts, new) for a, b in zip(old, now))
         parts = [tuple(p) for p in new]
+        if moved < tolerance:
+            break
     return parts
 
 

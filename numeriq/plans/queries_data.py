@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats as fmt
 from ..operators import metrics, prep, sequences
+from . import tuner
 from .registry import query, read
 from .tuner import format_counts, runtime_summary, sweep
 
@@ -301,6 +302,14 @@ def precision_sweep(spark, sf_dir):
     return sweep(lineitem(spark, sf_dir).select("l_returnflag", *cols), revenue, cols, ["l_returnflag"], ["revenue", "quantity"], range(1, 5))
 
 
+@query()
+def breaking_columns(spark, sf_dir):
+    """What breaks four digits of grouped revenue when it is held in half precision beside what does not."""
+    cols = ["l_extendedprice", "l_discount", "l_quantity"]
+    found, _ = tuner.breaking_columns(lineitem(spark, sf_dir).select("l_returnflag", *cols), revenue, cols, ["l_returnflag"], ["revenue", "quantity"], 4, "h")
+    return found
+
+
 @query("""WITH s AS (SELECT p_brand, CASE WHEN p_size <= 15 THEN 's' WHEN p_size <= 30 THEN 'p' ELSE 'd' END AS format, p_partkey FROM part) SELECT p_brand, format, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY 1, 2""")
 def format_counts_by_brand(spark, sf_dir):
     kind = F.when(F.col("p_size") <= 15, "s").when(F.col("p_size") <= 30, "p").otherwise("d")

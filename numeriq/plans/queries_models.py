@@ -58,20 +58,22 @@ def kmeans_sql(k, dim, rounds):
     return ", ".join(parts), f"d{rounds}"
 
 
-_KM, _LAST = kmeans_sql(4, 8, 2)
+_KM, _LAST = kmeans_sql(4, 64, 2)
+_DONE, _END = kmeans_sql(4, 64, 30)
 
 
 @query(f"{_KM} SELECT id, CAST(c AS INTEGER) AS centre, round(d2, 8) AS d2 FROM {_LAST} WHERE n = 1")
 def kmeans_two_rounds(spark, sf_dir):
-    p = short(spark, sf_dir, 8)
+    p = points(spark, sf_dir)
     centres, _ = estimators.kmeans(p, 4, 2)
     return joins.nearest_centre(p, centres).select("id", "centre", F.round("d2", 8).alias("d2"))
 
 
-@query(f"{_KM} SELECT round(sum(d2), 6) AS sse FROM {_LAST} WHERE n = 1")
+@query(f"{_DONE} SELECT round(sum(d2), 6) AS sse FROM {_END} WHERE n = 1")
 def kmeans_inertia(spark, sf_dir):
-    p = short(spark, sf_dir, 8)
-    centres, _ = estimators.kmeans(p, 4, 2)
+    """What is left when no centre moves any more, or after 30 rounds."""
+    p = points(spark, sf_dir)
+    centres, _ = estimators.kmeans(p, 4, 30)
     return estimators.inertia(joins.nearest_centre(p, centres)).select(F.round("sse", 6).alias("sse"))
 
 
@@ -200,13 +202,24 @@ def linear_svm(spark, sf_dir):
     return rows.agg(F.round(F.avg(((s >= 0) == (F.col("y") > 0)).cast("double")), 6).alias("accuracy"))
 
 
-@query()
+def mixture_sql(k, rounds):
+    sql = f"""WITH p AS (SELECT vec_id AS id, generate_subscripts(embedding, 1) - 1 AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+f AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT DISTINCT id FROM p ORDER BY id LIMIT {k})), c0 AS (SELECT k, j, x AS m, 1.0::DOUBLE AS s, 1.0::DOUBLE / {k} AS w FROM f JOIN p USING (id))"""
+    for r in range(rounds):
+        sql += f""", l{r} AS (SELECT id, k, any_value(ln(w)) + sum(-(x - m) * (x - m) / (2 * s) - ln(s * 2 * pi()) / 2) AS l FROM p JOIN c{r} USING (j) GROUP BY 1, 2),
+e{r} AS (SELECT id, k, exp(l - max(l) OVER (PARTITION BY id)) AS e FROM l{r}), r{r} AS (SELECT id, k, e / sum(e) OVER (PARTITION BY id) AS r FROM e{r}),
+c{r + 1} AS (SELECT k, j, sum(r * x) / sum(r) AS m, greatest(1e-6, sum(r * x * x) / sum(r) - pow(sum(r * x) / sum(r), 2)) AS s, sum(r) / (SELECT count(DISTINCT id) FROM p) AS w FROM r{r} JOIN p USING (id) GROUP BY 1, 2)"""
+    return sql + f" SELECT CAST(k AS INTEGER) AS component, CAST(j AS INTEGER) AS j, round(w, 6) AS weight, round(m, 6) AS mean, round(s, 6) AS variance FROM c{rounds}"
+
+
+@query(mixture_sql(3, 6))
 def gaussian_mixture(spark, sf_dir):
-    """Weights of a mixture of three Gaussians with diagonal covariance on four coordinates."""
-    p = short(spark, sf_dir, 4)
+    """A mixture of three Gaussians with diagonal covariance over whole vectors, six rounds."""
+    p = points(spark, sf_dir)
     starts = [[float(x) for x in r["v"]] for r in p.orderBy("id").limit(3).collect()]
-    parts = estimators.gaussian_mixture(p, starts, 3)
-    return spark.createDataFrame([(i, round(w, 6), [round(x, 6) for x in m]) for i, (w, m, _) in enumerate(parts)], "component int, weight double, mean array<double>")
+    parts = estimators.gaussian_mixture(p, starts, 6, tolerance=0.0)
+    rows = [(i, j, round(w, 6), round(x, 6), round(y, 6)) for i, (w, m, v) in enumerate(parts) for j, (x, y) in enumerate(zip(m, v))]
+    return spark.createDataFrame(rows, "component int, j int, weight double, mean double, variance double")
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import joins, mesh, precondition, sequences, series, solvers
+from ..operators import gravity, joins, mesh, precondition, sequences, series, solvers
 from .lineage import cut
 from .registry import query, read
 
@@ -377,6 +377,35 @@ def group_attraction(spark, sf_dir):
     return series.attraction(b, "g", "x", "y", "m").select("c_custkey", F.round("ax", 6).alias("ax"), F.round("ay", 6).alias("ay"))
 
 
+BODIES = "b AS (SELECT s_suppkey AS id, s_suppkey % 37 + s_acctbal / 1000 AS x, s_suppkey % 23 + s_nationkey / 7.0::DOUBLE AS y, 1 + s_suppkey % 5 + 0.0::DOUBLE AS m FROM supplier)"
+
+
+def bodies(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return read(spark, sf_dir, "supplier").select(k.alias("id"), (k % 37 + F.col("s_acctbal") / 1000).alias("x"), (k % 23 + F.col("s_nationkey") / 7.0).alias("y"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"), (1.0 + k % 5).alias("m"))
+
+
+@query(f"""WITH {BODIES}, d AS (SELECT a.id, b.m, b.x - a.x AS dx, b.y - a.y AS dy, pow(b.x - a.x, 2) + pow(b.y - a.y, 2) + 0.001 AS d2 FROM b a JOIN b ON a.x <> b.x OR a.y <> b.y)
+SELECT id, round(sum(m * dx / (d2 * sqrt(d2))), 6) AS ax, round(sum(m * dy / (d2 * sqrt(d2))), 6) AS ay, round(sum(-m / sqrt(d2)), 6) AS potential FROM d GROUP BY id""")
+def gravity_pairs(spark, sf_dir):
+    """The pull of all other suppliers' masses: every pair."""
+    return gravity.gravity(bodies(spark, sf_dir), 0.0).select("id", *[F.round(c, 6).alias(c) for c in ("ax", "ay", "potential")])
+
+
+@query(f"""WITH {BODIES}, d0 AS (SELECT a.id, a.m AS am, b.m, b.x - a.x AS dx, b.y - a.y AS dy, pow(b.x - a.x, 2) + pow(b.y - a.y, 2) + 0.001 AS d2 FROM b a JOIN b ON a.x <> b.x OR a.y <> b.y),
+a0 AS (SELECT id, sum(m * dx / (d2 * sqrt(d2))) AS ax, sum(m * dy / (d2 * sqrt(d2))) AS ay FROM d0 GROUP BY id),
+n AS (SELECT id, b.x + 0.01 * 0.005 * ax AS x, b.y + 0.01 * 0.005 * ay AS y, b.m, 0.005 * ax AS vx, 0.005 * ay AS vy FROM b JOIN a0 USING (id)),
+d1 AS (SELECT a.id, a.m AS am, b.m, b.x - a.x AS dx, b.y - a.y AS dy, pow(b.x - a.x, 2) + pow(b.y - a.y, 2) + 0.001 AS d2 FROM n a JOIN n b ON a.x <> b.x OR a.y <> b.y),
+a1 AS (SELECT id, sum(m * dx / (d2 * sqrt(d2))) AS ax, sum(m * dy / (d2 * sqrt(d2))) AS ay FROM d1 GROUP BY id)
+SELECT round((SELECT sum(-am * m / sqrt(d2)) / 2 FROM d0), 5) AS before, round((SELECT sum(-am * m / sqrt(d2)) / 2 FROM d1) + (SELECT sum(0.5 * n.m * (pow(vx + 0.005 * ax, 2) + pow(vy + 0.005 * ay, 2))) FROM n JOIN a1 USING (id)), 5) AS after""")
+def gravity_energy(spark, sf_dir):
+    """Energy of the suppliers' masses before and after a leapfrog step."""
+    b = bodies(spark, sf_dir)
+    after = gravity.move(b, 0.01, 1, 0.0)
+    total = lambda x: gravity.energy(x, 0.0).select((F.col("kinetic") + F.col("potential")).alias("e"))
+    return total(b).select(F.round("e", 5).alias("before")).withColumn("after", F.round(total(after).scalar(), 5))
+
+
 # --- scalar functions ---------------------------------------------------------------------------------------------------
 
 

@@ -8,11 +8,13 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
 
+from pyspark.errors import ArithmeticException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formats import FORMATS, by_precision, quantize_columns, within_digits
 from .lineage import cut
+from .search import FAIL, PASS, UNRESOLVED, Search
 
 
 def split_parts(items: Sequence, n: int) -> list[list]:
@@ -64,12 +66,21 @@ def reference_result(source: DataFrame, query: Callable[[DataFrame], DataFrame],
     return cut(query(source).select(*keys, *[F.col(c).alias(f"__ref_{c}") for c in check]))
 
 
-def tune(source: DataFrame, query: Callable[[DataFrame], DataFrame], columns: Sequence[str], keys: Sequence[str], check: Sequence[str], digits: int, letters: str = "bsd", formats: dict = FORMATS, custom: Callable[[str, str], Column] | None = None, reference: DataFrame | None = None, results: dict | None = None) -> Tuning:
+def digits_kept(source: DataFrame, query: Callable[[DataFrame], DataFrame], assigned: dict[str, str], exact: DataFrame, keys: Sequence[str], check: Sequence[str], formats: dict = FORMATS, custom: Callable[[str, str], Column] | None = None) -> list[bool]:
+    """Whether the result keeps 1, 2, ... 16 digits with columns held in the assigned formats: one job that returns one row."""
+    held = source.withColumns({c: custom(c, f) for c, f in assigned.items()}) if custom else quantize_columns(source, assigned, formats)
+    both = query(held).join(exact, list(keys), "full_outer")
+    good = [reduce(and_, [within_digits(f"__ref_{c}", c, d) for c in check]) for d in range(1, 17)]
+    return list(both.agg(*[F.coalesce(F.bool_and(g), F.lit(True)) for g in good]).first())
+
+
+def tune(source: DataFrame, query: Callable[[DataFrame], DataFrame], columns: Sequence[str], keys: Sequence[str], check: Sequence[str], digits: int, letters: str = "bsd", formats: dict = FORMATS, custom: Callable[[str, str], Column] | None = None, reference: DataFrame | None = None, results: dict | None = None, monotone: bool = False, **hooks) -> Tuning:
     """Formats by column. query maps a table to a result with key columns and columns to check.
 
     All columns start in the highest format. A pass over two neighbouring formats, the highest first, lowers all of its columns if that
     keeps the digits, else a maximal subset. Each candidate is one Spark job that returns one row: whether it keeps 1, 2, ... 16 digits.
-    Outcomes are remembered; calls for other digits may share results, and the reference result.
+    Outcomes are remembered; calls for other digits may share results, and the reference result. monotone spares the jobs of candidates that lie within
+    a tested set that passed or around one that failed; hooks are those of search.Search.
     """
     order = by_precision(letters, formats)
     found = Tuning({c: order[-1] for c in columns})
@@ -81,11 +92,7 @@ def tune(source: DataFrame, query: Callable[[DataFrame], DataFrame], columns: Se
         mark = frozenset(assigned.items())
         if mark not in found.tried:
             if mark not in results:
-                held = source.withColumns({c: custom(c, f) for c, f in assigned.items()}) if custom else quantize_columns(source, assigned, formats)
-                # A candidate is run once: whether it keeps each number of digits is one row.
-                both = query(held).join(exact, list(keys), "full_outer")
-                good = [reduce(and_, [within_digits(f"__ref_{c}", c, d) for c in check]) for d in range(1, 17)]
-                results[mark] = list(both.agg(*[F.coalesce(F.bool_and(g), F.lit(True)) for g in good]).first())
+                results[mark] = digits_kept(source, query, assigned, exact, keys, check, formats, custom)
             found.tried[mark] = results[mark][digits - 1]
             found.runs += 1
             found.rejected += not found.tried[mark]
@@ -93,7 +100,11 @@ def tune(source: DataFrame, query: Callable[[DataFrame], DataFrame], columns: Se
 
     for high, low in zip(order[::-1], order[-2::-1]):
         movable = [c for c in columns if found.formats[c] == high]
-        lowered = largest_passing(movable, lambda s: not s or passes(found.formats | dict.fromkeys(s, low)))
+        keeps = lambda s: not s or passes(found.formats | dict.fromkeys(s, low))  # noqa: B023, E731
+        if monotone or hooks:
+            lowered = list(Search(lambda s: PASS if keeps(s) else FAIL, monotone=monotone, **hooks).largest_passing(movable))  # noqa: B023
+        else:
+            lowered = largest_passing(movable, keeps)
         if not lowered:
             break
         found.formats |= dict.fromkeys(lowered, low)
@@ -101,6 +112,24 @@ def tune(source: DataFrame, query: Callable[[DataFrame], DataFrame], columns: Se
     return found
 
 
+def breaking_columns(source: DataFrame, query: Callable[[DataFrame], DataFrame], columns: Sequence[str], keys: Sequence[str], check: Sequence[str], digits: int, low: str, formats: dict = FORMATS, **hooks) -> tuple[DataFrame, Search]:
+    """(column, beside) and the search: a smallest difference between columns that can be held in the format `low` and such that can't. column is what breaks the
+    result when it is lowered beside the others. A candidate whose job fails (an overflow) is unresolved. Outcomes are taken to be monotone."""
+    exact = reference_result(source, query, keys, check)
+
+    def test(lowered: frozenset) -> str:
+        try:
+            kept = digits_kept(source, query, dict.fromkeys(sorted(lowered), low), exact, keys, check, formats)
+        except ArithmeticException:
+            return UNRESOLVED
+        return PASS if kept[digits - 1] else FAIL
+
+    search = Search(test, monotone=True, **hooks)
+    passing, failing = search.difference(list(columns))
+    rows = [(c, sorted(passing)) for c in sorted(failing - passing)]
+    return source.sparkSession.createDataFrame(rows, "column string, beside array<string>"), search
+
+
 def sweep(source: DataFrame, query, columns, keys, check, digits: Sequence[int], letters: str = "bsd") -> DataFrame:
     """(digits, column, format, runs) for each number of digits."""
     rows, results, reference = [], {}, reference_result(source, query, keys, check)
