@@ -27,6 +27,8 @@ def quantize(x, exponent_bits, mantissa_bits) -> Column:
     The bits may be columns. A format at least as wide as a double changes nothing.
     """
     x = (F.col(x) if isinstance(x, str) else x).cast("double")
+    if isinstance(exponent_bits, int) and isinstance(mantissa_bits, int) and (exponent_bits, mantissa_bits) == (8, 23):
+        return x.cast("float").cast("double")  # what the cast does
     e, m = (b if isinstance(b, Column) else F.lit(b) for b in (exponent_bits, mantissa_bits))
     two = F.lit(2.0)
     top = F.pow(two, e - 1) - 1

@@ -112,13 +112,15 @@ def gaussian_naive_bayes(train: DataFrame, test: DataFrame, label: str, features
     return test.withColumn("prediction", F.array_min(F.array(*scores))["c"])
 
 
-def fit_tree(df: DataFrame, features: list[str], label: str, depth: int = 3, impurity: str = "entropy", least_rows: int = 2) -> list[dict]:
+def fit_tree(df: DataFrame, features: list[str], label: str, depth: int = 3, impurity: str = "entropy", least_rows: int = 2, weight: str | None = None) -> list[dict]:
     """Nodes of a decision tree (node, feature, threshold, value), grown level by level: one job scores all splits of all nodes of a level.
     Values below the threshold go left (2 node), others right (2 node + 1)."""
     rows = df.withColumn("node", F.lit(1))
     nodes: list[dict] = []
     open_nodes = {1}
-    value = F.avg(label) if impurity == "variance" else None
+    value = None
+    if impurity == "variance":
+        value = F.sum(F.col(weight) * F.col(label)) / F.sum(weight) if weight else F.avg(label)
     for level in range(depth + 1):
         if value is None:
             counts = rows.groupBy("node", label).agg(F.count("*").alias("n"))
@@ -126,7 +128,7 @@ def fit_tree(df: DataFrame, features: list[str], label: str, depth: int = 3, imp
         else:
             at = rows.groupBy("node").agg(value.alias("value"), F.count("*").alias("rows"))
         leaves = {r["node"]: r for r in at.collect()}
-        splits = {r["node"]: r for r in best_split(split_scan(rows, features, label, impurity, ["node"]), ["node"]).collect()} if level < depth else {}
+        splits = {r["node"]: r for r in best_split(split_scan(rows, features, label, impurity, ["node"], weight), ["node"]).collect()} if level < depth else {}
         test = F.lit(None).cast("int")
         grown = set()
         for n in sorted(open_nodes & set(leaves)):
@@ -214,6 +216,40 @@ def adaboost(df: DataFrame, features: list[str], target: str, rounds: int = 5) -
     return model
 
 
+def adaboost_trees(df: DataFrame, features: list[str], target: str, rounds: int = 5, depth: int = 2) -> list[tuple[float, list[dict]]]:
+    """(alpha, tree) of regression trees on weighted rows, with the squared loss (residual / largest residual)^2. A tree's splits are the best of their node;
+    rounds stop when the weighted loss is 0.5 or more, or nothing is left to learn. Weights are multiplied by exp(alpha * loss)."""
+    rows = cut(df.select(*features, target).withColumn("w", F.lit(1.0)))
+    model = []
+    for _ in range(rounds):
+        tree = fit_tree(rows, features, target, depth, "variance", weight="w")
+        residual = F.abs(F.col(target) - tree_column(tree))
+        most = rows.agg(F.max(residual)).first()[0]
+        if not tree or most is None:
+            break
+        loss = F.pow(residual / (most or 1.0), 2.0)
+        error = rows.agg(F.sum(F.col("w") * loss) / F.sum("w")).first()[0]
+        if error >= 0.5:
+            break
+        alpha = 0.5 * math.log((1 - error) / max(error, 1e-10))
+        model.append((alpha, tree))
+        if error < 1e-10:
+            break
+        scaled = rows.withColumn("w", F.col("w") * F.exp(alpha * loss))
+        total = scaled.agg(F.avg("w")).first()[0]
+        rows = cut(scaled.withColumn("w", F.col("w") / total))
+    return model
+
+
+def boosted_trees_column(model: list[tuple[float, list[dict]]]) -> Column:
+    """The mean of the trees by alpha."""
+    total = sum(a for a, _ in model) or 1.0
+    out = F.lit(0.0)
+    for a, tree in model:
+        out = out + (a / total) * tree_column(tree)
+    return out
+
+
 def boosted_column(model) -> Column:
     total = sum(a for a, *_ in model) or 1.0
     out = F.lit(0.0)

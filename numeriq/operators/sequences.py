@@ -30,16 +30,20 @@ def cumulative_share(df: DataFrame, by: list[str], order: list[str], weight: str
     return df.withColumn("cdf", F.sum(weight).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) / F.sum(weight).over(w))
 
 
-def split_scan(df: DataFrame, features: list[str], label: str, impurity: str = "entropy", node: list[str] = []) -> DataFrame:  # noqa: B006
+def split_scan(df: DataFrame, features: list[str], label: str, impurity: str = "entropy", node: list[str] = [], weight: str | None = None) -> DataFrame:  # noqa: B006
     """feature, threshold, gain of every midpoint between neighbouring values.
 
-    Rows are counted by (feature, value, label) first, so windows run over distinct values. impurity: entropy, gini or variance.
+    Rows are counted by (feature, value, label) first, so windows run over distinct values. impurity: entropy, gini or variance;
+    a column of weights counts for variance only.
     """
+    if impurity == "variance":
+        df = df.withColumn("__w", F.col(weight).cast("double") if weight else F.lit(1.0))
+        node = [*node, "__w"]
     long = df.select(*node, label, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("x")).select(*node, label, "x.*")
-    by = [*node, "feature"]
+    by = [*[n for n in node if n != "__w"], "feature"]
     order = Window.partitionBy(*by).orderBy("value")
     if impurity == "variance":
-        sums = long.groupBy(*by, "value").agg(F.count("*").cast("double").alias("n"), F.sum(label).alias("s"), F.sum(F.col(label) * F.col(label)).alias("q"))
+        sums = long.groupBy(*by, "value").agg(F.sum("__w").alias("n"), F.sum(F.col("__w") * F.col(label)).alias("s"), F.sum(F.col("__w") * F.col(label) * F.col(label)).alias("q"))
         up, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
         cols = {c + "l": F.sum(c).over(up) for c in "nsq"} | {c + "t": F.sum(c).over(whole) for c in "nsq"} | {"next": F.lead("value").over(order)}
         x = sums.withColumns(cols).filter("next is not null")

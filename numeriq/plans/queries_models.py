@@ -182,6 +182,14 @@ def adaboost_regression(spark, sf_dir):
     return l.agg(F.round(F.avg(F.pow(F.col("y") - estimators.boosted_column(model), 2.0)), 6).alias("mse"), F.round(F.var_pop("y"), 6).alias("variance"), F.lit(len(model)).alias("stumps"))
 
 
+@query()
+def adaboost_tree_regression(spark, sf_dir):
+    """Mean squared error of boosted trees of depth two against that of the mean."""
+    l = cut(read(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", (F.col("l_extendedprice") / 1000).alias("y")))  # noqa: E741
+    model = estimators.adaboost_trees(l, ["l_quantity", "l_discount"], "y", 3)
+    return l.agg(F.round(F.avg(F.pow(F.col("y") - estimators.boosted_trees_column(model), 2.0)), 6).alias("mse"), F.round(F.var_pop("y"), 6).alias("variance"), F.lit(len(model)).alias("trees"))
+
+
 @query()
 def linear_svr(spark, sf_dir):
     """R2 of a linear support-vector regression of scaled price on scaled quantity."""
