@@ -150,7 +150,33 @@ def naive_bayes_predictions(spark, sf_dir):
     return estimators.gaussian_naive_bayes(l, l, "l_returnflag", NB).groupBy("prediction").agg(F.count("*").alias("n"))
 
 
-@query()
+def tree_sql(base, features, depth, labels=None):
+    """A tree grown level by level, each node by its best split: by variance, or by entropy of the counts of some labels."""
+    sums = ["n", "s", "q"] if labels is None else [f"c{k}" for k in labels]
+    agg = "count(*) AS n, sum(y) AS s, sum(y * y) AS q" if labels is None else ", ".join(f"count(*) FILTER (y = {k}) AS c{k}" for k in labels)
+
+    def impurity(side):
+        of = lambda c: f"({c}t - {c}l)" if side == "r" else f"{c}{side}"
+        if labels is None:
+            return f"({of('q')} / {of('n')} - pow({of('s')} / {of('n')}, 2))", of("n")
+        total = "(" + " + ".join(map(of, sums)) + ")"
+        return f"(log2({total}) - (" + " + ".join(f"CASE WHEN {of(c)} > 0 THEN {of(c)} * log2({of(c)}) ELSE 0 END" for c in sums) + f") / {total})", total
+
+    sql = f"WITH n0 AS (SELECT *, 1 AS node FROM ({base}))"
+    (it, nt), (il, nl), (ir, nr) = map(impurity, ("t", "l", "r"))
+    for k in range(depth):
+        values = " UNION ALL ".join(f"SELECT node, '{f}' AS feature, {f} AS value, {agg} FROM n{k} GROUP BY node, {f}" for f in features)
+        run = ", ".join(f"sum({c}) OVER (PARTITION BY node, feature ORDER BY value) AS {c}l, sum({c}) OVER (PARTITION BY node, feature) AS {c}t" for c in sums)
+        at = "CASE b.feature " + " ".join(f"WHEN '{f}' THEN n.{f}" for f in features) + " END"
+        sql += f""", x{k} AS (SELECT node, feature, value, lead(value) OVER (PARTITION BY node, feature ORDER BY value) AS next, {run} FROM ({values})),
+g{k} AS (SELECT node, feature, (value + next) / 2 AS t, {it} - {nl} / {nt} * {il} - {nr} / {nt} * {ir} AS gain FROM x{k} WHERE next IS NOT NULL),
+b{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(gain, 12) DESC, feature, t) AS o FROM g{k}) WHERE o = 1 AND gain > 1e-12),
+n{k + 1} AS (SELECT n.* REPLACE (CASE WHEN b.node IS NULL THEN n.node WHEN {at} < b.t THEN 2 * n.node ELSE 2 * n.node + 1 END AS node) FROM n{k} n LEFT JOIN b{k} b ON b.node = n.node)"""
+    return sql
+
+
+@query(tree_sql("SELECT l_quantity, l_discount, l_tax, ascii(l_returnflag) AS y FROM lineitem", ["l_quantity", "l_discount", "l_tax"], 3, (65, 78, 82)) + """,
+v AS (SELECT node, arg_max(y, (n, -y)) AS prediction FROM (SELECT node, y, count(*) AS n FROM n3 GROUP BY 1, 2) GROUP BY node) SELECT prediction, y, count(*) AS n FROM n3 JOIN v USING (node) GROUP BY 1, 2""")
 def decision_tree(spark, sf_dir):
     """Predictions of a tree of depth 3 for the return flag, counted."""
     l = read(spark, sf_dir, "lineitem")  # noqa: E741
@@ -158,7 +184,7 @@ def decision_tree(spark, sf_dir):
     return l.select(estimators.tree_column(nodes).alias("prediction"), F.ascii("l_returnflag").alias("y")).groupBy("prediction", "y").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(tree_sql("SELECT l_quantity, l_discount, l_extendedprice AS y FROM lineitem", ["l_quantity", "l_discount"], 2) + ", v AS (SELECT node, round(avg(y), 4) AS prediction, count(*) AS n FROM n2 GROUP BY node) SELECT prediction, CAST(sum(n) AS BIGINT) AS n FROM v GROUP BY 1")
 def regression_tree(spark, sf_dir):
     """Predictions of a tree of depth 2 for the price of an item, counted by leaf."""
     l = read(spark, sf_dir, "lineitem")  # noqa: E741
@@ -174,7 +200,20 @@ def random_forest(spark, sf_dir):
     return l.select(estimators.forest_column(forest).alias("prediction"), "y").groupBy("prediction", "y").agg(F.count("*").alias("n"))
 
 
-@query()
+def stumps_sql(rounds):
+    sql = "WITH r0 AS (SELECT l_quantity AS f1, l_discount AS f2, l_extendedprice / 1000 AS y, 1.0::DOUBLE / count(*) OVER () AS w, 0.0::DOUBLE AS total, 0.0::DOUBLE AS alphas FROM lineitem)"
+    for k in range(rounds):
+        sums = " UNION ALL ".join(f"SELECT '{n}' AS feature, {c} AS value, sum(w) AS w, sum(w * y) AS s, sum(w * y * y) AS q FROM r{k} GROUP BY {c}" for n, c in (("l_discount", "f2"), ("l_quantity", "f1")))
+        run = ", ".join(f"sum({c}) OVER (PARTITION BY feature ORDER BY value) AS {c}l, sum({c}) OVER (PARTITION BY feature) AS {c}t" for c in "wsq")
+        sql += f""", x{k} AS (SELECT feature, value, lead(value) OVER (PARTITION BY feature ORDER BY value) AS next, {run} FROM ({sums})),
+b{k} AS (SELECT feature, (value + next) / 2 AS t, sl / wl AS a, (st - sl) / (wt - wl) AS b, qt - wl * pow(sl / wl, 2) - (wt - wl) * pow((st - sl) / (wt - wl), 2) AS loss FROM x{k} WHERE next IS NOT NULL ORDER BY loss, feature, t LIMIT 1),
+p{k} AS (SELECT r{k}.*, CASE WHEN CASE feature WHEN 'l_quantity' THEN f1 ELSE f2 END < t THEN a ELSE b END AS p FROM r{k}, b{k}),
+e{k} AS (SELECT max(abs(y - p)) AS most, 0.5 * ln(1 / (sum(w * abs(y - p)) / sum(w) / max(abs(y - p))) - 1) AS alpha FROM p{k}), v{k} AS (SELECT f1, f2, y, w * exp(alpha * abs(y - p) / most) AS w, total + alpha * p AS total, alphas + alpha AS alphas FROM p{k}, e{k}),
+r{k + 1} AS (SELECT f1, f2, y, w / sum(w) OVER () AS w, total, alphas FROM v{k})"""
+    return sql + f" SELECT round(avg(pow(y - total / alphas, 2)), 6) AS mse, round(var_pop(y), 6) AS variance, {rounds} AS stumps FROM r{rounds}"
+
+
+@query(stumps_sql(3))
 def adaboost_regression(spark, sf_dir):
     """Mean squared error of boosted stumps against that of the mean."""
     l = read(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", (F.col("l_extendedprice") / 1000).alias("y"))  # noqa: E741
@@ -190,7 +229,17 @@ def adaboost_tree_regression(spark, sf_dir):
     return l.agg(F.round(F.avg(F.pow(F.col("y") - estimators.boosted_trees_column(model), 2.0)), 6).alias("mse"), F.round(F.var_pop("y"), 6).alias("variance"), F.lit(len(model)).alias("trees"))
 
 
-@query()
+def vector_machine_sql(scaled, target, epochs, sign, step_w, step_b, result):
+    scale = lambda c: f"(l_{c} - avg(l_{c}) OVER ()) / stddev_pop(l_{c}) OVER ()"
+    sql = f"WITH p AS (SELECT {scale('quantity')} AS x1, {scale('discount')} AS x2, {target.format(price=scale('extendedprice') if scaled else 'l_extendedprice')} AS y FROM lineitem), g0 AS (SELECT 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS b)"
+    for k in range(epochs):
+        new = [f"any_value(w{j}) - {step_w.format(w=f'any_value(w{j})', g=f'avg(s * x{j})')} AS w{j}" for j in (1, 2)]
+        sql += f", g{k + 1} AS (SELECT {', '.join(new)}, any_value(b) + {step_b} * avg(s) AS b FROM (SELECT *, {sign} AS s FROM p, g{k}))"
+    return sql + f" SELECT {result} FROM p, g{epochs}"
+
+
+@query(vector_machine_sql(True, "{price}", 10, "CASE WHEN y - (w1 * x1 + w2 * x2 + b) > 0.1 THEN 1.0 WHEN y - (w1 * x1 + w2 * x2 + b) < -0.1 THEN -1.0 ELSE 0.0 END", "0.2 * ({w} - {g})", 0.2,
+    "round(1 - sum(pow(y - (w1 * x1 + w2 * x2 + b), 2)) / sum(pow(y, 2)), 6) AS r2"))
 def linear_svr(spark, sf_dir):
     """R2 of a linear support-vector regression of scaled price on scaled quantity."""
     l = prep.standard_scale(read(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_extendedprice"), ["l_quantity", "l_discount", "l_extendedprice"])  # noqa: E741
@@ -200,7 +249,8 @@ def linear_svr(spark, sf_dir):
     return rows.agg(F.round(1 - F.sum(F.pow(F.col("y") - p, 2.0)) / F.sum(F.pow("y", 2.0)), 6).alias("r2"))
 
 
-@query()
+@query(vector_machine_sql(False, "CASE WHEN {price} > 40000 THEN 1 ELSE -1 END", 8, "CASE WHEN y * (w1 * x1 + w2 * x2 + b) < 1 THEN y ELSE 0 END", "0.5 * ({w} / count(*) - {g})", 0.5,
+    "round(avg(CASE WHEN (w1 * x1 + w2 * x2 + b >= 0) = (y > 0) THEN 1.0 ELSE 0.0 END), 6) AS accuracy"))
 def linear_svm(spark, sf_dir):
     """Accuracy of a linear support-vector classifier for large orders."""
     l = prep.standard_scale(read(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_extendedprice"), ["l_quantity", "l_discount"])  # noqa: E741
@@ -292,6 +342,14 @@ def streamed_sessions(spark, sf_dir):
     return w.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
+@query()
+def streamed_clusters(spark, sf_dir):
+    """Weighted centres of the stream of embeddings."""
+    schema = read(spark, sf_dir, "embeddings").schema
+    c = streams.stream_clusters(spark, f"{sf_dir}/embeddings.parquet*", schema, "embedding", 8, 12)
+    return c.select("weight", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+
+
 @query()
 def streamed_medians(spark, sf_dir):
     """Weighted medians of the embeddings, which stream in four files."""

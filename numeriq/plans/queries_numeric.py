@@ -321,7 +321,17 @@ def lagrange_interpolation(spark, sf_dir):
     return series.lagrange(n, ["p_brand"], "x", "y", 22.123457).withColumn("value", F.round("value", 6))
 
 
-@query()
+#: Natural splines: elimination runs up the knots of a brand, substitution down.
+SPLINE = """WITH RECURSIVE p AS (SELECT p_brand AS g, CAST(p_size AS DOUBLE) AS x, avg(p_retailprice) / 100 AS y FROM part GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY g) AS n, lead(x) OVER w - x AS h, x - lag(x) OVER w AS l, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lag(y) OVER w AS y0 FROM p WINDOW w AS (PARTITION BY g ORDER BY x)),
+t AS (SELECT g, i, n, l, h, 2 * (l + h) AS d, 6 * ((y1 - y) / h - (y - y0) / l) AS r FROM k WHERE i BETWEEN 1 AND n - 2),
+u(g, i, d, r) AS (SELECT g, i, d, r FROM t WHERE i = 1 UNION ALL SELECT t.g, t.i, t.d - t.l / u.d * t.l, t.r - t.l / u.d * u.r FROM u JOIN t ON t.g = u.g AND t.i = u.i + 1),
+m(g, i, m) AS (SELECT u.g, u.i, u.r / u.d FROM u JOIN t USING (g, i) WHERE i = n - 2 UNION ALL SELECT u.g, u.i, (u.r - t.h * m.m) / u.d FROM m JOIN u ON u.g = m.g AND u.i = m.i - 1 JOIN t ON t.g = u.g AND t.i = u.i),
+s AS (SELECT k.*, coalesce(a.m, 0) AS m0, coalesce(b.m, 0) AS m1 FROM k LEFT JOIN m a ON a.g = k.g AND a.i = k.i LEFT JOIN m b ON b.g = k.g AND b.i = k.i + 1 WHERE k.h IS NOT NULL)
+SELECT g AS p_brand, (x + x1) / 2 AS t, round((y + y1) / 2 + 2 * (0.125 - 0.5) * (m0 + m1) / 2 * h * h / 6, 6) AS value FROM s"""
+
+
+@query(SPLINE)
 def spline_interpolation(spark, sf_dir):
     """Natural cubic splines of price by size for each brand, between knots."""
     from pyspark.sql import Window
@@ -365,7 +375,19 @@ def runge_kutta(spark, sf_dir):
     return three(chains(spark, sf_dir).withColumn("y", series.rk4(F.col("y"), 0.1, 3)))
 
 
-@query()
+def implicit_sql(steps, h, simpson):
+    sql = f"WITH s0 AS ({ODE})"
+    for i in range(steps):
+        known = f"list_transform(list_zip(k, {chain('mid')}), lambda z: z[1] + 4 * z[2])" if simpson else "k"
+        sql += f", a{i} AS (SELECT s_suppkey, y0, {chain('y0')} AS k FROM s{i}), b{i} AS (SELECT *, {plus('y0', 'k', h)} AS mid FROM a{i}), c{i} AS (SELECT s_suppkey, y0, {plus('y0', 'k', 2 * h if simpson else h)} AS y1, {known} AS known FROM b{i})"
+        for n in range(5):
+            closer = f"list_transform(list_zip(y0, known, {chain(f'y{n + 1}')}), lambda z: z[1] + {h / 3 if simpson else h / 2} * (z[2] + z[3]))"
+            sql += f", n{i}_{n} AS (SELECT s_suppkey, y0, known, {closer} AS y{n + 2} FROM {f'n{i}_{n - 1}' if n else f'c{i}'})"
+        sql += f", s{i + 1} AS (SELECT s_suppkey, y6 AS y0 FROM n{i}_4)"
+    return sql + f" SELECT s_suppkey, round(y0[1], 8) AS y1, round(y0[2], 8) AS y2, round(y0[3], 8) AS y3 FROM s{steps}"
+
+
+@query(implicit_sql(3, 0.1, False))
 def implicit_trapezoid(spark, sf_dir):
     return three(chains(spark, sf_dir).withColumn("y", series.trapezoid(F.col("y"), 0.1, 3)))
 
@@ -434,12 +456,39 @@ def comma_and(spark, sf_dir):
     return lists.select(F.col("r_name").alias("region"), scalars.comma_and(F.col("l")).alias("names"))
 
 
-@query()
+@query(implicit_sql(2, 0.05, True))
 def simpson_two_step(spark, sf_dir):
     return three(chains(spark, sf_dir).withColumn("y", series.simpson(F.col("y"), 0.05, 2)))
 
 
-@query()
+def multigrid_sql():
+    """One cycle on two grids, written out."""
+    parts = [GRID.removeprefix("WITH ").replace("g AS", "f AS", 1), "u0 AS (SELECT r, c, 0.0::DOUBLE AS v FROM f)"]
+
+    def residual(u, f, name):
+        moved = f"(SELECT r + a AS r, c + b AS c, v * k AS v FROM {u}, (VALUES (0, 0, 4), (1, 0, -1), (-1, 0, -1), (0, 1, -1), (0, -1, -1)) m(a, b, k))"
+        parts.append(f"{name} AS (SELECT f.r, f.c, any_value(f.v) - sum(m.v) AS v FROM {f} f JOIN {moved} m ON m.r = f.r AND m.c = f.c GROUP BY 1, 2)")
+        return name
+
+    def smoothed(u, f, name):
+        for k in range(2):
+            d = residual(u, f, f"d{name}{k}")
+            parts.append(f"{name}{k} AS (SELECT u.r, u.c, u.v + 0.2 * d.v AS v FROM {u} u JOIN {d} d ON d.r = u.r AND d.c = u.c)")
+            u = f"{name}{k}"
+        return u
+
+    fine = smoothed("u0", "f", "a")
+    left = residual(fine, "f", "left0")
+    parts.append(f"q AS (SELECT CAST(floor(r / 2.0) AS BIGINT) AS r, CAST(floor(c / 2.0) AS BIGINT) AS c, sum(v) / 4 * 4 AS v FROM {left} GROUP BY 1, 2)")
+    parts.append("zero AS (SELECT r, c, 0.0::DOUBLE AS v FROM q)")
+    coarse = smoothed(smoothed("zero", "q", "b"), "q", "e")
+    parts.append(f"p AS (SELECT r * 2 + a AS r, c * 2 + b AS c, sum(v / (1 + abs(a)) / (1 + abs(b))) AS v FROM {coarse}, generate_series(-1, 1) x(a), generate_series(-1, 1) y(b) WHERE r * 2 + a >= 0 AND c * 2 + b >= 0 GROUP BY 1, 2)")
+    parts.append(f"w AS (SELECT u.r, u.c, u.v + coalesce(p.v, 0) AS v FROM {fine} u LEFT JOIN p ON p.r = u.r AND p.c = u.c)")
+    last = smoothed("w", "f", "z")
+    return "WITH " + ", ".join(parts) + f" SELECT r, c, round(v, 6) AS v FROM {last}"
+
+
+@query(multigrid_sql())
 def multigrid_cycle(spark, sf_dir):
     """One V-cycle for the Laplacian with the grid of prices as the right side."""
     f = grid(spark, sf_dir)
