@@ -52,12 +52,12 @@ def lattice_edges(points: DataFrame, x: str, y: str, radius: int) -> DataFrame:
 def stencil(grid: DataFrame, r: str = "r", c: str = "c", v: str = "v") -> DataFrame:
     """Each cell with its four neighbours n, s, w, e by coordinates; where there is no such cell, the cell is its own neighbour.
 
-    A cell is sent to its neighbours: one shuffle by cell, in which no line of the grid is a key. (r, c) is unique.
+    A cell's value is sent to its neighbours, and its row to its own place: one shuffle by cell, in which no line of the grid is a key. (r, c) is unique.
     """
     moves = {"n": (1, 0), "s": (-1, 0), "w": (0, 1), "e": (0, -1)}
     sent = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in (moves | {"own": (0, 0)}).items()])).alias("m")
     own = F.struct(*grid.columns)
-    moved = grid.select(own.alias("row"), F.col(v).alias("x"), sent).select((F.col(f"row.{r}") + F.col("m.a")).alias("__r"), (F.col(f"row.{c}") + F.col("m.b")).alias("__c"), "row", "x", F.col("m.k").alias("k"))
+    moved = grid.select(own.alias("row"), F.col(v).alias("x"), sent).select((F.col(f"row.{r}") + F.col("m.a")).alias("__r"), (F.col(f"row.{c}") + F.col("m.b")).alias("__c"), F.when(F.col("m.k") == "own", F.col("row")).alias("row"), "x", F.col("m.k").alias("k"))
     at = lambda k: F.max(F.when(F.col("k") == k, F.col("x")))
     met = moved.groupBy("__r", "__c").agg(F.max_by("row", F.when(F.col("k") == "own", 1)).alias("row"), *[at(k).alias(k) for k in moves]).filter("row is not null")
     return met.select("row.*", *[F.coalesce(k, F.col(f"row.{v}")).alias(k) for k in moves])

@@ -75,7 +75,7 @@ def read_grid(spark: SparkSession, path: str, columns: int) -> DataFrame:
 
 
 def read_float_blocks(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """(file, block, v) of raw 32-bit floats, dim to a point. Files are decoded in the tasks that read them."""
+    """(file, block, v) of raw 32-bit floats, dim to a point. Files are decoded in the tasks that read them; what float_block_tails finds is left out."""
 
     def decode(batches):
         import numpy as np
@@ -83,7 +83,7 @@ def read_float_blocks(spark: SparkSession, path: str, dim: int) -> DataFrame:
 
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"]):
-                x = np.frombuffer(content, "<f4")
+                x = np.frombuffer(content[: len(content) // 4 * 4], "<f4")
                 x = x[: len(x) // dim * dim].reshape(-1, dim)
                 for at in range(0, len(x), 10_000):
                     part = x[at : at + 10_000]
@@ -92,6 +92,13 @@ def read_float_blocks(spark: SparkSession, path: str, dim: int) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "file string, block long, v array<float>")
 
 
+def float_block_tails(spark: SparkSession, path: str, dim: int) -> DataFrame:
+    """(file, points, tail): whole points of each file of raw floats, and the bytes after the last of them. Only lengths are read."""
+    size = 4 * dim
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
+    return files.select("file", F.floor(F.col("length") / size).alias("points"), (F.col("length") % size).alias("tail"))
+
+
 def synthetic_points(spark: SparkSession, n: int, dim: int, seed: int = 42) -> DataFrame:
     return spark.range(n).select("id", F.array(*[F.rand(seed + j) for j in range(dim)]).alias("v"))
 
@@ -127,6 +134,27 @@ def write_points(df: DataFrame, path: str, vector: str = "v") -> None:
     df.select(*[F.col(vector)[j].alias(f"feature_{j}") for j in range(dim)], *[c for c in df.columns if c != vector]).write.mode("overwrite").csv(path, header=True)
 
 
+def write_centroids(centres: DataFrame, path: str, index: str = "centre", vector: str = "v") -> None:
+    """CSV with a header: centroid_index, feature_0, feature_1 ..., in order of the index."""
+    dim = centres.agg(F.max(F.size(vector))).first()[0] or 0
+    rows = centres.orderBy(index).select(F.col(index).alias("centroid_index"), *[F.col(vector)[j].alias(f"feature_{j}") for j in range(dim)])
+    rows.write.mode("overwrite").csv(path, header=True)
+
+
+def write_weighted_centres(centres: DataFrame, path: str) -> None:
+    """Text of centres (id, weight, v), in order of ids: for each a line with its id, one with its weight, one with its coordinates and an empty one; six decimals."""
+    coordinates = F.array_join(F.transform("v", lambda x: F.format_string("%.6f", x.cast("double"))), " ")
+    lines = F.concat(F.format_string("%d\n%.6f\n", F.col("id"), F.col("weight")), coordinates, F.lit(" \n"))
+    centres.orderBy("id").select(lines.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_weighted_centres(spark: SparkSession, path: str) -> DataFrame:
+    """(id, weight, v) of such text. A file is split at its empty lines."""
+    parts = spark.read.option("lineSep", "\n\n").text(path).filter(F.trim("value") != "")
+    lines = F.split(F.trim("value"), r"\s*\n")
+    return parts.select(lines[0].cast("long").alias("id"), lines[1].cast("double").alias("weight"), F.transform(F.split(F.trim(lines[2]), " +"), lambda x: x.cast("double")).alias("v"))
+
+
 def write_matrix(coordinates: DataFrame, path: str, shape: tuple[int, int] | None = None) -> None:
     """CSV without a header, a line per row, in order of rows; elements that aren't stored are 0. shape: None for that of the largest indexes."""
     if shape is None:
