@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .joins import stencil
+from .joins import asof_lookup, stencil
 from .sequences import prolong, restrict
 
 
@@ -51,6 +51,21 @@ def spline_value(t, x0, x1, y0, y1, m0, m1) -> Column:
     return a * y0 + b * y1 + ((a * a * a - a) * m0 + (b * b * b - b) * m1) * h * h / 6
 
 
+def spline_at(knots: DataFrame, points: DataFrame, by: list[str], x: str, y: str, t: str) -> DataFrame:
+    """points with value, the natural cubic spline of their series at t: each point looks its interval up among the knots. t at the last knot takes the last
+    interval; beyond the knots, or where a series has a single knot, the value is null."""
+    w = Window.partitionBy(*by).orderBy(x)
+    ends = [F.lead(c).over(w).alias(c + "1") for c in (x, y, "m")]
+    last = F.max(x).over(Window.partitionBy(*by))
+    known = spline_second_derivatives(knots, by, x, y).select(*by, x, y, "m", *ends, last.alias("__last")).filter(F.col(x + "1").isNotNull())
+    steps = known.select(F.struct(*by).alias("__by"), F.col(x).alias("__at"), F.struct(x, y, "m", x + "1", y + "1", "m1", "__last").alias("__s"))
+    asked = points.withColumn("__by", F.struct(*by)).withColumn("__at", F.col(t).cast("double"))
+    met = asof_lookup(asked, steps, "__by", "__at", "__s")
+    s = lambda c: F.col("__s." + c)
+    inside = F.when(F.col("__at") <= s("__last"), spline_value(F.col("__at"), s(x), s(x + "1"), s(y), s(y + "1"), s("m"), s("m1")))
+    return met.withColumn("value", inside).drop("__by", "__at", "__s")
+
+
 def chain_derivative(y) -> Column:
     """y_i' = y_{i-1} - 2 y_i + y_{i+1}, with zeros beyond both ends."""
     n = F.size(y)

@@ -331,6 +331,17 @@ s AS (SELECT k.*, coalesce(a.m, 0) AS m0, coalesce(b.m, 0) AS m1 FROM k LEFT JOI
 SELECT g AS p_brand, (x + x1) / 2 AS t, round((y + y1) / 2 + 2 * (0.125 - 0.5) * (m0 + m1) / 2 * h * h / 6, 6) AS value FROM s"""
 
 
+@query(SPLINE.rsplit("SELECT g AS p_brand", 1)[0] + """, a AS (SELECT p_partkey, p_brand AS g, p_size + p_partkey % 4 / 4.0::DOUBLE AS t FROM part),
+e AS (SELECT a.*, s.x, s.x1, s.y, s.y1, s.m0, s.m1, s.h, max(s.x1) OVER (PARTITION BY a.g) AS last FROM a ASOF LEFT JOIN s ON s.g = a.g AND a.t >= s.x)
+SELECT p_partkey, round(CASE WHEN t <= (SELECT max(x1) FROM s WHERE s.g = e.g) THEN (x1 - t) / h * y + (t - x) / h * y1 + ((pow((x1 - t) / h, 3) - (x1 - t) / h) * m0 + (pow((t - x) / h, 3) - (t - x) / h) * m1) * h * h / 6 END, 6) AS value FROM e""")
+def spline_lookup(spark, sf_dir):
+    """Each part's brand's spline of price by size, at its size and some quarters."""
+    part = read(spark, sf_dir, "part")
+    k = part.groupBy("p_brand", F.col("p_size").cast("double").alias("x")).agg((F.avg("p_retailprice") / 100).alias("y"))
+    asked = part.select("p_partkey", "p_brand", (F.col("p_size") + F.col("p_partkey") % 4 / 4.0).alias("t"))
+    return series.spline_at(k, asked, ["p_brand"], "x", "y", "t").select("p_partkey", F.round("value", 6).alias("value"))
+
+
 @query(SPLINE)
 def spline_interpolation(spark, sf_dir):
     """Natural cubic splines of price by size for each brand, between knots."""

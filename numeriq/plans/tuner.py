@@ -148,3 +148,16 @@ def format_counts(settings: DataFrame) -> DataFrame:
 def runtime_summary(runtimes: DataFrame) -> DataFrame:
     """Digits and seconds, and their average as the row of a null: a rollup."""
     return runtimes.rollup("digits").agg(F.avg("seconds").alias("seconds"))
+
+
+def counts_by_format(counts: DataFrame, letters: Sequence[str]) -> DataFrame:
+    """A column for each format from (keys, format, n), 0 where a setting has none: the layout of a summary. letters: the formats, in order."""
+    keys = [c for c in counts.columns if c not in ("format", "n")]
+    return counts.groupBy(*keys).pivot("format", list(letters)).agg(F.sum("n")).na.fill(0, list(letters))
+
+
+def folder_summary(spark, paths: Sequence[str] | str, schema: str) -> DataFrame:
+    """Folder, the name of the folder that holds a row's file, and the rows of all CSV files with a header under the paths (globs)."""
+    rows = spark.read.csv(paths, header=True, schema=schema)
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return rows.select(F.url_decode(folder).alias("Folder"), "*")

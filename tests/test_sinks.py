@@ -22,3 +22,27 @@ def test_tails_of_binary_files_are_told(spark, tmp_path):
     got = {r["file"].rsplit("/", 1)[1]: (r["points"], r["tail"]) for r in tables.float_block_tails(spark, str(tmp_path / "b"), 2).collect()}
     assert got == {"whole.bin": (3, 0), "odd.bin": (1, 6)}
     assert sorted(list(r["v"]) for r in tables.read_float_blocks(spark, str(tmp_path / "b"), 2).collect()) == [[0, 1], [2, 3], [4, 5], [9, 8]]
+
+
+def test_summaries_of_folders(spark, tmp_path):
+    from numeriq.plans import tuner
+
+    for name, lines in (("cg", ["1,3,0", "2,2,1"]), ("knn a", ["1,0,4"])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "counts.csv").write_text("\n".join(["Digits,FP64,FP32", *lines]))
+    got = tuner.folder_summary(spark, f"{tmp_path}/*/counts.csv", "Digits int, FP64 int, FP32 int")
+    assert got.columns[0] == "Folder" and sorted(map(tuple, got.collect())) == [("cg", 1, 3, 0), ("cg", 2, 2, 1), ("knn a", 1, 0, 4)]
+    counts = spark.createDataFrame([(1, "d", 3), (1, "s", 2), (2, "s", 5)], "digits int, format string, n long")
+    assert sorted(map(tuple, tuner.counts_by_format(counts, ["d", "s", "b"]).collect())) == [(1, 3, 2, 0), (2, 0, 5, 0)]
+
+
+def test_splines_at_any_place(spark):
+    from numeriq.operators import series
+
+    knots = spark.createDataFrame([("a", float(x), float(x**3 - 2 * x)) for x in range(6)] + [("b", 1.0, 5.0)], "g string, x double, y double")
+    points = spark.createDataFrame([("a", t) for t in (-0.5, 0.0, 0.25, 2.0, 4.75, 5.0, 5.1)] + [("b", 1.0), ("c", 2.0)], "g string, t double")
+    got = {(r["g"], r["t"]): r["value"] for r in series.spline_at(knots, points, ["g"], "x", "y", "t").collect()}
+    assert [got["a", t] for t in (-0.5, 5.1)] == [None, None] and got["b", 1.0] is None and got["c", 2.0] is None
+    assert abs(got["a", 0.0]) < 1e-12 and abs(got["a", 2.0] - 4) < 1e-12 and abs(got["a", 5.0] - 115) < 1e-12
+    # Natural ends, so only near what the cubic gives.
+    assert abs(got["a", 0.25] - (0.25**3 - 0.5)) < 0.5 and abs(got["a", 4.75] - (4.75**3 - 9.5)) < 4
