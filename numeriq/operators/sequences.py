@@ -30,6 +30,14 @@ def cumulative_share(df: DataFrame, by: list[str], order: list[str], weight: str
     return df.withColumn("cdf", F.sum(weight).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) / F.sum(weight).over(w))
 
 
+def first_reaching(df: DataFrame, by: list[str], order: list[str], cdf: str, levels: list[float]) -> DataFrame:
+    """The rows at which a running share first reaches a level, with the level as u: those whose share is at or above it while that of the row before is below. A
+    row is copied only for levels that it reaches."""
+    before = F.coalesce(F.lag(cdf).over(Window.partitionBy(*by).orderBy(*order)), F.lit(float("-inf")))
+    reached = F.filter(F.array(*map(F.lit, levels)), lambda u: (F.col(cdf) >= u) & (F.col("__before") < u))
+    return df.withColumn("__before", before).withColumn("u", F.explode(reached)).drop("__before")
+
+
 def split_scan(df: DataFrame, features: list[str], label: str, impurity: str = "entropy", node: list[str] = [], weight: str | None = None) -> DataFrame:  # noqa: B006
     """feature, threshold, gain of every midpoint between neighbouring values.
 

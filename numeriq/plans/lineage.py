@@ -20,8 +20,24 @@ def shared_dir(spark) -> str:
     return own
 
 
+#: Tables written by each application, until they are discarded.
+_written: dict[str, list[str]] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: computed once, with statistics for the plans that read it, and safe from lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark) -> int:
+    """Deletes the tables that cut has written in this application, and says how many. Results that read them must have been written before."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    context = spark.sparkContext
+    for path in paths:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)

@@ -202,8 +202,7 @@ SELECT user_id, CAST(u AS DOUBLE) AS u, event_id FROM r WHERE n = 1""")
 def cdf_lookup(spark, sf_dir):
     """For the quarters of each user's running share, the first event that reaches it."""
     w = sequences.cumulative_share(read(spark, sf_dir, "events").filter("value > 0"), ["user_id"], ["ts", "event_id"], "value")
-    hit = w.select("user_id", "event_id", "cdf", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("u")).filter("cdf >= u")
-    return hit.groupBy("user_id", "u").agg(F.min_by("event_id", F.struct("cdf", "event_id")).alias("event_id"))
+    return sequences.first_reaching(w, ["user_id"], ["ts", "event_id"], "cdf", [0.25, 0.5, 0.75]).select("user_id", "u", "event_id")
 
 
 @query("""WITH e AS (SELECT o_orderkey AS k, o_totalprice AS v, o_orderkey - 1 AS a, o_orderkey + 1 AS b, o_custkey AS c FROM orders), l AS (SELECT k, unnest([a, b, c]) AS n FROM e)

@@ -46,3 +46,25 @@ def test_splines_at_any_place(spark):
     assert abs(got["a", 0.0]) < 1e-12 and abs(got["a", 2.0] - 4) < 1e-12 and abs(got["a", 5.0] - 115) < 1e-12
     # Natural ends, so only near what the cubic gives.
     assert abs(got["a", 0.25] - (0.25**3 - 0.5)) < 0.5 and abs(got["a", 4.75] - (4.75**3 - 9.5)) < 4
+
+
+def test_rows_that_first_reach_a_level(spark):
+    from numeriq.operators import sequences
+
+    rows = [("a", 1, 0.2), ("a", 2, 0.5), ("a", 3, 0.5), ("a", 4, 1.0), ("b", 1, 1.0), ("c", 1, 0.1)]
+    df = spark.createDataFrame(rows, "g string, t int, cdf double")
+    got = {(r["g"], r["u"]): r["t"] for r in sequences.first_reaching(df, ["g"], ["t"], "cdf", [0.0, 0.25, 0.5, 0.75]).collect()}
+    assert got == {("a", 0.0): 1, ("a", 0.25): 2, ("a", 0.5): 2, ("a", 0.75): 4, ("b", 0.0): 1, ("b", 0.25): 1, ("b", 0.5): 1, ("b", 0.75): 1, ("c", 0.0): 1}
+
+
+def test_intermediate_tables_are_deleted_on_demand(spark):
+    from numeriq.plans.lineage import cut, discard
+
+    discard(spark)
+    kept = [cut(spark.range(n)) for n in (3, 4)]
+    paths = [p for df in kept for p in df.inputFiles()]
+    assert kept[1].count() == 4 and discard(spark) == 2 and discard(spark) == 0
+    import os
+    from urllib.parse import urlparse
+
+    assert not any(os.path.exists(urlparse(p).path) for p in paths)
