@@ -9,7 +9,8 @@ merge list, each word merges the pair of its lowest rank wherever it occurs (fro
 leave. A round costs the length of what is left, and a long run of letters takes many rounds, so words of more than `LONG` bytes are merged
 one pair at a time from a heap of (rank, place), which gives the same symbols.
 
-Nulls: a null text counts as empty (no tokens, the digests of the empty string). Repeated rows are encoded each; other columns are ignored.
+Nulls: a null text counts as empty (no tokens, the digests of the empty string). Repeated rows are encoded each; an empty table
+gives no rows; texts of any length are encoded whole; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ How many pieces there are of each length (as many numbers as a sequence has toke
 The plan is a list of intervals: pieces number lo to hi of a length go to sequences first, first+1, ... at a given offset. Pieces
 are numbered by distributed counts and joined to the plan.
 
-Nulls: a null text counts as empty and gives one piece, the end id; a null doc_id is kept. Repeated rows are packed each. Empty
-tables give no rows. Other columns are ignored.
+Nulls: a null text counts as empty and gives one piece, the end id; a null doc_id is kept. Repeated rows are packed each. A text of any
+length is encoded whole and cut into as many pieces as it needs. Of pieces of one length any may take any of the places planned for
+that length: they are alike to the packing. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

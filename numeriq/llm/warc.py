@@ -12,6 +12,7 @@ A full response has type response, status 200 and a digest. Earlier means a smal
 
 Nulls: a null URL, ts or record_id takes no part in the join (no_response); null headers count as none; header names are
 compared in lower case, the first of a name counts. Repeated rows are resolved each. An empty table gives no rows.
+Values of any length are compared and carried whole.
 
 The join is two windows, both native. Timelines are cut at quantiles of ts, so a URL with a third of all records is dealt to many
 tasks; what a block hands on is one response, and the second window reads one row per URL and block.
