@@ -1,4 +1,10 @@
-"""From documents to training sequences: reject toxic documents, drop exact copies, keep one document of each near-duplicate group, pack."""
+"""From documents to training sequences: reject toxic documents, drop exact copies, keep one document of each near-duplicate group, pack.
+
+Stages but the last return the columns of documents, whatever further ones there are and whatever their names. Null and empty texts are alike: they are scored
+like any other, and are copies of each other. Of equal texts the largest doc_id stays, a null one last; rows of one doc_id and text share their fate, and rows
+of one doc_id with different texts are told apart. Which of several near duplicates stays is said in the stage's operator. Without documents there are no
+pieces; without labels nothing is rejected. Texts of any length are taken whole.
+"""
 
 from __future__ import annotations
 
