@@ -439,7 +439,7 @@ def qr_factor(spark, sf_dir):
     return q.select("id", *[F.round(F.col("q")[c], 8).alias(f"q{c + 1}") for c in range(3)])
 
 
-@query("SELECT count(*) AS rows, 0.0 AS from_unit, 0.0 AS residual FROM embeddings WHERE embedding IS NOT NULL")
+@query("SELECT count(*) AS rows, 0.0::DOUBLE AS from_unit, 0.0::DOUBLE AS residual FROM embeddings WHERE embedding IS NOT NULL")
 def qr_checks(spark, sf_dir):
     """The largest elements of Q'Q - I and A - QR for the embeddings: nothing, to ten digits."""
     p = points(spark, sf_dir)
