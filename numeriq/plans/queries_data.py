@@ -198,14 +198,14 @@ def cumulative_share(spark, sf_dir):
     return rounded(sequences.cumulative_share(read(spark, sf_dir, "events").filter("value > 0"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "cdf"), ["cdf"], 8)
 
 
-def scan_sql(f, measure):
+def scan_sql(f, measure, digits=8):
     return f"""WITH r AS (SELECT CAST({f} AS DOUBLE) AS v, l_returnflag AS y FROM lineitem),
 c AS (SELECT v, y, count(*) AS n FROM r GROUP BY v, y), vs AS (SELECT DISTINCT v FROM r), ys AS (SELECT DISTINCT y FROM r),
 f AS (SELECT vs.v, ys.y, coalesce(n, 0) AS n FROM vs CROSS JOIN ys LEFT JOIN c ON c.v = vs.v AND c.y = ys.y),
 w AS (SELECT v, y, CAST(sum(n) OVER (PARTITION BY y ORDER BY v) AS DOUBLE) AS l, CAST(sum(n) OVER (PARTITION BY y) AS DOUBLE) AS t FROM f),
 g AS (SELECT v, sum(l) AS nl, sum(t) AS nt, {measure.format(c="l")} AS il, {measure.format(c="t")} AS it, {measure.format(c="(t - l)")} AS ir FROM w GROUP BY v),
 h AS (SELECT *, lead(v) OVER (ORDER BY v) AS nx FROM g)
-SELECT '{f}' AS feature, (v + nx) / 2 AS threshold, round(it - nl / nt * il - (nt - nl) / nt * ir, 8) AS gain FROM h WHERE nx IS NOT NULL"""
+SELECT '{f}' AS feature, (v + nx) / 2 AS threshold, round(it - nl / nt * il - (nt - nl) / nt * ir, {digits}) AS gain FROM h WHERE nx IS NOT NULL"""
 
 
 ENTROPY = "log2(sum({c})) - sum(CASE WHEN {c} > 0 THEN {c} * log2({c}) ELSE 0 END) / sum({c})"
@@ -217,7 +217,7 @@ def entropy_split_scan(spark, sf_dir):
     return rounded(sequences.split_scan(lineitem(spark, sf_dir), ["l_quantity"], "l_returnflag"), ["gain"], 8)
 
 
-@query("SELECT feature, threshold, gain FROM (" + scan_sql("l_discount", GINI).replace("/ (sum((t - l)) * sum((t - l)))", "/ greatest(sum(t - l) * sum(t - l), 1e-300)") + ") ORDER BY gain DESC, threshold LIMIT 1")
+@query("SELECT feature, threshold, round(gain, 8) AS gain FROM (" + scan_sql("l_discount", GINI, 12).replace("/ (sum((t - l)) * sum((t - l)))", "/ greatest(sum(t - l) * sum(t - l), 1e-300)") + ") s ORDER BY s.gain DESC, threshold LIMIT 1")
 def gini_best_split(spark, sf_dir):
     return rounded(sequences.best_split(sequences.split_scan(lineitem(spark, sf_dir), ["l_discount"], "l_returnflag", "gini")), ["gain"], 8)
 
