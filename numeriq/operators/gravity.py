@@ -2,11 +2,14 @@
 
 Cells are counted level by level; a cell of at most LEAF bodies, or one of the deepest level, is a leaf. Leaves go down the tree together, a join per
 level: a cell whose side is less than `angle` times its distance from the leaf is taken as a mass at its centre, else it is opened, and a leaf that is
-opened gives its bodies. At angle 0 every pair is summed. Equal positions are one source, for they don't pull each other.
+opened gives its bodies. At angle 0 no cell would be taken, and every pair is summed without a tree: a block of bodies meets a block of sources in a task.
+Equal positions are one source, for they don't pull each other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from ..plans.lineage import cut
 
 #: Bodies of a leaf, and levels of the tree.
 LEAF, DEEPEST = 32, 12
+#: Bodies and sources of a block where every pair is summed.
+TARGETS, SOURCES = 2048, 16384
 
 
 def quadtree(sources: DataFrame, leaf: int, deepest: int) -> tuple[DataFrame, tuple[float, float, float]]:
@@ -43,6 +48,51 @@ def force(dx: Column, dy: Column, m: Column, softening: float) -> tuple[Column,
     return m * dx / (d2 * root), m * dy / (d2 * root), -m / root
 
 
+def all_pairs(bodies: DataFrame, sources: DataFrame, softening: float, targets: int = TARGETS, held: int = SOURCES) -> DataFrame:
+    """(id, ax, ay, potential) of bodies that have a place, from every source. A row is a block of bodies with a block of sources; a task holds one at a time."""
+
+    def blocks(df: DataFrame, key: Column, size: int, name: str, *columns: str) -> DataFrame:
+        n = max(1, -(-df.count() // size))
+        return cut(df.groupBy(F.pmod(key, F.lit(n)).alias(name)).agg(F.collect_list(F.struct(*columns)).alias(name + "s")).repartition(min(n, 200)))
+
+    known = F.col("x").isNotNull() & F.col("y").isNotNull()
+    left = blocks(bodies.filter(known), F.xxhash64("id"), targets, "t", "id", "x", "y")
+    right = blocks(sources.filter(known & F.col("m").isNotNull()), F.xxhash64("x", "y"), held, "s", "x", "y", "m")
+    names = ["id", "ax", "ay", "potential"]
+
+    def summed(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for t, s in zip(b.column(0), b.column(1)):
+                t, s = t.values, s.values
+                x, y = (t.field(c).to_numpy(zero_copy_only=False)[:, None] for c in "xy")
+                sx, sy, m = (s.field(c).to_numpy(zero_copy_only=False)[None] for c in "xym")
+                out = np.zeros((3, len(x)))
+                step = max(1, 262_144 // m.shape[1])
+                for a in range(0, len(x), step):
+                    dx, dy = sx - x[a : a + step], sy - y[a : a + step]
+                    d2 = dx * dx + dy * dy + softening
+                    by_root = m / np.sqrt(d2)
+                    pull = by_root / d2
+                    by_root[(dx == 0) & (dy == 0)] = 0.0
+                    out[:, a : a + step] = (pull * dx).sum(1), (pull * dy).sum(1), -by_root.sum(1)
+                yield pa.RecordBatch.from_arrays([t.field("id"), *map(pa.array, out)], names=names)
+
+    pairs = left.crossJoin(right).repartition(max(1, -(-left.count() * right.count() // 4)), "t", "s").select("ts", "ss")
+    parts = one_pair_a_batch(pairs).mapInArrow(summed, f"id {dict(bodies.dtypes)['id']}, ax double, ay double, potential double")
+    return parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in names[1:]])
+
+
+def one_pair_a_batch(pairs: DataFrame, most: int = 16 << 20) -> DataFrame:
+    """Blocks are long rows: a worker gets a bounded number of bytes at once. The setting stays with the session; a smaller one is kept."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(pairs.sparkSession.conf.get(name).removesuffix("b")) <= most:
+        pairs.sparkSession.conf.set(name, str(most))
+    return pairs
+
+
 def gravity(bodies: DataFrame, angle: float = 0.5, softening: float = 1e-3, leaf: int | None = None, deepest: int | None = None) -> DataFrame:
     """(id, ax, ay, potential) of bodies (id, x, y, m): the pull of all others. potential leaves out the body itself and those at its own place."""
     leaf, deepest = leaf or LEAF, DEEPEST if deepest is None else deepest
@@ -50,6 +100,8 @@ def gravity(bodies: DataFrame, angle: float = 0.5, softening: float = 1e-3, leaf
     sources = cut(bodies.groupBy("x", "y").agg(F.sum("m").alias("m")))
     if sources.isEmpty():
         return bodies.select("id", *[F.lit(0.0).alias(c) for c in ("ax", "ay", "potential")])
+    if angle <= 0:
+        return in_rows(bodies, all_pairs(bodies, sources, softening))
     nodes, box = quadtree(sources, leaf, deepest)
     x0, y0, side = box
     is_leaf = (F.col("n") <= leaf) | (F.col("level") == deepest)
@@ -64,7 +116,7 @@ def gravity(bodies: DataFrame, angle: float = 0.5, softening: float = 1e-3, leaf
     front = leaves.select("leaf").distinct().select("leaf", F.lit(0).alias("level"), F.lit(0).alias("cx"), F.lit(0).alias("cy"))
     far, near = [], []
     for depth in range(deepest + 1):
-        met = cut(front.join(nodes.filter(F.col("level") == depth), ["level", "cx", "cy"]))
+        met = cut(front.hint("merge").join(nodes.filter(F.col("level") == depth), ["level", "cx", "cy"]))
         size = side / (1 << depth)
         tside = F.lit(side) / F.call_function("shiftleft", F.lit(1).cast("long"), F.col("leaf.level"))
         gap = lambda c, low, g: F.greatest(F.lit(low) + F.col(f"leaf.{c}") * tside - F.col(g), F.col(g) - F.lit(low) - (F.col(f"leaf.{c}") + 1) * tside, F.lit(0.0))  # noqa: B023, E731
@@ -83,10 +135,15 @@ def gravity(bodies: DataFrame, angle: float = 0.5, softening: float = 1e-3, leaf
     for f, n in zip(far[1:], near[1:]):
         all_far, all_near = all_far.unionByName(f), all_near.unionByName(n)
     masses = all_far.select("leaf", F.col("gx").alias("sx"), F.col("gy").alias("sy"), F.col("m").alias("sm"))
-    points = all_near.join(sources.select(F.col("leaf").alias("source"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("m").alias("sm")), "source").drop("source")
+    # Tables of cells are small as files and large as rows: none is broadcast.
+    points = all_near.hint("merge").join(sources.select(F.col("leaf").alias("source"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("m").alias("sm")), "source").drop("source")
     pairs = targets.join(masses.unionByName(points.select("leaf", "sx", "sy", "sm")), "leaf").filter((F.col("sx") != F.col("x")) | (F.col("sy") != F.col("y")))
     parts = force(F.col("sx") - F.col("x"), F.col("sy") - F.col("y"), F.col("sm"), softening)
     sums = pairs.groupBy("id").agg(*[F.sum(p).alias(c) for p, c in zip(parts, ("ax", "ay", "potential"))])
+    return in_rows(bodies, sums)
+
+
+def in_rows(bodies: DataFrame, sums: DataFrame) -> DataFrame:
     return bodies.select("id").join(sums, "id", "left").select("id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("ax", "ay", "potential")])
 
 

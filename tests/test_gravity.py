@@ -55,3 +55,19 @@ def test_steps_keep_the_energy(spark):
 def test_one_body_and_none(spark):
     df, *_ = bodies(spark, 10)
     assert gravity.gravity(df.limit(1)).first()["ax"] == 0.0 and gravity.gravity(df.limit(0)).count() == 0
+
+
+def test_every_pair_is_summed_in_blocks(spark):
+    df, x, _, m = bodies(spark, 120)
+    sources = df.groupBy("x", "y").agg({"m": "sum"}).withColumnRenamed("sum(m)", "m")
+    got = gravity.all_pairs(df.select("id", "x", "y", "m"), sources, 1e-3, targets=30, held=40).orderBy("id").collect()
+    a, p = pulls(x, m)
+    assert np.allclose([[r["ax"], r["ay"]] for r in got], a, atol=1e-9) and np.allclose([r["potential"] for r in got], p, atol=1e-9)
+
+
+def test_no_table_of_pairs_is_broadcast_or_stored(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(gravity, "cut", lambda df, own=gravity.cut: stored.append(own(df)) or stored[-1])
+    df, *_ = bodies(spark, 400)
+    gravity.gravity(df, 0.0).count()
+    assert sum(t.count() for t in stored) <= 2 * 400 + 4
