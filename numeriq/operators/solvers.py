@@ -178,8 +178,8 @@ def gmres(a: DataFrame, b: DataFrame, restart: int = 20, cycles: int = 5, tolera
 
 
 def refine(a: DataFrame, b: DataFrame, solve, steps: int = 3, low=None, tolerance: float = 0.0) -> tuple[DataFrame, list[float]]:
-    """Iterative refinement: residuals in double, corrections by `solve(a, r)`, which may hold its numbers in a lower format (low: Column -> Column)."""
-    held = a.select("i", "j", low(F.col("v")).alias("v")) if low else a
+    """Iterative refinement: residuals in double, corrections by `solve(a, r)`, which may hold its numbers in a lower format (low: Column -> Column), in which the matrix is stored once."""
+    held = cut(a.select("i", "j", low(F.col("v")).alias("v"))) if low else a
     x, history = b.select("i", F.lit(0.0).alias("x")), []
     for _ in range(steps):
         r = cut(combine(b, -1.0, matvec(a, x)))
