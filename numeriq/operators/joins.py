@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,8 +70,110 @@ def matvec(a: DataFrame, x: DataFrame) -> DataFrame:
     return a.join(x.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
 
 
+#: Rows and columns of a block of a matrix, and products of elements beyond which two blocks are multiplied as full ones.
+BLOCK, DENSE = 1024, 1 << 20
+
+
+def packed(a: DataFrame, row: str, column: str) -> DataFrame:
+    """(row, column, at, v): a row for each block of a matrix (i, j, v), with places in the block (row * BLOCK + column) and values as bytes."""
+    placed = a.select(*[F.floor(F.col(c) / BLOCK).cast("long").alias(n) for c, n in (("i", row), ("j", column))], (F.pmod("i", F.lit(BLOCK)) * BLOCK + F.pmod("j", F.lit(BLOCK))).cast("int").alias("at"), F.col("v").cast("double").alias("v"))
+
+    def mapped(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def block(key, held):
+            at, v = (np.concatenate([h[k] for h in held]).tobytes() for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([at], pa.binary()), pa.array([v], pa.binary())], names=[row, column, "at", "v"])
+
+        last, held = None, []
+        for b in batches:
+            key = np.stack([b.column(k).to_numpy() for k in (0, 1)])
+            at, v = b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+            for s, e in zip(cuts, cuts[1:]):
+                if e > s:
+                    now = tuple(key[:, s].tolist())
+                    if held and now != last:
+                        yield block(last, held)
+                        held = []
+                    last = now
+                    held.append((at[s:e].copy(), v[s:e].copy()))
+        if held:
+            yield block(last, held)
+
+    return placed.repartition(row, column).sortWithinPartitions(row, column).mapInArrow(mapped, f"{row} long, {column} long, at binary, v binary")
+
+
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("i", F.col("j").alias("k"), F.col("v").alias("va")).join(b.select(F.col("i").alias("k"), "j", F.col("v").alias("vb")), "k").groupBy("i", "j").agg(F.sum(F.col("va") * F.col("vb")).alias("v"))
+    """(i, j, v) of A B, for matrices (i, j, v) of whole-number places whose values are there; elements of one place add up.
+
+    Blocks that meet in a row of blocks are joined, and a task adds up one block of the product at a time, full ones as matrices and sparse ones element by
+    element: products of elements are never rows. An element is in the result if any pair of elements meets there, though it be 0.
+    """
+    spark = a.sparkSession
+    name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20
+    if not 0 < int(spark.conf.get(name).removesuffix("b")) <= most:
+        spark.conf.set(name, str(most))  # blocks are long rows
+    # Blocks are small by their rows and large by their bytes: neither side is broadcast.
+    left = packed(a, "bi", "bk").withColumnsRenamed({"at": "at_a", "v": "v_a"})
+    right = packed(b, "bk", "bj").withColumnsRenamed({"at": "at_b", "v": "v_b"})
+    met = left.hint("merge").join(right, "bk").repartition("bi", "bj").sortWithinPartitions("bi", "bj").select("bi", "bj", "at_a", "v_a", "at_b", "v_b")
+
+    def mapped(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def full(at, v):
+            return np.bincount(at, v, BLOCK * BLOCK).reshape(BLOCK, BLOCK)
+
+        def there(at):
+            out = np.zeros(BLOCK * BLOCK, np.float32)
+            out[at] = 1
+            return out.reshape(BLOCK, BLOCK)
+
+        def add(total, seen, at_a, va, at_b, vb):
+            rows, k = np.divmod(at_a, BLOCK)
+            order = np.argsort(at_b, kind="stable")
+            at_b, vb = at_b[order], vb[order]
+            starts = np.searchsorted(at_b, np.arange(BLOCK + 1) * BLOCK)
+            counts = (starts[1:] - starts[:-1])[k]
+            if counts.sum() > DENSE and np.isfinite(va).all() and np.isfinite(vb).all():
+                total += full(at_a, va) @ full(at_b, vb)
+                seen |= (there(at_a) @ there(at_b)) > 0
+                return
+            flat, was = total.reshape(-1), seen.reshape(-1)
+            upto = np.cumsum(counts)
+            s = 0
+            while s < len(k):
+                e = max(s + 1, int(np.searchsorted(upto, (upto[s - 1] if s else 0) + DENSE, "right")))
+                n = counts[s:e]
+                p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - starts[k[s:e]], n)
+                place = np.repeat(rows[s:e] * BLOCK, n) + at_b[p] % BLOCK
+                np.add.at(flat, place, np.repeat(va[s:e], n) * vb[p])
+                was[place] = True
+                s = e
+
+        def rows_of(key, total, seen):
+            at = np.flatnonzero(seen)
+            for s in range(0, len(at), 65_536):
+                p = at[s : s + 65_536]
+                yield pa.RecordBatch.from_arrays([pa.array(key[0] * BLOCK + p // BLOCK), pa.array(key[1] * BLOCK + p % BLOCK), pa.array(total.reshape(-1)[p])], names=["i", "j", "v"])
+
+        last, total, seen = None, None, None
+        for b in batches:
+            for x in range(b.num_rows):
+                key = (b.column(0)[x].as_py(), b.column(1)[x].as_py())
+                if key != last:
+                    if last is not None:
+                        yield from rows_of(last, total, seen)
+                    last, total, seen = key, np.zeros((BLOCK, BLOCK)), np.zeros((BLOCK, BLOCK), bool)
+                parts = [np.frombuffer(b.column(2 + n)[x].as_buffer(), (np.int32, np.float64)[n % 2]) for n in range(4)]
+                add(total, seen, *parts)
+        if last is not None:
+            yield from rows_of(last, total, seen)
+
+    return met.mapInArrow(mapped, "i long, j long, v double")
 
 
 def transpose(a: DataFrame) -> DataFrame:

@@ -25,3 +25,23 @@ def test_refinement_stores_the_rounded_matrix_once(spark, monkeypatch):
     assert len(seen) > 1 and all(m is stored[0] for m in seen) and stored[0].columns == ["i", "j", "v"]
     dense = np.diag([4.1] * 6) - np.eye(6, k=1) - np.eye(6, k=-1)
     assert np.allclose([r["x"] for r in x.orderBy("i").collect()], np.linalg.solve(dense, np.arange(1, 7)), atol=1e-10)
+
+
+def test_products_are_added_up_in_blocks(spark, monkeypatch):
+    from numeriq.operators import joins
+
+    rng = np.random.default_rng(4)
+    for size, dense in ((4, 1 << 20), (4, 0), (1024, 1 << 20)):
+        monkeypatch.setattr(joins, "BLOCK", size)
+        monkeypatch.setattr(joins, "DENSE", dense or 1)
+        n = 23
+        a, b = (np.where(rng.random((n, n)) < 0.3, rng.integers(-2, 3, (n, n)), 0) for _ in range(2))
+        a[3, 5], b[5, 7] = 0, 4
+        to = lambda m, extra: spark.createDataFrame([(i - 9, j - 9, float(m[i, j])) for i in range(n) for j in range(n) if m[i, j]] + extra, "i long, j long, v double")
+        # An element that is 0, one that is there twice, and one that is infinite: what it doesn't meet stays finite.
+        left, right = to(a, [(-6, -4, 0.0), (100, -4, float("inf")), (100, -4, 1.0)]), to(b, [(50, 51, 2.0)])
+        got = {(r["i"], r["j"]): r["v"] for r in joins.matmul(left, right).collect()}
+        want = left.withColumnRenamed("v", "u").alias("l").join(right.alias("r"), left["j"] == right["i"]).selectExpr("l.i", "r.j", "u * v AS v").groupBy("i", "j").sum("v").collect()
+        assert repr(sorted((*k, v + 0.0) for k, v in got.items())) == repr(sorted((r[0], r[1], r[2] + 0.0) for r in want))
+        plan = joins.matmul(left, right)._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" not in plan and "Broadcast" not in plan
