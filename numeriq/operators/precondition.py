@@ -33,9 +33,18 @@ def coloured(a: DataFrame) -> DataFrame:
     return state
 
 
-def incomplete_lu(a: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(factor, colours, n): factor (i, j, v, ci, cj) holds L below the diagonal (its own is 1) and U on and above it, in the order of colours ci, cj."""
-    colours = coloured(a)
+def incomplete_lu(a: DataFrame, colours: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(factor, colours, n): factor (i, j, v, ci, cj) holds L below the diagonal (its own is 1) and U on and above it, in the order of colours ci, cj.
+
+    colours (i, colour from 0): where a colouring is known, such as the two of a grid, it saves the search and joins for more colours.
+    """
+    if colours is None:
+        colours = coloured(a)
+    else:
+        colours = cut(colours.select("i", F.col("colour").cast("int").alias("colour")))
+        near = colours.select(F.col("i").alias("j"), F.col("colour").alias("theirs"))
+        if not a.filter("i <> j").join(colours, "i", "left").join(near, "j", "left").filter("coalesce(colour = theirs, true)").isEmpty():
+            raise ValueError("rows with an entry between them have one colour, or none")
     n = (colours.agg(F.max("colour")).first()[0] or 0) + 1
     of = lambda c: colours.select(F.col("i").alias(c), F.col("colour").alias("c" + c))
     t = cut(a.groupBy("i", "j").agg(F.sum("v").alias("v")).join(of("i"), "i").join(of("j"), "j"))
@@ -51,9 +60,9 @@ def incomplete_lu(a: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     return t, colours, n
 
 
-def lu_solver(a: DataFrame) -> Callable[[DataFrame], DataFrame]:
+def lu_solver(a: DataFrame, colours: DataFrame | None = None) -> Callable[[DataFrame], DataFrame]:
     """r (i, x) -> (L U)^-1 r, for gmres: 2 (n - 1) joins for n colours, stored after every other one."""
-    t, colours, n = incomplete_lu(a)
+    t, colours, n = incomplete_lu(a, colours)
     diagonal = cut(t.filter("i = j").select("i", F.col("v").alias("d")))
     off = cut(t.filter("i <> j"))
 

@@ -82,3 +82,25 @@ def test_condition_of_a_made_matrix(spark):
     got = precondition.condition_estimate(a, by(inverse), by(inverse.T))
     assert true / 3 <= got <= true * (1 + 1e-9)
     assert precondition.growth_factor(frame(spark, lattice(4))) <= 1.0 + 1e-12
+
+
+def test_a_known_colouring_is_taken(spark):
+    a = lattice(6)
+    df = frame(spark, a)
+    two = df.select("i").distinct().selectExpr("i", "(i div 6 + i % 6) % 2 AS colour")
+    t, colours, n = precondition.incomplete_lu(df, two)
+    assert n == 2 and {r["i"]: r["colour"] for r in colours.collect()} == {r["i"]: r["colour"] for r in two.collect()}
+    order = sorted(range(36), key=lambda i: ((i // 6 + i % 6) % 2, i))
+    place = {i: k for k, i in enumerate(order)}
+    lower, upper = np.eye(36), np.zeros((36, 36))
+    for r in t.collect():
+        i, j = place[r["i"]], place[r["j"]]
+        (lower if i > j else upper)[i, j] = r["v"]
+    product, want = lower @ upper, a[np.ix_(order, order)]
+    assert np.allclose(product[want != 0], want[want != 0], atol=1e-12)
+    x = np.arange(36.0) - 7
+    got = {r["i"]: r["x"] for r in precondition.lu_solver(df, two)(spark.createDataFrame([(i, float(x[i])) for i in range(36)], "i long, x double")).collect()}
+    assert np.allclose([got[i] for i in order], np.linalg.solve(product, x[order]))
+    for wrong in (two.withColumn("colour", two["colour"] * 0), two.filter("i <> 3")):
+        with pytest.raises(ValueError):
+            precondition.incomplete_lu(df, wrong)
