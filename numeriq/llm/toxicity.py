@@ -50,19 +50,20 @@ def spans(starts, counts):
 class BlockMaxIndex:
     """Postings of unit vectors by term, in slices of BLOCK references with the largest weight of each slice.
 
-    vectors: a dict of term number to weight for each reference; terms are numbered from 0.
+    vectors: a dict of term number to weight for each reference, or arrays (terms, weights) of it; terms are numbered from 0.
     """
 
-    def __init__(self, vectors: list[dict[int, float]], labels: list[int], names: list[int | None]):
+    def __init__(self, vectors: list, labels: list[int], names: list[int | None]):
         import numpy as np
 
-        leading = [max(v.items(), key=lambda x: (x[1], -x[0]), default=(-1, 0))[0] for v in vectors]
+        vectors = [(np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), np.float64, len(v))) if isinstance(v, dict) else v for v in vectors]
+        leading = [int(t[np.lexsort((t, -w))[0]]) if len(t) else -1 for t, w in vectors]
         order = sorted(range(len(vectors)), key=lambda i: (-labels[i], leading[i], i))
         self.place = np.argsort(np.array(order, int)) if order else np.zeros(0, int)
         self.labels, self.names, self.n = np.array([labels[i] for i in order], np.float64), [names[i] for i in order], len(order)
-        term = np.array([t for i in order for t in vectors[i]], np.int64)
-        ref = np.repeat(np.arange(self.n), [len(vectors[i]) for i in order]) if order else np.zeros(0, np.int64)
-        weight = np.array([w for i in order for w in vectors[i].values()], np.float64)
+        term = np.concatenate([np.zeros(0, np.int64), *[vectors[i][0] for i in order]])
+        ref = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in order]) if order else np.zeros(0, np.int64)
+        weight = np.concatenate([np.zeros(0), *[vectors[i][1] for i in order]])
         by = np.lexsort((ref, term))
         term, self.ref, self.weight = term[by], ref[by].astype(np.int32), weight[by]
         self.blocks = -(-self.n // BLOCK)
@@ -139,7 +140,7 @@ class Model:
         self.terms, self.number, self.weights, self.k, self.shrink = terms, {t: i for i, t in enumerate(terms)}, np.array(weights), k, shrink
         self.base = sum(y for _, y, _ in examples) / max(1, len(examples))
         vectors = [self.unit(c) for _, _, c in examples]
-        self.index = BlockMaxIndex([dict(zip(t.tolist(), w.tolist())) for t, w in vectors], [y for _, y, _ in examples], [d for d, _, _ in examples])
+        self.index = BlockMaxIndex(vectors, [y for _, y, _ in examples], [d for d, _, _ in examples])
         votes = [self.vote(*v, int(self.index.place[i]))[0] for i, v in enumerate(vectors)]
         drawn = {y: sum(e[1] == y for e in examples) for y in (0, 1)}
         self.xs, self.ys = monotone(votes, [y for _, y, _ in examples], [totals[y] / drawn[y] for _, y, _ in examples])
@@ -249,14 +250,23 @@ def fit(docs: DataFrame, labels: DataFrame, learn, references: int = 2000, k: in
         chi2 = (a * d - b * c) ** 2 * total / max(1, (a + b) * (c + d) * n[1] * n[0])
         names.append(r["term"])
         weights.append((math.log((1 + total) / (1 + a + b)) + 1) * math.sqrt(chi2))
-    examples = drawn.orderBy("digest").collect()
+    # A term is one string here, however many references have it, and rows are let go one by one.
+    own = {t: t for t in names}
+    examples = [(r["doc_id"], r["y"], dict(zip((own.get(t, t) for t in r["terms"]), r["times"]))) for r in drawn.orderBy("digest").toLocalIterator()]
     # The sample holds more positives than the labels do, and the calibration weights each class by how much of it was drawn.
-    return Model(names, weights, [(r["doc_id"], r["y"], dict(zip(r["terms"], r["times"]))) for r in examples], n, k, shrink)
+    return Model(names, weights, examples, n, k, shrink)
 
 
-def score_documents(docs: DataFrame, model: Model, evidence: bool = False) -> DataFrame:
-    """doc_id, score; with evidence also the nearest references and shared terms."""
-    held = shared_model(docs.sparkSession, model)
+def fitted(docs: DataFrame, labels: DataFrame, options: dict):
+    """A broadcast of the model; what fitting held goes back to the system, for the driver lives on."""
+    held = shared_model(docs.sparkSession, fit(docs, labels, lambda d: fold(d) != 0, **options))
+    give_back()
+    return held
+
+
+def score_documents(docs: DataFrame, model, evidence: bool = False) -> DataFrame:
+    """doc_id, score; with evidence also the nearest references and shared terms. model: a Model or a broadcast of one."""
+    held = shared_model(docs.sparkSession, model) if isinstance(model, Model) else model
 
     def mapped(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -282,17 +292,14 @@ def score_documents(docs: DataFrame, model: Model, evidence: bool = False) -> Da
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, evidence: bool = False, **options) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs; labels of held-out rows are not looked at."""
-    model = fit(docs, labels, lambda d: fold(d) != 0, **options)
-    scored = score_documents(docs, model, evidence)
+    scored = score_documents(docs, fitted(docs, labels, options), evidence)
     more = ["neighbours", "terms"] if evidence else []
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *more)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Rows of docs that aren't predicted toxic, with the columns of docs. Texts are scored in place: no join."""
-    model = fit(docs, labels, lambda d: fold(d) != 0, **options)
-    held = shared_model(docs.sparkSession, model)
-
+    held = fitted(docs, labels, options)
     place = docs.columns.index("text")
 
     def mapped(batches: Iterator) -> Iterator:

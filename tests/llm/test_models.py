@@ -264,3 +264,21 @@ def test_every_training_document_is_in_one_round(spark):
     assert list(vocabulary.symbols)[:2] == [END, b"x"] and vocabulary.counts[:2] == [counts[END], counts[b"x"]] and len(vocabulary.symbols) == 5
     each = [train_round(held, shared_model(spark, (vocabulary, p)), SMALL, 8, 4, 0.01, r, 2) for r in (0, 1)]
     assert all((q["bc"] != p["bc"]).any() for q in each) and (each[0]["bc"] != each[1]["bc"]).any()
+
+
+def test_an_index_of_arrays_is_that_of_dicts_and_the_model_leaves_the_driver(spark, sf_dir):
+    import gc
+
+    from numeriq.llm import toxicity
+
+    rng = np.random.default_rng(8)
+    vectors = [{int(t): float(w) for t, w in zip(rng.permutation(30)[:n], rng.choice([0.1, 0.3, 0.5], n))} for n in rng.integers(0, 9, 200)]
+    labels = rng.integers(0, 2, 200).tolist()
+    one = toxicity.BlockMaxIndex(vectors, labels, list(range(200)))
+    two = toxicity.BlockMaxIndex([(np.array(list(v), np.int64), np.array(list(v.values()), float)) for v in vectors], labels, list(range(200)))
+    for name in ("place", "labels", "ref", "weight", "at", "size", "block", "top", "first"):
+        assert np.array_equal(getattr(one, name), getattr(two, name))
+    docs, marks = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    kept = toxicity.reject_toxic(docs, marks)
+    gc.collect()
+    assert not any(type(x) is toxicity.Model for x in gc.get_objects()) and kept.count() > 0
