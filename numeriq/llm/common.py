@@ -27,11 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df written as a table in the shared folder, and read again."""
+#: For tables whose rows are megabytes: a task that reads or writes them holds a row group, which Parquet lets grow for a hundred rows before it looks at its size.
+LONG_ROWS = {"parquet.block.row.count.limit": 1}
+
+
+def materialize(df: DataFrame, name: str, **options) -> DataFrame:
+    """Cuts the lineage: df written as a table in the shared folder, and read again. options: of the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

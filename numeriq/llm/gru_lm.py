@@ -32,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold, lean, lean_numpy, materialize, opened, shared_model, table
+from .common import LONG_ROWS, fold, lean, lean_numpy, materialize, opened, shared_model, table
 
 END = b""
 
@@ -402,7 +402,7 @@ def chunks(docs: DataFrame, shape: Shape, chunk_tokens: int) -> DataFrame:
             yield row(places, ids, train, codes)
 
     rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(fold(F.col("doc_id")) != 1, F.lit(False)).alias("train"))
-    return materialize(rows.mapInArrow(encoded, CHUNK), "lm-chunks")
+    return materialize(rows.mapInArrow(encoded, CHUNK), "lm-chunks", **LONG_ROWS)
 
 
 def token_counts(held: DataFrame) -> DataFrame:

@@ -282,3 +282,13 @@ def test_an_index_of_arrays_is_that_of_dicts_and_the_model_leaves_the_driver(spa
     kept = toxicity.reject_toxic(docs, marks)
     gc.collect()
     assert not any(type(x) is toxicity.Model for x in gc.get_objects()) and kept.count() > 0
+
+
+def test_a_task_holds_one_chunk_at_once(spark):
+    """A task holds whole row groups of the table of chunks: each is one chunk, however many of them a task writes."""
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(i, " ".join(f"{i}w{j}" for j in range(2000))) for i in range(16)], "doc_id long, text string").coalesce(1)
+    (file,) = chunks(docs, Shape(), 1000).inputFiles()
+    meta = pq.ParquetFile(file.removeprefix("file://")).metadata
+    assert meta.num_rows == meta.num_row_groups == 16
