@@ -203,21 +203,30 @@ def met(data: DataFrame, queries: DataFrame, kernel: Callable, schema: str) -> D
     return both.mapInArrow(mapped, schema)
 
 
-def near_pairs(rows: Any, batches: Iterator) -> Iterator:
-    """(query batch, i, j, d2) for each batch: query i has data row j within its radius."""
+#: Distances that a task holds at once.
+PAIRS = 1 << 20
+
+
+def near_pairs(rows: Any, batches: Iterator, most: int | None = None) -> Iterator:
+    """(query batch, i, j, d2) for each batch: query i has data row j within its radius. With most, only rows as near as a query's `most` nearest there, ties too."""
     import numpy as np
 
     x = matrix(rows["v"].chunk(0))
     scale = (x * x).sum(1)
+    largest = float(scale.max(initial=0))
     for whole in batches:
-        step = max(1, 4_000_000 // max(1, len(x)))
+        step = max(1, PAIRS // max(1, len(x)))
         for at in range(0, whole.num_rows, step):
             b = whole.slice(at, step)
             q = matrix(b["v"])
             limit = b["radius"].to_numpy() ** 2
             rough = squares(q, x)
-            slack = 1e-9 * (1 + (q * q).sum(1)[:, None] + scale[None])
-            i, j = np.nonzero(rough <= limit[:, None] + slack)
+            own = (q * q).sum(1)
+            upto = limit[:, None] + 1e-9 * (1 + own[:, None] + scale[None])
+            if most is not None and len(x) > most:
+                # The rough distances of a query's nearest rows are at most so far beyond the one in that place.
+                np.fmin(upto, (np.partition(rough, most - 1, 1)[:, most - 1] + 2e-9 * (1 + own + largest))[:, None], out=upto)
+            i, j = np.nonzero(rough <= upto)
             d2 = np.empty(len(i))
             for s in range(0, len(i), 65_536):
                 d2[s : s + 65_536] = ((q[i[s : s + 65_536]] - x[j[s : s + 65_536]]) ** 2).sum(1)
@@ -270,13 +279,14 @@ def knn(data: DataFrame, is_query: Column, k: int, id_col: str = "id", vector_co
         import numpy as np
         import pyarrow as pa
 
-        order = part["id"].chunk(0).to_pandas().rank(method="first").to_numpy()
-        for b, i, j, d2 in near_pairs(part, batches):
+        ids = part["id"].chunk(0)
+        order = ids.to_pandas().rank(method="first").to_numpy()
+        for b, i, j, d2 in near_pairs(part, batches, k):
             by = np.lexsort((order[j], d2, i))
             i, j, d2 = i[by], j[by], d2[by]
             place = np.arange(len(i)) - np.searchsorted(i, i)
             best = place < k
-            yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(i[best])), part["id"].chunk(0).take(pa.array(j[best])), pa.array(d2[best])], names=["query_id", "id", "d2"])
+            yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(i[best])), ids.take(pa.array(j[best])), pa.array(d2[best])], names=["query_id", "id", "d2"])
 
     schema = f"query_id {kind}, id {kind}, d2 double"
     everything = F.lit(float("inf"))

@@ -46,6 +46,27 @@ def test_nearest_neighbours_equal_all_pairs(spark, k, bin_rows):
     assert got == want
 
 
+def test_nearest_rows_are_sought_among_few_pairs():
+    """A part answers a query with its k nearest rows and ties, not with all that are within an unbounded radius."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    x, q = np.round(rng.normal(size=(3000, 3)), 1), np.round(rng.normal(size=(700, 3)), 1)
+    rows = pa.table({"v": x.tolist()})
+    batch = pa.RecordBatch.from_pydict({"v": q.tolist(), "radius": [np.inf] * 690 + [0.3] * 10})
+    seen = 0
+    for b, i, j, d2 in metric.near_pairs(rows, [batch], 4):
+        own = np.array(b["v"].to_pylist())
+        assert b.num_rows * len(x) <= metric.PAIRS and len(i) < 40 * b.num_rows
+        for n, (at, radius) in enumerate(zip(own, b["radius"].to_pylist())):
+            all_ = ((at - x) ** 2).sum(1)
+            near = np.sort(all_)[3]
+            assert set(np.flatnonzero((all_ < min(near, radius**2)))) <= set(j[i == n]) and (d2[i == n] <= min(near, radius**2) + 1e-7).all()
+            assert set(np.flatnonzero(all_ == near)) <= set(j[i == n]) or near > radius**2
+        seen += b.num_rows
+    assert seen == 700
+
+
 def test_bins_far_away_are_skipped(spark):
     rows = clustered(3, 700, 8, 0.01)
     data, cells = metric.indexed(metric.named(frame(spark, rows), "id", "v"), 50)
