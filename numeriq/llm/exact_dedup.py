@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, raw_digest, table, without
+from .common import give_back, lean, materialize, raw_digest, table, without
 
 #: Keys beyond this number are joined by a shuffle; up to it they are broadcast, at 8 bytes each.
 BROADCAST_KEYS = 1_000_000
@@ -35,6 +35,7 @@ def normalised(docs: DataFrame, key: Callable[[bytes], int], with_bytes: bool) -
     def mapped(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        b = part = low = keys = last = None
         for b in batches:
             step = 512
             for at in range(0, b.num_rows, step):
@@ -43,6 +44,8 @@ def normalised(docs: DataFrame, key: Callable[[bytes], int], with_bytes: bool) -
                 keys = pa.array([key(x) for x in low], pa.int64())
                 last = pa.array(low if with_bytes else [hashlib.sha256(x).digest() for x in low], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), keys, last], names=["doc_id", "raw", "key", "norm" if with_bytes else "sha"])
+        del b, part, low, keys, last
+        give_back()
 
     rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), raw_digest().alias("raw"))
     return rows.mapInArrow(mapped, f"doc_id long, raw long, key long, {'norm' if with_bytes else 'sha'} binary")
@@ -96,8 +99,14 @@ def in_buckets(df: DataFrame, firsts: list[int]) -> DataFrame:
     return df.mapInArrow(mapped, ", ".join(f"{n} {t}" for n, t in df.dtypes) + ", bucket long")
 
 
-def combined(texts: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
-    """(key, norm, keep_id, n) of texts (doc_id, raw, key, norm), equal ones of a task made one row as far as its memory goes."""
+def combined(texts: DataFrame, firsts: list[int], most_bytes: int = 64 << 20) -> DataFrame:
+    """(key, norm, keep_id, n, bucket) of texts (doc_id, raw, key, norm), equal ones of a task made one row as far as its memory goes.
+
+    The bucket is found here, as in_buckets does, for a task has as many Python workers as its steps in Python.
+    """
+    import numpy as np
+
+    directory_ = texts.sparkSession.sparkContext.broadcast(np.array(firsts, np.uint64))
 
     def mapped(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -106,9 +115,11 @@ def combined(texts: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
         size = 0
 
         def batch():
+            keys = np.array([k for k, _ in held], np.int64)
+            bucket = np.searchsorted(directory_.value, keys.view(np.uint64), "right") - 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in held], pa.int64()), pa.array([t for _, t in held], pa.binary()), pa.array([i for i, _ in held.values()], pa.int64()), pa.array([n for _, n in held.values()], pa.int64())],
-                names=["key", "norm", "keep_id", "n"],
+                [pa.array(keys), pa.array([t for _, t in held], pa.binary()), pa.array([i for i, _ in held.values()], pa.int64()), pa.array([n for _, n in held.values()], pa.int64()), pa.array(bucket, pa.int64())],
+                names=["key", "norm", "keep_id", "n", "bucket"],
             )
 
         for b in batches:
@@ -124,8 +135,10 @@ def combined(texts: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
                 yield batch()
                 held, size = {}, 0
         yield batch()
+        held = {}
+        give_back()
 
-    return texts.mapInArrow(mapped, "key long, norm binary, keep_id long, n long")
+    return texts.mapInArrow(mapped, "key long, norm binary, keep_id long, n long, bucket long")
 
 
 def chained(owned: DataFrame) -> DataFrame:
@@ -169,11 +182,11 @@ def build_index(docs: DataFrame, capacity: int = 4096, key: Callable[[bytes], in
     firsts = directory(key_counts(by_key), capacity)
     shared = by_key.filter("n > 1").select("key")
     wanted = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
-    texts = combined(normalised(docs, key, True).join(wanted, "key", "left_semi").select("doc_id", "raw", "key", "norm"))
-    texts = texts.select("key", "norm", F.lit(None).cast("binary").alias("sha"), "keep_id", "n")
+    texts = combined(normalised(docs, key, True).join(wanted, "key", "left_semi").select("doc_id", "raw", "key", "norm"), firsts)
+    texts = texts.withColumn("sha", F.lit(None).cast("binary"))
     alone = by_key.filter("n = 1").select("key", F.lit(None).cast("binary").alias("norm"), "sha", "keep_id", "n")
     columns = ["bucket", "key", "norm", "sha", "keep_id", "n"]
-    owned = in_buckets(texts.unionByName(alone), firsts).select(*columns).repartition("bucket").sortWithinPartitions("bucket", "key", "norm")
+    owned = texts.select(*columns).unionByName(in_buckets(alone, firsts).select(*columns)).repartition("bucket").sortWithinPartitions("bucket", "key", "norm")
     return prints, materialize(chained(owned), "dedup-index"), firsts
 
 

@@ -32,7 +32,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, id_back, materialize, raw_digest, runs, table, without
+from .common import give_back, id_and_text, id_back, materialize, raw_digest, runs, table, without
 from .components import components
 
 BINS = 64
@@ -202,6 +202,8 @@ def entries(docs: DataFrame, words: int, threshold: float, runs: int, depth: int
                     ids, texts, raws, chars = [], [], [], 0
             if ids:
                 yield rows(ids, texts).assign(raw=raws)
+        pdf = ids = texts = raws = powers = None
+        give_back()
 
     levels = "".join(f", level{i + 1} binary" for i in range(depth))
     return id_back(id_and_text(docs).withColumn("raw", raw_digest()).mapInPandas(mapped, "doc_id string, sid binary, txt binary, n int, sketch binary" + levels + ", raw long"))
@@ -390,6 +392,8 @@ def exact_links(members: DataFrame, threshold: Fraction, block: int) -> DataFram
                 yield pd.DataFrame(out, columns=["sid", "root", "links"])
                 out = []
         yield pd.DataFrame(out, columns=["sid", "root", "links"])
+        pdf = out = None
+        give_back()
 
     dealt = block_pairs(members, "part", "size", block).repartition("part", "lo", "hi").sortWithinPartitions("part", "lo", "hi")
     return dealt.mapInPandas(mapped, "sid binary, root binary, links long")
@@ -421,6 +425,8 @@ def needed_sets(docs: DataFrame, wanted: DataFrame, words: int, batch_chars: int
                         out.append((sums.tobytes(), s.tobytes()))
                 yield pd.DataFrame(out, columns=["sid", "set"])
                 at = z
+        pdf = texts = out = powers = flat = s = None
+        give_back()
 
     ids = wanted.filter("doc is not null").select(F.col("doc").alias("doc_id")).distinct()
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids

@@ -116,3 +116,20 @@ def test_topk_ships_what_the_bounds_leave(spark):
     blocks, queries, routes, _ = routed_blocks(df, asked, pivots=40, block_rows=32)
     pairs = routes.join(queries, ["cell", "part_of"]).join(blocks.groupBy("block").count(), "block").agg(F.sum("count")).first()[0]
     assert pairs < 0.1 * queries.count() * blocks.count()
+
+
+def test_steps_of_dedup_have_two_python_workers_at_most(spark, monkeypatch):
+    """A task runs a worker for each step in Python between two shuffles, and workers live on."""
+    from numeriq.llm import exact_dedup
+
+    plans = {}
+    monkeypatch.setattr(exact_dedup, "materialize", lambda df, name, own=exact_dedup.materialize: plans.update({name: df}) or own(df, name))
+    docs = spark.createDataFrame([(i, f"Text {i % 7}") for i in range(50)], "doc_id long, text string")
+    assert exact_dedup.exact_groups(docs).filter("kept").count() == 7
+
+    def deepest(node, above=0):
+        here = 0 if "Exchange" in node.nodeName() else above + ("Python" in node.nodeName() or "InArrow" in node.nodeName())
+        return max([here, *(deepest(node.children().apply(i), here) for i in range(node.children().size()))])
+
+    depths = {name: deepest(df._jdf.queryExecution().sparkPlan()) for name, df in plans.items()}
+    assert depths["dedup-fingerprints"] == 1 and max(depths.values()) == 2, depths
