@@ -23,36 +23,51 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, id_back, materialize, table
+from .common import give_back, id_and_text, id_back, materialize, table
 
 PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
+def added_tokens(spec: str) -> list[str]:
+    """The texts of a vocabulary file's added tokens, without reading its model."""
+    import json
+
+    return [t["content"] for t in json.JSONDecoder().raw_decode(spec, spec.index("[", spec.index('"added_tokens"')))[0]]
+
+
 def byte_bpe(json_path: str, ranks_path: str, pattern: str):
     """text -> ids as the tokenizers library gives them for json_path; ranks_path holds the same vocabulary as ranks, which tiktoken
-    encodes several times faster. Texts that it refuses go to the tokenizers library."""
+    encodes several times faster. Texts that it refuses go to the tokenizers library, which is loaded with the first of them: each worker
+    would hold a second vocabulary otherwise."""
     import base64
+    import functools
 
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    exact = Tokenizer.from_file(json_path)
-    exact.no_padding()
-    exact.no_truncation()
-    marks = [t.content for t in exact.get_added_tokens_decoder().values()]
+    with open(json_path, encoding="utf-8") as f:
+        marks = added_tokens(f.read())
     quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cache
+    def exact():
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(json_path)
+        whole.no_padding()
+        whole.no_truncation()
+        return whole
+
     def encode(text: str) -> list[int]:
         if any(m in text for m in marks):
-            return exact.encode(text, add_special_tokens=False).ids
+            return exact().encode(text, add_special_tokens=False).ids
         try:
             return quick.encode_ordinary(text)
         except BaseException as e:  # the Rust side panics on texts that overrun its regex engine
             if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
-            return exact.encode(text, add_special_tokens=False).ids
+            return exact().encode(text, add_special_tokens=False).ids
 
     return encode
 
@@ -77,6 +92,8 @@ def cut_pieces(docs: DataFrame, size: int = 1024, end_id: int = 2, vocabulary: s
                     out.append((doc, piece, a, z - a, zlib.crc32(ids[a:z].tobytes())))
                     a, z, piece = z, z + size, piece + 1
             yield pd.DataFrame(out, columns=columns)
+        del encode
+        give_back()
 
     return id_back(id_and_text(docs).mapInPandas(mapped, PIECES))
 

@@ -123,3 +123,48 @@ def test_long_runs_of_letters():
     began = time.perf_counter()
     bpe.encode(["".join(rng.choice("etaoinshrdlu") for _ in range(100_000))])
     assert time.perf_counter() - began < 3
+
+
+def test_the_second_vocabulary_is_loaded_with_the_first_text_that_needs_it(monkeypatch):
+    import public_tokenizers as P
+    import tokenizers
+
+    from numeriq.llm.packing import added_tokens, byte_bpe
+
+    path, loaded = P.path("byte_bpe_50k.json"), []
+
+    class Watched:
+        @staticmethod
+        def from_file(name):
+            loaded.append(name)
+            return whole.from_file(name)
+
+    whole = tokenizers.Tokenizer
+    exact = whole.from_file(path)
+    monkeypatch.setattr(tokenizers, "Tokenizer", Watched)
+    encode = byte_bpe(path, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    marks = [t.content for t in exact.get_added_tokens_decoder().values()]
+    for n, text in enumerate(["", "plain  text\n", "Ünï ☃ 123", f"a{marks[0]}b", marks[0] * 2]):
+        assert encode(text) == exact.encode(text, add_special_tokens=False).ids and len(loaded) == (n > 2)
+    with open(path, encoding="utf-8") as f:
+        assert added_tokens(f.read()) == marks
+
+
+def test_workers_give_arrow_memory_back():
+    import pyarrow as pa
+
+    from numeriq.llm.common import give_back
+
+    released = []
+
+    class Pool:
+        def release_unused(self):
+            released.append(1)
+
+    usual = pa.default_memory_pool
+    pa.default_memory_pool = Pool
+    try:
+        give_back()
+    finally:
+        pa.default_memory_pool = usual
+    assert released == [1]
