@@ -70,27 +70,37 @@ def speeds(s) -> tuple[Column, Column, Column]:
     return F.sqrt(v2), speed_of_sound(s("density"), p), p
 
 
-def step_factors(elements: DataFrame) -> DataFrame:
-    """(i, factor): half over the root of the area times the speed and that of sound, the largest steady step of an element over its area."""
+def step_factor() -> Column:
+    """Half over the root of the area times the speed and that of sound, the largest steady step of an element over its area."""
     speed, sound, _ = speeds(F.col)
-    return elements.select("i", (0.5 / (F.sqrt("area") * (speed + sound))).alias("factor"))
+    return 0.5 / (F.sqrt("area") * (speed + sound))
+
+
+def step_factors(elements: DataFrame) -> DataFrame:
+    """(i, factor)."""
+    return elements.select("i", step_factor().alias("factor"))
 
 
 def flow_fluxes(elements: DataFrame, faces: DataFrame, far: dict[str, float], smoothing: float = 0.2) -> DataFrame:
     """i and the flux of each variable into it over its faces (i, neighbour, nx, ny, nz).
 
-    neighbour is an element; -1 a wall, which gives its pressure; -2, or an element that isn't there, the far field's state. Each face fetches its
-    neighbour's state by one join and is added up in its own element.
+    neighbour is an element; -1 a wall, which gives its pressure; -2, or an element that isn't there, the far field's state. Each face that may have a
+    neighbour fetches its state by one join, goes to its own element with it, and meets that one's state and is added up there. Walls and far fields skip the
+    first join, in which each would be one key; the states are dealt by element once for both joins.
     """
-    own = elements.select("i", *STATE)
-    near = elements.select(F.col("i").alias("neighbour"), *[F.col(c).alias("n_" + c) for c in STATE])
-    met = faces.select("i", "neighbour", "nx", "ny", "nz").join(own, "i").join(near, "neighbour", "left")
+    own = elements.filter("i is not null").select("i", *STATE)
+    # Told apart by a column of their own: a condition on the join's key would be put on its other side too, which then couldn't be shared.
+    other = F.when(~F.col("neighbour").isin(-1, -2), F.col("neighbour")).alias("other")
+    sides = faces.select("i", other, (F.col("neighbour") == -1).alias("wall"), "nx", "ny", "nz")
+    near = sides.filter("other is not null").alias("f").join(own.alias("n"), F.col("f.other") == F.col("n.i"), "left")
+    near = near.select("f.i", "wall", "nx", "ny", "nz", *[F.col("n." + c).alias("n_" + c) for c in STATE])
+    met = near.unionByName(sides.filter("other is null").select("i", "wall", "nx", "ny", "nz", *[F.lit(None).cast("double").alias("n_" + c) for c in STATE])).join(own, "i")
     normal = [F.col(c) for c in ("nx", "ny", "nz")]
     here, there, beyond = F.col, lambda c: F.col("n_" + c), lambda c: F.lit(float(far[c]))
     (speed, sound, p), (speed_n, sound_n, _) = speeds(here), speeds(there)
     viscous = -F.sqrt(speed_squared(*normal)) * smoothing * 0.5 * (speed + speed_n + sound + sound_n)
     mine, theirs, outside = contributions(here), contributions(there), contributions(beyond)
-    wall, known = F.col("neighbour") == -1, F.col("n_density").isNotNull()
+    wall, known = F.col("wall"), F.col("n_density").isNotNull()
     out = []
     for c in STATE:
         through = lambda other: sum((0.5 * normal[a] * (other[c][a] + mine[c][a]) for a in range(3)), F.lit(0.0))  # noqa: B023, E731
@@ -103,13 +113,13 @@ def flow_fluxes(elements: DataFrame, faces: DataFrame, far: dict[str, float], sm
 def flow_step(elements: DataFrame, faces: DataFrame, far: dict[str, float], stages: int = 3, smoothing: float = 0.2) -> DataFrame:
     """elements (i, density, mx, my, mz, energy, area) after one step: stages of a Runge-Kutta scheme, in which stage s adds the fluxes of the state so far, times
     factor / (stages - s), to the state before the step. Elements without faces stay."""
-    before = cut(elements.select("i", *[F.col(c).alias("o_" + c) for c in STATE], "area").join(step_factors(elements), "i"))
+    before = cut(elements.filter("i is not null").select("i", *[F.col(c).alias("o_" + c) for c in STATE], "area", step_factor().alias("factor")))
     now = elements
     for stage in range(stages):
         fluxes = flow_fluxes(now, faces, far, smoothing)
         share = F.col("factor") / float(stages - stage)
         new = [(F.col("o_" + c) + share * F.coalesce("f_" + c, F.lit(0.0))).alias(c) for c in STATE]
-        now = cut(before.join(fluxes, "i", "left").select("i", *new, "area"))
+        now = cut(before.join(fluxes, "i", "left").select("i", *new, *["area"] * (stage == stages - 1)))
     return now
 
 

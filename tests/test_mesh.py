@@ -51,3 +51,26 @@ def test_a_uniform_flow_stays(spark):
     assert wall["f_density"] == 0 and abs(wall["f_mx"] - 2 * 0.4 * (3.0 - 0.5 * (0.09 + 0.01) / 1.4)) < 1e-12
     stay = mesh.flow_step(two, edges.limit(0), far).orderBy("i").first()
     assert (stay["density"], stay["energy"]) == (1.4, 3.0)
+
+
+def test_walls_are_no_key_of_the_join_and_states_are_dealt_once(spark):
+    from numeriq.plans.lineage import cut
+
+    far = mesh.far_state(0.8, 5.0)
+    elements = cut(spark.createDataFrame([(i, 1.0 + i / 10, 0.1 * i, 0.1, 0.0, 2.5 + i, 1.0) for i in range(5)], "i long, density double, mx double, my double, mz double, energy double, area double"))
+    faces = cut(spark.createDataFrame([(i, nb, 0.3, 0.1 * k, -0.2) for i in range(5) for k, nb in enumerate([(i + 1) % 5, -1, -2, 77, None])], "i long, neighbour long, nx double, ny double, nz double"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        flux = mesh.flow_fluxes(elements, faces, far)
+        plan = flux._jdf.queryExecution().executedPlan().toString()
+        got = {r["i"]: r for r in flux.collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert "ReusedExchange" in plan and "IN (-1,-2)" in plan
+    # -2, an element that isn't there and no neighbour at all are the far field.
+    for i in range(5):
+        one = [mesh.flow_fluxes(elements, spark.createDataFrame([(i, nb, 0.3, 0.1 * k, -0.2)], faces.schema), far).first() for k, nb in enumerate([(i + 1) % 5, -1, -2, -2, -2])]
+        assert all(abs(got[i]["f_" + c] - sum(r["f_" + c] for r in one)) < 1e-12 for c in mesh.STATE)
