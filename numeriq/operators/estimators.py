@@ -11,7 +11,7 @@ from ..functions.scalars import gaussian_pdf
 from ..functions.vectors import dot, linear_score
 from ..plans.lineage import cut
 from .graph import components
-from .joins import lattice_edges, lattice_neighbours, nearest_centre
+from .joins import lattice_edges, lattice_neighbours, meet, nearest_centre
 from .sequences import best_split, split_scan
 
 # --- clustering -------------------------------------------------------------------------------------------------------
@@ -395,9 +395,9 @@ def singular_values(a: DataFrame, k: int, oversample: int = 5, power: int = 1, s
     unit = lambda c: F.pmod(F.xxhash64("j", F.lit(seed), F.lit(c)), F.lit(2001)) / 1000.0 - 1.0
     y = cut(orthonormal(cut(sums(a.withColumn("y", F.array(*[unit(c) for c in range(size)])), "i"))))
     for _ in range(power):
-        z = cut(orthonormal(cut(sums(a.join(y, "i"), "j"))))
-        y = cut(orthonormal(cut(sums(a.join(z, "j"), "i"))))
-    z = cut(sums(a.join(y, "i"), "j"))
+        z = cut(orthonormal(cut(sums(meet(a, y, "i", size), "j"))))
+        y = cut(orthonormal(cut(sums(meet(a, z, "j", size), "i"))))
+    z = cut(sums(meet(a, y, "i", size), "j"))
     _, g = gram(z, "y", center=False)
     return [float(x) for x in np.sqrt(np.maximum(0, np.linalg.eigvalsh(g * z.count())[::-1][:k]))]
 

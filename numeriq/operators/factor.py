@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot
 from ..plans.lineage import cut
 from .estimators import gram_sums
+from .joins import meet
 
 #: Numbers of a block of rows, and factors that are stacked at once.
 BLOCK_NUMBERS, FAN = 1 << 19, 8
@@ -146,9 +147,9 @@ def randomized_svd(a: DataFrame, k: int, oversample: int = 8, power: int = 3, se
     sign = lambda c: F.pmod(F.xxhash64("j", F.lit(seed), F.lit(c)), F.lit(2)) * 2.0 - 1.0
     y = orthonormal(sums(a.withColumn("y", F.array(*[sign(c) for c in range(size)])), "i"))
     for n in range(power):
-        z = orthonormal(sums(a.join(y, "i"), "j"))
-        y = orthonormal(sums(a.join(z, "j"), "i"), 2 if n == power - 1 else 1)
-    z = cut(sums(a.join(y, "i"), "j"))
+        z = orthonormal(sums(meet(a, y, "i", size), "j"))
+        y = orthonormal(sums(meet(a, z, "j", size), "i"), 2 if n == power - 1 else 1)
+    z = cut(sums(meet(a, y, "i", size), "j"))
     values, vectors = np.linalg.eigh(inner_products(z, "y"))
     order = [c for c in np.argsort(-values)[:k] if values[c] > 1e-20 * max(values.max(), 1e-300)]
     found, turn = np.sqrt(values[order]), vectors[:, order]
@@ -167,7 +168,7 @@ def reconstruction_error(a: DataFrame, u: DataFrame, values: list[float], v: Dat
     import numpy as np
 
     s = np.array(values)
-    met = a.join(u, "i").join(v.withColumnRenamed("v", "__v"), "j")
+    met = meet(meet(a, u, "i", len(values)), v.withColumnRenamed("v", "__v"), "j", len(values), a)
     at = F.aggregate(F.zip_with(F.zip_with("u", "__v", lambda x, y: x * y), F.array(*map(F.lit, values)), lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
     cross = met.agg(F.sum(F.col("v") * at)).first()[0] or 0.0
     size = a.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0

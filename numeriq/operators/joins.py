@@ -65,11 +65,32 @@ def stencil(grid: DataFrame, r: str = "r", c: str = "c", v: str = "v") -> DataFr
     return met.select("row.*", *[F.coalesce(k, F.col(f"row.{v}")).alias(k) for k in moves])
 
 
+#: Bytes of vectors that are sent to every task, and entries of a matrix that a task sorts where they are more.
+SENT_BYTES, TASK_ENTRIES = 64 << 20, 500_000
+
+
+def meet(a: DataFrame, x: DataFrame, on: str, numbers: int = 1, entries: DataFrame | None = None) -> DataFrame:
+    """Entries of a matrix with their row of x, which has one row of so many numbers for each value of `on`.
+
+    The rows of x are counted, so it should be a table, not Spark's guess of its size: up to SENT_BYTES it goes to every task. Beyond, both are dealt in as many
+    parts as bound what a task sorts; entries: a table that has at least as many rows as a, to be counted in its place.
+    """
+    if x.count() * 8 * (numbers + 4) <= SENT_BYTES:
+        return a.join(F.broadcast(x), on)
+    parts = max(a.sparkSession.sparkContext.defaultParallelism, -(-(a if entries is None else entries).count() // TASK_ENTRIES))
+    return a.repartition(parts, on).join(x.repartition(parts, on).hint("merge"), on)
+
+
 def matvec(a: DataFrame, x: DataFrame) -> DataFrame:
     """(i, x) of A x. a: (i, j, v); x: (i, x)."""
     return a.join(x.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
 
 
+def stored_matvec(a: DataFrame, x: DataFrame) -> DataFrame:
+    """matvec of tables, with a bound on what a task holds of either."""
+    return meet(a, x.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
+
+
 #: Rows and columns of a block of a matrix, and products of elements beyond which two blocks are multiplied as full ones.
 BLOCK, DENSE = 1024, 1 << 20
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .joins import matvec
+from .joins import stored_matvec as matvec
 
 
 def dot(a: DataFrame, b: DataFrame) -> float:

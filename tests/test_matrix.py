@@ -45,3 +45,31 @@ def test_products_are_added_up_in_blocks(spark, monkeypatch):
         assert repr(sorted((*k, v + 0.0) for k, v in got.items())) == repr(sorted((r[0], r[1], r[2] + 0.0) for r in want))
         plan = joins.matmul(left, right)._jdf.queryExecution().executedPlan().toString()
         assert "HashAggregate" not in plan and "Broadcast" not in plan
+
+
+def test_what_a_task_holds_of_a_matrix_and_a_vector_is_bounded(spark, monkeypatch):
+    """Whatever size Spark guesses: a counted vector goes to every task, or parts of the matrix grow with its entries."""
+    from numeriq.operators import estimators, factor, joins
+
+    dense = np.array([[float((3 * i + 5 * j) % 7) for j in range(12)] for i in range(12)])
+    a = spark.createDataFrame([(i, j, float(dense[i, j])) for i in range(12) for j in range(12) if dense[i, j]], "i long, j long, v double")
+    b = spark.createDataFrame([(i, float(i % 7 + 1)) for i in range(12)], "i long, x double")
+    y = b.select("i", joins.F.array(*["x"] * 8).alias("y"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert estimators.meet is factor.meet is joins.meet
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for sent, part in ((joins.SENT_BYTES, joins.TASK_ENTRIES), (0, 10)):
+            monkeypatch.setattr(joins, "SENT_BYTES", sent)
+            monkeypatch.setattr(joins, "TASK_ENTRIES", part)
+            product, met = solvers.matvec(a, b), joins.meet(a, y, "i", 8)
+            for found in (plan(product), plan(met)):
+                if sent:
+                    assert "BroadcastHashJoin" in found and "SortMergeJoin" not in found
+                else:
+                    assert f", {-(-a.count() // 10)})" in found and "REPARTITION_BY_NUM" in found and "Broadcast" not in found
+            assert np.allclose([r["x"] for r in product.orderBy("i").collect()], dense @ (np.arange(12) % 7 + 1))
+            assert sorted((r["i"], r["j"], r["v"]) for r in met.collect()) == sorted(map(tuple, a.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
