@@ -95,26 +95,34 @@ def start_parameters(shape: Shape, symbol_counts, seed: int = 5) -> dict:
     }
 
 
+def by_step(n: int, steps: int, lanes: int, kind):
+    """Room for (n, steps, lanes) numbers; those of a step are together, as steps apart by a power of two would take each other's cache lines."""
+    import numpy as np
+
+    return np.empty((steps, n, lanes), kind).transpose(1, 0, 2)
+
+
 def forward(p: dict, inputs, h):
-    """(states, what the way back needs) of a window. inputs: (steps, lanes); h and states: (hidden, ...), so that lanes are next to each
-    other in memory. Where END is read a document starts, from a state of zero."""
+    """(states, what the way back needs) of a window. inputs: (steps, lanes); h and states: (hidden, ...), with a step's numbers together in
+    memory and its lanes next to each other. Where END is read a document starts, from a state of zero."""
     import numpy as np
 
     n, (steps, lanes) = len(h), inputs.shape
     rows = p["x"] + p["b"]
-    rows[:, : 2 * n] *= 0.5  # sigmoid(x) = tanh(x / 2) / 2 + 1/2
-    a = np.ascontiguousarray(rows[inputs.reshape(-1)].T).reshape(3 * n, steps, lanes)
+    rows[:, : 2 * n] *= -1  # gates are 1 / (1 + exp(-x)); where exp is too large they are 0
+    a = np.ascontiguousarray(rows[inputs].transpose(0, 2, 1)).transpose(1, 0, 2)
     gates, cand = a[: 2 * n], a[2 * n :]
-    to_gates, to_cand = 0.5 * np.ascontiguousarray(p["u"][:, : 2 * n].T), np.ascontiguousarray(p["u"][:, 2 * n :].T)
+    to_gates, to_cand = -np.ascontiguousarray(p["u"][:, : 2 * n].T), np.ascontiguousarray(p["u"][:, 2 * n :].T)
     goes_on = (inputs != 0).astype(h.dtype)
-    before, reset, states = (np.empty((n, steps, lanes), h.dtype) for _ in range(3))
+    before, reset, states = (by_step(n, steps, lanes, h.dtype) for _ in range(3))
     for t in range(steps):
         b, g, r, c, s = before[:, t], gates[:, t], reset[:, t], cand[:, t], states[:, t]
         np.multiply(h, goes_on[t], out=b)
         g += to_gates @ b
-        np.tanh(g, out=g)
-        g *= 0.5
-        g += 0.5
+        with np.errstate(over="ignore"):
+            np.exp(g, out=g)
+        g += 1
+        np.reciprocal(g, out=g)
         np.multiply(g[n:], b, out=r)
         c += to_cand @ r
         np.tanh(c, out=c)
@@ -129,8 +137,10 @@ def softmax_over(logits, at):
     """(log of the share of one row of each column, exp(logits) and their sums by column). Columns are shifted only where exp could overflow or vanish."""
     import numpy as np
 
-    if logits.size and (logits.max() > 60 or logits.max(0).min() < -60):
-        logits -= logits.max(0)
+    if logits.size:
+        most = logits.max(0)
+        if most.max() > 60 or most.min() < -60:
+            logits -= most
     found = logits[at, np.arange(logits.shape[1])]
     np.exp(logits, out=logits)
     total = np.ones(len(logits), logits.dtype) @ logits
@@ -150,6 +160,34 @@ def by_class(shape: Shape, targets, mask, cls):
     return rows, y[rows], c, np.searchsorted(c, np.arange(1, shape.groups + 2))
 
 
+def with_ones(states, rows):
+    """The states at some places, and a row of ones that biases are multiplied by."""
+    import numpy as np
+
+    s = np.ones((len(states) + 1, len(rows)), states.dtype)
+    s[:-1] = states.reshape(len(states), -1)[:, rows]
+    return s
+
+
+def class_logits(p: dict, s):
+    import numpy as np
+
+    return np.concatenate((p["wc"].T, p["bc"][:, None]), 1) @ s
+
+
+def word_logits(p: dict, shape: Shape, s, bounds):
+    """Logits of the words of their class for all targets that are common words: one array, so that what follows is done once for all classes."""
+    import numpy as np
+
+    weights = np.concatenate((p["wi"].transpose(0, 2, 1), p["bi"][:, :, None]), 2)
+    out, first = np.empty((shape.per_class, bounds[-1] - bounds[0]), s.dtype), bounds[0]
+    for k in range(shape.groups):
+        a, z = bounds[k], bounds[k + 1]
+        if a < z:
+            out[:, a - first : z - first] = weights[k] @ s[:, a:z]
+    return out
+
+
 def gradients(p: dict, shape: Shape, inputs, targets, mask, h, cls, place):
     """(loss, gradients, last state) of one window. inputs, targets, mask: (steps, lanes); h: (hidden, lanes)."""
     import numpy as np
@@ -157,37 +195,41 @@ def gradients(p: dict, shape: Shape, inputs, targets, mask, h, cls, place):
     n, (steps, lanes) = shape.hidden, inputs.shape
     states, (before, gates, reset, cand, goes_on) = forward(p, inputs, h)
     rows, y, c, bounds = by_class(shape, targets, mask, cls)
-    s = states.reshape(n, -1)[:, rows]
+    s = with_ones(states, rows)
     count = max(1, len(rows))
     g: dict = {"wi": np.zeros_like(p["wi"]), "bi": np.zeros_like(p["bi"])}
 
     def back(logits, at):
         """The loss of a softmax, with the logits made their gradients."""
         logs, e, total = softmax_over(logits, at)
+        total *= count
         e /= total
-        e[at, np.arange(len(at))] -= 1
-        e /= count
+        e[at, np.arange(len(at))] -= 1 / count
         return -float(logs.sum()), e
 
-    loss, e = back(np.ascontiguousarray(p["wc"].T) @ s + p["bc"][:, None], c)
-    g["wc"], g["bc"], ds = s @ e.T, e.sum(1), p["wc"] @ e
+    loss, e = back(class_logits(p, s), c)
+    both, ds = s @ e.T, p["wc"] @ e
+    g["wc"], g["bc"] = both[:n], both[n]
+    first, end = bounds[0], bounds[-1]
+    more, e = back(word_logits(p, shape, s, bounds), place[y[first:end]])
+    loss += more
     for k in range(shape.groups):
         a, z = bounds[k], bounds[k + 1]
         if a < z:
-            more, e = back(np.ascontiguousarray(p["wi"][k].T) @ s[:, a:z] + p["bi"][k][:, None], place[y[a:z]])
-            loss += more
-            g["wi"][k], g["bi"][k] = s[:, a:z] @ e.T, e.sum(1)
-            ds[:, a:z] += p["wi"][k] @ e
+            own = e[:, a - first : z - first]
+            both = s[:, a:z] @ own.T
+            g["wi"][k], g["bi"][k] = both[:n], both[n]
+            ds[:, a:z] += p["wi"][k] @ own
     dstates = np.zeros((n, steps * lanes), s.dtype)
     dstates[:, rows] = ds
-    dstates = dstates.reshape(n, steps, lanes)
+    dstates = np.ascontiguousarray(dstates.reshape(n, steps, lanes).transpose(1, 0, 2)).transpose(1, 0, 2)
     z, r = gates[:n], gates[n:]
     slope = gates * (1 - gates)
     slope[:n] *= cand - before
     slope[n:] *= before
     into_cand, kept = z * (1 - cand * cand), 1 - z
     from_gates, from_cand = p["u"][:, : 2 * n], p["u"][:, 2 * n :]
-    into = np.empty((3 * n, steps, lanes), s.dtype)
+    into = by_step(3 * n, steps, lanes, s.dtype)
     dh = np.zeros((n, lanes), s.dtype)
     for t in range(steps - 1, -1, -1):
         dh += dstates[:, t]
@@ -317,12 +359,10 @@ def window_scores(p: dict, shape: Shape, states, targets, mask, cls, place):
     import numpy as np
 
     rows, y, c, bounds = by_class(shape, targets, mask, cls)
-    s = states.reshape(shape.hidden, -1)[:, rows]
-    out = softmax_over(np.ascontiguousarray(p["wc"].T) @ s + p["bc"][:, None], c)[0]
-    for k in range(shape.groups):
-        a, z = bounds[k], bounds[k + 1]
-        if a < z:
-            out[a:z] += softmax_over(np.ascontiguousarray(p["wi"][k].T) @ s[:, a:z] + p["bi"][k][:, None], place[y[a:z]])[0]
+    s = with_ones(states, rows)
+    out = softmax_over(class_logits(p, s), c)[0]
+    first, end = bounds[0], bounds[-1]
+    out[first:end] += softmax_over(word_logits(p, shape, s, bounds), place[y[first:end]])[0]
     return rows, out
 
 
@@ -480,12 +520,14 @@ def other_counts(held: DataFrame, counts: DataFrame, vocabulary: Vocabulary) ->
     return asked.join(rare, "token").groupBy("chunk").agg(F.collect_list(F.struct("place", "c")).alias("back"))
 
 
-def chunk_symbols(vocabulary: Vocabulary, shape: Shape, tokens: list, endings):
-    """The model's symbol of each of a chunk's tokens."""
+def chunk_symbols(vocabulary: Vocabulary, shape: Shape, tokens, endings):
+    """The model's symbol of each of a chunk's tokens, an Arrow array: looked up there, as the tokens of a chunk are many and no objects of Python yet."""
     import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    get, start = vocabulary.symbols.get, 1 + shape.frequent
-    return np.fromiter((get(t, start + e) for t, e in zip(tokens, endings)), np.int32, len(tokens))
+    found = pc.fill_null(pc.index_in(tokens, pa.array(list(vocabulary.symbols), pa.binary())), -1).to_numpy()
+    return np.where(found < 0, 1 + shape.frequent + endings, found).astype(np.int32)
 
 
 def chunk_documents(b, i: int):
@@ -495,7 +537,7 @@ def chunk_documents(b, i: int):
     get = lambda name: b.column(b.schema.get_field_index(name))[i]
     sizes = get("sizes").values.to_numpy(zero_copy_only=False)
     codes = np.split(np.frombuffer(get("codes").as_py(), np.int32), np.cumsum(sizes)[:-1])
-    return codes, get("doc_ids").as_py(), get("train").as_py(), get("tokens").as_py(), get("endings").values.to_numpy(zero_copy_only=False)
+    return codes, get("doc_ids").as_py(), get("train").as_py(), get("tokens").values, get("endings").values.to_numpy(zero_copy_only=False)
 
 
 def pack_parameters(p: dict):
@@ -582,7 +624,7 @@ def score_chunks(held: DataFrame, counts: DataFrame, vocabulary: Vocabulary, p:
                 for i in range(b.num_rows):
                     codes, ids, train, tokens, endings = chunk_documents(b, i)
                     get = words.dictionary.get
-                    c = np.fromiter((get(t, 0) for t in tokens), np.int64, len(tokens))
+                    c = np.fromiter((get(t, 0) for t in tokens.to_pylist()), np.int64, len(tokens))
                     back = b.column(b.schema.get_field_index("back"))[i].values
                     if back is not None:
                         c[back.field("place").to_numpy()] = back.field("c").to_numpy()

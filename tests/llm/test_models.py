@@ -292,3 +292,31 @@ def test_a_task_holds_one_chunk_at_once(spark):
     (file,) = chunks(docs, Shape(), 1000).inputFiles()
     meta = pq.ParquetFile(file.removeprefix("file://")).metadata
     assert meta.num_rows == meta.num_row_groups == 16
+
+
+def test_a_step_is_together_in_memory_and_a_window_has_one_softmax_over_words(monkeypatch):
+    from numeriq.llm import gru_lm
+
+    shape = gru_lm.Shape()
+    p = start_parameters(shape, np.arange(shape.symbols) + 1.0)
+    rng = np.random.default_rng(3)
+    x, h = rng.integers(0, shape.symbols, (33, 8)).astype(np.int32), np.zeros((shape.hidden, 8), np.float32)
+    p["x"][1] = -200  # gates at their limits
+    states, kept = gru_lm.forward(p, x[:-1], h)
+    assert all(a[:, 3].flags.c_contiguous and np.isfinite(a).all() for a in (states, *kept[:4])) and states.shape == (shape.hidden, 32, 8)
+    calls, own = [], gru_lm.softmax_over
+    monkeypatch.setattr(gru_lm, "softmax_over", lambda logits, at: calls.append(1) or own(logits, at))
+    cls, place = gru_lm.class_table(shape)
+    gru_lm.gradients(p, shape, x[:-1], x[1:], np.ones((32, 8), bool), h, cls, place)
+    assert len(calls) == 2
+
+
+def test_symbols_of_a_chunk():
+    import pyarrow as pa
+
+    from numeriq.llm.gru_lm import Shape, Vocabulary, chunk_symbols
+
+    v = Vocabulary({b"": 0, b"a": 1, b"b": 2}, {}, [], [], 0, 0)
+    tokens = pa.array([b"no", b"", b"b", b"x", b"a", b"no"], pa.binary())
+    assert chunk_symbols(v, Shape(), tokens[1:], np.array([3, 3, 14, 0, 5], np.int16)).tolist() == [0, 2, 513 + 14, 1, 513 + 5]
+    assert len(chunk_symbols(Vocabulary({b"": 0}, {}, [], [], 0, 0), Shape(), tokens[:0], np.array([], np.int16))) == 0
