@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import squared_distance
+from ..plans.lineage import cut
 
 
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -94,9 +97,30 @@ def stored_matvec(a: DataFrame, x: DataFrame) -> DataFrame:
 #: Rows and columns of a block of a matrix, and products of elements beyond which two blocks are multiplied as full ones.
 BLOCK, DENSE = 1024, 1 << 20
 
+#: Blocks on a side of a tile of a product, at most, and bytes of blocks that a task sorts.
+TILE, TASK_BYTES = 4, 64 << 20
+
+
+def squeezed(x: Any) -> bytes:
+    """Numbers as bytes, compressed by place in the number: ascending places, as differences, and repeating values take about a byte an element."""
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def spread(data: Any, kind: Any, n: int) -> Any:
+    """n numbers that were squeezed."""
+    import numpy as np
+    import pyarrow as pa
+
+    size = np.dtype(kind).itemsize
+    held = np.frombuffer(pa.decompress(data, n * size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(held.reshape(size, n).T).reshape(-1).view(kind)
+
 
 def packed(a: DataFrame, row: str, column: str) -> DataFrame:
-    """(row, column, at, v): a row for each block of a matrix (i, j, v), with places in the block (row * BLOCK + column) and values as bytes."""
+    """(row, column, n, at, v): a row for each block of a matrix (i, j, v), with its n elements' places in the block (row * BLOCK + column), ascending, as squeezed differences, and their squeezed values."""
     placed = a.select(*[F.floor(F.col(c) / BLOCK).cast("long").alias(n) for c, n in (("i", row), ("j", column))], (F.pmod("i", F.lit(BLOCK)) * BLOCK + F.pmod("j", F.lit(BLOCK))).cast("int").alias("at"), F.col("v").cast("double").alias("v"))
 
     def mapped(batches: Iterator) -> Iterator:
@@ -104,8 +128,10 @@ def packed(a: DataFrame, row: str, column: str) -> DataFrame:
         import pyarrow as pa
 
         def block(key, held):
-            at, v = (np.concatenate([h[k] for h in held]).tobytes() for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([at], pa.binary()), pa.array([v], pa.binary())], names=[row, column, "at", "v"])
+            at, v = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            order = np.argsort(at, kind="stable")
+            columns = [pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([len(at)], pa.int32())]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array([squeezed(x)], pa.binary()) for x in (np.diff(at[order], prepend=np.int32(0)), v[order]))], names=[row, column, "n", "at", "v"])
 
         last, held = None, []
         for b in batches:
@@ -123,76 +149,115 @@ def packed(a: DataFrame, row: str, column: str) -> DataFrame:
         if held:
             yield block(last, held)
 
-    return placed.repartition(row, column).sortWithinPartitions(row, column).mapInArrow(mapped, f"{row} long, {column} long, at binary, v binary")
+    return placed.repartition(row, column).sortWithinPartitions(row, column).mapInArrow(mapped, f"{row} long, {column} long, n int, at binary, v binary")
+
+
+def tiled(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(ti, tj, bk, side, b, n, at, v): tables of blocks, of left (b, bk) and right (bk, b), sent to the tiles of their product, tile by tile and bk by bk, left before right.
+
+    A tile has as many blocks on a side, up to TILE, as leave three tiles for each core.
+    """
+    parallel = left.sparkSession.sparkContext.defaultParallelism
+    lines = [t.agg(F.count_distinct("b")).first()[0] for t in (left, right)]
+    side = max(1, min(TILE, math.isqrt(lines[0] * lines[1] // (3 * parallel))))
+    left, right = (t.withColumn("t", F.floor(F.col("b") / side)) for t in (left, right))
+    # Blocks are small by their rows and large by their bytes: neither side is broadcast.
+    by_k = [t.groupBy("bk").agg(F.count_distinct("t").alias(f"t{k}"), F.sum(F.octet_length("at") + F.octet_length("v")).alias(f"s{k}")) for k, t in enumerate((left, right))]
+    size = by_k[0].join(by_k[1].hint("merge"), "bk").agg(F.sum(F.col("s0") * F.col("t1") + F.col("s1") * F.col("t0"))).first()[0] or 0
+    parts = max(-(-int(size) // TASK_BYTES), parallel, min(8 * parallel, -(-lines[0] // side) * -(-lines[1] // side)))
+    tiles = [cut(t.select("bk", F.col("t").alias("other")).distinct()).hint("merge") for t in (right, left)]
+    at = (("t", "other"), ("other", "t"))
+    sent = [t.join(tiles[k], "bk").select(F.col(at[k][0]).alias("ti"), F.col(at[k][1]).alias("tj"), "bk", F.lit(k).alias("side"), "b", "n", "at", "v") for k, t in enumerate((left, right))]
+    return sent[0].unionByName(sent[1]).repartition(parts, "ti", "tj").sortWithinPartitions("ti", "tj", "bk", "side")
 
 
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     """(i, j, v) of A B, for matrices (i, j, v) of whole-number places whose values are there; elements of one place add up.
 
-    Blocks that meet in a row of blocks are joined, and a task adds up one block of the product at a time, full ones as matrices and sparse ones element by
-    element: products of elements are never rows. An element is in the result if any pair of elements meets there, though it be 0.
+    Both are stored as blocks. The product is made in tiles of a few blocks: a block is sent once to each tile of its row or column that its partners lie in, and a
+    task adds up one tile at a time, full blocks as matrices and sparse ones element by element: products of elements are never rows. An element is in the result
+    if any pair of elements meets there, though it be 0.
     """
     spark = a.sparkSession
     name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20
     if not 0 < int(spark.conf.get(name).removesuffix("b")) <= most:
         spark.conf.set(name, str(most))  # blocks are long rows
-    # Blocks are small by their rows and large by their bytes: neither side is broadcast.
-    left = packed(a, "bi", "bk").withColumnsRenamed({"at": "at_a", "v": "v_a"})
-    right = packed(b, "bk", "bj").withColumnsRenamed({"at": "at_b", "v": "v_b"})
-    met = left.hint("merge").join(right, "bk").repartition("bi", "bj").sortWithinPartitions("bi", "bj").select("bi", "bj", "at_a", "v_a", "at_b", "v_b")
+    left = cut(packed(a, "b", "bk"))
+    right = left.select(F.col("b").alias("bk"), F.col("bk").alias("b"), "n", "at", "v") if b is a else cut(packed(b, "bk", "b"))
+    met = tiled(left, right)
 
     def mapped(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        def full(at, v):
-            return np.bincount(at, v, BLOCK * BLOCK).reshape(BLOCK, BLOCK)
-
-        def there(at):
-            out = np.zeros(BLOCK * BLOCK, np.float32)
-            out[at] = 1
-            return out.reshape(BLOCK, BLOCK)
-
-        def add(total, seen, at_a, va, at_b, vb):
-            rows, k = np.divmod(at_a, BLOCK)
-            order = np.argsort(at_b, kind="stable")
-            at_b, vb = at_b[order], vb[order]
-            starts = np.searchsorted(at_b, np.arange(BLOCK + 1) * BLOCK)
-            counts = (starts[1:] - starts[:-1])[k]
-            if counts.sum() > DENSE and np.isfinite(va).all() and np.isfinite(vb).all():
-                total += full(at_a, va) @ full(at_b, vb)
-                seen |= (there(at_a) @ there(at_b)) > 0
+        class Block:
+            """Elements in the order of rows; as a matrix, and where they are, if asked."""
+
+            def __init__(self, line, n, at, v):
+                self.line, self.v = line, spread(v, np.float64, n)
+                self.rows, self.columns = np.divmod(np.cumsum(spread(at, np.int32, n), dtype=np.int32), np.int32(BLOCK))
+                self.finite, self.full = bool(np.isfinite(self.v).all()), None
+
+            def starts(self):
+                return np.searchsorted(self.rows, np.arange(BLOCK + 1))
+
+            def matrices(self):
+                if self.full is None:
+                    there = np.zeros((BLOCK, BLOCK), np.float32)
+                    there[self.rows, self.columns] = 1
+                    self.full = np.bincount(self.rows * BLOCK + self.columns, self.v, BLOCK * BLOCK).reshape(BLOCK, BLOCK), there
+                return self.full
+
+        def add(total, seen, a, b, starts):
+            counts = (starts[1:] - starts[:-1])[a.columns]
+            upto = np.cumsum(counts)
+            if not len(upto) or not upto[-1]:
+                return
+            if upto[-1] > DENSE and a.finite and b.finite:
+                (x, p), (y, q) = a.matrices(), b.matrices()
+                total += x @ y
+                seen |= (p @ q) > 0
                 return
             flat, was = total.reshape(-1), seen.reshape(-1)
-            upto = np.cumsum(counts)
+            first = starts[a.columns] - (upto - counts)
             s = 0
-            while s < len(k):
-                e = max(s + 1, int(np.searchsorted(upto, (upto[s - 1] if s else 0) + DENSE, "right")))
+            while s < len(upto):
+                before = upto[s - 1] if s else 0
+                e = max(s + 1, int(np.searchsorted(upto, before + DENSE, "right")))
                 n = counts[s:e]
-                p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - starts[k[s:e]], n)
-                place = np.repeat(rows[s:e] * BLOCK, n) + at_b[p] % BLOCK
-                np.add.at(flat, place, np.repeat(va[s:e], n) * vb[p])
+                p = np.arange(before, upto[e - 1]) + np.repeat(first[s:e], n)
+                place = np.repeat(a.rows[s:e] * BLOCK, n) + b.columns[p]
+                np.add.at(flat, place, np.repeat(a.v[s:e], n) * b.v[p])
                 was[place] = True
                 s = e
 
-        def rows_of(key, total, seen):
-            at = np.flatnonzero(seen)
-            for s in range(0, len(at), 65_536):
-                p = at[s : s + 65_536]
-                yield pa.RecordBatch.from_arrays([pa.array(key[0] * BLOCK + p // BLOCK), pa.array(key[1] * BLOCK + p % BLOCK), pa.array(total.reshape(-1)[p])], names=["i", "j", "v"])
-
-        last, total, seen = None, None, None
-        for b in batches:
-            for x in range(b.num_rows):
-                key = (b.column(0)[x].as_py(), b.column(1)[x].as_py())
-                if key != last:
-                    if last is not None:
-                        yield from rows_of(last, total, seen)
-                    last, total, seen = key, np.zeros((BLOCK, BLOCK)), np.zeros((BLOCK, BLOCK), bool)
-                parts = [np.frombuffer(b.column(2 + n)[x].as_buffer(), (np.int32, np.float64)[n % 2]) for n in range(4)]
-                add(total, seen, *parts)
-        if last is not None:
-            yield from rows_of(last, total, seen)
+        def rows_of(tile):
+            for (i, j), (total, seen) in sorted(tile.items()):
+                at = np.flatnonzero(seen)
+                for s in range(0, len(at), 65_536):
+                    p = at[s : s + 65_536]
+                    yield pa.RecordBatch.from_arrays([pa.array(i * BLOCK + p // BLOCK), pa.array(j * BLOCK + p % BLOCK), pa.array(total.reshape(-1)[p])], names=["i", "j", "v"])
+
+        last, k, held, tile = None, None, [], {}
+        for batch in batches:
+            ti, tj, bk, second, line, n = (batch.column(c).to_pylist() for c in range(6))
+            for x in range(batch.num_rows):
+                if (ti[x], tj[x]) != last:
+                    yield from rows_of(tile)
+                    last, k, tile = (ti[x], tj[x]), None, {}
+                if bk[x] != k:
+                    k, held = bk[x], []
+                now = Block(line[x], n[x], batch.column(6)[x].as_buffer(), batch.column(7)[x].as_buffer())
+                if not second[x]:
+                    held.append(now)
+                    continue
+                starts = now.starts()
+                for other in held:
+                    key = other.line, now.line
+                    if key not in tile:
+                        tile[key] = np.zeros((BLOCK, BLOCK)), np.zeros((BLOCK, BLOCK), bool)
+                    add(*tile[key], other, now, starts)
+        yield from rows_of(tile)
 
     return met.mapInArrow(mapped, "i long, j long, v double")
 

@@ -47,6 +47,23 @@ def test_products_are_added_up_in_blocks(spark, monkeypatch):
         assert "HashAggregate" not in plan and "Broadcast" not in plan
 
 
+def test_a_block_is_sent_once_to_a_tile_and_takes_few_bytes(spark, monkeypatch):
+    """What a product ships: not both blocks of each pair that meets, nor twelve bytes an element."""
+    from numeriq.operators import joins
+
+    rng = np.random.default_rng(6)
+    places = rng.choice(1024 * 1024, 20_000, replace=False)
+    one = spark.createDataFrame([(int(p) // 1024, int(p) % 1024, 1.0) for p in places], "i long, j long, v double")
+    (block,) = joins.packed(one, "b", "bk").collect()
+    assert block["n"] == 20_000 and len(block["at"]) + len(block["v"]) < 2 * 20_000
+    assert (np.cumsum(joins.spread(block["at"], np.int32, 20_000)) == np.sort(places)).all() and (joins.spread(block["v"], np.float64, 20_000) == 1).all()
+    monkeypatch.setattr(joins, "BLOCK", 2)
+    whole = spark.createDataFrame([(i, j, float(i + j)) for i in range(32) for j in range(32)], "i long, j long, v double")
+    blocks = joins.cut(joins.packed(whole, "b", "bk"))
+    sent = joins.tiled(blocks, blocks.selectExpr("b AS bk", "bk AS b", "n", "at", "v"))
+    assert blocks.count() == 16 * 16 and sent.select("ti", "tj").distinct().count() == 16 and sent.count() == 2 * 16 * 16 * 4
+
+
 def test_what_a_task_holds_of_a_matrix_and_a_vector_is_bounded(spark, monkeypatch):
     """Whatever size Spark guesses: a counted vector goes to every task, or parts of the matrix grow with its entries."""
     from numeriq.operators import estimators, factor, joins
