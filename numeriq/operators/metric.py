@@ -24,6 +24,9 @@ from .graph import components
 #: Bytes of the vectors of a bin, pivots at most, rings of a cell at most, and rows below which a bin isn't shared by tasks.
 BIN_BYTES, CELLS, RINGS, LEAST_ROWS = 16 << 20, 512, 256, 512
 
+#: Parts and deals for each core, and rows for each deal at least.
+DEALS, DEALT_ROWS = 6, 4096
+
 
 def matrix(column: Any):
     """Vectors of an Arrow array as rows."""
@@ -161,14 +164,26 @@ def routed(queries: DataFrame, cells: Cells, first: int | None = None) -> DataFr
     return queries.mapInArrow(mapped, "bin int, part int, " + ", ".join(f"{n} {t}" for n, t in queries.dtypes))
 
 
-def met(data: DataFrame, queries: DataFrame, kernel: Callable, schema: str) -> DataFrame:
-    """kernel's batches for each part of a bin: kernel(data rows, batches of queries), both Arrow tables. A part's data are held, queries pass."""
+def met(data: DataFrame, queries: DataFrame, kernel: Callable, schema: str, cells: Cells, deal: bool = False) -> DataFrame:
+    """kernel's batches for each part of a bin: kernel(data rows, batches of queries), both Arrow tables. A part's data are held, queries pass.
+
+    With deal, queries that are as many as the data are dealt by a hash where parts are too few for the cores, and each deal has the part's data. The number of
+    partitions is given, since few bytes are much work here: Spark would put them into few tasks.
+    """
+    spark = data.sparkSession
+    parallel, groups = spark.sparkContext.defaultParallelism, int(cells.parts.sum())
+    deals = max(1, min(-(-DEALS * parallel // groups), int(cells.rows.sum()) // DEALT_ROWS)) if deal and groups else 1
+    if deals > 1:
+        part = F.col("part") * deals
+        data = data.withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.lit(deals - 1)), lambda d: part + d)))
+        queries = queries.withColumn("part", part + F.pmod(F.xxhash64("qid"), F.lit(deals)).cast("int"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(3 * groups * deals, 16 * parallel))
     extra = [c for c in data.columns if c not in ("bin", "part", "id", "v")]
     asked = [c for c in queries.columns if c not in ("bin", "part", "qid", "q")]
     id_type = dict(data.dtypes)["id"]
     left = data.select("bin", "part", F.lit(0).alias("side"), "id", "v", *extra, *[F.lit(None).cast(dict(queries.dtypes)[c]).alias(c) for c in asked])
     right = queries.select("bin", "part", F.lit(1).alias("side"), F.col("qid").cast(id_type).alias("id"), F.col("q").alias("v"), *[F.lit(None).cast(dict(data.dtypes)[c]).alias(c) for c in extra], *asked)
-    both = left.unionByName(right).repartition("bin", "part").sortWithinPartitions("bin", "part", "side")
+    both = left.unionByName(right).repartition(tasks, "bin", "part").sortWithinPartitions("bin", "part", "side")
 
     def mapped(batches: Iterator) -> Iterator:
         import numpy as np
@@ -203,8 +218,58 @@ def met(data: DataFrame, queries: DataFrame, kernel: Callable, schema: str) -> D
     return both.mapInArrow(mapped, schema)
 
 
-#: Distances that a task holds at once.
-PAIRS = 1 << 20
+#: Distances that a task holds at once, and queries and rows of a product of matrices.
+PAIRS, ASKED, HELD = 1 << 20, 512, 2048
+
+
+class Near:
+    """Rows of a matrix, to be asked for those within a distance of others."""
+
+    def __init__(self, x: Any):
+        import numpy as np
+
+        self.x, self.middle = x, x.mean(0) if len(x) else np.zeros(x.shape[1])
+        self.moved = x - self.middle
+        self.scale = (self.moved**2).sum(1)
+        self.largest, self.far = float(self.scale.max(initial=0)), float((x * x).sum(1).max(initial=0))
+        self.held: dict = {}
+
+    def sides(self, q: Any, limit: Any) -> tuple:
+        """(rows for queries, rows for x), whose products are at most 0 where a squared distance is at most the limit: in single precision where its rounding is small
+        beside the limit, and less by more than the rounding."""
+        import numpy as np
+
+        z, limit = q - self.middle, np.minimum(limit, 1e300)
+        own = (z * z).sum(1)
+        most, factor = own.max(initial=0) + self.largest, 4 * (q.shape[1] + 8) * np.finfo(np.float32).eps
+        single = most + limit.max(initial=0) < 1e30 and max(1e-30, factor * most / 0.02) <= limit.min(initial=np.inf)
+        kind = np.float32 if single else np.float64
+        if not single:
+            factor = 1e-9
+        slack = factor * (own + limit) + 1e-12 * ((q * q).sum(1) + self.far)
+        if kind not in self.held:
+            self.held = {kind: np.column_stack([self.moved, np.ones(len(self.x)), self.scale * (1 - factor)]).astype(kind)}
+        return np.column_stack([-2 * z, own - limit - slack, np.ones(len(q))]).astype(kind), self.held[kind]
+
+    def pairs(self, q: Any, limit: Any, among: Any = None) -> tuple:
+        """(i, j, d2), by i: row j of x, of those in among, is within the root of limit[i] of q[i]."""
+        import numpy as np
+
+        left, right = self.sides(q, limit)
+        found = []
+        for s in range(0, len(right) if among is None else len(among), HELD):
+            rows = right[s : s + HELD] if among is None else right[among[s : s + HELD]]
+            hits = np.flatnonzero(left @ rows.T <= 0)
+            i, j = np.divmod(hits, max(1, len(rows)))
+            found.append((i, j + s if among is None else among[j + s]))
+        i, j = (np.concatenate([np.zeros(0, int), *(f[k] for f in found)]) for k in (0, 1))
+        by = np.argsort(i, kind="stable")
+        i, j = i[by], j[by]
+        d2 = np.empty(len(i))
+        for s in range(0, len(i), 8192):
+            d2[s : s + 8192] = ((q[i[s : s + 8192]] - self.x[j[s : s + 8192]]) ** 2).sum(1)
+        keep = d2 <= limit[i]
+        return i[keep], j[keep], d2[keep]
 
 
 def near_pairs(rows: Any, batches: Iterator, most: int | None = None) -> Iterator:
@@ -212,6 +277,13 @@ def near_pairs(rows: Any, batches: Iterator, most: int | None = None) -> Iterato
     import numpy as np
 
     x = matrix(rows["v"].chunk(0))
+    if most is None or len(x) <= most:
+        near = Near(x)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ASKED):
+                b = whole.slice(at, ASKED)
+                yield b, *near.pairs(matrix(b["v"]), b["radius"].to_numpy() ** 2)
+        return
     scale = (x * x).sum(1)
     largest = float(scale.max(initial=0))
     for whole in batches:
@@ -223,9 +295,8 @@ def near_pairs(rows: Any, batches: Iterator, most: int | None = None) -> Iterato
             rough = squares(q, x)
             own = (q * q).sum(1)
             upto = limit[:, None] + 1e-9 * (1 + own[:, None] + scale[None])
-            if most is not None and len(x) > most:
-                # The rough distances of a query's nearest rows are at most so far beyond the one in that place.
-                np.fmin(upto, (np.partition(rough, most - 1, 1)[:, most - 1] + 2e-9 * (1 + own + largest))[:, None], out=upto)
+            # The rough distances of a query's nearest rows are at most so far beyond the one in that place.
+            np.fmin(upto, (np.partition(rough, most - 1, 1)[:, most - 1] + 2e-9 * (1 + own + largest))[:, None], out=upto)
             i, j = np.nonzero(rough <= upto)
             d2 = np.empty(len(i))
             for s in range(0, len(i), 65_536):
@@ -234,6 +305,45 @@ def near_pairs(rows: Any, batches: Iterator, most: int | None = None) -> Iterato
             yield b, i[keep], j[keep], d2[keep]
 
 
+def links(near: Near, q: Any, limit: Any, core: Any, parent: Any) -> tuple:
+    """(i, j): for each core query one row of x near it, if any, and for another all of them. parent: a forest of the rows of x, in which a core query ties all rows near it.
+
+    Rows that are tied already are sought only until a query has one of them, so where most rows are one cluster few distances are computed.
+    """
+    import numpy as np
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    whole, others = np.flatnonzero(core), np.flatnonzero(~core)
+    while (up := parent[parent]).tobytes() != parent.tobytes():
+        parent[:] = up
+    tops = parent.copy()
+    tied = tops == np.bincount(tops, minlength=1).argmax() if len(tops) else np.zeros(0, bool)
+    i, j, _ = near.pairs(q[others], limit[others])
+    found = [(others[i], j)]
+    i, j, _ = near.pairs(q[whole], limit[whole], np.flatnonzero(~tied))
+    pairs = [(whole[i], j)]
+    inside, left, s, width = np.flatnonzero(tied), whole, 0, ASKED
+    while s < len(inside) and len(left):
+        i, j, _ = near.pairs(q[left], limit[left], inside[s : s + width])
+        i, at = np.unique(i, return_index=True)
+        pairs.append((left[i], j[at]))
+        left, s, width = np.delete(left, i), s + width, 4 * width
+    i, j = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    # Of a query's rows in one tree, one is enough.
+    _, at = np.unique(np.stack([i, tops[j]]), axis=1, return_index=True) if len(i) else (None, np.zeros(0, int))
+    i, j = i[at], j[at]
+    first: dict = {}
+    for x, y in zip(i.tolist(), j.tolist()):
+        if (top := first.setdefault(x, y)) != y:
+            parent[root(y)] = root(top)
+    return tuple(np.concatenate([o, np.array(list(c), int)]) for o, c in zip(found[0], (first.keys(), first.values())))
+
+
 def as_queries(points: DataFrame, radius: float, *more: str) -> DataFrame:
     return points.select(F.col("id").alias("qid"), F.col("v").alias("q"), F.lit(float(radius)).alias("radius"), *more)
 
@@ -261,7 +371,7 @@ def range_join(points: DataFrame, radius: float, id_col: str = "id", vector_col:
             once = pa.compute.less(left, right)
             yield pa.RecordBatch.from_arrays([left.filter(once), right.filter(once), pa.array(np.sqrt(d2)).filter(once)], names=["id", "other", "distance"])
 
-    return met(data, routed(as_queries(rows, radius), cells), kernel, f"id {kind}, other {kind}, distance double")
+    return met(data, routed(as_queries(rows, radius), cells), kernel, f"id {kind}, other {kind}, distance double", cells, True)
 
 
 def knn(data: DataFrame, is_query: Column, k: int, id_col: str = "id", vector_col: str = "v", bin_rows: int | None = None) -> DataFrame:
@@ -292,10 +402,10 @@ def knn(data: DataFrame, is_query: Column, k: int, id_col: str = "id", vector_co
     everything = F.lit(float("inf"))
     asked = queries.withColumn("radius", everything)
     if len(cells.cell) > 1:
-        some = met(held, routed(asked, cells, first=k), kernel, schema).groupBy("query_id").agg(F.get(F.sort_array(F.collect_list("d2")), F.lit(k - 1)).alias("d2"))
+        some = met(held, routed(asked, cells, first=k), kernel, schema, cells).groupBy("query_id").agg(F.get(F.sort_array(F.collect_list("d2")), F.lit(k - 1)).alias("d2"))
         bound = F.coalesce(F.sqrt("d2") * (1 + 1e-12), everything)
         asked = cut(queries.join(some.withColumnRenamed("query_id", "qid"), "qid", "left").select("qid", "q", bound.alias("radius")))
-    near = met(held, routed(asked, cells), kernel, schema)
+    near = met(held, routed(asked, cells), kernel, schema, cells)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "id"))
     return near.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "id", F.sqrt("d2").alias("distance"))
 
@@ -326,40 +436,26 @@ def dbscan(points: DataFrame, radius: float, least: int, id_col: str = "id", vec
         import pyarrow as pa
 
         ids = held["id"].chunk(0)
-        parent = np.arange(len(ids))
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        def batch(a, b, core):
-            return pa.RecordBatch.from_arrays([a, b, core], names=["a", "b", "core"])
-
-        for b, i, j, _ in near_pairs(held, batches):
-            core = b["core"].to_numpy(zero_copy_only=False).astype(bool)
-            firsts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else i
-            for s, e in zip(firsts.tolist(), [*firsts[1:].tolist(), len(i)]):
-                if core[i[s]]:
-                    top = root(j[s])
-                    for x in j[s + 1 : e].tolist():
-                        parent[root(x)] = top
-            one = core[i] & np.isin(np.arange(len(i)), firsts)
-            keep = one | ~core[i]
-            yield batch(b["id"].take(pa.array(i[keep])), ids.take(pa.array(j[keep])), pa.array(core[i[keep]]))
-        tops = np.array([root(x) for x in range(len(ids))], int)
-        moved = np.flatnonzero(tops != np.arange(len(ids)))
-        yield batch(ids.take(pa.array(moved)), ids.take(pa.array(tops[moved])), pa.array(np.ones(len(moved), bool)))
-
-    counts = met(data, routed(as_queries(distinct, radius), cells), counting, f"id {kind}, n long").groupBy("id").agg((F.sum("n") - 1).alias("near"))
+        parent, near = np.arange(len(ids)), Near(matrix(held["v"].chunk(0)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, ASKED):
+                b = whole.slice(at, ASKED)
+                core = b["core"].to_numpy(zero_copy_only=False).astype(bool)
+                i, j = links(near, matrix(b["v"]), b["radius"].to_numpy() ** 2, core, parent)
+                yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(i)), ids.take(pa.array(j)), pa.array(core[i])], names=["a", "b", "core"])
+        while (up := parent[parent]).tobytes() != parent.tobytes():
+            parent = up
+        moved = np.flatnonzero(parent != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(moved)), ids.take(pa.array(parent[moved])), pa.array(np.ones(len(moved), bool))], names=["a", "b", "core"])
+
+    counts = met(data, routed(as_queries(distinct, radius), cells), counting, f"id {kind}, n long", cells, True).groupBy("id").agg((F.sum("n") - 1).alias("near"))
     counts = cut(counts)
     marked = data.join(counts, "id").withColumn("core", F.col("near") >= least)
     asked = as_queries(distinct.join(counts, "id").withColumn("core", F.col("near") >= least), radius, "core")
-    links = cut(met(marked.filter("core").drop("n", "near", "core"), routed(asked, cells), linking, f"a {kind}, b {kind}, core boolean"))
-    roots = components(links.filter("core").select("a", "b"))
+    tied = cut(met(marked.filter("core").drop("n", "near", "core"), routed(asked, cells), linking, f"a {kind}, b {kind}, core boolean", cells, True))
+    roots = components(tied.filter("core").select("a", "b"))
     labels = counts.filter(F.col("near") >= least).select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("cluster"))
-    border = links.filter("NOT core").join(labels.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("cluster"))
+    border = tied.filter("NOT core").join(labels.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("cluster"))
     found = counts.join(labels.unionByName(border), "id", "left")
     by_vector = distinct.join(found, "id").select("v", "near", "cluster")
     all_rows = points.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))

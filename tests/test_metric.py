@@ -104,6 +104,69 @@ def test_empty_tables(spark):
     assert metric.dbscan(empty, 1.0, 2).count() == metric.range_join(empty, 1.0).count() == metric.knn(empty, F.lit(True), 3).count() == 0
 
 
+def test_distances_are_sought_in_single_precision_only_where_it_tells():
+    rng = np.random.default_rng(8)
+    for shift, size, radius in ((0, 1, 0.9), (1e6, 1, 0.9), (0, 1e-9, 1e-9), (3, 1e12, 1e12), (0, 1, 1e-3), (0, 1, 0.0), (0, 1, 1e200)):
+        x = np.round(rng.normal(size=(700, 5)), 2) * size + shift
+        near = metric.Near(x)
+        limit = np.full(300, min(radius**2, 1e308)) if radius < 1e100 else np.full(300, np.inf)
+        i, j, d2 = near.pairs(x[:300], limit)
+        all_ = ((x[:300, None] - x[None]) ** 2).sum(2)
+        assert list(zip(i, j)) == list(zip(*np.nonzero(all_ <= limit[:, None]))) and (d2 == all_[i, j]).all()
+        assert (near.sides(x[:300], limit)[0].dtype == np.float32) == (radius not in (1e-3, 0.0, 1e200))
+        some = np.arange(0, 700, 3)
+        i, j, _ = near.pairs(x[:300], limit, some)
+        assert set(zip(i, j)) == set(zip(*np.nonzero((all_ <= limit[:, None]) & np.isin(np.arange(700), some))))
+
+
+def test_rows_that_are_tied_are_not_sought_again(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 6)) * 0.3
+    x[3990:] += 50
+    asked = []
+    monkeypatch.setattr(metric.Near, "pairs", lambda self, q, limit, among=None, own=metric.Near.pairs: asked.append(len(q) * len(self.x if among is None else among)) or own(self, q, limit, among))
+    near, parent, core = metric.Near(x), np.arange(4000), np.arange(4000) % 50 != 7
+    ends, tied = [], []
+    for s in range(0, 4000, 500):
+        limit = np.full(500, 0.5**2)
+        i, j = metric.links(near, x[s : s + 500], limit, core[s : s + 500], parent)
+        close = ((x[s : s + 500, None] - x[None]) ** 2).sum(2) <= 0.25
+        for k in range(500):
+            got = set(j[i == k])
+            assert (len(got) == 1 and close[k, list(got)].all()) if core[s + k] else got == set(np.flatnonzero(close[k]))
+        ends += np.nonzero(close)[0][core[s : s + 500][np.nonzero(close)[0]]].tolist()
+        tied.append(close)
+    assert sum(asked) < 4000 * 4000 / 2
+    d = np.concatenate(tied)
+    label = np.arange(4000)
+    while True:
+        # Rows near a core row are one cluster.
+        low = np.where(d & core[:, None], label[None], 4000).min(1)
+        new = np.where(core, np.minimum(label, low), 4000)
+        new = np.minimum(label, np.where(d[core], new[core][:, None], 4000).min(0))
+        if (new == label).all():
+            break
+        label = new
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    roots = np.array([root(k) for k in range(4000)])
+    assert len(set(zip(roots, label))) == len(set(roots)) == len(set(label))
+
+
+def test_few_bytes_of_much_work_are_dealt_to_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(metric, "DEALT_ROWS", 50)
+    rows = metric.named(frame(spark, clustered(5, 300, 3)), "id", "v")
+    data, cells = metric.indexed(rows, 200)
+    seen = metric.met(data, metric.routed(metric.as_queries(rows, 100.0), cells), lambda held, batches: ([_ for _ in batches], iter([held.select(["id"]).to_batches()[0]]))[1], "id long", cells, True)
+    assert "REPARTITION_BY_NUM" in seen._jdf.queryExecution().executedPlan().toString()
+    deals = min(-(-metric.DEALS * spark.sparkContext.defaultParallelism // int(cells.parts.sum())), 340 // 50)
+    assert deals > 1 and seen.count() == deals * 340
+
+
 @pytest.mark.parametrize("local_rows", [0, 10**6])
 def test_components(spark, local_rows):
     rng = random.Random(2)
