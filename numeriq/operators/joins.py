@@ -119,9 +119,10 @@ def spread(data: Any, kind: Any, n: int) -> Any:
     return np.ascontiguousarray(held.reshape(size, n).T).reshape(-1).view(kind)
 
 
-def packed(a: DataFrame, row: str, column: str) -> DataFrame:
-    """(row, column, n, at, v): a row for each block of a matrix (i, j, v), with its n elements' places in the block (row * BLOCK + column), ascending, as squeezed differences, and their squeezed values."""
-    placed = a.select(*[F.floor(F.col(c) / BLOCK).cast("long").alias(n) for c, n in (("i", row), ("j", column))], (F.pmod("i", F.lit(BLOCK)) * BLOCK + F.pmod("j", F.lit(BLOCK))).cast("int").alias("at"), F.col("v").cast("double").alias("v"))
+def packed(a: DataFrame, row: str, column: str, width: int | None = None) -> DataFrame:
+    """(row, column, n, at, v): a row for each block of a matrix (i, j, v), with its n elements' places in the block (row * width + column; BLOCK if not said), ascending, as squeezed differences, and their squeezed values."""
+    width = width or BLOCK
+    placed = a.select(*[F.floor(F.col(c) / width).cast("long").alias(n) for c, n in (("i", row), ("j", column))], (F.pmod("i", F.lit(width)) * width + F.pmod("j", F.lit(width))).cast("int").alias("at"), F.col("v").cast("double").alias("v"))
 
     def mapped(batches: Iterator) -> Iterator:
         import numpy as np

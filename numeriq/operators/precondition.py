@@ -86,6 +86,21 @@ def lu_solver(a: DataFrame, colours: DataFrame | None = None) -> Callable[[DataF
     return solve
 
 
+def lu_factors(a: DataFrame, colours: DataFrame | None = None) -> list[DataFrame]:
+    """Matrices (i, j, v) whose product, the first one first, is (L U)^-1: for n colours 2 (n - 1), or one.
+
+    A colour's rows of L are taken off in one step, I - L_c. With U = (I + N) D for the diagonal D, so are those of N = U D^-1, and the last step divides by D.
+    """
+    t, _, n = incomplete_lu(a, colours)
+    d = cut(t.filter("i = j").select("i", F.col("v").alias("d")))
+    one = d.select("i", F.col("i").alias("j"), F.lit(1.0).alias("v"))
+    upper = t.filter("ci < cj").join(d.withColumnsRenamed({"i": "j"}), "j").select("i", "j", (F.col("v") / F.col("d")).alias("v"), "ci")
+    steps = [one.unionByName(t.filter(f"ci = {c} AND cj < {c}").select("i", "j", (-F.col("v")).alias("v"))) for c in range(1, n)]
+    steps += [one.unionByName(upper.filter(f"ci = {c}").select("i", "j", (-F.col("v")).alias("v"))) for c in range(n - 2, -1, -1)]
+    last = (steps.pop() if n > 1 else one).join(d, "i").select("i", "j", (F.col("v") / F.col("d")).alias("v"))
+    return [*steps, last]
+
+
 def growth_factor(a: DataFrame) -> float:
     """How much larger the largest element of the incomplete factor is than that of the matrix."""
     t, _, _ = incomplete_lu(a)
