@@ -153,9 +153,11 @@ def of_basis(t: DataFrame, f: Any, schema: str) -> DataFrame:
     return t.mapInArrow(mapped, schema)
 
 
-def gmres(a: DataFrame, b: DataFrame, restart: int = 20, cycles: int = 5, tolerance: float = 1e-8, factors: list[DataFrame] | None = None) -> tuple[DataFrame, list[float]]:
+def gmres(a: DataFrame, b: DataFrame, restart: int = 20, cycles: int = 5, tolerance: float = 1e-8, factors: list[DataFrame] | None = None, reduced: tuple[DataFrame, ...] | None = None) -> tuple[DataFrame, list[float]]:
     """(solution (i, x), history): `solvers.gmres` on blocks, preconditioned by a product of matrices, the first of factors first (`precondition.lu_factors`).
 
+    reduced, in place of factors (`precondition.two_colours`): the iteration runs on half of the unknowns, and so do residuals.
+
     a: (i, j, v) with an element in each row, and b: (i, x), have the same rows.
     """
     import numpy as np
@@ -164,10 +166,15 @@ def gmres(a: DataFrame, b: DataFrame, restart: int = 20, cycles: int = 5, tolera
     name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20
     if not 0 < int(spark.conf.get(name).removesuffix("b")) <= most:
         spark.conf.set(name, str(most))  # blocks are long rows
-    whole, parts = matrix(a), [matrix(f) for f in factors or []]
-    right = cut(blocked(b))
-
-    def prepared(v: DataFrame) -> DataFrame:
+    whole, right = matrix(a), cut(blocked(b))
+    if reduced:
+        own, condensed, spread_out, back = map(matrix, reduced)
+        first, operator = [condensed], [spread_out, back]
+    else:
+        first = [matrix(f) for f in factors or []]
+        operator = [whole, *first]
+
+    def through(parts: list, v: DataFrame) -> DataFrame:
         for p in parts:
             v = product(p, v)
         return v
@@ -180,7 +187,10 @@ def gmres(a: DataFrame, b: DataFrame, restart: int = 20, cycles: int = 5, tolera
     x, history = None, []
     for _ in range(cycles):
         r = right if x is None else combined(right, -1.0, product(whole, x))
-        t = cut(prepared(r).withColumn("q", F.lit(b"")))
+        if reduced:
+            r = cut(r)
+            x = product(own, r) if x is None else combined(x, 1.0, product(own, r))
+        t = cut(through(first, r).withColumn("q", F.lit(b"")))
         (ww,) = sums(t, lambda q, w: np.array([w @ w])) if not t.isEmpty() else (0.0,)
         beta = math.sqrt(ww)
         if beta < tolerance:
@@ -195,7 +205,7 @@ def gmres(a: DataFrame, b: DataFrame, restart: int = 20, cycles: int = 5, tolera
             if size == restart or (size and (history[-1] < tolerance or length < 1e-14)):
                 break
             k = size
-            t = cut(basis.hint("merge").join(prepared(product(whole, newest)).select("b", "x"), "b").select("b", "n", "at", "q", "x"))
+            t = cut(basis.hint("merge").join(through(operator, newest).select("b", "x"), "b").select("b", "n", "at", "q", "x"))
             g = sums(t, lambda q, w: q @ w)
             *more, ww = sums(t, lambda q, w, g=g: np.append(q @ (w - g @ q), (w - g @ q) @ (w - g @ q)))
             g = g + np.array(more)
@@ -208,6 +218,7 @@ def gmres(a: DataFrame, b: DataFrame, restart: int = 20, cycles: int = 5, tolera
             if length < 1e-14:
                 break
         step = of_basis(t, lambda q, w, y=y: {"x": y @ q}, VECTOR)
+        step = product(spread_out, step) if reduced else step
         x = cut(step if x is None else combined(x, 1.0, step))
         if history[-1] < tolerance:
             break

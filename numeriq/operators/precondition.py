@@ -101,6 +101,28 @@ def lu_factors(a: DataFrame, colours: DataFrame | None = None) -> list[DataFrame
     return [*steps, last]
 
 
+def two_colours(a: DataFrame, colours: DataFrame) -> tuple[DataFrame, ...]:
+    """Matrices (i, j, v) by which a system whose rows have two colours, preconditioned by its incomplete LU, is iterated on the unknowns of colour 1 alone.
+
+    With A = (D E; F G) and U's diagonal (D, H): own = D^-1, of colour 0; condensed = H^-1 (-F D^-1, 1); spread out = (-D^-1 E; 1); back = H^-1 (F, G). Of r with
+    no residual in colour 0, (L U)^-1 r is v = spread out (condensed r), and (L U)^-1 A v is spread out (back v): what lies in colour 0 follows from colour 1. A
+    residual there is taken off by own, and condensed allows for it.
+    """
+    t, _, n = incomplete_lu(a, colours)
+    if n > 2:
+        raise ValueError("more than two colours")
+    d = cut(t.filter("i = j").select("i", F.col("v").alias("d"), "ci"))
+    zero, one = d.filter("ci = 0"), d.filter("ci = 1")
+    diagonal = one.join(a.filter("i = j").groupBy("i").agg(F.sum("v").alias("v")), "i")
+    low = cut(t.filter("ci = 1 AND cj = 0").select("i", "j", "v").join(one.select("i", "d"), "i"))
+    at = lambda df, v: df.select("i", F.col("i").alias("j"), v.alias("v"))
+    own = at(zero, 1 / F.col("d"))
+    condensed = low.select("i", "j", (-F.col("v") / F.col("d")).alias("v")).unionByName(at(one, 1 / F.col("d")))
+    out = t.filter("ci = 0 AND cj = 1").select("i", "j", "v").join(zero.select("i", "d"), "i").select("i", "j", (-F.col("v") / F.col("d")).alias("v")).unionByName(at(one, F.lit(1.0)))
+    back = low.join(zero.select(F.col("i").alias("j"), F.col("d").alias("e")), "j").select("i", "j", (F.col("v") * F.col("e") / F.col("d")).alias("v")).unionByName(at(diagonal, F.col("v") / F.col("d")))
+    return own, condensed, out, back
+
+
 def growth_factor(a: DataFrame) -> float:
     """How much larger the largest element of the incomplete factor is than that of the matrix."""
     t, _, _ = incomplete_lu(a)

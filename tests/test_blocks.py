@@ -49,12 +49,26 @@ def test_restarts_reach_the_solution(spark, monkeypatch):
     assert not none and [r["x"] for r in zero.collect()] == [0.0] * 25
 
 
+def test_two_colours_iterate_on_one(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "WIDTH", 8)
+    sizes = []
+    monkeypatch.setattr(blocks, "of_basis", lambda t, *a, own=blocks.of_basis: sizes.append(t) or own(t, *a))
+    a = lattice(4)
+    df = frame(spark, a)
+    two = df.select("i").distinct().selectExpr("i", "(i div 4 + i % 4) % 2 AS colour")
+    b = spark.createDataFrame([(i, float(i % 5 - 1)) for i in range(16)], "i long, x double")
+    x, history = blocks.gmres(df, b, 4, 5, 1e-8, reduced=precondition.two_colours(df, two))
+    assert len(history) > 4 and history[-1] < 1e-8
+    assert np.allclose([r["x"] for r in x.orderBy("i").collect()], np.linalg.solve(a, [i % 5 - 1 for i in range(16)]), atol=1e-7)
+    assert sum(r["n"] for r in sizes[0].collect()) == 8
+
+
 def test_the_basis_is_stored_once_an_iteration(spark, sf_dir, monkeypatch):
     stored = []
     for m in (blocks, solvers):
         monkeypatch.setattr(m, "cut", lambda df, own=m.cut: stored.append(df.columns) or own(df))
     seen = []
-    monkeypatch.setattr(blocks, "gmres", lambda *a, own=blocks.gmres: seen.append(own(*a)) or seen[-1])
+    monkeypatch.setattr(blocks, "gmres", lambda *a, own=blocks.gmres, **k: seen.append(own(*a, **k)) or seen[-1])
     QUERIES["incomplete_lu_solution"](spark, sf_dir)
     iterations = len(seen[0][1])
     assert 3 < iterations < 20 and sum("q" in columns for columns in stored) == iterations + 1
